@@ -194,3 +194,268 @@ def q_ratio_of_sums(spark, sf):
     e = CP.encoded_corpus(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY)
     return e.groupBy("dataset").agg(
         F.round(C.ratio_of_sums("n_chars", "n_tokens"), 6).alias("chars_per_token"))
+
+
+# ================================================================ 2.8 chat
+from quillspark.operators import chat as H  # noqa: E402
+from quillspark.plans import sft_plan as SP  # noqa: E402
+from quillspark.plans import sqlchat as Q  # noqa: E402
+from quillspark.plans.sqlparts import hash64 as sql_hash64  # noqa: E402
+
+SFT_LIMIT = 20
+SFT_VAL_FRACTION = 0.02
+SFT_CHUNK = 4096
+_ENCODERS: dict = {}
+
+
+def _encoder(spark, sf):
+    """The corpus encoder, fitted once per (session, tables)."""
+    key = (id(spark), sf)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = CP.corpus_encoder(_docs(spark, sf))
+    return _ENCODERS[key]
+
+
+def _turns(spark, sf):
+    return H.collect_turns(table(spark, sf, "conversations"))
+
+
+def _render(m):
+    return F.md5(F.array_join(F.transform(m, lambda x: F.concat(x["role"], F.lit(":"),
+                                                                x["content"])), "\n"))
+
+
+def _conv_out(d, col="messages"):
+    m = F.col(col)
+    return d.select(F.col("conv_id").alias("pos"), m.isNotNull().alias("ok"),
+                    F.size(m).cast("bigint").alias("n_msgs"), _render(m).alias("msgs_md5"))
+
+
+def _conv_sql(shape_sql):
+    return f"""WITH {Q.TURNS}
+SELECT pos, m IS NOT NULL AS ok, CAST(len(m) AS BIGINT) AS n_msgs,
+       {Q.render('m')} AS msgs_md5
+FROM (SELECT pos, {shape_sql} AS m FROM turns)"""
+
+
+@register("convert_sharegpt", _conv_sql(Q.SHAREGPT_MSGS))
+def q_convert_sharegpt(spark, sf):
+    return _conv_out(H.as_sharegpt(_turns(spark, sf)).select(
+        "conv_id", H.convert_sharegpt().alias("messages")))
+
+
+@register("convert_messages", _conv_sql(Q.MESSAGES_MSGS))
+def q_convert_messages(spark, sf):
+    return _conv_out(H.as_messages(_turns(spark, sf)).select(
+        "conv_id", H.convert_messages().alias("messages")))
+
+
+@register("convert_pairs", _conv_sql(Q.PAIRS_MSGS))
+def q_convert_pairs(spark, sf):
+    return _conv_out(H.as_pairs(_turns(spark, sf)).select(
+        "conv_id", H.convert_pairs().alias("messages")))
+
+
+@register("convert_qa", _conv_sql(Q.QA_MSGS))
+def q_convert_qa(spark, sf):
+    return _conv_out(H.as_qa(_turns(spark, sf), "problem", "solution").select(
+        "conv_id", H.convert_qa("problem", "solution").alias("messages")))
+
+
+@register("map_roles", f"""WITH {Q.TURNS}
+SELECT pos, CASE WHEN list_bool_and(list_transform(t, lambda x: x.role IN ('system','user','assistant')))
+                 THEN array_to_string(list_transform(t, lambda x: x.role), ',') END AS roles
+FROM turns""")
+def q_map_roles(spark, sf):
+    # B7 alone: speaker names mapped; an unknown one rejects the conversation.
+    sg = H.as_sharegpt(_turns(spark, sf))
+    roles = F.create_map(*[x for k, v in H.SHAREGPT_ROLES.items() for x in (F.lit(k), F.lit(v))])
+    mapped = F.transform("conversations", lambda t: F.try_element_at(roles, t["from"]))
+    return sg.select(F.col("conv_id").alias("pos"), F.when(
+        F.forall(mapped, lambda r: r.isNotNull()), F.array_join(mapped, ",")).alias("roles"))
+
+
+@register("reject_blank_turn", f"""WITH {Q.TURNS}
+SELECT pos, list_bool_or(list_transform(t, lambda x: length({Q.s("coalesce(x.text, '')")}) = 0)) AS rejected
+FROM turns""")
+def q_reject_blank_turn(spark, sf):
+    from quillspark.functions.text import py_strip
+    t = _turns(spark, sf)
+    return t.select(F.col("conv_id").alias("pos"), F.exists(
+        "turns", lambda x: F.length(py_strip(F.coalesce(x["text"], F.lit("")))) == 0)
+        .alias("rejected"))
+
+
+_REG = f"WITH {Q.TURNS}, {Q.registry_cte(H.DATASETS)}"
+
+
+@register("converter_registry", f"""{_REG}
+SELECT dataset, CAST(count(m) AS BIGINT) AS converted, CAST(count(*) - count(m) AS BIGINT) AS rejected
+FROM reg GROUP BY dataset""")
+def q_converter_registry(spark, sf):
+    r = H.registry_messages(_turns(spark, sf))
+    return r.groupBy("dataset").agg(
+        F.count("messages").cast("bigint").alias("converted"),
+        (F.count(F.lit(1)) - F.count("messages")).cast("bigint").alias("rejected"))
+
+
+@register("valid_conversation", f"""{_REG}
+SELECT dataset, pos, {Q.valid('m')} AS is_valid FROM reg""")
+def q_valid_conversation(spark, sf):
+    r = H.registry_messages(_turns(spark, sf))
+    return r.select("dataset", "pos", H.valid_conversation("messages").alias("is_valid"))
+
+
+@register("merge_system", f"""{_REG}
+SELECT dataset, pos, {Q.render(Q.merge_system('m'))} AS merged_md5 FROM reg""")
+def q_merge_system(spark, sf):
+    r = H.registry_messages(_turns(spark, sf))
+    return r.select("dataset", "pos", _render(H.merge_system("messages")).alias("merged_md5"))
+
+
+_PROMPT_SQL = f"""array_to_string(list_transform({Q.merge_system('m')}, lambda x:
+    CASE x.role WHEN 'user' THEN '[INST] ' || {Q.s('x.content')} || ' [/INST]'
+                WHEN 'assistant' THEN ' ' || {Q.s('x.content')} || '</s>' ELSE '' END), '')"""
+
+
+@register("format_prompt", f"""{_REG}
+SELECT dataset, pos, md5({_PROMPT_SQL}) AS prompt_md5,
+       CAST(length({_PROMPT_SQL}) AS BIGINT) AS prompt_chars FROM reg WHERE m IS NOT NULL""")
+def q_format_prompt(spark, sf):
+    r = H.registry_messages(_turns(spark, sf)).filter(F.col("messages").isNotNull())
+    p = H.format_prompt("messages")
+    return r.select("dataset", "pos", F.md5(p).alias("prompt_md5"),
+                    F.length(p).cast("bigint").alias("prompt_chars"))
+
+
+_IDS, _MASK = Q.tokenize(Q.merge_system("m"))
+_TOK = f"""WITH {vocab_cte()}, {Q.TURNS}, {Q.registry_cte(H.DATASETS)},
+tok AS (SELECT dataset, pos, m, {Q.valid('m')} AS is_valid,
+               CASE WHEN {Q.valid('m')} THEN {_IDS} END AS ids,
+               CASE WHEN {Q.valid('m')} THEN {_MASK} END AS mask
+        FROM reg, vmap),
+flag AS (SELECT *, is_valid AND coalesce(len(ids) > 2048, false) AS too_long,
+                CAST(is_valid AND NOT coalesce(len(ids) > 2048, false) AS INTEGER) AS pass FROM tok),
+fl2 AS (SELECT *, (sum(pass) OVER (PARTITION BY dataset ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - pass) < {SFT_LIMIT} AS processed
+        FROM flag),
+taken AS (SELECT *, {sql_hash64(str(H.SFT_SEED), 'dataset', 'pos')} AS shuffle_key
+          FROM fl2 WHERE processed AND pass = 1),
+spl AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY shuffle_key) <=
+                  greatest(1, CAST(floor(count(*) OVER () * CAST({SFT_VAL_FRACTION} AS DOUBLE)) AS BIGINT))
+                  THEN 'val' ELSE 'train' END AS split FROM taken)"""
+
+
+def _ids_md5(c):
+    return ids_fingerprint(c)
+
+
+@register("tokenize_conversation", f"""{_TOK}
+SELECT dataset, pos, CAST(len(ids) AS BIGINT) AS n_tokens, {fingerprint('ids')} AS ids_md5,
+       {fingerprint('mask')} AS mask_md5, CAST(list_sum(mask) AS BIGINT) AS trainable
+FROM tok WHERE is_valid""")
+def q_tokenize_conversation(spark, sf):
+    c = SP.sft_candidates(table(spark, sf, "conversations"), _encoder(spark, sf)) \
+        .filter(F.col("ids").isNotNull())
+    return c.select("dataset", "pos", F.size("ids").cast("bigint").alias("n_tokens"),
+                    _ids_md5("ids").alias("ids_md5"), _ids_md5("mask").alias("mask_md5"),
+                    F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+                    .alias("trainable"))
+
+
+@register("filter_max_tokens", f"""{_TOK}
+SELECT dataset, CAST(count(*) AS BIGINT) AS kept FROM tok
+WHERE is_valid AND len(ids) <= 2048 GROUP BY dataset""")
+def q_filter_max_tokens(spark, sf):
+    c = SP.sft_candidates(table(spark, sf, "conversations"), _encoder(spark, sf)) \
+        .filter(F.col("ids").isNotNull())
+    return H.filter_max_tokens(c).groupBy("dataset").agg(
+        F.count(F.lit(1)).cast("bigint").alias("kept"))
+
+
+def _flagged(spark, sf):
+    return SP.sft_flagged(table(spark, sf, "conversations"), _encoder(spark, sf), limit=SFT_LIMIT)
+
+
+@register("first_n_valid", f"{_TOK}\nSELECT dataset, pos FROM taken")
+def q_first_n_valid(spark, sf):
+    return _flagged(spark, sf).filter("taken").select("dataset", "pos")
+
+
+@register("collect_skips", f"""{_TOK}
+SELECT dataset,
+  CAST(sum(CASE WHEN processed AND pass = 1 THEN 1 ELSE 0 END) AS BIGINT) AS collected,
+  CAST(sum(CASE WHEN processed AND NOT is_valid THEN 1 ELSE 0 END) AS BIGINT) AS skipped_invalid,
+  CAST(sum(CASE WHEN processed AND too_long THEN 1 ELSE 0 END) AS BIGINT) AS skipped_long
+FROM fl2 GROUP BY dataset""")
+def q_collect_skips(spark, sf):
+    return H.collect_skips(_flagged(spark, sf))
+
+
+def _split(spark, sf):
+    return SP.sft_split(table(spark, sf, "conversations"), _encoder(spark, sf),
+                        limit=SFT_LIMIT, val_fraction=SFT_VAL_FRACTION)
+
+
+@register("concat_datasets", f"""{_TOK}
+SELECT dataset, CAST(count(*) AS BIGINT) AS examples FROM taken GROUP BY dataset""")
+def q_concat_datasets(spark, sf):
+    return _flagged(spark, sf).filter("taken").groupBy("dataset").agg(
+        F.count(F.lit(1)).cast("bigint").alias("examples"))
+
+
+@register("seeded_shuffle", f"{_TOK}\nSELECT dataset, pos, shuffle_key FROM taken")
+def q_seeded_shuffle(spark, sf):
+    from quillspark.operators.sample import seeded_shuffle
+    return seeded_shuffle(_flagged(spark, sf).filter("taken"), H.SFT_SEED, "dataset", "pos") \
+        .select("dataset", "pos", "shuffle_key")
+
+
+@register("fraction_split", f"{_TOK}\nSELECT dataset, pos, split FROM spl")
+def q_fraction_split(spark, sf):
+    return _split(spark, sf).select("dataset", "pos", "split")
+
+
+@register("split_complement", f"""{_TOK}
+SELECT split, CAST(count(*) AS BIGINT) AS examples,
+       CAST(count(DISTINCT dataset || ':' || pos) AS BIGINT) AS distinct_examples
+FROM spl GROUP BY split""")
+def q_split_complement(spark, sf):
+    s = _split(spark, sf)
+    val = s.filter(F.col("split") == "val").select("dataset", "pos")
+    train = s.filter(F.col("split") == "train").select("dataset", "pos")
+    # disjoint: val minus train keeps all of val
+    assert_disjoint = val.exceptAll(train)
+    counts = s.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("examples"))
+    dv = assert_disjoint.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("val").alias("split"), F.col("n").cast("bigint").alias("distinct_examples"))
+    dt = train.distinct().agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("train").alias("split"), F.col("n").cast("bigint").alias("distinct_examples"))
+    return counts.join(dv.unionByName(dt), "split")
+
+
+@register("split_stats", f"""{_TOK}
+SELECT split, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(sum(list_sum(mask)) AS BIGINT) AS trainable_tokens,
+       CAST(count(*) AS BIGINT) AS examples,
+       round(CAST(sum(list_sum(mask)) AS DOUBLE) * 100.0 / sum(len(ids)), 6) AS trainable_pct
+FROM spl GROUP BY split""")
+def q_split_stats(spark, sf):
+    return H.split_stats(_split(spark, sf))
+
+
+_PACK = f"""{_TOK},
+offs AS (SELECT split, ids, mask, sum(len(ids)) OVER (PARTITION BY split ORDER BY shuffle_key
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(ids) AS start FROM spl),
+toks AS (SELECT split, start, unnest(ids) AS tok, unnest(mask) AS mk, unnest(range(len(ids))) AS i FROM offs),
+chunks AS (SELECT split, CAST((start + i) // {SFT_CHUNK} AS BIGINT) AS chunk_id,
+                  list(tok ORDER BY start + i) AS tokens, list(mk ORDER BY start + i) AS mask
+           FROM toks GROUP BY ALL)"""
+
+
+@register("pack_stream", f"""{_PACK}
+SELECT split, chunk_id, CAST(len(tokens) AS BIGINT) AS n_tokens, {fingerprint('tokens')} AS tokens_md5,
+       {fingerprint('mask')} AS mask_md5 FROM chunks""")
+def q_pack_stream(spark, sf):
+    ch = SP.sft_stream(_split(spark, sf), SFT_CHUNK)
+    return ch.select("split", "chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+                     _ids_md5("tokens").alias("tokens_md5"), _ids_md5("mask").alias("mask_md5"))

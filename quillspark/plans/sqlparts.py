@@ -22,14 +22,14 @@ def vocab_cte(vocab_size: int = DEFAULT_VOCAB_SIZE) -> str:
         GROUP BY piece)
   QUALIFY row_number() OVER (ORDER BY cnt DESC, piece ASC) <= {vocab_size - N_SPECIALS}
 ), vmap AS (
-  SELECT map_from_entries(list(struct_pack(k := piece, v := id))) AS m FROM vocab
+  SELECT map_from_entries(list(struct_pack(k := piece, v := id))) AS vm FROM vocab
 )"""
 
 
 def encode(text_sql: str) -> str:
     """Ids of a text expression; needs ``vmap`` joined in as ``vmap``."""
     return (f"list_transform(regexp_extract_all({text_sql}, '{P}'), "
-            f"lambda p: coalesce(vmap.m[p], 0))")
+            f"lambda p: coalesce(vmap.vm[p], 0))")
 
 
 def fingerprint(ids_sql: str) -> str:
