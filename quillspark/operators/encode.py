@@ -109,8 +109,9 @@ class Encoder:
                skip_special: bool = True) -> DataFrame:
         """Ids -> text. Pieces are lossless, so decode(encode(x)) == x when
         no piece fell back to ``<unk>``."""
+        from pyspark.sql.types import StringType, StructField, StructType
         bc = self._broadcast(df.sparkSession)
-        schema = df.schema.add(out, "string")
+        schema = StructType(list(df.schema.fields) + [StructField(out, StringType())])
 
         def run(batches):
             import pyarrow as pa
@@ -274,8 +275,9 @@ class PandasEncoder:
         self.factory = factory
 
     def encode(self, df: DataFrame, col: str = "text", out: str = "ids") -> DataFrame:
+        from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
         factory = self.factory
-        schema = df.schema.add(out, "array<int>")
+        schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(IntegerType()))])
 
         def run(batches):
             import quillspark.operators.encode as m

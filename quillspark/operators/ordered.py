@@ -29,8 +29,18 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _bucket(order: str, bucket_width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint").alias("_bk")
+def _order_cols(order) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def _bucket(order, bucket_width: int) -> Column:
+    """Bucket of the first order column (timestamps bucket by microseconds)."""
+    first = _order_cols(order)[0]
+    return F.floor(_numeric(first) / F.lit(bucket_width)).cast("bigint").alias("_bk")
+
+
+def _numeric(c: str) -> Column:
+    return F.col(c)
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: dict,
@@ -39,7 +49,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: dict,
     """Add one inclusive running sum per ``values`` entry (``out -> Column``)
     per ``keys`` in ``order`` — all of them in one two-phase pass.
 
-    ``order`` must be unique within ``keys``. ``limits`` (``out -> int``) drops
+    ``order`` (a column or a list; buckets come from the first one) must be
+    unique within ``keys``. ``limits`` (``out -> int``) drops
     the buckets whose exclusive offset for ``out`` already exceeds the limit:
     with non-negative values no row there can satisfy ``out <= limit``.
     """
@@ -57,7 +68,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: dict,
     for k, lim in (limits or {}).items():
         offs = offs.filter(F.col(f"_o_{tmp[k]}") <= F.lit(lim))
     d = d.join(offs, keys + ["_bk"], "inner")
-    wl = (Window.partitionBy(*keys, "_bk").orderBy(order)
+    wl = (Window.partitionBy(*keys, "_bk").orderBy(*_order_cols(order))
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     for k in vals:
         d = d.withColumn(k, (F.sum(tmp[k]).over(wl) + F.col(f"_o_{tmp[k]}")).cast("bigint"))
@@ -78,3 +89,23 @@ def running_count(df: DataFrame, keys: Sequence[str], order: str, out: str = "rn
     ``where`` holds, if given); two-phase like :func:`running_sums`."""
     v = F.lit(1) if where is None else F.when(_as_col(where), 1).otherwise(0)
     return running_sum(df, keys, order, v, out=out, bucket_width=bucket_width)
+
+
+def running_min(df: DataFrame, keys: Sequence[str], order, value, out: str = "prev_min",
+                bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """``out`` = min of ``value`` over the rows *before* each row, per
+    ``keys`` in ``order`` (null for the first row); two-phase like
+    :func:`running_sums` (bucket minima, exclusive running min over the
+    bucket table, then a window inside each bucket)."""
+    keys = list(keys)
+    d = df.withColumn("_bk", _bucket(order, bucket_width)).withColumn("_mv", _as_col(value))
+    mins = d.groupBy(*keys, "_bk").agg(F.min("_mv").alias("_bmin"))
+    w = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = mins.select(*keys, "_bk", F.min("_bmin").over(w).alias("_omin"))
+    d = d.join(offs, keys + ["_bk"], "inner")
+    wl = (Window.partitionBy(*keys, "_bk").orderBy(*_order_cols(order))
+          .rowsBetween(Window.unboundedPreceding, -1))
+    local = F.min("_mv").over(wl)
+    both = F.when(local.isNull(), F.col("_omin")).when(F.col("_omin").isNull(), local) \
+        .otherwise(F.least(local, F.col("_omin")))
+    return d.withColumn(out, both).drop("_bk", "_mv", "_omin")

@@ -34,3 +34,14 @@ def corpus_token_stats(documents: DataFrame, max_tokens: int | None = None,
     """Flagship: per-dataset statistics of the tokenized, split corpus."""
     return C.token_stats(encoded_corpus(documents, max_tokens, val_every, encoder,
                                         bucket_width))
+
+
+def corpus_streams(encoded: DataFrame, chunk_size: int = 1 << 16,
+                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """A10/H9 for the corpus: per ``(dataset, split)`` the packed token stream
+    (documents in ``pos`` order, EOS after each) as a chunk table."""
+    from quillspark.operators.pack import chunk_table, stream_offsets
+    e = encoded.withColumn("split", F.when(F.col("is_val"), F.lit("val")).otherwise(F.lit("train")))
+    offs = stream_offsets(e, ["dataset", "split"], "pos", F.size("ids"),
+                          bucket_width=bucket_width)
+    return chunk_table(offs, ["dataset", "split"], "start", ("ids",), chunk_size)

@@ -459,3 +459,198 @@ def q_pack_stream(spark, sf):
     ch = SP.sft_stream(_split(spark, sf), SFT_CHUNK)
     return ch.select("split", "chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"),
                      _ids_md5("tokens").alias("tokens_md5"), _ids_md5("mask").alias("mask_md5"))
+
+
+# ================================================================ streams & windows
+from quillspark.operators import pack as K  # noqa: E402
+from quillspark.operators import sample as S  # noqa: E402
+from quillspark.operators import stats as T  # noqa: E402
+
+STREAM_CHUNK = 4096
+STREAM_VAL_EVERY = 10
+BLOCK = 64
+PLAN = dict(world=2, steps=3, micro=2, batch=4)
+SEG_LEN, N_SEGMENTS = 256, 3
+
+
+def _encoded(spark, sf):
+    return CP.encoded_corpus(_docs(spark, sf), None, STREAM_VAL_EVERY, _encoder(spark, sf))
+
+
+def _streams(spark, sf):
+    return CP.corpus_streams(_encoded(spark, sf), STREAM_CHUNK)
+
+
+def _train_lengths(spark, sf):
+    ch = _streams(spark, sf).filter(F.col("split") == "train")
+    return ch, K.stream_lengths(ch, ["dataset", "split"])
+
+
+_CSTREAM = f"""WITH {vocab_cte()},
+docs AS (SELECT source AS dataset, doc_id AS pos, text FROM documents WHERE length(text) > 0),
+idx AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY pos) - 1 AS doc_index FROM docs),
+enc AS (SELECT dataset, pos, CASE WHEN doc_index % {STREAM_VAL_EVERY} = 0 THEN 'val' ELSE 'train' END AS split,
+               list_append({encode('idx.text')}, 2) AS ids FROM idx, vmap),
+streams AS (SELECT dataset, split, flatten(list(ids ORDER BY pos)) AS s FROM enc GROUP BY dataset, split),
+files AS (SELECT dataset, split, CAST(len(s) AS BIGINT) AS total,
+                 CAST(greatest(len(s) - {BLOCK}, 0) AS BIGINT) AS valid FROM streams WHERE split = 'train'),
+franges AS (SELECT *, sum(valid) OVER (ORDER BY dataset, split ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+            FROM files),
+plan AS (SELECT CAST(id // {PLAN['batch'] * PLAN['micro'] * PLAN['steps']} AS INTEGER) AS rank,
+                CAST((id // {PLAN['batch'] * PLAN['micro']}) % {PLAN['steps']} AS BIGINT) AS step,
+                CAST((id // {PLAN['batch']}) % {PLAN['micro']} AS INTEGER) AS micro,
+                CAST(id % {PLAN['batch']} AS INTEGER) AS slot
+         FROM range({PLAN['world'] * PLAN['steps'] * PLAN['micro'] * PLAN['batch']}) r(id)),
+draws AS (SELECT p.*, rank || ':' || step || ':' || micro || ':' || slot AS wid,
+                 {sql_hash64("'42'", 'rank', 'step', 'micro', 'slot')} % (SELECT sum(valid) FROM files) AS off
+          FROM plan p),
+wins AS (SELECT d.*, f.dataset, f.split, d.off - (f.hi - f.valid) AS start
+         FROM draws d JOIN franges f ON d.off >= f.hi - f.valid AND d.off < f.hi),
+wx AS (SELECT w.*, st.s[w.start + 1 : w.start + {BLOCK}] AS x, st.s[w.start + 2 : w.start + {BLOCK} + 1] AS y
+       FROM wins w JOIN streams st USING (dataset, split))"""
+
+
+@register("stream_offsets", f"""{_CSTREAM}
+SELECT dataset, split, pos, CAST(sum(len(ids)) OVER (PARTITION BY dataset, split ORDER BY pos
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(ids) AS BIGINT) AS start FROM enc""")
+def q_stream_offsets(spark, sf):
+    e = _encoded(spark, sf).withColumn(
+        "split", F.when(F.col("is_val"), F.lit("val")).otherwise(F.lit("train")))
+    return K.stream_offsets(e, ["dataset", "split"], "pos", F.size("ids")).select(
+        "dataset", "split", "pos", "start")
+
+
+@register("sink_token_stream", f"""{_CSTREAM},
+ch AS (SELECT dataset, split, CAST(unnest(range(0, (len(s) + {STREAM_CHUNK} - 1) // {STREAM_CHUNK})) AS BIGINT) AS chunk_id, s
+       FROM streams)
+SELECT dataset, split, chunk_id,
+       CAST(len(s[chunk_id * {STREAM_CHUNK} + 1 : (chunk_id + 1) * {STREAM_CHUNK}]) AS BIGINT) AS n_tokens,
+       {fingerprint(f's[chunk_id * {STREAM_CHUNK} + 1 : (chunk_id + 1) * {STREAM_CHUNK}]')} AS tokens_md5
+FROM ch""")
+def q_sink_token_stream(spark, sf):
+    ch = _streams(spark, sf)
+    return ch.select("dataset", "split", "chunk_id",
+                     F.size("tokens").cast("bigint").alias("n_tokens"),
+                     ids_fingerprint("tokens").alias("tokens_md5"))
+
+
+@register("scan_token_stream", f"""{_CSTREAM}
+SELECT dataset, split, CAST(len(s) AS BIGINT) AS total_tokens,
+       CAST((len(s) + {STREAM_CHUNK} - 1) // {STREAM_CHUNK} AS BIGINT) AS n_chunks FROM streams""")
+def q_scan_token_stream(spark, sf):
+    return K.stream_lengths(_streams(spark, sf), ["dataset", "split"])
+
+
+@register("valid_starts", f"""{_CSTREAM}
+SELECT dataset, split, valid, CAST(hi - valid AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM franges""")
+def q_valid_starts(spark, sf):
+    _, lengths = _train_lengths(spark, sf)
+    return K.valid_starts(lengths, ["dataset", "split"], BLOCK).select(
+        "dataset", "split", F.col("valid").cast("bigint").alias("valid"),
+        F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
+
+
+@register("step_plan", f"""{_CSTREAM}
+SELECT rank, step, micro, slot, {sql_hash64("'42'", 'rank', 'step', 'micro', 'slot')} AS draw FROM plan""")
+def q_step_plan(spark, sf):
+    from quillspark.functions.text import hash64
+    # Plan rows grow with nothing but the plan; the draw key is what matters.
+    p = S.step_plan(spark, **PLAN)
+    return p.withColumn("draw", hash64(F.lit(S.TRAIN_SEED), "rank", "step", "micro", "slot"))
+
+
+def _windows(spark, sf):
+    ch, lengths = _train_lengths(spark, sf)
+    return S.sample_windows(S.step_plan(spark, **PLAN), ch, lengths, ["dataset", "split"],
+                            BLOCK, chunk_size=STREAM_CHUNK)
+
+
+@register("join_offset_file", f"{_CSTREAM}\nSELECT wid, dataset, split, start FROM wins")
+def q_join_offset_file(spark, sf):
+    return _windows(spark, sf).select("wid", "dataset", "split", "start")
+
+
+@register("sample_windows", f"""{_CSTREAM}
+SELECT wid, dataset, start, {fingerprint('x')} AS x_md5, {fingerprint('y')} AS y_md5 FROM wx""")
+def q_sample_windows(spark, sf):
+    return _windows(spark, sf).select("wid", "dataset", "start", ids_fingerprint("x").alias("x_md5"),
+                                      ids_fingerprint("y").alias("y_md5"))
+
+
+@register("join_window_chunk", f"""{_CSTREAM}
+SELECT wid, {fingerprint(f'list_concat(x, [y[{BLOCK}]])')} AS slice_md5, CAST(len(x) + 1 AS BIGINT) AS n FROM wx""")
+def q_join_window_chunk(spark, sf):
+    w = _windows(spark, sf)
+    s = F.concat("x", F.array(F.element_at("y", BLOCK)))
+    return w.select("wid", ids_fingerprint(s).alias("slice_md5"), F.size(s).cast("bigint").alias("n"))
+
+
+@register("shift_by_one", f"""{_CSTREAM}
+SELECT wid, x[2:] = y[1:{BLOCK - 1}] AS shift_ok FROM wx""")
+def q_shift_by_one(spark, sf):
+    w = _windows(spark, sf)
+    return w.select("wid", (F.slice("x", 2, BLOCK - 1) == F.slice("y", 1, BLOCK - 1)).alias("shift_ok"))
+
+
+def _segments(spark, sf):
+    ch = _streams(spark, sf)
+    lengths = K.stream_lengths(ch, ["dataset", "split"])
+    seg = S.sample_segments(lengths, ["dataset", "split"], N_SEGMENTS, SEG_LEN)
+    seg = seg.withColumn("wid", F.concat_ws(":", "dataset", "split", "sample"))
+    got = K.fetch_windows(seg, ch, ["dataset", "split"], "start", SEG_LEN, STREAM_CHUNK)
+    return seg.join(got.drop("start"), ["dataset", "split", "wid"])
+
+
+_SEG = f"""{_CSTREAM},
+seg AS (SELECT dataset, split, CAST(sample AS INTEGER) AS sample,
+               {sql_hash64("'42'", 'dataset', 'split', 'sample')} % (len(s) - {SEG_LEN} + 1) AS start, s
+        FROM streams, range(1, {N_SEGMENTS + 1}) r(sample) WHERE len(s) >= {SEG_LEN}),
+segt AS (SELECT dataset, split, sample, start, s[start + 1 : start + {SEG_LEN}] AS tokens FROM seg)"""
+
+
+@register("sample_segments", f"""{_SEG}
+SELECT dataset, split, sample, start, {fingerprint('tokens')} AS tokens_md5 FROM segt""")
+def q_sample_segments(spark, sf):
+    return _segments(spark, sf).select("dataset", "split", "sample", "start",
+                                       ids_fingerprint("tokens").alias("tokens_md5"))
+
+
+@register("samples_per_dataset", f"""{_SEG}
+SELECT dataset, split, CAST(count(*) AS BIGINT) AS samples FROM segt GROUP BY dataset, split""")
+def q_samples_per_dataset(spark, sf):
+    return T.samples_per_dataset(_segments(spark, sf))
+
+
+_INV = """imap AS (SELECT map_from_entries(list(struct_pack(k := id, v := piece))) AS im FROM vocab)"""
+
+
+@register("segment_quality", f"""{_SEG}, {_INV},
+dec AS (SELECT dataset, split, tokens,
+               array_to_string(list_transform(tokens, lambda i: CASE i WHEN 0 THEN '<unk>' WHEN 1 THEN '<s>'
+                   WHEN 2 THEN '</s>' ELSE coalesce(imap.im[i], '') END), '') AS text
+        FROM segt, imap),
+m AS (SELECT dataset, split,
+             len(list_filter(tokens, lambda t: t = 2)) AS eos, len(list_filter(tokens, lambda t: t = 0)) AS unk,
+             len(list_filter(tokens, lambda t: t >= 32000)) AS oov,
+             length(text) - length(replace(text, chr(65533), '')) AS rc,
+             length(text) / len(tokens) AS cpt FROM dec)
+SELECT dataset, split, CAST(count(*) AS BIGINT) AS samples, round(avg(cpt), 6) AS mean_chars_per_token,
+       round(avg(eos), 6) AS mean_eos, CAST(sum(unk) AS BIGINT) AS unk_total, CAST(sum(oov) AS BIGINT) AS oov_total,
+       CAST(sum(rc) AS BIGINT) AS replacement_total
+FROM m GROUP BY dataset, split""")
+def q_segment_quality(spark, sf):
+    enc = _encoder(spark, sf)
+    seg = enc.decode(_segments(spark, sf), "tokens", "text", skip_special=False)
+    q = T.segment_quality(T.segment_metrics(seg, enc.vocab_size))
+    return q.select("dataset", "split", "samples",
+                    F.round("mean_chars_per_token", 6).alias("mean_chars_per_token"),
+                    F.round("mean_eos", 6).alias("mean_eos"), "unk_total", "oov_total",
+                    "replacement_total")
+
+
+@register("verify_stream", f"""{_CSTREAM}
+SELECT dataset, split, len(s) > 0 AND coalesce(list_bool_and(list_transform(s[1:1000000], lambda t: t < 33000)), true) AS ok
+FROM streams""")
+def q_verify_stream(spark, sf):
+    return K.verify_stream(_streams(spark, sf), ["dataset", "split"], 32_000,
+                           chunk_size=STREAM_CHUNK)
