@@ -654,3 +654,244 @@ FROM streams""")
 def q_verify_stream(spark, sf):
     return K.verify_stream(_streams(spark, sf), ["dataset", "split"], 32_000,
                            chunk_size=STREAM_CHUNK)
+
+
+# ================================================================ 2.10 evaluation
+from quillspark.operators import evalops as V  # noqa: E402
+from quillspark.operators.ngram import token_pairs  # noqa: E402
+from quillspark.plans import eval_plan as EP  # noqa: E402
+from quillspark.plans.sqleval import EVAL_CTE  # noqa: E402
+
+_SCORERS: dict = {}
+
+
+def _scorer(spark, sf):
+    key = (id(spark), sf)
+    if key not in _SCORERS:
+        _SCORERS[key] = EP.bigram_model(_docs(spark, sf), _encoder(spark, sf))
+    return _SCORERS[key]
+
+
+def _items(spark, sf):
+    return V.benchmark_items(table(spark, sf, "benchmark"))
+
+
+def _mc_cands(spark, sf):
+    items = _items(spark, sf)
+    out = None
+    for t in ("hellaswag", "arc_easy", "arc_challenge", "piqa", "mmlu"):
+        c = V.build_candidates(items, t)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def _mc_scores(spark, sf):
+    c = _mc_cands(spark, sf)
+    s = V.choice_scores(c, _encoder(spark, sf), _scorer(spark, sf))
+    return s.join(c.select("task", "item_id", "choice_idx", "gold"), ["task", "item_id", "choice_idx"])
+
+
+def _r6(c):
+    return F.round(c, 6).alias(c)
+
+
+@register("fit_ngram", f"{EVAL_CTE}\nSELECT prev, token, CAST(cnt AS BIGINT) AS count FROM bigrams")
+def q_fit_ngram(spark, sf):
+    return _scorer(spark, sf).bigrams
+
+
+@register("build_candidates", f"""{EVAL_CTE}
+SELECT task, item_id, choice_idx, full_text, gold FROM cfull""")
+def q_build_candidates(spark, sf):
+    return _mc_cands(spark, sf).select("task", "item_id", "choice_idx", "full_text", "gold")
+
+
+@register("token_logprobs", f"""{EVAL_CTE}
+SELECT task, item_id, choice_idx, pos, prev, token, round(logprob, 6) AS logprob, is_top FROM lp""")
+def q_token_logprobs(spark, sf):
+    c = _mc_cands(spark, sf)
+    e = V.truncate_for_scoring(V.encode_candidates(c, _encoder(spark, sf)))
+    lp = _scorer(spark, sf).token_logprobs(token_pairs(e, "ids", ["task", "item_id", "choice_idx"]))
+    return lp.select("task", "item_id", "choice_idx", "pos", "prev", "token", _r6("logprob"), "is_top")
+
+
+@register("join_token_logprob", f"""{EVAL_CTE}
+SELECT prev, token, CAST(coalesce(b.cnt, 0) AS BIGINT) AS count
+FROM (SELECT DISTINCT prev, token FROM cpairs) LEFT JOIN bigrams b USING (prev, token)""")
+def q_join_token_logprob(spark, sf):
+    # The (prev, token) lookup of the model table for every needed pair.
+    c = _mc_cands(spark, sf)
+    e = V.truncate_for_scoring(V.encode_candidates(c, _encoder(spark, sf)))
+    need = token_pairs(e, "ids").select("prev", "token").distinct()
+    b = _scorer(spark, sf).bigrams
+    return need.join(b, ["prev", "token"], "left").select(
+        "prev", "token", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
+
+
+@register("score_normalized", f"""{EVAL_CTE}
+SELECT task, item_id, choice_idx, n_tokens, ctx_len, n_choice_tokens, round(score, 6) AS score FROM sc""")
+def q_score_normalized(spark, sf):
+    s = _mc_scores(spark, sf)
+    return s.select("task", "item_id", "choice_idx", "n_tokens", "ctx_len", "n_choice_tokens",
+                    _r6("score"))
+
+
+@register("score_sum", f"""{EVAL_CTE}
+SELECT task, item_id, choice_idx, round(score_sum, 6) AS score_sum FROM sc""")
+def q_score_sum(spark, sf):
+    return _mc_scores(spark, sf).select("task", "item_id", "choice_idx", _r6("score_sum"))
+
+
+@register("is_greedy", f"""{EVAL_CTE}
+SELECT task, item_id, choice_idx, is_greedy FROM sc""")
+def q_is_greedy(spark, sf):
+    return _mc_scores(spark, sf).select("task", "item_id", "choice_idx", "is_greedy")
+
+
+@register("argmax_first", f"""{EVAL_CTE}
+SELECT task, item_id, pred FROM preds""")
+def q_argmax_first(spark, sf):
+    return _suite_results(spark, sf).select("task", "item_id", "pred")
+
+
+def _suite_results(spark, sf):
+    items = _items(spark, sf)
+    return EP.mc_results(items, ["hellaswag", "arc_easy", "arc_challenge", "piqa", "mmlu",
+                                 "winogrande"], _encoder(spark, sf), _scorer(spark, sf))
+
+
+@register("join_pred_gold", f"""{EVAL_CTE}
+SELECT task, item_id, pred, gold, pred = gold AS is_correct FROM preds""")
+def q_join_pred_gold(spark, sf):
+    return _suite_results(spark, sf).select("task", "item_id", "pred", "gold", "is_correct")
+
+
+@register("fill_blank", f"""{EVAL_CTE}
+SELECT item_id, choice_idx, n_tokens, round(logprob_sum, 6) AS logprob_sum, round(score, 6) AS score FROM wsc""")
+def q_fill_blank(spark, sf):
+    c = V.winogrande_candidates(_items(spark, sf))
+    s = V.fill_blank_scores(c, _encoder(spark, sf), _scorer(spark, sf))
+    return s.select("item_id", "choice_idx", "n_tokens", _r6("logprob_sum"), _r6("score"))
+
+
+@register("score_rolling", f"""{EVAL_CTE},
+rt AS (SELECT item_id, list_concat([1], {encode('text')}) AS ids0 FROM benchmark, vmap),
+rt2 AS (SELECT item_id, CASE WHEN len(ids0) > 2048 THEN ids0[-2048:] ELSE ids0 END AS ids FROM rt),
+rp AS (SELECT item_id, ids[i] AS prev, ids[i + 1] AS token FROM (SELECT item_id, ids, unnest(range(1, len(ids))) AS i FROM rt2)),
+rl AS (SELECT r.item_id, ln((coalesce(b.cnt, 0) + 1.0) / (coalesce(x.ctx_count, 0) + 32000.0)) AS logprob
+       FROM rp r LEFT JOIN bigrams b USING (prev, token) LEFT JOIN ctxs x USING (prev))
+SELECT r.item_id, CAST(len(r.ids) AS BIGINT) AS n_tokens, round(coalesce(sum(l.logprob), 0), 6) AS logprob_sum
+FROM rt2 r LEFT JOIN rl l USING (item_id) GROUP BY r.item_id, r.ids""")
+def q_score_rolling(spark, sf):
+    b = table(spark, sf, "benchmark").withColumnRenamed("text", "full_text")
+    r = V.rolling_scores(b, _encoder(spark, sf), _scorer(spark, sf), ["item_id"])
+    return r.select("item_id", "n_tokens", _r6("logprob_sum"))
+
+
+_PPL = f"""{EVAL_CTE},
+pt AS (SELECT item_id, list_concat([1], {encode('text')})[1:2048] AS ids FROM benchmark, vmap),
+pp AS (SELECT ids[i] AS prev, ids[i + 1] AS token FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM pt)),
+pl AS (SELECT ln((coalesce(b.cnt, 0) + 1.0) / (coalesce(x.ctx_count, 0) + 32000.0)) AS logprob
+       FROM pp LEFT JOIN bigrams b USING (prev, token) LEFT JOIN ctxs x USING (prev))"""
+
+
+def _ppl(spark, sf):
+    b = table(spark, sf, "benchmark")
+    e = _encoder(spark, sf).encode(b, "text", "ids", add_bos=True)
+    e = e.withColumn("ids", F.slice("ids", 1, V.MAX_LENGTH))
+    return V.perplexity(_scorer(spark, sf).token_logprobs(token_pairs(e, "ids")))
+
+
+@register("corpus_perplexity", f"""{_PPL}
+SELECT round(CASE WHEN count(*) > 0 THEN exp(-sum(logprob) / count(*)) ELSE 'inf'::DOUBLE END, 6) AS perplexity,
+       CAST(count(*) AS BIGINT) AS tokens FROM pl""")
+def q_corpus_perplexity(spark, sf):
+    return _ppl(spark, sf).select(_r6("perplexity"), "tokens")
+
+
+@register("perplexity", f"""{_PPL}
+SELECT round(CASE WHEN count(*) > 0 THEN exp(-sum(logprob) / count(*)) ELSE 'inf'::DOUBLE END, 6) AS perplexity FROM pl""")
+def q_perplexity(spark, sf):
+    return _ppl(spark, sf).select(_r6("perplexity"))
+
+
+@register("normalize_label", f"""{EVAL_CTE}
+SELECT item_id, CASE WHEN item_id % 2 = 0 THEN chr(CAST(65 + gold AS INTEGER)) ELSE CAST(gold + 1 AS VARCHAR) END AS answer_key,
+       gold FROM (SELECT DISTINCT item_id, gold FROM c4)""")
+def q_normalize_label(spark, sf):
+    items = _items(spark, sf)
+    ch = V.choice_table(items, 4).select("item_id", "gold").distinct()
+    key = F.when(F.col("item_id") % 2 == 0, F.expr("char(65 + gold)")) \
+        .otherwise((F.col("gold") + 1).cast("string"))
+    d = ch.withColumn("answer_key", key)
+    return d.select("item_id", "answer_key", V.normalize_label("answer_key").alias("gold"))
+
+
+@register("extract_gold_number", f"""{EVAL_CTE}
+SELECT item_id, gold_number FROM gsm2""")
+def q_extract_gold_number(spark, sf):
+    return V.extract_gold_number(EP.gsm8k_rows(_items(spark, sf))).select("item_id", "gold_number")
+
+
+@register("extract_pred_number", f"""{EVAL_CTE}
+SELECT item_id, pred_number, pred_number = gold_number AND pred_number <> '' AS is_correct FROM gsm2""")
+def q_extract_pred_number(spark, sf):
+    g = V.extract_pred_number(V.extract_gold_number(EP.gsm8k_rows(_items(spark, sf))))
+    return g.select("item_id", "pred_number", "is_correct")
+
+
+@register("accuracy", f"""{EVAL_CTE}
+SELECT task, correct, total, round(accuracy, 6) AS accuracy FROM acc""")
+def q_accuracy(spark, sf):
+    a = EP.suite_accuracy(table(spark, sf, "benchmark"), "full", _encoder(spark, sf),
+                          _scorer(spark, sf))
+    return a.select("task", "correct", "total", _r6("accuracy"))
+
+
+@register("predict_and_score", f"""{EVAL_CTE}
+SELECT task, correct, total, round(accuracy, 6) AS accuracy FROM acc""")
+def q_predict_and_score(spark, sf):
+    return q_accuracy(spark, sf)
+
+
+@register("macro_average", f"""{EVAL_CTE}
+SELECT round(avg(accuracy), 6) AS average_accuracy, CAST(count(accuracy) AS BIGINT) AS tasks FROM acc""")
+def q_macro_average(spark, sf):
+    a = EP.suite_accuracy(table(spark, sf, "benchmark"), "full", _encoder(spark, sf),
+                          _scorer(spark, sf))
+    return V.macro_average(a).select(_r6("average_accuracy"), "tasks")
+
+
+@register("example_number", f"""{EVAL_CTE}
+SELECT task, item_id, CAST(row_number() OVER (PARTITION BY task ORDER BY item_id) AS BIGINT) AS example_id
+FROM (SELECT DISTINCT task, item_id FROM preds)""")
+def q_example_number(spark, sf):
+    r = _suite_results(spark, sf).select("task", "item_id")
+    return V.example_number(r).select("task", "item_id", "example_id")
+
+
+@register("collect_completions", """
+SELECT 'humaneval' AS task, item_id, text AS completion, CAST(NULL AS DOUBLE) AS accuracy FROM benchmark""")
+def q_collect_completions(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.lit("humaneval").alias("task"), "item_id",
+                                             F.col("text").alias("completion"))
+    return V.collect_completions(b)
+
+
+@register("stop_truncate", """
+SELECT conv_id, turn, split_part(split_part(text, chr(10), 1), '. ', 1) AS completion
+FROM conversations WHERE role = 'assistant'""")
+def q_stop_truncate(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", V.stop_truncate(F.col("text"), ["\n", ". "]).alias("completion"))
+
+
+@register("strip_prompt", f"""{EVAL_CTE},
+st AS (SELECT b.item_id, b.text, i.context FROM benchmark b JOIN items i USING (item_id))
+SELECT item_id, left(replace(CASE WHEN starts_with(text, context) THEN text[length(context) + 1:] ELSE text END,
+                             chr(10), '\\n'), 160) AS preview
+FROM st""")
+def q_strip_prompt(spark, sf):
+    b = table(spark, sf, "benchmark").join(_items(spark, sf).select("item_id", "context"), "item_id")
+    comp = V.strip_prompt(F.col("text"), F.col("context"))
+    return b.select("item_id", V.flat_preview(comp).alias("preview"))
