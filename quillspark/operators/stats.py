@@ -88,7 +88,7 @@ def run_metrics(events: DataFrame, bucket_width: int = 3_600_000_000) -> DataFra
     lands in one task)."""
     from quillspark.operators.ordered import running_sums
     d = events.select(F.col("event_type").alias("run"), "ts", "event_id",
-                      F.unix_micros("ts").alias("_us"), F.col("value").alias("loss"))
+                      F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), F.col("value").alias("loss"))
     d = running_sums(d, ["run"], ["_us", "event_id"], {"step": F.lit(1)}, bucket_width)
     return d.drop("_us")
 
@@ -123,7 +123,8 @@ def throughput(metrics: DataFrame, tokens_per_step: int, keys=("run",), step: st
     keys = list(keys)
     prev = metrics.select(*keys, (F.col(step) + 1).alias(step), F.col(ts).alias("_prev_ts"))
     d = metrics.join(prev, keys + [step], "left")
-    secs = (F.unix_micros(F.col(ts)) - F.unix_micros(F.col("_prev_ts"))) / 1e6
+    secs = (F.unix_micros(F.col(ts).cast("timestamp"))
+            - F.unix_micros(F.col("_prev_ts").cast("timestamp"))) / 1e6
     return d.withColumn("tokens_per_sec", F.try_divide(F.lit(float(tokens_per_step)), secs)) \
         .withColumn("tokens_seen", (F.col(step) * tokens_per_step).cast("bigint")) \
         .drop("_prev_ts")

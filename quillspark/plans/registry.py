@@ -895,3 +895,110 @@ def q_strip_prompt(spark, sf):
     b = table(spark, sf, "benchmark").join(_items(spark, sf).select("item_id", "context"), "item_id")
     comp = V.strip_prompt(F.col("text"), F.col("context"))
     return b.select("item_id", V.flat_preview(comp).alias("preview"))
+
+
+# ================================================================ streaming
+from quillspark.session import scratch_path  # noqa: E402
+from quillspark.streaming import stateful as SS  # noqa: E402
+
+STREAM_FILES = 4
+
+
+def _stream_src(spark, sf):
+    """The corpus replayed as 4 ordered files (derived from ``documents``)."""
+    root = scratch_path(spark, "stream-docs")
+    c = _corpus(spark, sf).select("dataset", "pos", "est", F.length("text").cast("bigint")
+                                  .alias("n_chars"))
+    SS.write_ordered_files(c, root, "pos", STREAM_FILES)
+    return SS.read_ordered_files(spark, root, c.schema)
+
+
+def _budget_stream(spark, sf, budget, val_every):
+    out = SS.stream_budget(_stream_src(spark, sf), budget, val_every)
+    return SS.run_to_table(spark, out, scratch_path(spark, "stream-out"),
+                           scratch_path(spark, "stream-ckpt"))
+
+
+@register("stream_budget", SQL["token_budget"])
+def q_stream_budget(spark, sf):
+    return _budget_stream(spark, sf, BUDGET_PER_SOURCE, 100).select(
+        "dataset", "pos", "est", "cum_tokens")
+
+
+@register("stream_val_split", SQL["val_every_n"])
+def q_stream_val_split(spark, sf):
+    return _budget_stream(spark, sf, None, 10).select("dataset", "pos", "doc_index", "is_val")
+
+
+@register("stream_token_stats", f"""
+SELECT dataset, CAST(count(*) AS BIGINT) AS docs, CAST(sum(est) AS BIGINT) AS tokens,
+       CAST(sum(length(text)) AS BIGINT) AS total_chars FROM ({_NONEMPTY}) GROUP BY dataset""")
+def q_stream_token_stats(spark, sf):
+    out = SS.stream_token_stats(_stream_src(spark, sf))
+    return SS.run_to_table(spark, out, scratch_path(spark, "stream-stats"),
+                           scratch_path(spark, "stream-ckpt"), mode="complete")
+
+
+_RUNS = """runs AS (SELECT event_type AS run, event_id, value AS loss,
+       CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS BIGINT) AS step,
+       ts FROM events)"""
+
+
+@register("stream_run_metrics", f"""WITH {_RUNS}
+SELECT run, event_id, step, loss,
+       min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best,
+       coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
+FROM runs""")
+def q_stream_run_metrics(spark, sf):
+    ev = table(spark, sf, "events")
+    root = scratch_path(spark, "stream-events")
+    SS.write_ordered_files(ev, root, "event_id", STREAM_FILES)
+    out = SS.stream_run_metrics(SS.read_ordered_files(spark, root, ev.schema))
+    return SS.run_to_table(spark, out, scratch_path(spark, "stream-runs"),
+                           scratch_path(spark, "stream-ckpt"))
+
+
+# ================================================================ run metrics
+@register("best_so_far", SQL["stream_run_metrics"])
+def q_best_so_far(spark, sf):
+    m = T.run_metrics(table(spark, sf, "events"))
+    return T.best_so_far(m).select("run", "event_id", "step", "loss", "prev_best", "improved")
+
+
+@register("every_n_steps", f"""WITH {_RUNS}
+SELECT run, step, loss FROM runs WHERE step % 100 = 0""")
+def q_every_n_steps(spark, sf):
+    return T.every_n_steps(T.run_metrics(table(spark, sf, "events")), 100).select(
+        "run", "step", "loss")
+
+
+@register("interval_means", f"""WITH {_RUNS}
+SELECT run, CAST((step - 1) // 100 AS BIGINT) AS interval, round(avg(loss), 6) AS mean_loss,
+       CAST(count(*) AS BIGINT) AS rows FROM runs GROUP BY ALL""")
+def q_interval_means(spark, sf):
+    d = T.interval_means(T.run_metrics(table(spark, sf, "events")), 100)
+    return d.select("run", "interval", _r6("mean_loss"), "rows")
+
+
+TOKENS_PER_STEP = 8 * 16 * 2048 * 4
+
+
+@register("throughput", f"""WITH {_RUNS}
+SELECT run, step, round({TOKENS_PER_STEP} / ((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY run ORDER BY step))) / 1e6), 6)
+       AS tokens_per_sec, CAST(step * {TOKENS_PER_STEP} AS BIGINT) AS tokens_seen FROM runs""")
+def q_throughput(spark, sf):
+    d = T.throughput(T.run_metrics(table(spark, sf, "events")), TOKENS_PER_STEP)
+    return d.select("run", "step", _r6("tokens_per_sec"), "tokens_seen")
+
+
+@register("val_loss_ppl", f"""WITH {_RUNS},
+b AS (SELECT run, (step - 1) // 20 AS batch, avg(loss) AS batch_loss FROM runs GROUP BY ALL),
+v AS (SELECT run, avg(batch_loss) AS val_loss FROM b GROUP BY run)
+SELECT run, round(val_loss, 6) AS val_loss,
+       round(CASE WHEN val_loss < 10 THEN exp(val_loss) ELSE 'inf'::DOUBLE END, 6) AS val_ppl FROM v""")
+def q_val_loss_ppl(spark, sf):
+    m = T.run_metrics(table(spark, sf, "events"))
+    b = m.groupBy("run", F.floor((F.col("step") - 1) / 20).alias("batch")).agg(
+        F.avg("loss").alias("loss"))
+    v = T.val_loss_ppl(b, ["run"])
+    return v.select("run", _r6("val_loss"), _r6("val_ppl"))
