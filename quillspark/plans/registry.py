@@ -1002,3 +1002,375 @@ def q_val_loss_ppl(spark, sf):
         F.avg("loss").alias("loss"))
     v = T.val_loss_ppl(b, ["run"])
     return v.select("run", _r6("val_loss"), _r6("val_ppl"))
+
+
+# ================================================================ sources & sinks
+from quillspark.sources import scans as A  # noqa: E402
+from quillspark.sources import sinks as Z  # noqa: E402
+
+_DOC_KEYS_SQL = "SELECT source AS dataset, doc_id AS pos, CAST(length(text) AS BIGINT) AS n_chars FROM documents"
+
+
+def _as_jsonl_rows(spark, sf):
+    d = _docs(spark, sf)
+    return d.select(F.col("source").alias("dataset"), F.col("doc_id").alias("pos"), "text",
+                    F.lit(None).cast("string").alias("content"), "lang")
+
+
+def _doc_keys(d):
+    return d.select("dataset", "pos", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("scan_jsonl", _DOC_KEYS_SQL)
+def q_scan_jsonl(spark, sf):
+    p = Z.sink_jsonl(_as_jsonl_rows(spark, sf), scratch_path(spark, "jsonl"))
+    return _doc_keys(A.scan_jsonl(spark, p))
+
+
+@register("scan_table", _DOC_KEYS_SQL)
+def q_scan_table(spark, sf):
+    d = A.scan_table(spark, sf, "documents")
+    return d.select(F.col("source").alias("dataset"), F.col("doc_id").alias("pos"),
+                    F.length("text").cast("bigint").alias("n_chars"))
+
+
+@register("scan_compressed_glob", _DOC_KEYS_SQL)
+def q_scan_compressed_glob(spark, sf):
+    root = scratch_path(spark, "gz")
+    Z.sink_jsonl(_as_jsonl_rows(spark, sf), root + "/train", compression="gzip")
+    return _doc_keys(A.scan_compressed_glob(spark, root + "/train/*.json.gz"))
+
+
+@register("scan_with_stem", """
+SELECT source AS dataset, doc_id AS pos, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+WHERE source IN ('src1', 'src2', 'src3')""")
+def q_scan_with_stem(spark, sf):
+    root = scratch_path(spark, "stems")
+    rows = _as_jsonl_rows(spark, sf)
+    for name in ("src1", "src2", "src3", "src4"):  # one output per dataset, named by it
+        Z.sink_jsonl(rows.filter(F.col("dataset") == name).drop("dataset"), f"{root}/{name}.jsonl")
+    d = A.scan_with_stem(spark, root, names=["src1", "src2", "src3"],
+                         schema="pos bigint, text string, content string, lang string")
+    return _doc_keys(d)
+
+
+@register("scan_partitioned", """
+SELECT source AS dataset, doc_id AS pos, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+WHERE lang IN ('en', 'de')""")
+def q_scan_partitioned(spark, sf):
+    root = scratch_path(spark, "bylang")
+    _as_jsonl_rows(spark, sf).write.partitionBy("lang").json(root)
+    d = A.scan_partitioned(spark, root, "dataset string, pos bigint, text string, lang string",
+                           lang=["en", "de"])
+    return _doc_keys(d)
+
+
+@register("scan_lines", f"""
+SELECT {Q.s('text')} AS line FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM benchmark)
+WHERE length({Q.s('text')}) > 0""")
+def q_scan_lines(spark, sf):
+    root = scratch_path(spark, "lines")
+    table(spark, sf, "benchmark").select("text").write.text(root)
+    return A.scan_lines(spark, root)
+
+
+@register("sink_jsonl")
+def q_sink_jsonl(spark, sf):
+    p = Z.sink_jsonl(_as_jsonl_rows(spark, sf), scratch_path(spark, "out-jsonl"))
+    return spark.read.schema(A.CORPUS_SCHEMA).json(p).select("dataset", "pos")
+
+
+@register("sink_atomic")
+def q_sink_atomic(spark, sf):
+    p = Z.sink_jsonl(_as_jsonl_rows(spark, sf), scratch_path(spark, "atomic"))
+    ok = Z.is_complete(spark, p)
+    return spark.read.schema(A.CORPUS_SCHEMA).json(p).groupBy("dataset").agg(
+        F.count(F.lit(1)).cast("bigint").alias("docs")).withColumn("complete", F.lit(ok))
+
+
+_CONFIG = {f"src{i}": {"name": f"corpus/src{i}", "target_tokens": (i + 1) * 1000,
+                       "source": "parquet"} for i in range(0, 20, 2)}
+_CONFIG["src99"] = {"name": "corpus/missing", "target_tokens": 500, "source": "parquet"}
+_CONFIG_SQL = "(VALUES " + ", ".join(f"('{k}', {v['target_tokens']})" for k, v in _CONFIG.items()) \
+    + ") cfg(dataset, target_tokens)"
+
+
+@register("config_sources", f"""
+SELECT cfg.dataset, CASE WHEN d.dataset IS NULL THEN 'unknown' ELSE 'ok' END AS status
+FROM {_CONFIG_SQL} LEFT JOIN (SELECT DISTINCT source AS dataset FROM documents) d USING (dataset)""")
+def q_config_sources(spark, sf):
+    cfg = A.config_sources(spark, _CONFIG)
+    avail = C.corpus_from_documents(_docs(spark, sf))
+    return A.check_sources(cfg.select("dataset"), avail)
+
+
+@register("join_config", f"""
+WITH k AS ({SQL['collect_counts']})
+SELECT k.dataset, k.docs, k.tokens, CAST(cfg.target_tokens AS BIGINT) AS target_tokens
+FROM k JOIN {_CONFIG_SQL} USING (dataset)""")
+def q_join_config(spark, sf):
+    from quillspark.operators.joins import join_config
+    cfg = A.config_sources(spark, _CONFIG).select("dataset", "target_tokens")
+    counts = C.collect_counts(C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE))
+    return join_config(counts, cfg)
+
+
+@register("mixture_report", f"""
+WITH k AS ({SQL['collect_counts']}),
+c AS (SELECT * FROM {_CONFIG_SQL})
+SELECT c.dataset, CAST(c.target_tokens AS BIGINT) AS target_tokens,
+       round(100.0 * c.target_tokens / sum(c.target_tokens) OVER (), 6) AS target_share_pct,
+       CAST(coalesce(k.tokens, 0) AS BIGINT) AS available_tokens,
+       round(CAST(c.target_tokens AS DOUBLE) / k.tokens, 6) AS repeat_factor
+FROM c LEFT JOIN k USING (dataset)""")
+def q_mixture_report(spark, sf):
+    cfg = A.config_sources(spark, _CONFIG).select("dataset", "target_tokens")
+    counts = C.collect_counts(C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE))
+    return C.mixture_report(counts, cfg)
+
+
+@register("sink_skip_existing", f"""
+SELECT dataset FROM {_CONFIG_SQL}
+WHERE dataset NOT IN (SELECT DISTINCT source FROM documents WHERE length(text) > 0
+                      AND source IN ('src0', 'src2', 'src4'))""")
+def q_sink_skip_existing(spark, sf):
+    # A manifest of finished datasets is written; the next run only
+    # gets the configured datasets that are not in it.
+    man = scratch_path(spark, "manifest")
+    done = C.collect_counts(C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE)) \
+        .filter(F.col("dataset").isin("src0", "src2", "src4"))
+    done.write.parquet(man)
+    req = A.config_sources(spark, _CONFIG).select("dataset")
+    return Z.pending_work(req, man, spark)
+
+
+@register("anti_done", SQL["sink_skip_existing"])
+def q_anti_done(spark, sf):
+    return q_sink_skip_existing(spark, sf)
+
+
+@register("select_datasets", """
+SELECT source AS dataset, CAST(count(*) AS BIGINT) AS docs FROM documents
+WHERE source IN ('src1', 'src3') GROUP BY source""")
+def q_select_datasets(spark, sf):
+    d = C.corpus_from_documents(_docs(spark, sf)).filter(F.col("dataset").isin("src1", "src3"))
+    return d.groupBy("dataset").agg(F.count(F.lit(1)).cast("bigint").alias("docs"))
+
+
+@register("stringify_nested_ts", """
+SELECT event_id, CAST(ts AS VARCHAR) AS meta_timestamp, user_id AS meta_user FROM events""")
+def q_stringify_nested_ts(spark, sf):
+    ev = table(spark, sf, "events").select(
+        "event_id", F.struct(F.col("ts").alias("timestamp"), "user_id").alias("meta"))
+    d = C.stringify_nested_ts(ev)
+    return d.select("event_id", F.col("meta.timestamp").alias("meta_timestamp"),
+                    F.col("meta.user_id").alias("meta_user"))
+
+
+@register("sink_packed_masked", f"""{_PACK}
+SELECT split, CAST(sum(len(tokens)) AS BIGINT) AS tokens, CAST(sum(list_sum(mask)) AS BIGINT) AS trainable_tokens
+FROM chunks GROUP BY split""")
+def q_sink_packed_masked(spark, sf):
+    p = Z.sink_packed_masked(SP.sft_stream(_split(spark, sf), SFT_CHUNK),
+                             scratch_path(spark, "sft-stream"))
+    ch = spark.read.parquet(p)
+    return K.stream_lengths(ch, ["split"], "tokens", "mask").select(
+        "split", F.col("total_tokens").alias("tokens"), "trainable_tokens")
+
+
+@register("sink_manifest")
+def q_sink_manifest(spark, sf):
+    st = H.split_stats(_split(spark, sf))
+    rows = {r["split"]: {"tokens": r["tokens"], "trainable_tokens": r["trainable_tokens"],
+                         "examples": r["examples"]} for r in st.collect()}  # 2 rows
+    man = {"tokenizer": "built-in pieces", "chat_format": "mistral_inst",
+           "max_tokens_per_conversation": H.MAX_TOKENS_PER_CONVERSATION, "seed": H.SFT_SEED,
+           "datasets": H.dataset_counts(None, SFT_LIMIT), **rows}
+    p = Z.sink_manifest(spark, man, scratch_path(spark, "manifest-json"))
+    return spark.read.text(p)
+
+
+@register("sink_samples")
+def q_sink_samples(spark, sf):
+    enc = _encoder(spark, sf)
+    seg = enc.decode(_segments(spark, sf), "tokens", "text", skip_special=False)
+    m = T.segment_metrics(seg, enc.vocab_size).drop("tokens", "wid")
+    p = Z.sink_samples(m, scratch_path(spark, "samples"))
+    return spark.read.schema("sample int, start long, text string, eos long, unk long, oov long, "
+                             "replacement_chars long, chars_per_token double, dataset string, "
+                             "split string").json(p)
+
+
+@register("sink_eval")
+def q_sink_eval(spark, sf):
+    a = EP.suite_accuracy(table(spark, sf, "benchmark"), "default", _encoder(spark, sf),
+                          _scorer(spark, sf))
+    p = Z.sink_eval(a, scratch_path(spark, "eval"))
+    return spark.read.schema("task string, correct long, total long, accuracy double, "
+                             "timestamp string").json(p + "/summary")
+
+
+@register("sink_metrics")
+def q_sink_metrics(spark, sf):
+    m = T.run_metrics(table(spark, sf, "events"))
+    p = scratch_path(spark, "metrics")
+    Z.sink_metrics(T.every_n_steps(m, 100), p)
+    Z.sink_metrics(T.every_n_steps(m, 250), p)  # a second append
+    return spark.read.parquet(p)
+
+
+@register("example_details")
+def q_example_details(spark, sf):
+    c = _mc_cands(spark, sf)
+    s = V.choice_scores(c, _encoder(spark, sf), _scorer(spark, sf))
+    r = V.predict_and_score(s, c.select("task", "item_id", "gold").distinct())
+    return V.example_details(s, c, r)
+
+
+# ================================================================ remaining scalar / array ops
+def _sft_examples(spark, sf):
+    return _flagged(spark, sf).filter("taken").select("dataset", "pos", "ids", "mask")
+
+
+_TAKEN = f"{_TOK}\n"
+
+
+@register("truncate_right", f"""{_TOK}
+SELECT dataset, pos, {fingerprint('ids[1:128]')} AS ids_md5, {fingerprint('mask[1:128]')} AS mask_md5 FROM taken""")
+def q_truncate_right(spark, sf):
+    d = H.truncate_right(H.truncate_right(_sft_examples(spark, sf), 128, "ids"), 128, "mask")
+    return d.select("dataset", "pos", ids_fingerprint("ids").alias("ids_md5"),
+                    ids_fingerprint("mask").alias("mask_md5"))
+
+
+@register("truncate_left", f"""{_TOK}
+SELECT dataset, pos, {fingerprint('CASE WHEN len(ids) > 128 THEN ids[-128:] ELSE ids END')} AS ids_md5 FROM taken""")
+def q_truncate_left(spark, sf):
+    d = H.truncate_left(_sft_examples(spark, sf), 128, "ids")
+    return d.select("dataset", "pos", ids_fingerprint("ids").alias("ids_md5"))
+
+
+@register("mask_targets", f"""{_TOK}
+SELECT dataset, pos, {fingerprint("list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN i = len(ids) THEN -1 WHEN mask[i + 1] = 0 THEN -1 ELSE ids[i + 1] END)")} AS y_md5
+FROM taken""")
+def q_mask_targets(spark, sf):
+    d = _sft_examples(spark, sf)
+    y = F.concat(F.slice("ids", 2, F.size("ids") - 1), F.array(F.lit(-1)))
+    m = F.concat(F.slice("mask", 2, F.size("mask") - 1), F.array(F.lit(0).cast("tinyint")))
+    return d.select("dataset", "pos", ids_fingerprint(H.mask_targets(y, m)).alias("y_md5"))
+
+
+@register("shift_targets", f"""{_PPL}
+SELECT item_id, {fingerprint("list_concat(ids[2:], [-1])")} AS y_md5 FROM pt""")
+def q_shift_targets(spark, sf):
+    b = table(spark, sf, "benchmark")
+    e = _encoder(spark, sf).encode(b, "text", "ids", add_bos=True)
+    e = e.withColumn("ids", F.slice("ids", 1, V.MAX_LENGTH))
+    y = F.concat(F.slice("ids", 2, F.size("ids") - 1), F.array(F.lit(-1)))
+    return e.select("item_id", ids_fingerprint(y).alias("y_md5"))
+
+
+@register("zip_tokens_mask", f"""{_PACK}
+SELECT split, chunk_id, CAST(list_sum(mask) AS BIGINT) AS trainable, CAST(len(tokens) AS BIGINT) AS n
+FROM chunks""")
+def q_zip_tokens_mask(spark, sf):
+    ch = SP.sft_stream(_split(spark, sf), SFT_CHUNK)
+    z = F.arrays_zip("tokens", "mask")
+    return ch.select("split", "chunk_id", F.size(F.filter(z, lambda p: p["mask"] == 1))
+                     .cast("bigint").alias("trainable"), F.size(z).cast("bigint").alias("n"))
+
+
+@register("mean_of_ratios", f"""{_CSTREAM}
+SELECT e.dataset, round(avg(length(d.text) / len(e.ids)), 6) AS mean_ratio
+FROM enc e JOIN docs d USING (dataset, pos) GROUP BY e.dataset""")
+def q_mean_of_ratios(spark, sf):
+    e = _encoded(spark, sf)
+    return T.mean_of_ratios(e, ["dataset"], "n_chars", "n_tokens").select(
+        "dataset", _r6("mean_ratio"))
+
+
+@register("tokenizer_compare", f"""WITH {vocab_cte()},
+t AS (SELECT lang AS text_type, length(text) AS n_chars, len({encode('text')}) AS pieces,
+             len(list_filter(string_split_regex(text, '[\\t\\n\\x0B\\f\\r ]+'), lambda w: w <> '')) AS words,
+             octet_length(encode(text)) AS bytes
+      FROM documents, vmap WHERE length(text) > 0),
+u AS (SELECT 'pieces' AS tokenizer, text_type, n_chars, pieces AS n_tokens FROM t
+      UNION ALL SELECT 'words', text_type, n_chars, words FROM t
+      UNION ALL SELECT 'bytes', text_type, n_chars, bytes FROM t),
+per AS (SELECT tokenizer, text_type, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(sum(n_tokens) AS BIGINT) AS tokens,
+               sum(n_chars) / sum(n_tokens) AS cpt FROM u GROUP BY ALL)
+SELECT tokenizer, text_type, chars, tokens, round(cpt, 6) AS chars_per_token FROM per
+UNION ALL
+SELECT tokenizer, 'ALL', CAST(sum(chars) AS BIGINT), CAST(sum(tokens) AS BIGINT), round(avg(cpt), 6) FROM per GROUP BY tokenizer""")
+def q_tokenizer_compare(spark, sf):
+    d = _docs(spark, sf).filter(F.length("text") > 0)
+    e = _encoder(spark, sf).encode(d, "text", "ids")
+    words = F.size(F.filter(F.split("text", "[\\t\\n\\x0B\\f\\r ]+"), lambda w: w != ""))
+    base = e.select(F.col("lang").alias("text_type"), F.length("text").alias("n_chars"),
+                    F.size("ids").alias("pieces"), words.alias("words"),
+                    F.octet_length("text").alias("bytes"))
+    u = None
+    for name in ("pieces", "words", "bytes"):
+        p = base.select(F.lit(name).alias("tokenizer"), "text_type", "n_chars",
+                        F.col(name).alias("n_tokens"))
+        u = p if u is None else u.unionByName(p)
+    return T.tokenizer_compare(u).select("tokenizer", "text_type", "chars", "tokens",
+                                         _r6("chars_per_token"))
+
+
+@register("steps_for_epochs", f"""{_TOK}
+SELECT split, CAST(greatest(1, ceil(3.0 * sum(len(ids)) / (8 * 16 * 4 * 2048))) AS BIGINT) AS steps,
+       CAST(floor(sum(len(ids)) / (8 * 16 * 4 * 2048)) AS BIGINT) AS steps_floor
+FROM spl GROUP BY split""")
+def q_steps_for_epochs(spark, sf):
+    st = H.split_stats(_split(spark, sf))
+    return st.select("split", T.steps_for_epochs_col("tokens", 3.0, 8, 16, 2048, 4).alias("steps"),
+                     T.steps_for_tokens_col("tokens", 8, 16, 2048, 4).alias("steps_floor"))
+
+
+@register("head_n", """
+SELECT task, item_id FROM (SELECT t.task, item_id, row_number() OVER (PARTITION BY t.task ORDER BY item_id) AS rn
+  FROM benchmark, (VALUES ('hellaswag'), ('piqa')) t(task)) WHERE rn <= 25""")
+def q_head_n(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id")
+    d = b.withColumn("task", F.explode(F.array(F.lit("hellaswag"), F.lit("piqa"))))
+    return S.head_n(d, 25, ["task"], "item_id").select("task", "item_id")
+
+
+@register("decode_stream", f"""{_CSTREAM}, {_INV}
+SELECT dataset, pos, md5(array_to_string(list_transform(ids, lambda i: CASE WHEN i < 3 THEN ''
+       ELSE coalesce(imap.im[i], '') END), '')) AS text_md5 FROM enc, imap""")
+def q_decode_stream(spark, sf):
+    enc = _encoder(spark, sf)
+    e = enc.encode(_corpus(spark, sf), "text", "ids", add_eos=True)
+    d = enc.decode(e, "ids", "decoded", skip_special=True)
+    return d.select("dataset", "pos", F.md5("decoded").alias("text_md5"))
+
+
+@register("roundtrip_check", f"""WITH {vocab_cte()},
+r AS (SELECT source AS dataset, length(text) AS n_chars, len({encode('text')}) AS n_tokens,
+             list_contains({encode('text')}, 0) AS has_unk FROM documents, vmap WHERE length(text) > 0)
+SELECT dataset, CAST(sum(CASE WHEN has_unk THEN 0 ELSE 1 END) AS BIGINT) AS roundtrip_ok,
+       CAST(sum(CASE WHEN n_chars / n_tokens > 3.0 THEN 1 ELSE 0 END) AS BIGINT) AS compression_ok
+FROM r GROUP BY dataset""")
+def q_roundtrip_check(spark, sf):
+    from quillspark.operators.encode import roundtrip_check
+    d = C.corpus_from_documents(_docs(spark, sf)).filter(F.length("text") > 0)
+    r = roundtrip_check(_encoder(spark, sf), d)
+    return r.groupBy("dataset").agg(
+        F.sum(F.col("roundtrip_ok").cast("int")).cast("bigint").alias("roundtrip_ok"),
+        F.sum(F.col("compression_ok").cast("int")).cast("bigint").alias("compression_ok"))
+
+
+@register("append_eos", f"""{_CSTREAM}
+SELECT dataset, pos, ids[-1] AS last_id, CAST(len(ids) AS BIGINT) AS n_tokens FROM enc""")
+def q_append_eos(spark, sf):
+    e = _encoded(spark, sf)
+    return e.select("dataset", "pos", F.element_at("ids", -1).alias("last_id"), "n_tokens")
+
+
+@register("token_lengths", f"""{_CSTREAM}
+SELECT dataset, pos, CAST(len(ids) AS BIGINT) AS n_tokens FROM enc""")
+def q_token_lengths(spark, sf):
+    from quillspark.operators.encode import token_lengths
+    return token_lengths(_encoded(spark, sf)).select("dataset", "pos", "n_tokens")
