@@ -64,37 +64,50 @@ def collect_turns(conversations: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
-def as_messages(turns: DataFrame) -> DataFrame:
-    """Messages shape: ``messages array<struct<role, content>>``."""
-    return turns.select("conv_id", F.transform(
-        "turns", lambda t: _msg(t["role"], t["text"])).alias("messages"))
+def messages_shape(turns: str = "turns") -> Column:
+    """Messages shape: ``array<struct<role, content>>``."""
+    return F.transform(turns, lambda t: _msg(t["role"], t["text"]))
 
 
-def as_sharegpt(turns: DataFrame) -> DataFrame:
-    """ShareGPT shape: ``conversations array<struct<from, value>>``."""
+def sharegpt_shape(turns: str = "turns") -> Column:
+    """ShareGPT shape: ``array<struct<from, value>>``."""
     to_from = F.create_map(F.lit("user"), F.lit("human"), F.lit("assistant"), F.lit("gpt"))
-    return turns.select("conv_id", F.transform("turns", lambda t: F.struct(
-        F.coalesce(to_from[t["role"]], t["role"]).alias("from"),
-        t["text"].alias("value"))).alias("conversations"))
+    return F.transform(turns, lambda t: F.struct(
+        F.coalesce(F.try_element_at(to_from, t["role"]), t["role"]).alias("from"),
+        t["text"].alias("value")))
 
 
-def as_pairs(turns: DataFrame) -> DataFrame:
-    """Pair shape: ``conversation array<struct<input, output>>`` from turns
-    (2k, 2k+1); a missing partner is null."""
-    n = F.size("turns")
+def pairs_shape(turns: str = "turns") -> Column:
+    """Pair shape: ``array<struct<input, output>>`` from turns (2k, 2k+1); a
+    missing partner is null."""
+    n = F.size(turns)
     ks = F.sequence(F.lit(0), F.floor((n - 1) / 2).cast("int"))
-    return turns.select("conv_id", F.when(n > 0, F.transform(ks, lambda k: F.struct(
-        F.try_element_at("turns", (2 * k + 1).cast("int"))["text"].alias("input"),
-        F.try_element_at("turns", (2 * k + 2).cast("int"))["text"].alias("output"))))
+    return F.when(n > 0, F.transform(ks, lambda k: F.struct(
+        F.try_element_at(turns, (2 * k + 1).cast("int"))["text"].alias("input"),
+        F.try_element_at(turns, (2 * k + 2).cast("int"))["text"].alias("output")))) \
         .otherwise(F.array().cast("array<struct<input:string,output:string>>"))
-        .alias("conversation"))
+
+
+def qa_shape(turns: str = "turns") -> tuple[Column, Column]:
+    """Flat QA shape: two strings from turns 0 and 1."""
+    return (F.try_element_at(turns, F.lit(1))["text"], F.try_element_at(turns, F.lit(2))["text"])
+
+
+def as_messages(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", messages_shape().alias("messages"))
+
+
+def as_sharegpt(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", sharegpt_shape().alias("conversations"))
+
+
+def as_pairs(turns: DataFrame) -> DataFrame:
+    return turns.select("conv_id", pairs_shape().alias("conversation"))
 
 
 def as_qa(turns: DataFrame, q: str = "question", a: str = "answer") -> DataFrame:
-    """Flat QA shape: two string columns from turns 0 and 1."""
-    return turns.select("conv_id",
-                        F.try_element_at("turns", F.lit(1))["text"].alias(q),
-                        F.try_element_at("turns", F.lit(2))["text"].alias(a))
+    qc, ac = qa_shape()
+    return turns.select("conv_id", qc.alias(q), ac.alias(a))
 
 
 # ---------------------------------------------------------------- converters
@@ -141,30 +154,29 @@ QA_COLUMNS = {
 def registry_messages(turns: DataFrame, names=None) -> DataFrame:
     """H5 + G1: every selected registry dataset reads its raw shape (here all
     rendered from the same conversation rows) through its converter; the
-    results are bag-unioned. Output ``dataset, pos, messages`` (null messages
-    = rejected by the converter)."""
+    results form one bag. Output ``dataset, pos, messages`` (null messages =
+    rejected by the converter).
+
+    One projection, not a union of per-dataset branches: the conversation
+    rows are fanned out to the (bounded, <= 12) selected dataset names and
+    each row takes its dataset's converter by a CASE over the shape."""
     names = list(DATASETS) if names in (None, "all") else list(names)
     unknown = [n for n in names if n not in DATASETS]
     if unknown:
         raise ValueError(f"unknown dataset(s) {unknown}; available: {', '.join(DATASETS)}")
-    parts = []
-    for name in names:
-        shape, _ = DATASETS[name]
-        if shape == "sharegpt":
-            m = as_sharegpt(turns).select("conv_id", convert_sharegpt().alias("messages"))
-        elif shape == "messages":
-            m = as_messages(turns).select("conv_id", convert_messages().alias("messages"))
-        elif shape == "pairs":
-            m = as_pairs(turns).select("conv_id", convert_pairs().alias("messages"))
-        else:
-            q, a = QA_COLUMNS[shape]
-            m = as_qa(turns, q, a).select("conv_id", convert_qa(q, a).alias("messages"))
-        parts.append(m.select(F.lit(name).alias("dataset"), F.col("conv_id").alias("pos"),
-                              "messages"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d = turns.select(F.col("conv_id").alias("pos"), "turns",
+                     F.explode(F.array(*[F.lit(n) for n in names])).alias("dataset"))
+    shape = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(DATASETS[n][0]))])
+    d = d.withColumn("_shape", shape[F.col("dataset")])
+    d = d.withColumn("conversations", sharegpt_shape()).withColumn("_msgs", messages_shape()) \
+        .withColumn("conversation", pairs_shape())
+    qc, ac = qa_shape()
+    d = d.withColumn("_q", qc).withColumn("_a", ac)
+    conv = F.when(F.col("_shape") == "sharegpt", convert_sharegpt("conversations")) \
+        .when(F.col("_shape") == "messages", convert_messages("_msgs")) \
+        .when(F.col("_shape") == "pairs", convert_pairs("conversation")) \
+        .otherwise(convert_qa("_q", "_a"))
+    return d.select("dataset", "pos", conv.alias("messages"))
 
 
 def dataset_counts(names=None, limit: int | None = None) -> dict:
@@ -213,31 +225,34 @@ def format_prompt(col: str = "messages") -> Column:
 
 
 def tokenize_conversation(df: DataFrame, encoder, col: str = "messages",
-                          max_length: int | None = None) -> DataFrame:
+                          max_length: int | None = None, drop=None) -> DataFrame:
     """H8: ``ids`` = BOS + per-turn pieces (each turn encoded separately);
     ``mask`` 1 on assistant tokens and their EOS, else 0. Other roles (a
-    non-leading system turn) are skipped. ``max_length`` = B15."""
+    non-leading system turn) are skipped. ``max_length`` = B15. ``drop``:
+    input columns not needed afterwards (not shipped through Arrow)."""
     m = merge_system(col)
     d = df.withColumn("_m", m).withColumn("_turn_text", F.transform("_m", lambda x: F.when(
         x["role"] == "user", F.concat(F.lit("[INST] "), py_strip(x["content"]), F.lit(" [/INST]")))
         .when(x["role"] == "assistant", py_strip(x["content"])).otherwise(F.lit(""))))
-    d = encoder.encode_column(d, F.col("_turn_text"), "_turn_ids")
-    parts = F.arrays_zip(F.col("_m").alias("m"), F.col("_turn_ids").alias("p"))
+    d = d.withColumn("_roles", F.transform("_m", lambda x: x["role"]))
+    d = encoder.encode_column(d, F.col("_turn_text"), "_turn_ids",
+                              drop=["_m", "_turn_text", *(drop or [])])
+    parts = F.arrays_zip(F.col("_roles").alias("r"), F.col("_turn_ids").alias("p"))
 
     def piece_ids(z):
-        r = z["m"]["role"]
+        r = z["r"]
         return F.when(r == "assistant", F.concat(z["p"], F.array(F.lit(EOS_ID)))) \
             .when(r == "user", z["p"]).otherwise(F.array().cast("array<int>"))
 
     def piece_mask(z):
-        r = z["m"]["role"]
+        r = z["r"]
         return F.when(r == "assistant", F.array_repeat(F.lit(1).cast("tinyint"), F.size(z["p"]) + 1)) \
             .when(r == "user", F.array_repeat(F.lit(0).cast("tinyint"), F.size(z["p"]))) \
             .otherwise(F.array().cast("array<tinyint>"))
 
     ids = F.concat(F.array(F.lit(BOS_ID)), F.flatten(F.transform(parts, piece_ids)))
     mask = F.concat(F.array(F.lit(0).cast("tinyint")), F.flatten(F.transform(parts, piece_mask)))
-    d = d.withColumn("ids", ids).withColumn("mask", mask).drop("_m", "_turn_text", "_turn_ids")
+    d = d.withColumn("ids", ids).withColumn("mask", mask).drop("_roles", "_turn_ids")
     if max_length is not None:
         d = truncate_right(truncate_right(d, max_length, "ids"), max_length, "mask")
     return d
@@ -278,7 +293,7 @@ def first_n_valid(df: DataFrame, counts: dict, max_tokens: int = MAX_TOKENS_PER_
     valid = valid_conversation("messages")
     too_long = F.coalesce(F.size("ids") > max_tokens, F.lit(False))
     d = (df.join(F.broadcast(cnt), "dataset")  # one row per registry dataset
-           .withColumn("is_valid", valid)
+           .withColumn("is_valid", F.col("is_valid") if "is_valid" in df.columns else valid)
            .withColumn("too_long", F.col("is_valid") & too_long)
            .withColumn("_pass", (F.col("is_valid") & ~F.col("too_long")).cast("int")))
     d = running_sums(d, ["dataset"], "pos", {"_npass": F.col("_pass")}, bucket_width)

@@ -93,15 +93,22 @@ class Encoder:
         return self._bc
 
     def encode(self, df: DataFrame, col: str = "text", out: str = "ids",
-               add_bos: bool = False, add_eos: bool = False) -> DataFrame:
-        """J1 (+ J2 with ``add_eos``): ``out array<int>`` of the whole text."""
-        return self.encode_column(df, F.col(col), out, add_bos, add_eos)
+               add_bos: bool = False, add_eos: bool = False, drop_text: bool = False) -> DataFrame:
+        """J1 (+ J2 with ``add_eos``): ``out array<int>`` of the whole text.
+        ``drop_text`` drops the text column before the Arrow pass (only the
+        pieces travel to Python, only the ids come back)."""
+        return self.encode_column(df, F.col(col), out, add_bos, add_eos,
+                                  drop=[col] if drop_text else None)
 
     def encode_column(self, df: DataFrame, text_col: Column, out: str,
-                      add_bos: bool = False, add_eos: bool = False) -> DataFrame:
+                      add_bos: bool = False, add_eos: bool = False,
+                      drop=None) -> DataFrame:
         """Encode a string expression (or an ``array<string>`` expression,
-        giving ``array<array<int>>``)."""
+        giving ``array<array<int>>``). ``drop``: columns not needed after
+        encoding, removed before the rows are shipped to Python."""
         d = df.withColumn("__pieces", _pieces_of(text_col, df))
+        if drop:
+            d = d.drop(*drop)
         d = _arrow_ids(d, "__pieces", out, self._broadcast(df.sparkSession))
         return _specials(d, out, add_bos, add_eos)
 
@@ -140,11 +147,12 @@ class JoinEncoder:
         return self.table
 
     def encode(self, df: DataFrame, col: str = "text", out: str = "ids",
-               add_bos: bool = False, add_eos: bool = False) -> DataFrame:
-        return self.encode_column(df, F.col(col), out, add_bos, add_eos)
+               add_bos: bool = False, add_eos: bool = False, drop_text: bool = False) -> DataFrame:
+        return self.encode_column(df, F.col(col), out, add_bos, add_eos,
+                                  drop=[col] if drop_text else None)
 
     def encode_column(self, df: DataFrame, text_col: Column, out: str,
-                      add_bos: bool = False, add_eos: bool = False) -> DataFrame:
+                      add_bos: bool = False, add_eos: bool = False, drop=None) -> DataFrame:
         rid = "__rid"
         d = df.withColumn(rid, F.monotonically_increasing_id()).withColumn("__t", text_col)
         ex = d.select(rid, F.posexplode(pieces("__t")).alias("_i", "piece"))
@@ -155,7 +163,7 @@ class JoinEncoder:
         d = (d.join(ids, rid, "left")
              .withColumn(out, F.coalesce(F.transform("_p", lambda s: s["id"]),
                                          F.array().cast("array<int>")))
-             .drop(rid, "_p", "__t"))
+             .drop(rid, "_p", "__t", *(drop or [])))
         return _specials(d, out, add_bos, add_eos)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators.ngram import token_pairs
 from quillspark.operators.ordered import running_sums
+from quillspark.session import materialize
 
 MAX_LENGTH = 2048
 
@@ -48,13 +49,13 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 def choice_table(items: DataFrame, n_choices: int) -> DataFrame:
     """``item_id, choice_idx, choice, gold``: the gold text of items
     ``(item_id + k) % n`` for ``k = 0..n_choices-1``, gold (k = 0) rotated to
-    index ``item_id % n_choices``. ``n`` is one scalar count."""
-    n = items.count()
+    index ``item_id % n_choices``. ``n`` is a scalar subquery."""
+    n = items.agg(F.count(F.lit(1))).scalar()
     ex = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(n_choices - 1)))
                       .alias("choice_idx"))
     g = (F.col("item_id") % n_choices).cast("int")
     k = ((F.col("choice_idx") - g + n_choices) % n_choices).cast("bigint")
-    ex = ex.withColumn("_src", (F.col("item_id") + k) % F.lit(n)).withColumn("gold", g)
+    ex = ex.withColumn("_src", (F.col("item_id") + k) % n).withColumn("gold", g)
     src = items.select(F.col("item_id").alias("_src"), F.col("gold_text").alias("choice"))
     return ex.join(src, "_src").drop("_src")
 
@@ -141,6 +142,7 @@ def choice_scores(cands: DataFrame, encoder, scorer, keys=("task", "item_id", "c
     choice tokens; raw sum when there are none), ``score_sum``, ``is_greedy``."""
     keys = list(keys)
     e = truncate_for_scoring(encode_candidates(cands, encoder), max_length)
+    e = materialize(e.select(*keys, "ids", "ctx_len"), "scored-candidates")
     meta = e.select(*keys, F.size("ids").alias("n_tokens"), "ctx_len")
     pairs = token_pairs(e, "ids", keys)
     lp = scorer.token_logprobs(pairs).join(meta.select(*keys, "ctx_len"), keys)
@@ -163,6 +165,7 @@ def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int = MA
     e = encoder.encode_column(texts, F.col(text), "ids", add_bos=True)
     e = e.withColumn("ids", F.when(F.size("ids") > max_length, F.slice("ids", -max_length, max_length))
                      .otherwise(F.col("ids")))
+    e = materialize(e.select(*keys, "ids"), "rolling-texts")
     meta = e.select(*keys, F.size("ids").cast("bigint").alias("n_tokens"))
     lp = scorer.token_logprobs(token_pairs(e, "ids", keys))
     agg = lp.groupBy(*keys).agg(F.sum("logprob").alias("logprob_sum"))

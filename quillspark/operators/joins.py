@@ -27,23 +27,23 @@ def join_config(df: DataFrame, cfg: DataFrame, key: str = "dataset",
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
-                 max_rows: int = BROADCAST_MAX_ROWS, n_buckets: int = 1 << 16) -> DataFrame:
-    """Attach the range ``[lo, hi)`` containing ``point`` (ranges disjoint).
-
-    Few ranges: broadcast range join. Many: both sides are bucketed on
-    ``value div width``; each range is exploded into the buckets it spans
-    (at most ``#ranges + n_buckets`` rows), then an equi-join on the bucket
-    plus the range predicate (exact, no pairs beyond one bucket).
+                 n_buckets: int = 1 << 12) -> DataFrame:
+    """Attach the range ``[lo, hi)`` containing ``point`` (ranges are
+    disjoint; empty ones are dropped).
+
+    An exact equi-join, not a nested loop: both sides are bucketed on
+    ``value div width`` with ``width = ceil(max(hi) / n_buckets)`` (a scalar
+    subquery); each range is exploded into the buckets it spans (at most
+    ``#ranges + n_buckets`` rows), then the join on the bucket keeps the
+    pairs whose range holds the point. AQE broadcasts the small side.
     """
-    cond = (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
-    if small_enough(ranges, max_rows):
-        return points.join(F.broadcast(ranges), cond, "inner")
-    span = ranges.agg(F.max(hi).alias("m")).first()["m"] or 1  # one scalar
-    width = max(1, -(-int(span) // n_buckets))
-    r = ranges.withColumn("_rb", F.explode(F.sequence(
+    span = ranges.agg(F.max(hi)).scalar()
+    width = F.greatest(F.lit(1), F.ceil(span / F.lit(n_buckets))).cast("bigint")
+    r = ranges.filter(F.col(hi) > F.col(lo)).withColumn("_rb", F.explode(F.sequence(
         F.floor(F.col(lo) / width).cast("bigint"),
         F.floor((F.col(hi) - 1) / width).cast("bigint"))))
     p = points.withColumn("_rb", F.floor(F.col(point) / width).cast("bigint"))
+    cond = (F.col(point) >= F.col(lo)) & (F.col(point) < F.col(hi))
     return p.join(r, "_rb").filter(cond).drop("_rb")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.joins import BROADCAST_MAX_ROWS, small_enough
+from quillspark.operators.joins import BROADCAST_MAX_ROWS
 from quillspark.operators.ordered import DEFAULT_BUCKET_WIDTH, running_sums
 
 DEFAULT_CHUNK = 1 << 16
@@ -93,19 +93,24 @@ def valid_starts(lengths: DataFrame, keys, block_size: int,
 
 def fetch_windows(windows: DataFrame, chunks: DataFrame, keys, start: str, length: int,
                   chunk_size: int = DEFAULT_CHUNK, cols=("tokens",), wid: str = "wid",
+                  windows_bound: int | None = None,
                   max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Slice ``[start, start+length)`` of each window's stream.
 
-    ``windows``: ``keys.., wid, start``; returns ``wid, <cols>`` sliced. The
-    window side is broadcast when the plan is small (size-checked); the
-    chunk table is then scanned once without a shuffle.
+    ``windows``: ``keys.., wid, start``; returns ``wid, <cols>`` sliced. When
+    the caller knows a bound on the number of windows (a step plan has
+    ``world*steps*micro*batch`` rows) and it is at most ``max_rows``, the
+    window side (bound x chunks per window rows) is broadcast and the chunk
+    table is scanned once without a shuffle; otherwise the join is left to
+    the planner and AQE.
     """
     keys, cols = list(keys), list(cols)
     C = F.lit(chunk_size).cast("bigint")
     w = windows.select(*keys, wid, F.col(start).alias("_ws"))
     w = w.withColumn("chunk_id", F.explode(F.sequence(
         F.floor(F.col("_ws") / C), F.floor((F.col("_ws") + length - 1) / C))))
-    if small_enough(w, max_rows):
+    per_window = 1 + -(-length // chunk_size)
+    if windows_bound is not None and windows_bound * per_window <= max_rows:
         w = F.broadcast(w)
     j = w.join(chunks.select(*keys, "chunk_id", *cols), keys + ["chunk_id"])
     g = j.groupBy(*keys, wid, "_ws").agg(F.array_sort(F.collect_list(

@@ -47,10 +47,10 @@ def fraction_split(df: DataFrame, fraction: float, key: str = "shuffle_key",
     in ``key`` order are val, the rest train (disjoint and exhaustive).
 
     The global rank is two-phase over hash buckets (no single-partition
-    window); ``n`` is one scalar count.
+    window); ``n`` is a scalar subquery (evaluated once, no driver loop).
     """
-    n = df.count()
-    n_val = max(1, int(n * fraction))
+    n = df.agg(F.count(F.lit(1))).scalar()
+    n_val = F.greatest(F.lit(1), F.floor(n * F.lit(float(fraction))).cast("bigint"))
     d = running_sums(df, [], key, {"shuffle_rank": F.lit(1)}, bucket_width)
     return d.withColumn("split", F.when(F.col("shuffle_rank") <= n_val, F.lit("val"))
                         .otherwise(F.lit("train")))
@@ -76,21 +76,21 @@ def _draw(seed: int, *cols) -> Column:
 
 def sample_windows(plan: DataFrame, chunks: DataFrame, lengths: DataFrame, keys,
                    block_size: int, seed: int = TRAIN_SEED,
-                   chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+                   chunk_size: int = DEFAULT_CHUNK, plan_rows: int | None = None) -> DataFrame:
     """F5 (+ E6, C2, C3, E10): uniform over all valid starts of all streams; a
     window never crosses a stream. ``x = s[i:i+B]``, ``y = s[i+1:i+B+1]``."""
     keys = list(keys)
     files = valid_starts(lengths, keys, block_size)
-    total = files.agg(F.sum("valid")).first()[0] or 0  # one scalar
-    if total == 0:
-        raise ValueError(f"no stream is long enough for block_size={block_size}")
+    total = files.agg(F.sum("valid")).scalar()  # scalar subquery
+    checked = F.when(F.coalesce(total, F.lit(0)) > 0, total).otherwise(F.raise_error(F.lit(
+        f"no stream is long enough for block_size={block_size}")))
     coords = ["rank", "step", "micro", "slot"]
     p = plan.withColumn("wid", F.concat_ws(":", *coords)) \
-        .withColumn("_off", _draw(seed, *coords) % F.lit(total))
+        .withColumn("_off", _draw(seed, *coords) % checked.cast("bigint"))
     p = range_lookup(p, files.select(*keys, "lo", "hi"), "_off", "lo", "hi")
     p = p.withColumn("start", F.col("_off") - F.col("lo"))
     w = fetch_windows(p.select(*keys, "wid", "start"), chunks, keys, "start", block_size + 1,
-                      chunk_size)
+                      chunk_size, windows_bound=plan_rows)
     w = w.withColumn("x", F.slice("tokens", 1, block_size)) \
          .withColumn("y", F.slice("tokens", 2, block_size)).drop("tokens")
     return p.select(*coords, "wid", *keys, "start").join(w.drop("start"), keys + ["wid"])
@@ -130,7 +130,8 @@ def mask_prefix_at(points: DataFrame, chunks: DataFrame, offsets: DataFrame, key
 
 
 def sample_windows_masked(plan: DataFrame, chunks: DataFrame, stream: dict, block_size: int,
-                          seed: int = TRAIN_SEED, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+                          seed: int = TRAIN_SEED, chunk_size: int = DEFAULT_CHUNK,
+                          plan_rows: int | None = None) -> DataFrame:
     """as F5 on one masked stream (``stream`` = its key values, e.g.
     ``{"split": "train"}``), with up to 10 redraws while the window has no
     trainable target. Trainable counts come from mask prefix sums, so
@@ -142,10 +143,10 @@ def sample_windows_masked(plan: DataFrame, chunks: DataFrame, stream: dict, bloc
     for k, v in stream.items():
         sel = sel & (F.col(k) == F.lit(v))
     ch = chunks.filter(sel)
-    total_tokens = ch.agg(F.sum(F.size("tokens"))).first()[0] or 0  # one scalar
-    n_valid = total_tokens - block_size
-    if n_valid <= 0:
-        raise ValueError(f"stream too small for block_size={block_size} ({total_tokens} tokens)")
+    total_tokens = ch.agg(F.sum(F.size("tokens"))).scalar()  # scalar subquery
+    n_valid = F.when(F.coalesce(total_tokens, F.lit(0)) - block_size > 0,
+                     total_tokens - block_size).otherwise(F.raise_error(F.lit(
+                         f"stream too small for block_size={block_size}"))).cast("bigint")
     coords = ["rank", "step", "micro", "slot"]
     cand = plan.withColumn("wid", F.concat_ws(":", *coords)).withColumn(
         "cand", F.explode(F.sequence(F.lit(0), F.lit(N_REDRAWS))))
@@ -163,7 +164,8 @@ def sample_windows_masked(plan: DataFrame, chunks: DataFrame, stream: dict, bloc
         F.col("cand") == F.coalesce(F.col("_k"), F.lit(N_REDRAWS)))
     pick = pick.withColumn("fully_masked", F.col("_k").isNull())
     w = fetch_windows(pick.select(*keys, "wid", F.col("i").alias("start")), ch, keys,
-                      "start", block_size + 1, chunk_size, cols=("tokens", "mask"))
+                      "start", block_size + 1, chunk_size, cols=("tokens", "mask"),
+                      windows_bound=plan_rows)
     w = w.select("wid", F.slice("tokens", 1, block_size).alias("x"),
                  F.slice("tokens", 2, block_size).alias("_y"),
                  F.slice("mask", 2, block_size).alias("_m"))

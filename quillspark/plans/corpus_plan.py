@@ -17,15 +17,25 @@ def corpus_encoder(documents: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE) -
 
 def encoded_corpus(documents: DataFrame, max_tokens: int | None = None, val_every: int = 100,
                    encoder: Encoder | None = None,
-                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """``dataset, pos, doc_index, is_val, ids (EOS appended), n_tokens, n_chars``."""
+                   bucket_width: int = DEFAULT_BUCKET_WIDTH,
+                   materialize: bool = False) -> DataFrame:
+    """``dataset, pos, doc_index, is_val, ids (EOS appended), n_tokens, n_chars``.
+
+    With ``materialize`` the encoded corpus is written once (the stage
+    output, like the reference's token files) and read back, so that several
+    consumers (streams, offsets, statistics) never re-encode."""
     enc = encoder or corpus_encoder(documents)
     docs = C.with_estimate(C.filter_nonempty(C.corpus_from_documents(documents)))
     split = C.budget_and_split(docs, max_tokens, val_every, bucket_width=bucket_width)
-    e = enc.encode(split, "text", "ids", add_eos=True)
-    return e.select("dataset", "pos", "doc_index", "is_val", "ids",
-                    F.size("ids").cast("bigint").alias("n_tokens"),
-                    F.length("text").cast("bigint").alias("n_chars"))
+    split = split.select("dataset", "pos", "doc_index", "is_val", "text",
+                         F.length("text").cast("bigint").alias("n_chars"))
+    e = enc.encode(split, "text", "ids", add_eos=True, drop_text=True)
+    out = e.select("dataset", "pos", "doc_index", "is_val", "ids",
+                   F.size("ids").cast("bigint").alias("n_tokens"), "n_chars")
+    if materialize:
+        from quillspark.session import materialize as mat
+        out = mat(out, "encoded-corpus")
+    return out
 
 
 def corpus_token_stats(documents: DataFrame, max_tokens: int | None = None,
@@ -37,11 +47,15 @@ def corpus_token_stats(documents: DataFrame, max_tokens: int | None = None,
 
 
 def corpus_streams(encoded: DataFrame, chunk_size: int = 1 << 16,
-                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+                   bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = False) -> DataFrame:
     """A10/H9 for the corpus: per ``(dataset, split)`` the packed token stream
     (documents in ``pos`` order, EOS after each) as a chunk table."""
     from quillspark.operators.pack import chunk_table, stream_offsets
     e = encoded.withColumn("split", F.when(F.col("is_val"), F.lit("val")).otherwise(F.lit("train")))
     offs = stream_offsets(e, ["dataset", "split"], "pos", F.size("ids"),
                           bucket_width=bucket_width)
-    return chunk_table(offs, ["dataset", "split"], "start", ("ids",), chunk_size)
+    ch = chunk_table(offs, ["dataset", "split"], "start", ("ids",), chunk_size)
+    if materialize:
+        from quillspark.session import materialize as mat
+        ch = mat(ch, "corpus-streams")
+    return ch

@@ -471,14 +471,16 @@ STREAM_VAL_EVERY = 10
 BLOCK = 64
 PLAN = dict(world=2, steps=3, micro=2, batch=4)
 SEG_LEN, N_SEGMENTS = 256, 3
+_PLAN_ROWS = PLAN["world"] * PLAN["steps"] * PLAN["micro"] * PLAN["batch"]
 
 
 def _encoded(spark, sf):
-    return CP.encoded_corpus(_docs(spark, sf), None, STREAM_VAL_EVERY, _encoder(spark, sf))
+    return CP.encoded_corpus(_docs(spark, sf), None, STREAM_VAL_EVERY, _encoder(spark, sf),
+                             materialize=True)
 
 
 def _streams(spark, sf):
-    return CP.corpus_streams(_encoded(spark, sf), STREAM_CHUNK)
+    return CP.corpus_streams(_encoded(spark, sf), STREAM_CHUNK, materialize=True)
 
 
 def _train_lengths(spark, sf):
@@ -562,7 +564,7 @@ def q_step_plan(spark, sf):
 def _windows(spark, sf):
     ch, lengths = _train_lengths(spark, sf)
     return S.sample_windows(S.step_plan(spark, **PLAN), ch, lengths, ["dataset", "split"],
-                            BLOCK, chunk_size=STREAM_CHUNK)
+                            BLOCK, chunk_size=STREAM_CHUNK, plan_rows=_PLAN_ROWS)
 
 
 @register("join_offset_file", f"{_CSTREAM}\nSELECT wid, dataset, split, start FROM wins")

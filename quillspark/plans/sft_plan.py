@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from quillspark.operators import chat as H
 from quillspark.operators.pack import DEFAULT_CHUNK, chunk_table, stream_offsets
 from quillspark.operators.sample import SHUFFLE_BUCKET, fraction_split, seeded_shuffle
+from quillspark.session import materialize
 
 
 def sft_candidates(conversations: DataFrame, encoder, names=None) -> DataFrame:
-    """``dataset, pos, messages, ids, mask`` for every registry dataset; ids
+    """``dataset, pos, is_valid, ids, mask`` for every registry dataset; ids
     and mask are null where the converter or B9 rejected the conversation
     (only valid conversations are encoded)."""
     turns = H.collect_turns(conversations)
     msgs = H.registry_messages(turns, names)
-    d = msgs.withColumn("_enc", F.when(H.valid_conversation("messages"), F.col("messages")))
-    return H.tokenize_conversation(d, encoder, "_enc").drop("_enc")
+    d = msgs.withColumn("is_valid", H.valid_conversation("messages"))
+    d = d.withColumn("_enc", F.when(F.col("is_valid"), F.col("messages")))
+    out = H.tokenize_conversation(d, encoder, "_enc", drop=["_enc", "messages"])
+    # Stage output: E4's two-phase pass reads it twice; never tokenize twice.
+    return materialize(out, "sft-candidates")
 
 
 def sft_flagged(conversations: DataFrame, encoder, names=None, limit: int | None = None,
@@ -35,7 +39,7 @@ def sft_split(conversations: DataFrame, encoder, names=None, limit: int | None =
     ex = sft_flagged(conversations, encoder, names, limit).filter("taken")
     ex = ex.select("dataset", "pos", "ids", "mask")
     ex = seeded_shuffle(ex, seed, "dataset", "pos")
-    return fraction_split(ex, val_fraction)
+    return materialize(fraction_split(ex, val_fraction), "sft-split")
 
 
 def sft_stream(split: DataFrame, chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
