@@ -106,7 +106,7 @@ class Encoder:
         """Encode a string expression (or an ``array<string>`` expression,
         giving ``array<array<int>>``). ``drop``: columns not needed after
         encoding, removed before the rows are shipped to Python."""
-        d = df.withColumn("__pieces", _pieces_of(text_col, df))
+        d = spread(df).withColumn("__pieces", _pieces_of(text_col, df))
         if drop:
             d = d.drop(*drop)
         d = _arrow_ids(d, "__pieces", out, self._broadcast(df.sparkSession))
@@ -167,6 +167,17 @@ class JoinEncoder:
         return _specials(d, out, add_bos, add_eos)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Encoding is CPU-bound: when the input has fewer partitions than the
+    cluster has cores (a small file with few row groups), spread it evenly.
+    At scale (many more partitions than cores) this is a no-op, so the
+    corpus is never shuffled just for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def _pieces_of(expr: Column, df: DataFrame) -> Column:
     """``pieces`` of a string column, or of each element of an array column."""
     probe = df.select(expr.alias("__probe")).schema["__probe"].dataType

@@ -30,23 +30,31 @@ def gsm8k_rows(items: DataFrame) -> DataFrame:
 
 
 def mc_results(items: DataFrame, tasks, encoder, scorer) -> DataFrame:
-    """Per multiple-choice task: ``task, item_id, pred, gold, is_correct``."""
-    out = None
-    for t in tasks:
-        if t in V.MC_TASKS:
-            c = V.build_candidates(items, t)
-            s = V.choice_scores(c, encoder, scorer)
-            gold = c.select("task", "item_id", "gold").distinct()
-            r = V.predict_and_score(s, gold)
-        elif t == "winogrande":
-            c = V.winogrande_candidates(items)
-            s = V.fill_blank_scores(c, encoder, scorer)
-            gold = c.select("task", "item_id", (F.col("gold") + 1).alias("gold")).distinct()
-            r = V.predict_and_score(s, gold, one_based=True)
-        else:
-            continue
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Per task: ``task, item_id, pred, gold, is_correct``. The candidates of
+    all multiple-choice tasks are scored in one pass (one encode, one
+    log-prob join, one aggregation); Winogrande (whole-sequence scoring) is
+    the second pass."""
+    out = []
+    mc = [t for t in tasks if t in V.MC_TASKS]
+    if mc:
+        c = None
+        for t in mc:
+            b = V.build_candidates(items, t)
+            c = b if c is None else c.unionByName(b)
+        s = V.choice_scores(c, encoder, scorer)
+        gold = c.select("task", "item_id", "gold").distinct()
+        out.append(V.predict_and_score(s, gold))
+    if "winogrande" in tasks:
+        c = V.winogrande_candidates(items)
+        s = V.fill_blank_scores(c, encoder, scorer)
+        gold = c.select("task", "item_id", (F.col("gold") + 1).alias("gold")).distinct()
+        out.append(V.predict_and_score(s, gold, one_based=True))
+    if not out:
+        return None
+    r = out[0]
+    for x in out[1:]:
+        r = r.unionByName(x)
+    return r
 
 
 def suite_accuracy(benchmark: DataFrame, tasks: str, encoder, scorer) -> DataFrame:
