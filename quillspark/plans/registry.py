@@ -1376,3 +1376,33 @@ SELECT dataset, pos, CAST(len(ids) AS BIGINT) AS n_tokens FROM enc""")
 def q_token_lengths(spark, sf):
     from quillspark.operators.encode import token_lengths
     return token_lengths(_encoded(spark, sf)).select("dataset", "pos", "n_tokens")
+
+
+# ================================================================ F6 on the packed SFT stream
+@register("sample_windows_masked", f"""{_PACK},
+st AS (SELECT flatten(list(tokens ORDER BY chunk_id)) AS s, flatten(list(mask ORDER BY chunk_id)) AS m
+       FROM chunks WHERE split = 'train'),
+plan AS (SELECT CAST(id // {PLAN['batch'] * PLAN['micro'] * PLAN['steps']} AS INTEGER) AS rank,
+                CAST((id // {PLAN['batch'] * PLAN['micro']}) % {PLAN['steps']} AS BIGINT) AS step,
+                CAST((id // {PLAN['batch']}) % {PLAN['micro']} AS INTEGER) AS micro,
+                CAST(id % {PLAN['batch']} AS INTEGER) AS slot
+         FROM range({_PLAN_ROWS}) r(id)),
+cand AS (SELECT p.*, CAST(c AS INTEGER) AS cand,
+                {sql_hash64("'42'", 'rank', 'step', 'micro', 'slot', 'c')} % (len(st.s) - {BLOCK}) AS i
+         FROM plan p, range(0, 11) r(c), st),
+tr AS (SELECT c.*, list_sum(st.m[i + 2 : i + {BLOCK} + 1]) AS trainable FROM cand c, st),
+firstok AS (SELECT rank, step, micro, slot, min(cand) AS k FROM tr WHERE trainable > 0 AND cand < 10
+            GROUP BY ALL),
+pick AS (SELECT tr.*, f.k IS NULL AS fully_masked FROM tr LEFT JOIN firstok f USING (rank, step, micro, slot)
+         WHERE tr.cand = coalesce(f.k, 10))
+SELECT rank || ':' || step || ':' || micro || ':' || slot AS wid, CAST(i AS BIGINT) AS start, fully_masked,
+       CAST(trainable AS BIGINT) AS trainable, {fingerprint(f'st.s[i + 1 : i + {BLOCK}]')} AS x_md5,
+       {fingerprint(f"CASE WHEN fully_masked THEN list_transform(range({BLOCK}), lambda j: -1) ELSE list_transform(range(1, {BLOCK} + 1), lambda j: CASE WHEN st.m[i + 1 + j] = 0 THEN -1 ELSE st.s[i + 1 + j] END) END")} AS y_md5
+FROM pick, st""")
+def q_sample_windows_masked(spark, sf):
+    from quillspark.session import materialize
+    ch = materialize(SP.sft_stream(_split(spark, sf), SFT_CHUNK), "sft-chunks")
+    w = S.sample_windows_masked(S.step_plan(spark, **PLAN), ch, {"split": "train"}, BLOCK,
+                                chunk_size=SFT_CHUNK, plan_rows=_PLAN_ROWS)
+    return w.select("wid", "start", "fully_masked", F.col("trainable").cast("bigint").alias("trainable"),
+                    ids_fingerprint("x").alias("x_md5"), ids_fingerprint("y").alias("y_md5"))
