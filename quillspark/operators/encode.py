@@ -45,8 +45,7 @@ def build_vocab(texts: DataFrame, col: str = "text", vocab_size: int = DEFAULT_V
     src = texts.select(_c(col).alias("_t"))
     if sample_fraction is not None:
         src = src.sample(fraction=sample_fraction, seed=seed)
-    counts = (src.select(F.explode(pieces("_t")).alias("piece"))
-              .groupBy("piece").agg(F.count(F.lit(1)).alias("count")))
+    counts = piece_counts(src, "_t").groupBy("piece").agg(F.sum("n").alias("count"))
     n = vocab_size - N_SPECIALS
     top = counts.orderBy(F.desc("count"), F.asc("piece")).limit(n)
     w = Window.orderBy(F.desc("count"), F.asc("piece"))  # over <= n rows only
@@ -54,6 +53,22 @@ def build_vocab(texts: DataFrame, col: str = "text", vocab_size: int = DEFAULT_V
                       F.col("count").cast("bigint").alias("count"))
 
 
+def piece_counts(df: DataFrame, col: str) -> DataFrame:
+    """``piece, n``: piece counts of every Arrow batch (map-side
+    pre-aggregation: hot pieces leave each task once per batch), to be
+    summed by a ``groupBy(piece)``."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from quillspark.functions.arrow_pieces import split_strings
+        for b in batches:
+            flat = pc.list_flatten(split_strings(b.column(0)))
+            vc = pc.value_counts(flat)
+            yield pa.RecordBatch.from_arrays(
+                [vc.field("values"), vc.field("counts").cast(pa.int64())], names=["piece", "n"])
+    return df.select(col).mapInArrow(run, "piece string, n long")
+
+
 class Encoder:
     """Built-in encoder: JVM regex pieces, ids from a frequency-ranked vocabulary.
 
@@ -106,10 +121,10 @@ class Encoder:
         """Encode a string expression (or an ``array<string>`` expression,
         giving ``array<array<int>>``). ``drop``: columns not needed after
         encoding, removed before the rows are shipped to Python."""
-        d = spread(df).withColumn("__pieces", _pieces_of(text_col, df))
+        d = df.withColumn("__text", text_col)
         if drop:
             d = d.drop(*drop)
-        d = _arrow_ids(d, "__pieces", out, self._broadcast(df.sparkSession))
+        d = _arrow_ids(d, "__text", out, self._broadcast(df.sparkSession))
         return _specials(d, out, add_bos, add_eos)
 
     def decode(self, df: DataFrame, col: str = "ids", out: str = "decoded",
@@ -167,17 +182,6 @@ class JoinEncoder:
         return _specials(d, out, add_bos, add_eos)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Encoding is CPU-bound: when the input has fewer partitions than the
-    cluster has cores (a small file with few row groups), spread it evenly.
-    At scale (many more partitions than cores) this is a no-op, so the
-    corpus is never shuffled just for this."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 def _pieces_of(expr: Column, df: DataFrame) -> Column:
     """``pieces`` of a string column, or of each element of an array column."""
     probe = df.select(expr.alias("__probe")).schema["__probe"].dataType
@@ -226,9 +230,11 @@ def _lookup(arr, value_set):
 
 
 def _arrow_ids(d: DataFrame, pieces_col: str, out: str, bc) -> DataFrame:
+    """Text (or array of texts) -> ids, inside Arrow batches: vectorized
+    piece splitting (``functions/arrow_pieces``) and hash lookup."""
     from pyspark.sql.types import ArrayType, IntegerType
     src = d.schema[pieces_col].dataType
-    depth, t = 0, src
+    depth, t = 1, src
     while isinstance(t, ArrayType):
         depth, t = depth + 1, t.elementType
     out_type = IntegerType()
@@ -240,12 +246,13 @@ def _arrow_ids(d: DataFrame, pieces_col: str, out: str, bc) -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        from quillspark.functions.arrow_pieces import split_nested
         vs = _worker_array(bc)
         target = pa_schema(schema)
         for b in batches:
             names = b.schema.names
             cols = [b.column(i) for i, n in enumerate(names) if n != pieces_col]
-            ids = _lookup(b.column(names.index(pieces_col)), vs)
+            ids = _lookup(split_nested(b.column(names.index(pieces_col))), vs)
             yield pa.RecordBatch.from_arrays(cols + [ids], schema=target)
     return d.mapInArrow(run, schema)
 

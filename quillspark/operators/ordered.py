@@ -36,11 +36,9 @@ def _order_cols(order) -> list[str]:
 def _bucket(order, bucket_width: int) -> Column:
     """Bucket of the first order column (timestamps bucket by microseconds)."""
     first = _order_cols(order)[0]
-    return F.floor(_numeric(first) / F.lit(bucket_width)).cast("bigint").alias("_bk")
+    return F.expr(f"`{first}` div {int(bucket_width)}").cast("bigint").alias("_bk")
 
 
-def _numeric(c: str) -> Column:
-    return F.col(c)
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: dict,

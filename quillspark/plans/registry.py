@@ -33,7 +33,8 @@ def register(key: str, sql: str | None = None):
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents")
+    from quillspark.session import spread_scan
+    return spread_scan(table(spark, sf, "documents"))
 
 
 def _corpus(spark, sf):

@@ -73,6 +73,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """For a plain file scan feeding CPU-heavy text work: when the files
+    give fewer splits (row groups) than the cluster has cores, spread the
+    rows evenly. A scan's partition count is known without running anything;
+    at scale (many more splits than cores) this is a no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: a stage boundary that cuts lineage (recovery after executor
