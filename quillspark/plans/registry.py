@@ -126,7 +126,8 @@ def q_val_every_n(spark, sf):
 
 @register("build_vocab", f"WITH {vocab_cte()} SELECT piece, id, CAST(cnt AS BIGINT) AS count FROM vocab")
 def q_build_vocab(spark, sf):
-    return CP.corpus_encoder(_docs(spark, sf)).vocab_table()
+    from quillspark.operators.encode import build_vocab
+    return build_vocab(_docs(spark, sf).filter(F.length("text") > 0), "text")
 
 
 _ENCODED = f"""WITH {vocab_cte()},
@@ -138,9 +139,8 @@ enc AS (SELECT c.dataset, c.pos, c.text, list_append({encode('c.text')}, 2) AS i
 SELECT dataset, pos, CAST(len(ids) AS BIGINT) AS n_tokens, {fingerprint('ids')} AS ids_md5
 FROM enc""")
 def q_encode_corpus(spark, sf):
-    docs = _docs(spark, sf)
-    enc = CP.corpus_encoder(docs)
-    e = enc.encode(_corpus(spark, sf), "text", "ids", add_eos=True)
+    enc = _encoder(spark, sf)
+    e = enc.encode(_corpus(spark, sf), "text", "ids", add_eos=True, drop_text=True)
     return e.select("dataset", "pos", F.size("ids").cast("bigint").alias("n_tokens"),
                     ids_fingerprint("ids").alias("ids_md5"))
 
@@ -172,7 +172,7 @@ SELECT dataset, train_tokens, val_tokens, train_docs, val_docs, total_chars,
   round(val_tokens * 2 / 1048576.0, 6) AS val_size_mb
 FROM st""")
 def q_token_stats(spark, sf):
-    s = CP.corpus_token_stats(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY)
+    s = CP.corpus_token_stats(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY, _encoder(spark, sf))
     return s.select("dataset", "train_tokens", "val_tokens", "train_docs", "val_docs",
                     "total_chars", *[F.round(c, 6).alias(c) for c in
                                      ("chars_per_token", "train_size_mb", "val_size_mb")])
@@ -185,14 +185,15 @@ SELECT CASE WHEN grouping(dataset) = 1 THEN 'TOTAL' ELSE dataset END AS dataset,
        CAST(sum(val_tokens) AS BIGINT) AS val_tokens
 FROM st GROUP BY ROLLUP (dataset)""")
 def q_totals_rollup(spark, sf):
-    return C.totals_rollup(CP.corpus_token_stats(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY))
+    return C.totals_rollup(CP.corpus_token_stats(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY,
+                                                 _encoder(spark, sf)))
 
 
 @register("ratio_of_sums", f"""{_STATS}
 SELECT dataset, round(coalesce(CAST(total_chars AS DOUBLE) / nullif(train_tokens + val_tokens, 0), 0), 6)
        AS chars_per_token FROM st""")
 def q_ratio_of_sums(spark, sf):
-    e = CP.encoded_corpus(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY)
+    e = CP.encoded_corpus(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY, _encoder(spark, sf))
     return e.groupBy("dataset").agg(
         F.round(C.ratio_of_sums("n_chars", "n_tokens"), 6).alias("chars_per_token"))
 
