@@ -35,15 +35,23 @@ def fit_ngram(encoded: DataFrame, ids: str = "ids") -> DataFrame:
 class BigramScorer:
     """Add-k smoothed bigram model: ``P(t|p) = (c(p,t)+k) / (c(p)+k*V)``."""
 
-    def __init__(self, bigrams: DataFrame, vocab_size: int, k: float = ADD_K):
-        self.bigrams = bigrams
+    def __init__(self, bigrams: DataFrame, vocab_size: int, k: float = ADD_K,
+                 materialize: bool = False):
         self.vocab_size = vocab_size
         self.k = k
+        if materialize:  # the fitted model is a stage output, written once
+            from quillspark.session import materialize as mat
+            bigrams = mat(bigrams, "bigram-model")
+        self.bigrams = bigrams
         # One aggregate per context token: its total and its most likely next
         # token (ties -> lowest id).
-        self.contexts = bigrams.groupBy("prev").agg(
+        contexts = bigrams.groupBy("prev").agg(
             F.sum("count").cast("bigint").alias("ctx_count"),
             F.max_by("token", F.struct(F.col("count"), -F.col("token"))).alias("top_token"))
+        if materialize:
+            from quillspark.session import materialize as mat
+            contexts = mat(contexts, "bigram-contexts")
+        self.contexts = contexts
 
     def token_logprobs(self, pairs: DataFrame) -> DataFrame:
         """Add ``logprob`` and ``is_top`` to a pair table

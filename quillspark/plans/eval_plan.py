@@ -14,7 +14,7 @@ def bigram_model(documents: DataFrame, encoder) -> BigramScorer:
     """K0: bigram counts over the non-empty documents, BOS + ids + EOS."""
     d = documents.filter(F.length("text") > 0).select("text")
     e = encoder.encode(d, "text", "ids", add_bos=True, add_eos=True, drop_text=True)
-    return BigramScorer(fit_ngram(e), encoder.vocab_size)
+    return BigramScorer(fit_ngram(e), encoder.vocab_size, materialize=True)
 
 
 def gsm8k_rows(items: DataFrame) -> DataFrame:
