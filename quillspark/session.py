@@ -45,16 +45,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     local tests) create a scratch folder and register it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
     if not d:
         d = tempfile.mkdtemp(prefix="quillspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
-        pass
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:  # register once (it creates a subfolder)
+        sc.setCheckpointDir(d)
     return d
 
 

@@ -109,12 +109,16 @@ def run_to_table(spark: SparkSession, sdf: DataFrame, out_path: str, ckpt: str,
     return spark.read.parquet(out_path)
 
 
-def write_ordered_files(df: DataFrame, root: str, order: str, n_files: int) -> list[str]:
-    """Replay helper: cut a table into ``n_files`` parts by ranges of
-    ``order``, written one after the other as one file each, so that a file
-    stream (modification-time order) sees them in ``order``."""
-    bounds = df.agg(F.min(order), F.max(order)).first()
-    lo, hi = int(bounds[0]), int(bounds[1])
+def write_ordered_files(df: DataFrame, root: str, order: str, n_files: int = 4,
+                        max_rows_per_file: int = 1_000_000) -> list[str]:
+    """Replay helper: cut a table into parts by ranges of ``order`` and write
+    them one after the other, one file each, so that a file stream
+    (modification-time order) sees them in ``order``. The number of parts
+    grows with the table (at most ``max_rows_per_file`` rows per part, so no
+    part puts more than that into one task)."""
+    stats = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()  # three scalars
+    lo, hi, rows = int(stats[0]), int(stats[1]), int(stats[2])
+    n_files = max(n_files, -(-rows // max_rows_per_file))
     step = max(1, -(-(hi - lo + 1) // n_files))
     paths = []
     for i in range(n_files):
