@@ -13,7 +13,7 @@ from quillspark.functions.text import ids_fingerprint
 from quillspark.operators import corpus as C
 from quillspark.plans import corpus_plan as CP
 from quillspark.plans.sqlparts import P, encode, fingerprint, vocab_cte
-from quillspark.session import table
+from quillspark.session import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -532,7 +532,9 @@ SELECT dataset, split, chunk_id,
        {fingerprint(f's[chunk_id * {STREAM_CHUNK} + 1 : (chunk_id + 1) * {STREAM_CHUNK}]')} AS tokens_md5
 FROM ch""")
 def q_sink_token_stream(spark, sf):
-    ch = _streams(spark, sf)
+    from quillspark.sources.sinks import sink_token_stream
+    p = sink_token_stream(_streams(spark, sf), scratch_path(spark, "token-stream"))
+    ch = spark.read.parquet(p)  # partition columns come back from the directories
     return ch.select("dataset", "split", "chunk_id",
                      F.size("tokens").cast("bigint").alias("n_tokens"),
                      ids_fingerprint("tokens").alias("tokens_md5"))
@@ -542,7 +544,9 @@ def q_sink_token_stream(spark, sf):
 SELECT dataset, split, CAST(len(s) AS BIGINT) AS total_tokens,
        CAST((len(s) + {STREAM_CHUNK} - 1) // {STREAM_CHUNK} AS BIGINT) AS n_chunks FROM streams""")
 def q_scan_token_stream(spark, sf):
-    return K.stream_lengths(_streams(spark, sf), ["dataset", "split"])
+    from quillspark.sources.sinks import sink_token_stream
+    p = sink_token_stream(_streams(spark, sf), scratch_path(spark, "token-stream"))
+    return K.stream_lengths(spark.read.parquet(p), ["dataset", "split"])
 
 
 @register("valid_starts", f"""{_CSTREAM}

@@ -41,9 +41,11 @@ def is_complete(spark: SparkSession, path: str) -> bool:
 
 def sink_token_stream(chunks: DataFrame, path: str, keys=("dataset", "split"),
                       mode: str = "overwrite") -> str:
-    """A10: the chunk table partitioned by stream and sorted by chunk id
-    within each file (Parquet min/max stats then skip chunks at read time)."""
-    (chunks.repartition(*keys).sortWithinPartitions(*keys, "chunk_id")
+    """A10: the chunk table in one directory per stream. Rows are range
+    partitioned on ``(keys, chunk_id)`` — a large stream is spread over many
+    tasks, each writing a contiguous run of chunks — and sorted within each
+    file, so Parquet min/max statistics skip chunks at read time."""
+    (chunks.repartitionByRange(*keys, "chunk_id").sortWithinPartitions(*keys, "chunk_id")
      .write.mode(mode).partitionBy(*keys).parquet(path))
     return path
 
