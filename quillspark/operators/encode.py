@@ -57,6 +57,9 @@ def piece_counts(df: DataFrame, col: str) -> DataFrame:
     """``piece, n``: piece counts of every Arrow batch (map-side
     pre-aggregation: hot pieces leave each task once per batch), to be
     summed by a ``groupBy(piece)``."""
+    from quillspark.session import ship_package
+    ship_package(df.sparkSession)
+
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -103,6 +106,8 @@ class Encoder:
         return self.table
 
     def _broadcast(self, spark):
+        from quillspark.session import ship_package
+        ship_package(spark)
         if self._bc is None:
             self._bc = spark.sparkContext.broadcast(self.pieces)
         return self._bc
@@ -302,6 +307,8 @@ class PandasEncoder:
 
     def encode(self, df: DataFrame, col: str = "text", out: str = "ids") -> DataFrame:
         from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+        from quillspark.session import ship_package
+        ship_package(df.sparkSession)
         factory = self.factory
         schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(IntegerType()))])
 

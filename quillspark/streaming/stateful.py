@@ -44,6 +44,8 @@ def stream_budget(stream: DataFrame, max_tokens: int | None, val_every: int = 10
     """S1 + S2: admit documents until the per-dataset budget closes (it stays
     closed), and assign the every-Nth val split, from a stream of
     ``dataset, pos, est`` rows."""
+    from quillspark.session import ship_package
+    ship_package(stream.sparkSession)
     return stream.groupBy("dataset").applyInPandasWithState(
         _budget_fn(max_tokens, val_every), BUDGET_OUT, BUDGET_STATE, "append",
         GroupStateTimeout.NoTimeout)
@@ -84,6 +86,8 @@ def _run_fn():
 def stream_run_metrics(stream: DataFrame) -> DataFrame:
     """Per run (``event_type``) the step number and best-so-far flags
     (E8) over a stream of metric events."""
+    from quillspark.session import ship_package
+    ship_package(stream.sparkSession)
     s = stream.select(F.col("event_type").alias("run"), "event_id", "ts",
                       F.col("value").alias("loss"))
     return s.groupBy("run").applyInPandasWithState(
