@@ -1240,9 +1240,6 @@ def _sft_examples(spark, sf):
     return _flagged(spark, sf).filter("taken").select("dataset", "pos", "ids", "mask")
 
 
-_TAKEN = f"{_TOK}\n"
-
-
 @register("truncate_right", f"""{_TOK}
 SELECT dataset, pos, {fingerprint('ids[1:128]')} AS ids_md5, {fingerprint('mask[1:128]')} AS mask_md5 FROM taken""")
 def q_truncate_right(spark, sf):

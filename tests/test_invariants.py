@@ -81,3 +81,16 @@ def test_run_stream_equals_batch(spark):
     s = R.q_stream_run_metrics(spark, SF_SMALL)
     b = R.q_best_so_far(spark, SF_SMALL)
     assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+
+
+def test_budget_is_tight(spark):
+    """Admitted tokens <= budget, and the next document would pass it."""
+    from quillspark.operators import corpus as C
+    docs = C.with_estimate(C.filter_nonempty(C.corpus_from_documents(table(spark, SF_SMALL, "documents"))))
+    budget = 3000
+    adm = C.token_budget(docs, budget, bucket_width=7)
+    last = adm.groupBy("dataset").agg(F.max("pos").alias("last"), F.max("cum_tokens").alias("cum"))
+    assert last.filter(F.col("cum") > budget).count() == 0
+    nxt = docs.join(last, "dataset").filter(F.col("pos") > F.col("last")) \
+        .groupBy("dataset", "cum").agg(F.min_by("est", "pos").alias("next_est"))
+    assert nxt.filter(F.col("cum") + F.col("next_est") <= budget).count() == 0
