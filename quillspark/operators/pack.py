@@ -110,9 +110,16 @@ def fetch_windows(windows: DataFrame, chunks: DataFrame, keys, start: str, lengt
     w = w.withColumn("chunk_id", F.explode(F.sequence(
         F.floor(F.col("_ws") / C), F.floor((F.col("_ws") + length - 1) / C))))
     per_window = 1 + -(-length // chunk_size)
+    ch = chunks.select(*keys, "chunk_id", *cols)
     if windows_bound is not None and windows_bound * per_window <= max_rows:
+        # The chunk ids a bounded plan touches (at most bound x per_window
+        # values) become a literal filter that reaches the Parquet scan:
+        # row groups of a chunk table clustered by chunk id are skipped, so
+        # fetching windows does not read the whole stream.
+        need = w.select("chunk_id").distinct().collect()
+        ch = ch.filter(F.col("chunk_id").isin([r[0] for r in need]))
         w = F.broadcast(w)
-    j = w.join(chunks.select(*keys, "chunk_id", *cols), keys + ["chunk_id"])
+    j = w.join(ch, keys + ["chunk_id"])
     g = j.groupBy(*keys, wid, "_ws").agg(F.array_sort(F.collect_list(
         F.struct("chunk_id", *cols))).alias("_cs"))
     first = F.col("_cs")[0]["chunk_id"]

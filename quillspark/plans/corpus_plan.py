@@ -57,5 +57,5 @@ def corpus_streams(encoded: DataFrame, chunk_size: int = 1 << 16,
     ch = chunk_table(offs, ["dataset", "split"], "start", ("ids",), chunk_size)
     if materialize:
         from quillspark.session import materialize as mat
-        ch = mat(ch, "corpus-streams")
+        ch = mat(ch, "corpus-streams", cluster_by=["dataset", "split", "chunk_id"])
     return ch

@@ -1404,7 +1404,8 @@ SELECT rank || ':' || step || ':' || micro || ':' || slot AS wid, CAST(i AS BIGI
 FROM pick, st""")
 def q_sample_windows_masked(spark, sf):
     from quillspark.session import materialize
-    ch = materialize(SP.sft_stream(_split(spark, sf), SFT_CHUNK), "sft-chunks")
+    ch = materialize(SP.sft_stream(_split(spark, sf), SFT_CHUNK), "sft-chunks",
+                     cluster_by=["split", "chunk_id"])
     w = S.sample_windows_masked(S.step_plan(spark, **PLAN), ch, {"split": "train"}, BLOCK,
                                 chunk_size=SFT_CHUNK, plan_rows=_PLAN_ROWS)
     return w.select("wid", "start", "fully_masked", F.col("trainable").cast("bigint").alias("trainable"),

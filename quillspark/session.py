@@ -80,13 +80,19 @@ def spread_scan(df: DataFrame) -> DataFrame:
     return df
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, cluster_by=None) -> DataFrame:
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: a stage boundary that cuts lineage (recovery after executor
     loss restarts from the table, not from the raw corpus) and lets several
-    consumers share one computation with pushdown and column pruning."""
+    consumers share one computation with pushdown and column pruning.
+
+    ``cluster_by``: range-partition and sort the rows on these columns first,
+    so that each file holds a contiguous key range and Parquet min/max
+    statistics let point lookups (``isin`` filters) skip row groups."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if cluster_by:
+        df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
