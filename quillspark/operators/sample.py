@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import hash64
 from quillspark.operators.ordered import DEFAULT_BUCKET_WIDTH, running_sums
 from quillspark.operators.pack import DEFAULT_CHUNK, fetch_windows, valid_starts
-from quillspark.operators.joins import range_lookup
+from quillspark.operators.joins import BROADCAST_MAX_ROWS, range_lookup
 
 HASH_SPACE = 1 << 60
 SHUFFLE_BUCKET = 1 << 44  # 65,536 buckets over the 60-bit hash space
@@ -107,13 +107,18 @@ def chunk_mask_offsets(chunks: DataFrame, keys) -> DataFrame:
 
 
 def mask_prefix_at(points: DataFrame, chunks: DataFrame, offsets: DataFrame, keys, pos: str,
-                   chunk_size: int = DEFAULT_CHUNK) -> DataFrame:
+                   chunk_size: int = DEFAULT_CHUNK, points_bound: int | None = None) -> DataFrame:
     """``<pos>_ones``: mask ones strictly before stream position ``pos``
     (chunk offset + a partial sum inside one chunk; ``pos`` is at most the
-    stream length)."""
+    stream length). With ``points_bound`` (a bounded plan) the chunk ids the
+    points touch are pushed into the chunk scan as an ``IN`` filter."""
     keys = list(keys)
     p = points.withColumn("_cid", F.floor(F.col(pos) / chunk_size).cast("bigint"))
     cm = chunks.select(*keys, F.col("chunk_id").alias("_cid"), "mask")
+    if points_bound is not None and points_bound <= BROADCAST_MAX_ROWS:
+        need = [r[0] for r in p.select("_cid").distinct().collect()]  # <= points_bound ids
+        cm = cm.filter(F.col("_cid").isin(need))
+        p = F.broadcast(p)
     of = offsets.select(*keys, F.col("chunk_id").alias("_cid"), "_before")
     j = p.join(of, keys + ["_cid"], "left").join(cm, keys + ["_cid"], "left")
     inside = (F.col(pos) - F.col("_cid") * chunk_size).cast("int")
@@ -155,8 +160,9 @@ def sample_windows_masked(plan: DataFrame, chunks: DataFrame, stream: dict, bloc
     cand = cand.withColumn("i", _draw(seed, *coords, "cand") % F.lit(n_valid))
     cand = cand.withColumn("a", F.col("i") + 1).withColumn("b", F.col("i") + block_size + 1)
     offs = chunk_mask_offsets(ch, keys)
-    cand = mask_prefix_at(cand, ch, offs, keys, "a", chunk_size)
-    cand = mask_prefix_at(cand, ch, offs, keys, "b", chunk_size)
+    nb = None if plan_rows is None else plan_rows * (N_REDRAWS + 1)
+    cand = mask_prefix_at(cand, ch, offs, keys, "a", chunk_size, nb)
+    cand = mask_prefix_at(cand, ch, offs, keys, "b", chunk_size, nb)
     cand = cand.withColumn("trainable", F.col("b_ones") - F.col("a_ones"))
     first_ok = cand.filter((F.col("trainable") > 0) & (F.col("cand") < N_REDRAWS)) \
         .groupBy("wid").agg(F.min("cand").alias("_k"))
