@@ -58,16 +58,20 @@ def chunk_table(docs: DataFrame, keys, start: str = "start", cols=("ids",),
         for i, c in enumerate(cols)])
     g = d.select(*keys, "chunk_id", piece.alias("_piece")).groupBy(*keys, "chunk_id").agg(
         F.array_sort(F.collect_list("_piece")).alias("_ps"))
-    return g.select(*keys, "chunk_id", *[
+    out = g.select(*keys, "chunk_id", *[
         F.flatten(F.transform("_ps", _field(f"p{i}"))).alias(nm)
         for i, nm in enumerate(names)])
+    # The length as its own column: stream totals then read 4 bytes per
+    # chunk instead of the token arrays.
+    return out.withColumn("n_tokens", F.size(names[0]).cast("int"))
 
 
 def stream_lengths(chunks: DataFrame, keys, tokens: str = "tokens",
                    mask: str | None = None) -> DataFrame:
     """Total tokens per stream (and trainable tokens); asserts that tokens
     and mask have equal length in every chunk."""
-    aggs = [F.sum(F.size(tokens)).cast("bigint").alias("total_tokens"),
+    n = F.col("n_tokens") if "n_tokens" in chunks.columns else F.size(tokens)
+    aggs = [F.sum(n).cast("bigint").alias("total_tokens"),
             F.count(F.lit(1)).cast("bigint").alias("n_chunks")]
     if mask:
         aggs.append(F.sum(F.aggregate(mask, F.lit(0).cast("bigint"), lambda a, x: a + x))

@@ -148,7 +148,8 @@ def sample_windows_masked(plan: DataFrame, chunks: DataFrame, stream: dict, bloc
     for k, v in stream.items():
         sel = sel & (F.col(k) == F.lit(v))
     ch = chunks.filter(sel)
-    total_tokens = ch.agg(F.sum(F.size("tokens"))).scalar()  # scalar subquery
+    n = F.col("n_tokens") if "n_tokens" in ch.columns else F.size("tokens")
+    total_tokens = ch.agg(F.sum(n)).scalar()  # scalar subquery
     n_valid = F.when(F.coalesce(total_tokens, F.lit(0)) - block_size > 0,
                      total_tokens - block_size).otherwise(F.raise_error(F.lit(
                          f"stream too small for block_size={block_size}"))).cast("bigint")

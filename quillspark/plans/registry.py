@@ -605,7 +605,9 @@ def _segments(spark, sf):
     lengths = K.stream_lengths(ch, ["dataset", "split"])
     seg = S.sample_segments(lengths, ["dataset", "split"], N_SEGMENTS, SEG_LEN)
     seg = seg.withColumn("wid", F.concat_ws(":", "dataset", "split", "sample"))
-    got = K.fetch_windows(seg, ch, ["dataset", "split"], "start", SEG_LEN, STREAM_CHUNK)
+    n_seg = seg.count()  # samples x streams: one small aggregate pass
+    got = K.fetch_windows(seg, ch, ["dataset", "split"], "start", SEG_LEN, STREAM_CHUNK,
+                          windows_bound=n_seg)
     return seg.join(got.drop("start"), ["dataset", "split", "wid"])
 
 
