@@ -1193,7 +1193,7 @@ def q_sink_manifest(spark, sf):
     st = H.split_stats(_split(spark, sf))
     rows = {r["split"]: {"tokens": r["tokens"], "trainable_tokens": r["trainable_tokens"],
                          "examples": r["examples"]} for r in st.collect()}  # 2 rows
-    man = {"tokenizer": "built-in pieces", "chat_format": "mistral_inst",
+    man = {"tokenizer": "built-in pieces", "chat_format": "inst_tags",
            "max_tokens_per_conversation": H.MAX_TOKENS_PER_CONVERSATION, "seed": H.SFT_SEED,
            "datasets": H.dataset_counts(None, SFT_LIMIT), **rows}
     p = Z.sink_manifest(spark, man, scratch_path(spark, "manifest-json"))
