@@ -14,6 +14,8 @@ from quillspark.functions.text import py_strip
 from quillspark.operators.encode import BOS_ID, EOS_ID
 from quillspark.operators.ordered import DEFAULT_BUCKET_WIDTH, running_sums
 
+# Conversation length limit (skip, never truncate) and the
+# shuffle seed.
 MAX_TOKENS_PER_CONVERSATION = 2048
 SFT_SEED = 1337
 

@@ -14,6 +14,7 @@ from quillspark.operators.ngram import token_pairs
 from quillspark.operators.ordered import running_sums
 from quillspark.session import materialize
 
+# Scoring context length.
 MAX_LENGTH = 2048
 
 # Task suites.
@@ -236,6 +237,7 @@ def example_details(scores: DataFrame, cands: DataFrame, results: DataFrame) ->
 
 
 # ---------------------------------------------------------------- text answers
+# Answer patterns (digits as [0-9] so Java regex and RE2 agree).
 GOLD_NUMBER = r"####\s*(-?[0-9]+(?:,?[0-9]+)*)"
 PRED_NUMBER = r"(-?[0-9]+(?:,?[0-9]+)*)"
 
