@@ -187,14 +187,6 @@ class JoinEncoder:
         return _specials(d, out, add_bos, add_eos)
 
 
-def _pieces_of(expr: Column, df: DataFrame) -> Column:
-    """``pieces`` of a string column, or of each element of an array column."""
-    probe = df.select(expr.alias("__probe")).schema["__probe"].dataType
-    if probe.typeName() == "array":
-        return F.transform(expr, lambda t: pieces(t))
-    return pieces(expr)
-
-
 def pa_schema(spark_schema):
     from pyspark.sql.pandas.types import to_arrow_schema
     return to_arrow_schema(spark_schema)
