@@ -217,9 +217,11 @@ def merge_system(col: str = "messages") -> Column:
         F.when(F.coalesce(can_merge, F.lit(False)), merged).otherwise(rest)).otherwise(m)
 
 
-def format_prompt(col: str = "messages") -> Column:
-    """H7: ``[INST] {user} [/INST]`` and `` {assistant}</s>``, joined, no BOS."""
-    m = merge_system(col)
+def format_prompt(col: str = "messages", merge: bool = True) -> Column:
+    """H7: ``[INST] {user} [/INST]`` and `` {assistant}</s>``, joined, no BOS.
+    ``merge=False`` renders turn-wise without folding the system text in
+    (system turns then contribute nothing)."""
+    m = merge_system(col) if merge else F.col(col)
     return F.array_join(F.transform(m, lambda x: F.when(
         x["role"] == "user", F.concat(F.lit("[INST] "), py_strip(x["content"]), F.lit(" [/INST]")))
         .when(x["role"] == "assistant", F.concat(F.lit(" "), py_strip(x["content"]), F.lit("</s>")))

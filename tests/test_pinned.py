@@ -52,3 +52,9 @@ def test_budget_sf01(spark):
     got = _docs_tokens(C.token_budget(_corpus(spark, "/root/testdata/sf0.1"), 100_000,
                                       bucket_width=500))
     assert got == (3_097, 1_988_817)
+
+
+def test_turnwise_chat_text_chars(spark):
+    m = H.as_messages(H.collect_turns(table(spark, SF_CHECK, "conversations")))
+    total = m.select(F.sum(F.length(H.format_prompt("messages", merge=False)))).first()[0]
+    assert total == 284_943
