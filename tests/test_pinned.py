@@ -58,3 +58,17 @@ def test_turnwise_chat_text_chars(spark):
     m = H.as_messages(H.collect_turns(table(spark, SF_CHECK, "conversations")))
     total = m.select(F.sum(F.length(H.format_prompt("messages", merge=False)))).first()[0]
     assert total == 284_943
+
+
+def test_encoder_piece_total(spark):
+    from quillspark.functions.text import pieces
+    from quillspark.operators.encode import piece_counts
+    docs = table(spark, SF_CHECK, "documents")
+    assert piece_counts(docs, "text").agg(F.sum("n")).first()[0] == 497_333
+    assert docs.select(F.sum(F.size(pieces("text")))).first()[0] == 497_333
+
+
+def test_role_counts(spark):
+    c = table(spark, SF_CHECK, "conversations")
+    got = {r.role: r.n for r in c.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {"user": 279, "assistant": 233, "system": 24}
