@@ -27,9 +27,36 @@ def token_pairs(df: DataFrame, ids: str = "ids", keys=()) -> DataFrame:
 
 
 def fit_ngram(encoded: DataFrame, ids: str = "ids") -> DataFrame:
-    """K0: bigram counts ``prev, token, count`` (partially aggregated)."""
-    return token_pairs(encoded, ids).groupBy("prev", "token").agg(
-        F.count(F.lit(1)).cast("bigint").alias("count"))
+    """K0: bigram counts ``prev, token, count``.
+
+    Each Arrow batch counts its own adjacent pairs with numpy (no per-token
+    rows leave the task, hot bigrams are combined at the source); the
+    ``groupBy`` then sums the per-batch counts."""
+    from quillspark.session import ship_package
+    ship_package(encoded.sparkSession)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            arr = b.column(0)
+            offs = np.asarray(arr.offsets, dtype=np.int64)
+            v = np.asarray(arr.values, dtype=np.int64)[offs[0]:offs[-1]]
+            if len(v) < 2:
+                continue
+            keep = np.ones(len(v) - 1, dtype=bool)
+            starts = offs[1:-1] - offs[0]  # where a new row begins
+            starts = starts[(starts > 0) & (starts < len(v))]
+            keep[starts - 1] = False
+            code = (v[:-1][keep] << 32) | v[1:][keep]
+            if len(code) == 0:
+                continue
+            u, c = np.unique(code, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((u >> 32).astype(np.int32)), pa.array((u & 0xFFFFFFFF).astype(np.int32)),
+                 pa.array(c.astype(np.int64))], names=["prev", "token", "n"])
+    pairs = encoded.select(ids).mapInArrow(run, "prev int, token int, n long")
+    return pairs.groupBy("prev", "token").agg(F.sum("n").cast("bigint").alias("count"))
 
 
 class BigramScorer:
