@@ -212,7 +212,7 @@ _ENCODERS: dict = {}
 
 def _encoder(spark, sf):
     """The corpus encoder, fitted once per (session, tables)."""
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _ENCODERS:
         _ENCODERS[key] = CP.corpus_encoder(_docs(spark, sf))
     return _ENCODERS[key]
@@ -676,7 +676,7 @@ _SCORERS: dict = {}
 
 
 def _scorer(spark, sf):
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _SCORERS:
         _SCORERS[key] = EP.bigram_model(_docs(spark, sf), _encoder(spark, sf))
     return _SCORERS[key]
