@@ -558,12 +558,26 @@ def q_valid_starts(spark, sf):
         F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
 
 
-@register("step_plan", f"""{_CSTREAM}
-SELECT rank, step, micro, slot, {sql_hash64("'42'", 'rank', 'step', 'micro', 'slot')} AS draw FROM plan""")
+_EPOCH_TOKENS_PER_STEP = PLAN["world"] * PLAN["micro"] * PLAN["batch"] * BLOCK
+
+
+@register("step_plan", f"""{_CSTREAM},
+nsteps AS (SELECT CAST(greatest(1, ceil(sum(len(s)) / {_EPOCH_TOKENS_PER_STEP})) AS BIGINT) AS n FROM streams WHERE split = 'train'),
+eplan AS (SELECT CAST(id // {PLAN['batch'] * PLAN['micro']} // nsteps.n AS INTEGER) AS rank,
+                 CAST((id // {PLAN['batch'] * PLAN['micro']}) % nsteps.n AS BIGINT) AS step,
+                 CAST((id // {PLAN['batch']}) % {PLAN['micro']} AS INTEGER) AS micro,
+                 CAST(id % {PLAN['batch']} AS INTEGER) AS slot
+          FROM nsteps, range(nsteps.n * {PLAN['world'] * PLAN['micro'] * PLAN['batch']}) r(id))
+SELECT rank, step, micro, slot, {sql_hash64("'42'", 'rank', 'step', 'micro', 'slot')} AS draw FROM eplan""")
 def q_step_plan(spark, sf):
+    """F7 for one epoch of the train streams: steps = ceil(train tokens /
+    tokens per step); every (rank, step, micro, slot) draw is a pure function
+    of its coordinates."""
     from quillspark.functions.text import hash64
-    # Plan rows grow with nothing but the plan; the draw key is what matters.
-    p = S.step_plan(spark, **PLAN)
+    ch, lengths = _train_lengths(spark, sf)
+    total = lengths.agg(F.sum("total_tokens")).first()[0] or 0  # one scalar
+    steps = max(1, -(-int(total) // _EPOCH_TOKENS_PER_STEP))
+    p = S.step_plan(spark, PLAN["world"], steps, PLAN["micro"], PLAN["batch"])
     return p.withColumn("draw", hash64(F.lit(S.TRAIN_SEED), "rank", "step", "micro", "slot"))
 
 
