@@ -41,11 +41,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    Read ``spark.checkpoint.dir`` from the session; only when it is unset (as in
-    local tests) create a scratch folder and register it.
+    Read ``spark.checkpoint.dir`` from the session; only a local session (one
+    machine, as in tests) may go without it and gets a scratch folder. On a
+    cluster a machine's own folder would be invisible to the other executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on master {master}")
         d = tempfile.mkdtemp(prefix="quillspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
