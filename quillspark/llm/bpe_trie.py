@@ -32,6 +32,8 @@ from quillspark.llm.common import map_arrow
 from quillspark.llm.pretok import CachedEncoder, byte_chars, encode_in_slices, load_tokenizer
 
 _NEVER = 1 << 60
+#: Neighbouring tokens whose border a worker remembers.
+KNOWN_PAIRS = 200_000
 
 
 class TrieBpe:
@@ -81,8 +83,9 @@ class TrieBpe:
         key = (left, right)
         found = self.apart.get(key)
         if found is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > KNOWN_PAIRS:
                 self.apart.clear()
+                self.spines.clear()
             found = self.apart[key] = self._first_merge(left, right) == _NEVER
         return found
 

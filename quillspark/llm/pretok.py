@@ -31,7 +31,7 @@ SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
 #: Characters of text cut at once, and words kept in a worker's cache.
 SLICE_CHARS = 1 << 21
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 def slices(lengths: Sequence[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
