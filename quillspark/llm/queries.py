@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_trie, dac, packing, simhash, toxicity
+from quillspark.llm import bpe_trie, dac, packing, quality, simhash, toxicity
 from quillspark.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,3 +64,49 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(docs, toxicity.fit(docs, labels))
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                       F.expr("cast(score >= 0.5 as int)").alias("predicted"))
+
+
+def _quality_sql() -> str:
+    case = "case " + " ".join(f"when n_words < {n} then {i}" for i, n in enumerate(quality.STRATA)) + f" else {len(quality.STRATA)} end"
+    n_tests = len(quality.RULES) * (len(quality.STRATA) + 1)
+    rate = f"({quality.MAX_RATE}::double / {len(quality.RULES)})"
+    steps = []
+    for i, (r, (value, cuts)) in enumerate(quality.RULES.items()):
+        v = value.replace("/", "::double /")
+        places = ", ".join(f"({j + 1}, {c}::double)" for j, c in enumerate(cuts))
+        steps.append(f"""
+tests{i} as (select stratum, place, cutoff, count(*) filter (where good = 1) as n, count(*) filter (where {v} >= cutoff and good = 1) as k,
+                count(*) filter (where {v} >= cutoff and good <> 1) as bad
+            from left{i} cross join (values {places}) c(place, cutoff) group by all),
+passed{i} as (select *, case when k < n * {rate} then list_sum(list_transform(range(0, k + 1), lambda i: exp(
+                 lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) <= {quality.ERROR} / {n_tests}
+                 else false end as ok from tests{i}),
+chosen{i} as (select stratum, arg_max(cutoff, (gain, -place)) as _{r} from (
+                select *, min(ok::int) over (partition by stratum order by place) as all_ok, bad - {quality.GOOD_COST} * k as gain from passed{i})
+              where all_ok = 1 and gain > 0 group by stratum),
+left{i + 1} as (select l.* from left{i} l left join chosen{i} using (stratum) where coalesce({v} < _{r}, true)),""")
+    joins = " ".join(f"left join chosen{i} using (stratum)" for i in range(len(quality.RULES)))
+    broken = " or ".join(f"coalesce(({v.replace('/', '::double /')}) >= _{r}, false)" for r, (v, _) in quality.RULES.items())
+    return f"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w, coalesce(text, '') as text,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l from documents),
+grams as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+places as (select doc_id, i, count(*) over (partition by doc_id, g) as c from grams),
+rep as (select doc_id, sum(least(3, coalesce(i - before, 3))) as n from (
+          select doc_id, i, lag(i) over (partition by doc_id order by i) as before from places where c > 1) group by doc_id),
+counts as (select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+                  len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, len(l)::bigint as n_lines,
+                  (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+           from w left join rep on w.doc_id = rep.doc_id),
+stats as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, {case} as stratum from counts),
+lab as (select doc_id, max(quality) as good from labels where quality is not null group by doc_id),
+left0 as (select s.*, lab.good from stats s join lab on s.doc_id = lab.doc_id where not base_failed),
+{"".join(steps).rstrip(",")}
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       case when base_failed then false else not ({broken}) end as kept from stats {joins}"""
+
+
+@query("op8_quality_rules", _quality_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
