@@ -147,7 +147,34 @@ def trie_encoder(path: str) -> CachedEncoder:
     return _TRIES[path]
 
 
-def _encode(path: str, text: str):
+_STRINGS: dict = {}
+
+
+def _token_strings(path: str):
+    if path not in _STRINGS:
+        tok = load_tokenizer(path)
+        by_id = {i: t for t, i in tok.get_vocab(with_added_tokens=True).items()}
+        _STRINGS[path] = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string()), tok.decoder is None, tok
+    return _STRINGS[path]
+
+
+def decode_lists(path: str, lists: pa.ListArray) -> pa.Array:
+    """The text of each list of ids; ids outside the vocabulary are left out."""
+    strings, plain, tok = _token_strings(path)
+    if not plain:
+        return pa.array(tok.decode_batch([x or [] for x in lists.to_pylist()], skip_special_tokens=False), pa.string())
+    # without a decoder the library joins tokens by a space
+    ids = lists.flatten()
+    known = pc.if_else(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(strings))), ids, None)
+    tokens = strings.take(known)
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    if tokens.null_count:
+        kept = np.append(0, np.cumsum(tokens.is_valid().to_numpy(zero_copy_only=False)))
+        offsets, tokens = kept[offsets], tokens.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
+
+
+def _encode(path: str, text: str, decoded: bool):
     def run(batches):
         encoder = trie_encoder(path)
         for batch in batches:
@@ -156,45 +183,27 @@ def _encode(path: str, text: str):
             for a, b, ids, counts in encode_in_slices(encoder, column.to_pylist()):
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(ids, pa.int32()))
                 part = rest.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "ids"])
+                more = [decode_lists(path, lists)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names=[*part.schema.names, "ids", *["decoded"] * decoded])
     return run
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """``df`` without its text column and with ``ids array<int>``."""
-    rest = df.drop("ids").withColumn(text, F.col(text).cast("string"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema if f.name != text)
-    return map_arrow(rest, _encode(tokenizer, text), f"{fields}{', ' * bool(fields)}ids array<int>")
+def _fields(df: DataFrame, *without: str) -> str:
+    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema if f.name not in without)
 
 
-_STRINGS: dict = {}
-
-
-def _token_strings(path: str):
-    if path not in _STRINGS:
-        tok = load_tokenizer(path)
-        by_id = {i: t for t, i in tok.get_vocab(with_added_tokens=True).items()}
-        _STRINGS[path] = pa.array([by_id.get(i) for i in range(max(by_id) + 1)], pa.string()), tok.decoder is None, tok
-    return _STRINGS[path]
+def encode(df: DataFrame, tokenizer: str, text: str = "text", decoded: bool = False) -> DataFrame:
+    """``df`` without its text column and with ``ids array<int>``, and on
+    request with ``decoded``, what :func:`decode` gives for these ids."""
+    rest = df.drop("ids", *["decoded"] * decoded).withColumn(text, F.col(text).cast("string"))
+    return map_arrow(rest, _encode(tokenizer, text, decoded), _fields(rest, text) + "ids array<int>" + ", decoded string" * decoded)
 
 
 def _decode(path: str):
     def run(batches):
-        strings, plain, tok = _token_strings(path)
         for batch in batches:
-            lists = batch.column("ids")
-            if plain:  # without a decoder the library joins tokens by a space
-                ids = lists.flatten()
-                known = pc.if_else(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(strings))), ids, None)
-                tokens = strings.take(known)
-                offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                if tokens.null_count:  # ids outside the vocabulary are left out
-                    kept = np.append(0, np.cumsum(tokens.is_valid().to_numpy(zero_copy_only=False)))
-                    offsets, tokens = kept[offsets], tokens.drop_null()
-                text = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens), " ")
-            else:
-                text = pa.array(tok.decode_batch([x or [] for x in lists.to_pylist()], skip_special_tokens=False), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode_lists(path, batch.column("ids"))],
+                                             names=[*batch.schema.names, "decoded"])
     return run
 
 
@@ -202,5 +211,4 @@ def decode(df: DataFrame, tokenizer: str) -> DataFrame:
     """``df`` with ``decoded``: the text of its ``ids``, special tokens included
     (null ids: empty text; ids outside the vocabulary are left out)."""
     rest = df.drop("decoded").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return map_arrow(rest, _decode(tokenizer), f"{fields}, decoded string")
+    return map_arrow(rest, _decode(tokenizer), _fields(rest) + "decoded string")

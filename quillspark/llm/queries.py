@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_trie, dac, packing, quality, simhash, toxicity
+from quillspark.llm import bpe_trie, chat_format, dac, fingerprints, packing, quality, simhash, toxicity
 from quillspark.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,36 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _chat_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def escaped(x: str) -> str:
+        x = f"replace({x}, {quote(chat_format.ESCAPE)}, {quote(chat_format.ESCAPE + '0')})"
+        for mark, code in zip(chat_format.CONTROL, "abcdefghijkl", strict=True):
+            x = f"replace({x}, {quote(mark)}, {quote(chat_format.ESCAPE + code)})"
+        return x
+
+    marks = len(chat_format.TURN) + 1 + len(chat_format.END)
+    return f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*)::bigint as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length(replace({escaped("role")}, chr(10), {quote(chat_format.ESCAPE + "n")})) + length({escaped("text")}) + {marks})::bigint as formatted_chars
+from t group by conv_id"""
+
+
+@query("op2_chat_formatting", _chat_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.sql("""select * from values (-7L, 0L, 'user', '</s>[INST] ok [/INST]'),
+                       (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)""")
+    log = chat_format.conversation_log(conversations.unionByName(own))
+    return chat_format.digests(chat_format.format_conversations(log))
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, max_tokens=1024)
@@ -40,12 +70,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_bpe_trie")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_trie.decode(bpe_trie.encode(documents(table(spark, sf_dir, "documents")), WORD_BPE), WORD_BPE)
+    out = bpe_trie.encode(documents(table(spark, sf_dir, "documents")), WORD_BPE, decoded=True)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_multiset_fingerprints")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
