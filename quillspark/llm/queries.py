@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_trie, chat_format, dac, fingerprints, packing, quality, simhash, toxicity
+from quillspark.llm import bpe_trie, chat_format, dac, fingerprints, packing, quality, simhash, toxicity, url_filter
+from quillspark.functions.text import hash64
 from quillspark.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +28,74 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_URL_SQL = r"""
+with url as (select page_id, coalesce(url, '') as url, regexp_extract(url, '{U}', ['host', 'path', 'query']) as u,
+                    date '2024-01-01' + (abs(page_id) * 37 % 360)::int as fetched from pages),
+captures as (select page_id, url, fetched, lower(u.host) as host, u.path as path, u.query as query from url),
+sites as (select distinct host, ('0x' || substr(md5(host), 1, 15))::bigint as h, array_to_string(string_split(host, '.')[2:], '.') as domain from captures where host <> ''),
+domains as (select distinct domain, ('0x' || substr(md5(domain), 1, 15))::bigint as h from sites where domain <> ''),
+entries as (
+  select 'host' as kind, host as key, 'spam' as category, 'block' as verdict, date '2024-01-01' + (h % 200)::int as listed, 'add' as action from sites where h % 3 = 0
+  union all select 'host', host, 'spam', 'block', date '2024-01-01' + (h % 200 + 30 + h % 90)::int, 'remove' from sites where h % 6 = 0
+  union all select 'host', host, 'spam', 'block', date '2024-01-01' + (h % 200 + 150)::int, 'add' from sites where h % 12 = 0
+  union all select 'domain', domain, 'adult', 'block', date '2024-01-01' + (h % 300)::int, 'add' from domains where h % 5 = 0
+  union all select 'url', host || path || query, 'reviewed', 'allow', fetched - (page_id % 60)::int, 'add' from captures where host <> '' and page_id % 11 = 0
+  union all select 'url', host || path || query, 'reviewed', 'allow', fetched + (page_id % 3)::int, 'remove' from captures where host <> '' and page_id % 22 = 0
+  union all select 'prefix', host || '/' || string_split(path, '/')[2] || '/', 'section', 'block', date '2024-03-01' + (page_id % 90)::int, 'add'
+    from captures where host <> '' and page_id % 17 = 0 and len(string_split(path, '/')) > 2),
+days as (select kind, key, category, listed, min((action = 'add')::int) as added, max(verdict) filter (where action = 'add') as verdict
+         from entries where key is not null and listed is not null group by all),
+valid as (select kind, key, category, verdict, listed as valid_from, valid_to from (
+            select *, lead(listed) over (partition by kind, key, category order by listed) as valid_to from days) where added = 1),
+keys as (
+  select page_id, url, fetched, 'url' as kind, case when host = '' then url else host || path || query end as key from captures
+  union all select page_id, url, fetched, 'host', host from captures where host <> ''
+  union all select page_id, url, fetched, 'domain', unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))) from captures where host <> ''
+  union all select page_id, url, fetched, 'prefix', unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: host || array_to_string(string_split(path, '/')[1:i], '/') || '/')) from captures where host <> ''),
+hits as (select k.*, v.category, v.verdict, v.valid_from, case k.kind when 'url' then 3 when 'prefix' then 2 when 'host' then 1 else 0 end as r
+         from keys k join valid v on k.kind = v.kind and k.key = v.key and v.valid_from <= k.fetched and (v.valid_to is null or k.fetched < v.valid_to)),
+best as (select *, count(*) over (partition by page_id, url, fetched) as n,
+                row_number() over (partition by page_id, url, fetched order by r desc, length(key) desc, valid_from desc, category) as i from hits)
+select c.page_id, c.fetched, coalesce(b.verdict, 'none') as decision, b.kind, b.key, b.category, b.valid_from as since, coalesce(b.n, 0)::bigint as n_active
+from captures c left join best b on c.page_id = b.page_id and c.url = b.url and c.fetched = b.fetched and b.i = 1"""
+
+
+@query("op1_url_filter", _URL_SQL.replace("{U}", url_filter.URL))
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures are the pages, fetched on a day that their id gives. The list
+    is drawn from their own hosts, domains, sections and URLs, by hash."""
+    day = lambda n, start="2024-01-01": F.date_add(F.lit(start).cast("date"), n.cast("int"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", day(F.abs("page_id") * 37 % 360).alias("fetched"))
+    split = pages.select("id", "fetched", F.lower(F.regexp_extract("url", url_filter.URL, 1)).alias("host"),
+                         F.regexp_extract("url", url_filter.URL, 2).alias("path"), F.regexp_extract("url", url_filter.URL, 3).alias("query")) \
+        .filter("host <> ''")
+    sites = split.select("host").distinct().withColumn("h", hash64("host")).withColumn("domain", F.regexp_extract("host", r"^[^.]*\.(.*)$", 1))
+    domains = sites.select("domain").filter("domain <> ''").distinct().withColumn("h", hash64("domain"))
+    page_key = F.concat("host", "path", "query")
+
+    def entry(df, kind, key, category, verdict, listed, action):
+        return df.select(F.lit(kind).alias("kind"), key.alias("key"), F.lit(category).alias("category"), F.lit(verdict).alias("verdict"),
+                         listed.alias("listed"), F.lit(action).alias("action"))
+
+    h, host = F.col("h"), F.col("host")
+    parts = F.split("path", "/")
+    entries = [
+        entry(sites.filter("h % 3 = 0"), "host", host, "spam", "block", day(h % 200), "add"),
+        entry(sites.filter("h % 6 = 0"), "host", host, "spam", "block", day(h % 200 + 30 + h % 90), "remove"),
+        entry(sites.filter("h % 12 = 0"), "host", host, "spam", "block", day(h % 200 + 150), "add"),
+        entry(domains.filter("h % 5 = 0"), "domain", F.col("domain"), "adult", "block", day(h % 300), "add"),
+        entry(split.filter("id % 11 = 0"), "url", page_key, "reviewed", "allow", F.date_sub("fetched", (F.col("id") % 60).cast("int")), "add"),
+        entry(split.filter("id % 22 = 0"), "url", page_key, "reviewed", "allow", F.date_add("fetched", (F.col("id") % 3).cast("int")), "remove"),
+        entry(split.filter((F.col("id") % 17 == 0) & (F.size(parts) > 2)), "prefix", F.concat(host, F.lit("/"), F.get(parts, F.lit(1)), F.lit("/")),
+              "section", "block", day(F.col("id") % 90, "2024-03-01"), "add"),
+    ]
+    log = entries[0]
+    for e in entries[1:]:
+        log = log.unionByName(e)
+    out = url_filter.evaluate(pages, log)
+    return out.select(F.col("id").alias("page_id"), "fetched", "decision", "kind", "key", "category", "since", "n_active")
+
+
 def _chat_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
