@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 # Endings the pre-tokenizers' patterns split after an apostrophe.
@@ -187,13 +188,8 @@ class CachedEncoder:
         self.lengths = np.concatenate([self.lengths, lens])
         self.flat = np.concatenate([self.flat, np.fromiter((x for w in ids for x in w), np.int32, int(lens.sum()))])
 
-    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and how many each text has."""
-        if self.splitter.words:
-            texts = [self.splitter.normalize(t) for t in texts]
-        pieces, count = self.splitter.split(texts)
-        if not len(pieces):
-            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+    def _look_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each pre-token begin in ``flat``, and how many they are."""
         enc = pieces.dictionary_encode()
         words = enc.dictionary.to_pylist()
         if len(self.codes) + len(words) > CACHE_WORDS:
@@ -202,14 +198,31 @@ class CachedEncoder:
         if new:
             self._learn(new)
         code = np.fromiter(map(self.codes.__getitem__, words), np.int32, len(words))
-        at, lens = self.offsets[code], self.lengths[code]
         here = enc.indices.to_numpy()
-        lens = lens[here]
+        return self.offsets[code][here], self.lengths[code][here]
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, and how many each text has."""
+        if self.splitter.words:
+            texts = [self.splitter.normalize(t) for t in texts]
+        pieces, count = self.splitter.split(texts)
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        start, lens = self._look_up(pieces)
         stop = np.cumsum(lens, dtype=np.int32)
-        ids = self.flat[np.repeat(at[here] - (stop - lens), lens) + np.arange(int(stop[-1]), dtype=np.int32)]
+        ids = self.flat[np.repeat(start - (stop - lens), lens) + np.arange(int(stop[-1]), dtype=np.int32)]
         at = np.append(0, stop)[np.append(0, np.cumsum(count))]
         return ids, np.diff(at)
 
+    def pieces_tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Characters and ids of each pre-token, and how many pre-tokens each
+        text has (byte-level pre-tokens; special tokens are ordinary text)."""
+        pieces, count = self.splitter.split(texts)
+        if not len(pieces):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), count
+        chars = pc.utf8_length(pieces).to_numpy().astype(np.int64)
+        return chars, self._look_up(pieces)[1].astype(np.int64), count
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As :meth:`_encode_plain`, with special tokens' strings as their ids."""
         hit = [i for i, t in enumerate(texts) if self.special and self.special.search(t)]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_trie, chat_format, dac, fingerprints, packing, quality, simhash, toxicity, url_filter
+from quillspark.llm import bpe_trie, chat_format, dac, fingerprints, packing, quality, simhash, token_counts, toxicity, url_filter
 from quillspark.functions.text import hash64
 from quillspark.llm.common import documents, table
 
@@ -139,12 +139,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_bpe_trie")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bpe_trie.encode(documents(table(spark, sf_dir, "documents")), WORD_BPE, decoded=True)
+    out = bpe_trie.decode(bpe_trie.encode(documents(table(spark, sf_dir, "documents")), WORD_BPE), WORD_BPE)
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def document_edits():
+    """Two edits of every document, placed by a hash of its id: a stretch
+    gives way to the document's beginning, then its end is put in elsewhere."""
+    place = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.length(F.coalesce("text", F.lit(""))) + 1)
+    edit = lambda start, length, text: F.struct(start.alias("start"), length.alias("length"), text.alias("replacement"))
+    return F.array(edit(place(1), F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(60)), F.left("text", F.lit(40))),
+                   edit(place(3), F.lit(0).cast("bigint"), F.right("text", F.lit(25))))
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = token_counts.build(table(spark, sf_dir, "documents"), BYTE_BPE)
+    before = state.withColumn("n_tokens", token_counts.n_tokens())
+    out = token_counts.apply_edits(before, document_edits(), BYTE_BPE, keep=["n_tokens"])
+    return out.select("doc_id", "n_tokens", token_counts.n_tokens().alias("n_tokens_edited"), F.length("text").cast("bigint").alias("n_chars_edited"),
+                      "edits", "reencoded_chars", F.size("leaf_chars").cast("bigint").alias("n_leaves"))
+
+
 @query("op5_multiset_fingerprints")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
