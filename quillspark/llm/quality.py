@@ -53,22 +53,24 @@ ERROR = 0.05
 GOOD_COST = 5
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, rows: bool = False) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines, base_failed`` of every row."""
-    df = documents(docs)
+    n_lines, base_failed`` of every row, with ``rows`` also ``doc``, the whole
+    row as a struct."""
+    df = documents(docs, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if rows else []))
+    doc = ["doc"] * rows
     trimmed = F.btrim("text", F.lit(SPACES))
-    df = df.select("doc_id", "text", F.when(trimmed == "", F.array().cast("array<string>"))
+    df = df.select("doc_id", *doc, "text", F.when(trimmed == "", F.array().cast("array<string>"))
                    .otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")).alias("_w"))
     df = df.select(
-        "doc_id", "_w", F.size("_w").cast("bigint").alias("n_words"),
+        "doc_id", *doc, "_w", F.size("_w").cast("bigint").alias("n_words"),
         F.length(F.concat_ws("", "_w")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "").alias("_l"),
         F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(
             F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).otherwise(F.array().cast("array<bigint>")).alias("_h"))
     df = df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", F.size("_l").cast("bigint").alias("n_lines"),
+        "doc_id", *doc, "n_words", "word_chars", "n_symbols", F.size("_l").cast("bigint").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         # windows in order of hash and place, only for texts in which one comes twice
         F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform(
@@ -143,10 +145,8 @@ def cutoffs(stats: DataFrame, labels: DataFrame, max_rate: float = MAX_RATE, err
     return limits
 
 
-def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The counts of every row with ``kept``."""
-    stats = materialize(counts(docs), "quality_counts")
-    limits = cutoffs(stats, labels, **options)
+def _apply(stats: DataFrame, limits: DataFrame) -> DataFrame:
+    """``stats`` with ``kept``, by a broadcast of the strata's cutoffs."""
     out = stats.withColumn("stratum", stratum()).join(F.broadcast(limits), "stratum", "left")
     broken = F.lit(False)
     for r, (value, _) in RULES.items():
@@ -154,3 +154,16 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     # short circuit: a text without words is never divided by
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(~broken)
     return out.withColumn("kept", kept).drop("stratum", *[f"_{r}" for r in RULES])
+
+
+def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The counts of every row with ``kept``."""
+    stats = materialize(counts(docs), "quality_counts")
+    return _apply(stats, cutoffs(stats, labels, **options))
+
+
+def judge_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``doc`` (the whole row as a struct) with the counts and ``kept``. The
+    counts are made again beside the row, so that no text is shuffled."""
+    limits = cutoffs(materialize(counts(docs), "quality_counts"), labels, **options)
+    return _apply(counts(docs, rows=True), limits)

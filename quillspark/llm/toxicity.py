@@ -219,11 +219,17 @@ def _score(model: ToxicityModel):
         a, b = _compressor(model.ordinary), _compressor(model.toxic)
         for batch in batches:
             x = np.array([features(gains(t or "", a, b)) for t in batch.column("text").to_pylist()]).reshape(-1, _N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x), pa.float64()), pa.array(x[:, 0])],
-                                             names=["doc_id", "score", "largest_gain"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64()), pa.array(x[:, 0])],
+                                             names=[batch.schema.names[0], "score", "largest_gain"])
     return run
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id, score, largest_gain`` for every row of ``docs``."""
     return map_arrow(documents(docs), _score(model), "doc_id bigint, score double, largest_gain double")
+
+
+def score_rows(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """``doc`` (the whole row as a struct), ``score, largest_gain``."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty().alias("text"))
+    return map_arrow(rows, _score(model), f"doc {rows.schema['doc'].dataType.simpleString()}, score double, largest_gain double")
