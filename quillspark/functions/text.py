@@ -66,5 +66,5 @@ def text_field(dataset: str | Column, text="text", content="content",
     """B1: the text column by dataset name (code sets read ``content``),
     falling back ``content`` -> ``text`` -> ''."""
     ds = _c(dataset)
-    return F.when(ds.isin(*code_datasets), F.coalesce(_c(content), F.lit(""))) \
+    return F.when(ds.isin(*code_datasets), F.coalesce(_c(content), _c(text), F.lit(""))) \
         .otherwise(F.coalesce(_c(text), F.lit("")))

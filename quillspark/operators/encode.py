@@ -14,6 +14,7 @@ with one load per Python worker (:class:`PandasEncoder`).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,14 +98,18 @@ class Encoder:
     def fit(cls, texts: DataFrame, col: str = "text", vocab_size: int = DEFAULT_VOCAB_SIZE,
             sample_fraction: float | None = None):
         vt = build_vocab(texts, col, vocab_size, sample_fraction)
-        if vocab_size > MAX_BROADCAST_VOCAB:
-            return JoinEncoder(vt, vocab_size)
         rows = vt.orderBy("id").select("piece").collect()  # <= vocab_size rows
         return cls([r[0] for r in rows], vocab_size, vt)
 
     def vocab_table(self) -> DataFrame:
         return self.table
 
+    @property
+    def fingerprint(self) -> str:
+        """Names the vocabulary by its content, for the workers' caches."""
+        import hashlib
+        return hashlib.md5("\x00".join(self.pieces).encode()).hexdigest()
+
     def _broadcast(self, spark):
         from quillspark.session import ship_package
         ship_package(spark)
@@ -129,7 +134,7 @@ class Encoder:
         d = df.withColumn("__text", text_col)
         if drop:
             d = d.drop(*drop)
-        d = _arrow_ids(d, "__text", out, self._broadcast(df.sparkSession))
+        d = _arrow_ids(d, "__text", out, self._broadcast(df.sparkSession), self.fingerprint)
         return _specials(d, out, add_bos, add_eos)
 
     def decode(self, df: DataFrame, col: str = "ids", out: str = "decoded",
@@ -137,16 +142,18 @@ class Encoder:
         """Ids -> text. Pieces are lossless, so decode(encode(x)) == x when
         no piece fell back to ``<unk>``."""
         from pyspark.sql.types import StringType, StructField, StructType
-        bc = self._broadcast(df.sparkSession)
+        bc, name = self._broadcast(df.sparkSession), self.fingerprint
         schema = StructType(list(df.schema.fields) + [StructField(out, StringType())])
 
         def run(batches):
             import pyarrow as pa
             import pyarrow.compute as pc
-            table = _worker_array(bc, specials=not skip_special)
+            table = _worker_array(bc, name, specials=not skip_special)
             for b in batches:
                 ids = b.column(col)
-                vals = pc.take(table, ids.values)
+                # an id outside the vocabulary decodes to '' and is counted elsewhere
+                known = pc.and_(pc.greater_equal(ids.values, 0), pc.less(ids.values, len(table)))
+                vals = pc.fill_null(pc.take(table, pc.if_else(known, ids.values, None)), "")
                 strs = pa.ListArray.from_arrays(ids.offsets, vals, mask=ids.is_null())
                 yield pa.RecordBatch.from_arrays(
                     list(b.columns) + [pc.binary_join(strs, "")], schema=pa_schema(schema))
@@ -173,19 +180,45 @@ class JoinEncoder:
 
     def encode_column(self, df: DataFrame, text_col: Column, out: str,
                       add_bos: bool = False, add_eos: bool = False, drop=None) -> DataFrame:
-        rid = "__rid"
-        d = df.withColumn(rid, F.monotonically_increasing_id()).withColumn("__t", text_col)
-        ex = d.select(rid, F.posexplode(pieces("__t")).alias("_i", "piece"))
-        ids = (ex.join(self.vocab, "piece", "left")
-               .groupBy(rid)
-               .agg(F.array_sort(F.collect_list(F.struct(
-                   "_i", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_p")))
-        d = (d.join(ids, rid, "left")
-             .withColumn(out, F.coalesce(F.transform("_p", lambda s: s["id"]),
-                                         F.array().cast("array<int>")))
-             .drop(rid, "_p", "__t", *(drop or [])))
+        from pyspark.sql.types import ArrayType
+        d = df.withColumn("__t", text_col)
+        nested = isinstance(d.schema["__t"].dataType, ArrayType)
+        # distinct texts take part in the join, named by themselves: rows need no number that a recomputed
+        # branch could give to another row
+        texts = d.select(F.explode("__t").alias("__x")) if nested else d.select(F.col("__t").alias("__x"))
+        texts = texts.filter(F.col("__x").isNotNull()).distinct()
+        ex = texts.select("__x", F.posexplode(pieces("__x")).alias("_i", "piece"))
+        none = F.array().cast("array<int>")
+        ids = (ex.join(self.vocab, "piece", "left").groupBy("__x")
+               .agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_p"))
+               .select("__x", F.transform("_p", lambda s: s["id"]).alias("_ids")))
+        if nested:
+            # every row carries its place list through the join and is put together again under its own values
+            keys = [c for c in d.columns]
+            one = d.withColumn("_n", F.row_number().over(Window.partitionBy(*[F.col(c) for c in keys]).orderBy(F.lit(1)))) \
+                .select("*", F.posexplode_outer("__t").alias("_at", "__x"))
+            back = one.join(ids, "__x", "left").groupBy(*[F.col(c) for c in keys], "_n").agg(
+                F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_ids", none).alias("_ids")))).alias("_q"))
+            d = back.withColumn(out, F.when(F.size("__t") == 0, F.array().cast("array<array<int>>")).otherwise(
+                F.transform("_q", lambda s: s["_ids"]))).drop("_n", "_q", "__t", *(drop or []))
+            return d
+        d = d.join(ids, d["__t"] == ids["__x"], "left").withColumn(out, F.coalesce("_ids", none)) \
+            .drop("_ids", "__x", "__t", *(drop or []))
         return _specials(d, out, add_bos, add_eos)
 
+    def decode(self, df: DataFrame, col: str = "ids", out: str = "decoded", skip_special: bool = True) -> DataFrame:
+        """J3 by a join on the distinct ids; an id outside the vocabulary is ''."""
+        names = self.vocab.sparkSession.createDataFrame(
+            [(i, "" if skip_special else t) for i, t in SPECIALS.items()], "id int, piece string")
+        names = self.vocab.select("id", "piece").unionByName(names)
+        lists = df.select(F.col(col).alias("_l")).filter(F.col("_l").isNotNull()).distinct()
+        ex = lists.select("_l", F.posexplode("_l").alias("_i", "id"))
+        text = ex.join(names, "id", "left").groupBy("_l").agg(F.array_sort(F.collect_list(
+            F.struct("_i", F.coalesce("piece", F.lit("")).alias("piece")))).alias("_p")) \
+            .select("_l", F.array_join(F.transform("_p", lambda s: s["piece"]), "").alias("_d"))
+        return df.join(text, df[col] == text["_l"], "left").withColumn(
+            out, F.when(F.col(col).isNotNull(), F.coalesce("_d", F.lit("")))).drop("_l", "_d")
+
 
 def pa_schema(spark_schema):
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -195,14 +228,14 @@ def pa_schema(spark_schema):
 _WORKER_CACHE: dict = {}
 
 
-def _worker_array(bc, specials: bool | None = None):
-    """Per Python worker: the vocabulary as an Arrow array, built once.
+def _worker_array(bc, name: str, specials: bool | None = None):
+    """Per Python worker: the vocabulary ``name`` as an Arrow array, built once.
 
     ``specials=None``: pieces only (index = id - 3), for lookups.
     ``specials`` True/False: indexable by id, specials as text or ''.
     """
     import pyarrow as pa
-    key = (bc.id if hasattr(bc, "id") else id(bc), specials)
+    key = (name, specials)
     arr = _WORKER_CACHE.get(key)
     if arr is None:
         vals = list(bc.value)
@@ -226,7 +259,7 @@ def _lookup(arr, value_set):
     return pc.fill_null(ids, pa.scalar(UNK_ID, pa.int32()))
 
 
-def _arrow_ids(d: DataFrame, pieces_col: str, out: str, bc) -> DataFrame:
+def _arrow_ids(d: DataFrame, pieces_col: str, out: str, bc, name: str) -> DataFrame:
     """Text (or array of texts) -> ids, inside Arrow batches: vectorized
     piece splitting (``functions/arrow_pieces``) and hash lookup."""
     from pyspark.sql.types import ArrayType, IntegerType
@@ -244,7 +277,7 @@ def _arrow_ids(d: DataFrame, pieces_col: str, out: str, bc) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         from quillspark.functions.arrow_pieces import split_nested
-        vs = _worker_array(bc)
+        vs = _worker_array(bc, name)
         target = pa_schema(schema)
         for b in batches:
             names = b.schema.names
@@ -294,22 +327,23 @@ class PandasEncoder:
     Catalyst cannot push predicates through ``mapInPandas``.
     """
 
-    def __init__(self, factory: Callable[[], Callable[[str], list]]):
+    def __init__(self, factory: Callable[[], Callable[[str], list]], name: str | None = None):
         self.factory = factory
+        # the factory is another object in every task, its name is not
+        self.name = name or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', '')}-{uuid.uuid4().hex}"
 
     def encode(self, df: DataFrame, col: str = "text", out: str = "ids") -> DataFrame:
         from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
         from quillspark.session import ship_package
         ship_package(df.sparkSession)
-        factory = self.factory
+        factory, name = self.factory, self.name
         schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(IntegerType()))])
 
         def run(batches):
             import quillspark.operators.encode as m
-            enc = getattr(m, "_worker_cache", {}).get(id(factory))
+            enc = m._WORKER_CACHE.get(name)
             if enc is None:
-                enc = factory()
-                m._worker_cache = {id(factory): enc}
+                enc = m._WORKER_CACHE[name] = factory()
             for pdf in batches:
                 pdf[out] = [list(enc(t or "")) for t in pdf[col]]
                 yield pdf

@@ -14,9 +14,6 @@ from quillspark.operators.ngram import token_pairs
 from quillspark.operators.ordered import running_sums
 from quillspark.session import materialize
 
-# Scoring context length.
-MAX_LENGTH = 2048
-
 # Task suites.
 TASK_SUITES = {
     "quick": ["hellaswag"],
@@ -29,12 +26,6 @@ TASK_SUITES = {
 MC_TASKS = ("hellaswag", "arc_easy", "arc_challenge", "piqa", "mmlu")
 
 
-def expand_suite(spark, tasks: str) -> DataFrame:
-    """Suite name or comma list -> one row per task (``task``)."""
-    names = TASK_SUITES.get(tasks, tasks.split(","))
-    return spark.createDataFrame([(t,) for t in names], "task string")
-
-
 # ---------------------------------------------------------------- items
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """Multiple-choice items from ``benchmark(item_id, text)``: context = the
@@ -125,12 +116,15 @@ def encode_candidates(cands: DataFrame, encoder, with_context: bool = True) -> D
     return encoder.encode_column(cands, F.col("full_text"), "ids", add_bos=True)
 
 
-def truncate_for_scoring(d: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
-    """B14 + deviation 2: keep the last ``max_length`` ids; the context length
-    becomes ``max(0, n_kept - n_choice_tokens)`` (choice tokens are never
-    counted twice or lost to a stale context length)."""
+def truncate_for_scoring(d: DataFrame, max_length: int | None = None) -> DataFrame:
+    """B14 + deviation 2: keep the last ``max_length`` ids (a model's context
+    window; ``None``: all); the context length becomes ``max(0, n_kept -
+    n_choice_tokens)`` (choice tokens are never counted twice or lost to a
+    stale context length)."""
     n = F.size("ids")
     nctx = F.size("ctx_ids")
+    if max_length is None:
+        return d.withColumn("ctx_len", nctx)
     return d.withColumn("ctx_len", F.when(n > max_length, F.greatest(
         F.lit(0), F.lit(max_length) - (n - nctx))).otherwise(nctx).cast("int")) \
         .withColumn("ids", F.when(n > max_length, F.slice("ids", -max_length, max_length))
@@ -138,7 +132,7 @@ def truncate_for_scoring(d: DataFrame, max_length: int = MAX_LENGTH) -> DataFram
 
 
 def choice_scores(cands: DataFrame, encoder, scorer, keys=("task", "item_id", "choice_idx"),
-                  max_length: int = MAX_LENGTH) -> DataFrame:
+                  max_length: int | None = None) -> DataFrame:
     """K3 + K4 + K6 per candidate: ``score`` (normalized by the number of
     choice tokens; raw sum when there are none), ``score_sum``, ``is_greedy``."""
     keys = list(keys)
@@ -157,15 +151,16 @@ def choice_scores(cands: DataFrame, encoder, scorer, keys=("task", "item_id", "c
         .withColumn("is_greedy", F.coalesce("is_greedy", F.lit(True)))
 
 
-def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int = MAX_LENGTH,
+def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int | None = None,
                    text: str = "full_text") -> DataFrame:
     """K5 (and K7's numerator): sum of log-probs over the whole sequence
-    except the first token; BOS added, last ``max_length`` ids kept.
+    except the first token; BOS added, last ``max_length`` ids kept (``None``: all).
     ``n_tokens`` counts BOS."""
     keys = list(keys)
     e = encoder.encode_column(texts, F.col(text), "ids", add_bos=True)
-    e = e.withColumn("ids", F.when(F.size("ids") > max_length, F.slice("ids", -max_length, max_length))
-                     .otherwise(F.col("ids")))
+    if max_length is not None:
+        e = e.withColumn("ids", F.when(F.size("ids") > max_length, F.slice("ids", -max_length, max_length))
+                         .otherwise(F.col("ids")))
     e = materialize(e.select(*keys, "ids"), "rolling-texts")
     meta = e.select(*keys, F.size("ids").cast("bigint").alias("n_tokens"))
     lp = scorer.token_logprobs(token_pairs(e, "ids", keys))
@@ -174,7 +169,7 @@ def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int = MA
         "logprob_sum", F.coalesce("logprob_sum", F.lit(0.0)))
 
 
-def fill_blank_scores(wino: DataFrame, encoder, scorer, max_length: int = MAX_LENGTH) -> DataFrame:
+def fill_blank_scores(wino: DataFrame, encoder, scorer, max_length: int | None = None) -> DataFrame:
     """K7: whole-sequence sum / number of tokens including BOS."""
     keys = ["task", "item_id", "choice_idx"]
     r = rolling_scores(wino, encoder, scorer, keys, max_length)

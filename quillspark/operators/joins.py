@@ -50,9 +50,3 @@ def range_lookup(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi:
 def anti_done(requested: DataFrame, done: DataFrame, key: str = "dataset") -> DataFrame:
     """Requested items whose output does not exist yet."""
     return requested.join(done.select(key).distinct(), key, "left_anti")
-
-
-def join_pred_gold(pred: DataFrame, gold: DataFrame, keys=("task", "item_id")) -> DataFrame:
-    """Equi join of predictions with gold labels; ``is_correct``."""
-    return pred.join(gold, list(keys)).withColumn(
-        "is_correct", F.col("pred") == F.col("gold"))

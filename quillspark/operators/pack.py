@@ -133,11 +133,15 @@ def fetch_windows(windows: DataFrame, chunks: DataFrame, keys, start: str, lengt
         .alias(c) for c in cols])
 
 
-def verify_stream(chunks: DataFrame, keys, vocab_size: int, n_check: int = 1_000_000,
+def verify_stream(chunks: DataFrame, keys, vocab_size: int, n_check: int | None = None,
                   chunk_size: int = DEFAULT_CHUNK, tokens: str = "tokens") -> DataFrame:
-    """Per stream ``ok`` = non-empty and the first ``n_check`` ids are all
-    ``< vocab_size + 1000`` (applied to every stream, train and val)."""
+    """Per stream ``ok`` = non-empty and all ids (with ``n_check`` the
+    first so many) are ``< vocab_size + 1000`` (every stream, train and val)."""
     lim = vocab_size + 1000
+    if n_check is None:
+        bad = F.size(F.filter(tokens, lambda t: t >= lim))
+        return chunks.groupBy(*keys).agg(
+            ((F.sum(F.size(tokens)) > 0) & (F.sum(bad) == 0)).alias("ok"))
     rem = F.greatest(F.least(F.lit(n_check) - F.col("chunk_id") * chunk_size,
                              F.size(tokens).cast("bigint")), F.lit(0)).cast("int")
     head = F.slice(tokens, 1, rem)

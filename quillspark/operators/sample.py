@@ -8,11 +8,11 @@ distribution matches the reference; the individual draws do not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import hash64
-from quillspark.operators.ordered import DEFAULT_BUCKET_WIDTH, running_sums
+from quillspark.operators.ordered import running_sums
 from quillspark.operators.pack import DEFAULT_CHUNK, fetch_windows, valid_starts
 from quillspark.operators.joins import BROADCAST_MAX_ROWS, range_lookup
 
@@ -22,18 +22,11 @@ TRAIN_SEED = 42
 N_REDRAWS = 10
 
 
-def head_n(df: DataFrame, n: int, keys=("task",), order: str = "pos",
-           bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+def head_n(df: DataFrame, n: int, keys=("task",), order: str = "pos") -> DataFrame:
     """the first ``min(n, len)`` rows per group in ``order``."""
-    d = running_sums(df, list(keys), order, {"_rn": F.lit(1)}, bucket_width)
-    return d.filter(F.col("_rn") <= n).drop("_rn")
-
-
-def argmax_first(df: DataFrame, keys, idx: str = "choice_idx", score: str = "score",
-                 out: str = "pred") -> DataFrame:
-    """F2: index of the max score per group; ties go to the lowest index."""
-    return df.groupBy(*keys).agg(
-        F.max_by(F.col(idx), F.struct(F.col(score), -F.col(idx))).alias(out))
+    # the rank limit reaches the partial side: a task passes on n rows per group
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def seeded_shuffle(df: DataFrame, seed: int, *parts: str, out: str = "shuffle_key") -> DataFrame:

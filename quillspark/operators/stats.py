@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +61,9 @@ def tokenizer_compare(df: DataFrame) -> DataFrame:
     return per.unionByName(overall)
 
 
-def steps_for_epochs(tokens: int | None, epochs: float, batch: int, accum: int,
-                     block: int = 2048, world: int = 1):
-    """D16 (Column form below): ``max(1, ceil(epochs*tokens/(b*a*w*block)))``."""
-    return max(1, math.ceil(epochs * tokens / (batch * accum * world * block)))
-
-
 def steps_for_epochs_col(tokens_col, epochs: float, batch: int, accum: int, block: int = 2048,
                          world: int = 1):
+    """``max(1, ceil(epochs*tokens/(b*a*w*block)))``."""
     per_step = batch * accum * world * block
     return F.greatest(F.lit(1), F.ceil(F.col(tokens_col) * F.lit(float(epochs)) / F.lit(per_step))) \
         .cast("bigint")
@@ -81,16 +74,21 @@ def steps_for_tokens_col(tokens_col, batch: int, accum: int, block: int = 2048,
     return F.floor(F.col(tokens_col) / F.lit(batch * accum * world * block)).cast("bigint")
 
 
-def run_metrics(events: DataFrame, bucket_width: int = 3_600_000_000) -> DataFrame:
+def run_metrics(events: DataFrame, rows_per_bucket: int = 1 << 16) -> DataFrame:
     """Map ``events`` onto run metrics: run = ``event_type``, loss = ``value``,
-    step = 1-based order by ``(ts, event_id)`` per run. The step number is a
-    two-phase running count over hour buckets of ``ts`` (a hot run never
-    lands in one task)."""
-    from quillspark.operators.ordered import running_sums
+    step = 1-based order by ``(ts, event_id)`` per run.
+
+    Rows are range-partitioned by ``(run, ts, event_id)``, a partition is a
+    bucket of the two-phase running count, and the result is a stage: however
+    many events fall into one run and hour, they spread over partitions of
+    about ``rows_per_bucket`` rows."""
+    from quillspark.operators.ordered import range_buckets, running_sums
+    from quillspark.session import materialize
     d = events.select(F.col("event_type").alias("run"), "ts", "event_id",
                       F.unix_micros(F.col("ts").cast("timestamp")).alias("_us"), F.col("value").alias("loss"))
-    d = running_sums(d, ["run"], ["_us", "event_id"], {"step": F.lit(1)}, bucket_width)
-    return d.drop("_us")
+    d = range_buckets(d, ["run", "_us", "event_id"], rows_per_bucket)
+    d = running_sums(d, ["run"], ["_us", "event_id"], {"step": F.lit(1)}, bucket="_part")
+    return materialize(d.drop("_us", "_part"), "run-metrics")
 
 
 def best_so_far(metrics: DataFrame, keys=("run",), order: str = "step",
@@ -115,17 +113,15 @@ def interval_means(metrics: DataFrame, n: int, keys=("run",), step: str = "step"
 
 
 def throughput(metrics: DataFrame, tokens_per_step: int, keys=("run",), step: str = "step",
-               ts: str = "ts") -> DataFrame:
-    """Tokens in a log interval / seconds since the previous log row
-    (the interval after an evaluation includes that time). The previous row
-    is found by an equi-join on ``step - 1`` (steps are dense), not a
-    whole-run window."""
-    keys = list(keys)
-    prev = metrics.select(*keys, (F.col(step) + 1).alias(step), F.col(ts).alias("_prev_ts"))
-    d = metrics.join(prev, keys + [step], "left")
+               ts: str = "ts", log_every: int = 1) -> DataFrame:
+    """Tokens in a log interval of ``log_every`` steps / seconds since the
+    previous log row (the interval after an evaluation includes that time)."""
+    from quillspark.operators.ordered import previous
+    d = every_n_steps(metrics, log_every, step)
+    d = previous(d, list(keys), step, F.col(ts), "_prev_ts")
     secs = (F.unix_micros(F.col(ts).cast("timestamp"))
             - F.unix_micros(F.col("_prev_ts").cast("timestamp"))) / 1e6
-    return d.withColumn("tokens_per_sec", F.try_divide(F.lit(float(tokens_per_step)), secs)) \
+    return d.withColumn("tokens_per_sec", F.try_divide(F.lit(float(tokens_per_step * log_every)), secs)) \
         .withColumn("tokens_seen", (F.col(step) * tokens_per_step).cast("bigint")) \
         .drop("_prev_ts")
 

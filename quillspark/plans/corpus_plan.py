@@ -15,35 +15,59 @@ def corpus_encoder(documents: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE) -
     return Encoder.fit(documents.filter(F.length("text") > 0), "text", vocab_size)
 
 
+def _admitted(docs: DataFrame, max_tokens: int | None, bucket_width: int) -> DataFrame:
+    """E1 as a filter: admission keeps a prefix of each dataset, so the narrow
+    ``(dataset, pos, est)`` gives one last ``pos`` per dataset, and that row
+    per dataset prunes the text scan."""
+    if not max_tokens:
+        return docs
+    narrow = C.token_budget(docs.select("dataset", "pos", "est"), max_tokens, bucket_width=bucket_width)
+    last = narrow.groupBy(F.col("dataset").alias("_dataset")).agg(F.max("pos").alias("_last"))
+    near = F.broadcast(last)  # one row per dataset of the configuration
+    return docs.join(near, docs.dataset.eqNullSafe(last._dataset) & (F.col("pos") <= F.col("_last")), "left_semi")
+
+
+def _encoded(documents: DataFrame, max_tokens: int | None, encoder: Encoder, bucket_width: int) -> DataFrame:
+    """``dataset, pos, ids, n_chars``: one narrow pass over the text."""
+    docs = C.with_estimate(C.filter_nonempty(C.corpus_from_documents(documents)))
+    docs = _admitted(docs, max_tokens, bucket_width)
+    docs = docs.select("dataset", "pos", "text", F.length("text").cast("bigint").alias("n_chars"))
+    return encoder.encode(docs, "text", "ids", add_eos=True, drop_text=True)
+
+
+def token_lengths(documents: DataFrame, encoder: Encoder | None = None, max_tokens: int | None = None,
+                  bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """``dataset, pos, n_tokens, n_chars`` of the admitted documents: neither
+    texts nor ids leave the map task that encodes them."""
+    e = _encoded(documents, max_tokens, encoder or corpus_encoder(documents), bucket_width)
+    return e.select("dataset", "pos", F.size("ids").cast("bigint").alias("n_tokens"), "n_chars")
+
+
 def encoded_corpus(documents: DataFrame, max_tokens: int | None = None, val_every: int = 100,
                    encoder: Encoder | None = None,
                    bucket_width: int = DEFAULT_BUCKET_WIDTH,
                    materialize: bool = False) -> DataFrame:
     """``dataset, pos, doc_index, is_val, ids (EOS appended), n_tokens, n_chars``.
 
-    With ``materialize`` the encoded corpus is written once (the stage
-    output, like the reference's token files) and read back, so that several
-    consumers (streams, offsets, statistics) never re-encode."""
-    enc = encoder or corpus_encoder(documents)
-    docs = C.with_estimate(C.filter_nonempty(C.corpus_from_documents(documents)))
-    split = C.budget_and_split(docs, max_tokens, val_every, bucket_width=bucket_width)
-    split = split.select("dataset", "pos", "doc_index", "is_val", "text",
-                         F.length("text").cast("bigint").alias("n_chars"))
-    e = enc.encode(split, "text", "ids", add_eos=True, drop_text=True)
-    out = e.select("dataset", "pos", "doc_index", "is_val", "ids",
-                   F.size("ids").cast("bigint").alias("n_tokens"), "n_chars")
-    if materialize:
-        from quillspark.session import materialize as mat
-        out = mat(out, "encoded-corpus")
-    return out
+    The text is encoded in one narrow pass that is written as a stage (like
+    the reference's token files); the split works on the stage and only ids
+    are shuffled. With ``materialize`` the split result is a stage too."""
+    from quillspark.session import materialize as mat
+    stage = mat(_encoded(documents, max_tokens, encoder or corpus_encoder(documents), bucket_width), "encoded-ids")
+    split = C.val_every_n(stage, val_every, bucket_width=bucket_width)
+    out = split.select("dataset", "pos", "doc_index", "is_val", "ids",
+                       F.size("ids").cast("bigint").alias("n_tokens"), "n_chars")
+    return mat(out, "encoded-corpus") if materialize else out
 
 
 def corpus_token_stats(documents: DataFrame, max_tokens: int | None = None,
                        val_every: int = 100, encoder: Encoder | None = None,
                        bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """Flagship: per-dataset statistics of the tokenized, split corpus."""
-    return C.token_stats(encoded_corpus(documents, max_tokens, val_every, encoder,
-                                        bucket_width))
+    """Flagship: per-dataset statistics of the tokenized, split corpus.
+    One scan of the text; the split sees only the lengths."""
+    from quillspark.session import materialize as mat
+    lengths = mat(token_lengths(documents, encoder, max_tokens, bucket_width), "token-lengths")
+    return C.token_stats(C.val_every_n(lengths, val_every, bucket_width=bucket_width))
 
 
 def corpus_streams(encoded: DataFrame, chunk_size: int = 1 << 16,

@@ -18,9 +18,11 @@ from quillspark.session import scratch_path, table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: Budget of the queries whose feature it is: E1, E2, D1, S1.
 BUDGET_PER_SOURCE = 5_000
-STATS_BUDGET = 20_000
 STATS_VAL_EVERY = 10
+#: Rows per bucket of the two-phase ordered operators in the queries.
+BUCKET = 256
 
 
 def register(key: str, sql: str | None = None):
@@ -87,7 +89,7 @@ SELECT dataset, pos, est, cum_tokens FROM (
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_tokens
   FROM ({_NONEMPTY})) WHERE cum_tokens <= {BUDGET_PER_SOURCE}""")
 def q_token_budget(spark, sf):
-    return C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE).select(
+    return C.token_budget(_corpus(spark, sf).drop("text"), BUDGET_PER_SOURCE, bucket_width=BUCKET).select(
         "dataset", "pos", "est", "cum_tokens")
 
 
@@ -97,7 +99,7 @@ SELECT dataset, CAST(count(*) AS BIGINT) AS docs, CAST(sum(est) AS BIGINT) AS to
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_tokens
   FROM ({_NONEMPTY})) WHERE cum_tokens <= {BUDGET_PER_SOURCE} GROUP BY dataset""")
 def q_collect_counts(spark, sf):
-    return C.collect_counts(C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE))
+    return C.collect_counts(C.token_budget(_corpus(spark, sf).drop("text"), BUDGET_PER_SOURCE, bucket_width=BUCKET))
 
 
 @register("token_budget_lang", """
@@ -110,7 +112,7 @@ SELECT dataset, lang, pos, est, cum_tokens FROM (
         WHERE length(text) > 0 GROUP BY source) n ON c.dataset = n.dataset)
 WHERE cum_tokens <= quota""")
 def q_token_budget_lang(spark, sf):
-    return C.token_budget_lang(_corpus(spark, sf), 20_000).select(
+    return C.token_budget_lang(_corpus(spark, sf).drop("text"), 20_000, bucket_width=BUCKET).select(
         "dataset", "lang", "pos", "est", "cum_tokens")
 
 
@@ -119,7 +121,7 @@ SELECT dataset, pos, doc_index, ((doc_index % 10) = 0) AS is_val FROM (
   SELECT dataset, pos, CAST(row_number() OVER (PARTITION BY dataset ORDER BY pos) - 1 AS BIGINT)
          AS doc_index FROM ({_NONEMPTY}))""")
 def q_val_every_n(spark, sf):
-    return C.val_every_n(_corpus(spark, sf), 10).select("dataset", "pos", "doc_index", "is_val")
+    return C.val_every_n(_corpus(spark, sf).drop("text"), 10, bucket_width=BUCKET).select("dataset", "pos", "doc_index", "is_val")
 
 # ---------------------------------------------------------------- 2.9 J*
 
@@ -147,14 +149,13 @@ def q_encode_corpus(spark, sf):
 
 _STATS = f"""WITH {vocab_cte()},
 adm AS (
-  SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS doc_index,
-         sum(est) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_tokens
+  SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS doc_index
   FROM ({_NONEMPTY}) WINDOW w AS (PARTITION BY dataset ORDER BY pos)),
 enc AS (
   SELECT a.dataset, (a.doc_index % {STATS_VAL_EVERY}) = 0 AS is_val,
          CAST(len({encode('a.text')}) + 1 AS BIGINT) AS n_tokens,
          CAST(length(a.text) AS BIGINT) AS n_chars
-  FROM adm a, vmap WHERE a.cum_tokens <= {STATS_BUDGET}),
+  FROM adm a, vmap),
 st AS (
   SELECT dataset,
     CAST(sum(CASE WHEN NOT is_val THEN n_tokens ELSE 0 END) AS BIGINT) AS train_tokens,
@@ -172,7 +173,7 @@ SELECT dataset, train_tokens, val_tokens, train_docs, val_docs, total_chars,
   round(val_tokens * 2 / 1048576.0, 6) AS val_size_mb
 FROM st""")
 def q_token_stats(spark, sf):
-    s = CP.corpus_token_stats(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY, _encoder(spark, sf))
+    s = CP.corpus_token_stats(_docs(spark, sf), None, STATS_VAL_EVERY, _encoder(spark, sf), BUCKET)
     return s.select("dataset", "train_tokens", "val_tokens", "train_docs", "val_docs",
                     "total_chars", *[F.round(c, 6).alias(c) for c in
                                      ("chars_per_token", "train_size_mb", "val_size_mb")])
@@ -185,15 +186,15 @@ SELECT CASE WHEN grouping(dataset) = 1 THEN 'TOTAL' ELSE dataset END AS dataset,
        CAST(sum(val_tokens) AS BIGINT) AS val_tokens
 FROM st GROUP BY ROLLUP (dataset)""")
 def q_totals_rollup(spark, sf):
-    return C.totals_rollup(CP.corpus_token_stats(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY,
-                                                 _encoder(spark, sf)))
+    return C.totals_rollup(CP.corpus_token_stats(_docs(spark, sf), None, STATS_VAL_EVERY,
+                                                 _encoder(spark, sf), BUCKET))
 
 
 @register("ratio_of_sums", f"""{_STATS}
 SELECT dataset, round(coalesce(CAST(total_chars AS DOUBLE) / nullif(train_tokens + val_tokens, 0), 0), 6)
        AS chars_per_token FROM st""")
 def q_ratio_of_sums(spark, sf):
-    e = CP.encoded_corpus(_docs(spark, sf), STATS_BUDGET, STATS_VAL_EVERY, _encoder(spark, sf))
+    e = CP.token_lengths(_docs(spark, sf), _encoder(spark, sf))
     return e.groupBy("dataset").agg(
         F.round(C.ratio_of_sums("n_chars", "n_tokens"), 6).alias("chars_per_token"))
 
@@ -204,7 +205,8 @@ from quillspark.plans import sft_plan as SP  # noqa: E402
 from quillspark.plans import sqlchat as Q  # noqa: E402
 from quillspark.plans.sqlparts import hash64 as sql_hash64  # noqa: E402
 
-SFT_LIMIT = 20
+#: Rows per dataset of the two queries whose feature the quota is: E4, D5.
+SFT_QUOTA = 20
 SFT_VAL_FRACTION = 0.02
 SFT_CHUNK = 4096
 _ENCODERS: dict = {}
@@ -336,16 +338,17 @@ tok AS (SELECT dataset, pos, m, {Q.valid('m')} AS is_valid,
                CASE WHEN {Q.valid('m')} THEN {_IDS} END AS ids,
                CASE WHEN {Q.valid('m')} THEN {_MASK} END AS mask
         FROM reg, vmap),
-flag AS (SELECT *, is_valid AND coalesce(len(ids) > 2048, false) AS too_long,
-                CAST(is_valid AND NOT coalesce(len(ids) > 2048, false) AS INTEGER) AS pass FROM tok),
-fl2 AS (SELECT *, (sum(pass) OVER (PARTITION BY dataset ORDER BY pos
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - pass) < {SFT_LIMIT} AS processed
-        FROM flag),
-taken AS (SELECT *, {sql_hash64(str(H.SFT_SEED), 'dataset', 'pos')} AS shuffle_key
-          FROM fl2 WHERE processed AND pass = 1),
+taken AS (SELECT *, {sql_hash64(str(H.SFT_SEED), 'dataset', 'pos')} AS shuffle_key FROM tok WHERE is_valid),
 spl AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY shuffle_key) <=
                   greatest(1, CAST(floor(count(*) OVER () * CAST({SFT_VAL_FRACTION} AS DOUBLE)) AS BIGINT))
                   THEN 'val' ELSE 'train' END AS split FROM taken)"""
+# The first rows of each dataset that are valid and not too long
+_QUOTA = f"""{_TOK},
+flag AS (SELECT *, is_valid AND coalesce(len(ids) > 2048, false) AS too_long,
+                CAST(is_valid AND NOT coalesce(len(ids) > 2048, false) AS INTEGER) AS pass FROM tok),
+fl2 AS (SELECT *, (sum(pass) OVER (PARTITION BY dataset ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - pass) < {SFT_QUOTA} AS processed
+        FROM flag)"""
 
 
 def _ids_md5(c):
@@ -376,15 +379,15 @@ def q_filter_max_tokens(spark, sf):
 
 
 def _flagged(spark, sf):
-    return SP.sft_flagged(table(spark, sf, "conversations"), _encoder(spark, sf), limit=SFT_LIMIT)
+    return SP.sft_flagged(table(spark, sf, "conversations"), _encoder(spark, sf), limit=SFT_QUOTA)
 
 
-@register("first_n_valid", f"{_TOK}\nSELECT dataset, pos FROM taken")
+@register("first_n_valid", f"{_QUOTA}\nSELECT dataset, pos FROM fl2 WHERE processed AND pass = 1")
 def q_first_n_valid(spark, sf):
     return _flagged(spark, sf).filter("taken").select("dataset", "pos")
 
 
-@register("collect_skips", f"""{_TOK}
+@register("collect_skips", f"""{_QUOTA}
 SELECT dataset,
   CAST(sum(CASE WHEN processed AND pass = 1 THEN 1 ELSE 0 END) AS BIGINT) AS collected,
   CAST(sum(CASE WHEN processed AND NOT is_valid THEN 1 ELSE 0 END) AS BIGINT) AS skipped_invalid,
@@ -396,20 +399,30 @@ def q_collect_skips(spark, sf):
 
 def _split(spark, sf):
     return SP.sft_split(table(spark, sf, "conversations"), _encoder(spark, sf),
-                        limit=SFT_LIMIT, val_fraction=SFT_VAL_FRACTION)
+                        val_fraction=SFT_VAL_FRACTION)
+
+
+def _sft_examples(spark, sf):
+    return SP.sft_examples(table(spark, sf, "conversations"), _encoder(spark, sf))
 
 
 @register("concat_datasets", f"""{_TOK}
-SELECT dataset, CAST(count(*) AS BIGINT) AS examples FROM taken GROUP BY dataset""")
+SELECT dataset, pos, CAST(len(ids) AS BIGINT) AS n_tokens FROM taken""")
 def q_concat_datasets(spark, sf):
-    return _flagged(spark, sf).filter("taken").groupBy("dataset").agg(
-        F.count(F.lit(1)).cast("bigint").alias("examples"))
+    # the bag union of the datasets, each prepared on its own
+    conv, enc = table(spark, sf, "conversations"), _encoder(spark, sf)
+    names, parts = list(H.DATASETS), 3
+    out = None
+    for i in range(parts):
+        ex = SP.sft_examples(conv, enc, names[i::parts])
+        out = ex if out is None else out.unionByName(ex)
+    return out.select("dataset", "pos", F.size("ids").cast("bigint").alias("n_tokens"))
 
 
 @register("seeded_shuffle", f"{_TOK}\nSELECT dataset, pos, shuffle_key FROM taken")
 def q_seeded_shuffle(spark, sf):
     from quillspark.operators.sample import seeded_shuffle
-    return seeded_shuffle(_flagged(spark, sf).filter("taken"), H.SFT_SEED, "dataset", "pos") \
+    return seeded_shuffle(_sft_examples(spark, sf), H.SFT_SEED, "dataset", "pos") \
         .select("dataset", "pos", "shuffle_key")
 
 
@@ -419,21 +432,12 @@ def q_fraction_split(spark, sf):
 
 
 @register("split_complement", f"""{_TOK}
-SELECT split, CAST(count(*) AS BIGINT) AS examples,
-       CAST(count(DISTINCT dataset || ':' || pos) AS BIGINT) AS distinct_examples
-FROM spl GROUP BY split""")
+SELECT split, CAST(count(*) AS BIGINT) AS examples, CAST(count(*) AS BIGINT) AS only_here FROM spl GROUP BY split""")
 def q_split_complement(spark, sf):
-    s = _split(spark, sf)
-    val = s.filter(F.col("split") == "val").select("dataset", "pos")
-    train = s.filter(F.col("split") == "train").select("dataset", "pos")
-    # disjoint: val minus train keeps all of val
-    assert_disjoint = val.exceptAll(train)
-    counts = s.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("examples"))
-    dv = assert_disjoint.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("val").alias("split"), F.col("n").cast("bigint").alias("distinct_examples"))
-    dt = train.distinct().agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("train").alias("split"), F.col("n").cast("bigint").alias("distinct_examples"))
-    return counts.join(dv.unionByName(dt), "split")
+    # disjoint and exhaustive: every example is in one split, once
+    one = _split(spark, sf).groupBy("dataset", "pos").agg(F.min("split").alias("split"), F.count(F.lit(1)).alias("n"))
+    return one.groupBy("split").agg(F.sum("n").cast("bigint").alias("examples"),
+                                    F.count(F.when(F.col("n") == 1, 1)).cast("bigint").alias("only_here"))
 
 
 @register("split_stats", f"""{_TOK}
@@ -673,7 +677,7 @@ def q_segment_quality(spark, sf):
 
 
 @register("verify_stream", f"""{_CSTREAM}
-SELECT dataset, split, len(s) > 0 AND coalesce(list_bool_and(list_transform(s[1:1000000], lambda t: t < 33000)), true) AS ok
+SELECT dataset, split, len(s) > 0 AND coalesce(list_bool_and(list_transform(s, lambda t: t < 33000)), true) AS ok
 FROM streams""")
 def q_verify_stream(spark, sf):
     return K.verify_stream(_streams(spark, sf), ["dataset", "split"], 32_000,
@@ -800,7 +804,7 @@ def q_fill_blank(spark, sf):
 
 @register("score_rolling", f"""{EVAL_CTE},
 rt AS (SELECT item_id, list_concat([1], {encode('text')}) AS ids0 FROM benchmark, vmap),
-rt2 AS (SELECT item_id, CASE WHEN len(ids0) > 2048 THEN ids0[-2048:] ELSE ids0 END AS ids FROM rt),
+rt2 AS (SELECT item_id, ids0 AS ids FROM rt),
 rp AS (SELECT item_id, ids[i] AS prev, ids[i + 1] AS token FROM (SELECT item_id, ids, unnest(range(1, len(ids))) AS i FROM rt2)),
 rl AS (SELECT r.item_id, ln((coalesce(b.cnt, 0) + 1.0) / (coalesce(x.ctx_count, 0) + 32000.0)) AS logprob
        FROM rp r LEFT JOIN bigrams b USING (prev, token) LEFT JOIN ctxs x USING (prev))
@@ -813,7 +817,7 @@ def q_score_rolling(spark, sf):
 
 
 _PPL = f"""{EVAL_CTE},
-pt AS (SELECT item_id, list_concat([1], {encode('text')})[1:2048] AS ids FROM benchmark, vmap),
+pt AS (SELECT item_id, list_concat([1], {encode('text')}) AS ids FROM benchmark, vmap),
 pp AS (SELECT ids[i] AS prev, ids[i + 1] AS token FROM (SELECT ids, unnest(range(1, len(ids))) AS i FROM pt)),
 pl AS (SELECT ln((coalesce(b.cnt, 0) + 1.0) / (coalesce(x.ctx_count, 0) + 32000.0)) AS logprob
        FROM pp LEFT JOIN bigrams b USING (prev, token) LEFT JOIN ctxs x USING (prev))"""
@@ -822,7 +826,6 @@ pl AS (SELECT ln((coalesce(b.cnt, 0) + 1.0) / (coalesce(x.ctx_count, 0) + 32000.
 def _ppl(spark, sf):
     b = table(spark, sf, "benchmark")
     e = _encoder(spark, sf).encode(b, "text", "ids", add_bos=True)
-    e = e.withColumn("ids", F.slice("ids", 1, V.MAX_LENGTH))
     return V.perplexity(_scorer(spark, sf).token_logprobs(token_pairs(e, "ids")))
 
 
@@ -938,9 +941,8 @@ def _stream_src(spark, sf):
 
 
 def _budget_stream(spark, sf, budget, val_every):
-    out = SS.stream_budget(_stream_src(spark, sf), budget, val_every)
-    return SS.run_to_table(spark, out, scratch_path(spark, "stream-out"),
-                           scratch_path(spark, "stream-ckpt"))
+    return SS.run_steps(spark, _stream_src(spark, sf), SS.budget_step(budget, val_every), SS.BUDGET_OUT, SS.BUDGET_STATE,
+                        scratch_path(spark, "stream-budget"))
 
 
 @register("stream_budget", SQL["token_budget"])
@@ -977,9 +979,8 @@ def q_stream_run_metrics(spark, sf):
     ev = table(spark, sf, "events")
     root = scratch_path(spark, "stream-events")
     SS.write_ordered_files(ev, root, "event_id", STREAM_FILES)
-    out = SS.stream_run_metrics(SS.read_ordered_files(spark, root, ev.schema))
-    return SS.run_to_table(spark, out, scratch_path(spark, "stream-runs"),
-                           scratch_path(spark, "stream-ckpt"))
+    return SS.run_steps(spark, SS.run_events(SS.read_ordered_files(spark, root, ev.schema)), SS.run_step(), SS.RUN_OUT, SS.RUN_STATE,
+                        scratch_path(spark, "stream-runs"))
 
 
 # ================================================================ run metrics
@@ -1065,17 +1066,13 @@ def q_scan_compressed_glob(spark, sf):
     return _doc_keys(A.scan_compressed_glob(spark, root + "/train/*.json.gz"))
 
 
-@register("scan_with_stem", """
-SELECT source AS dataset, doc_id AS pos, CAST(length(text) AS BIGINT) AS n_chars FROM documents
-WHERE source IN ('src1', 'src2', 'src3')""")
+@register("scan_with_stem", _DOC_KEYS_SQL)
 def q_scan_with_stem(spark, sf):
+    # one write, a directory per dataset named by its stem
     root = scratch_path(spark, "stems")
-    rows = _as_jsonl_rows(spark, sf)
-    for name in ("src1", "src2", "src3", "src4"):  # one output per dataset, named by it
-        Z.sink_jsonl(rows.filter(F.col("dataset") == name).drop("dataset"), f"{root}/{name}.jsonl")
-    d = A.scan_with_stem(spark, root, names=["src1", "src2", "src3"],
-                         schema="pos bigint, text string, content string, lang string")
-    return _doc_keys(d)
+    rows = _as_jsonl_rows(spark, sf).withColumn("file", F.concat("dataset", F.lit(".jsonl"))).drop("dataset")
+    rows.write.partitionBy("file").json(root)
+    return _doc_keys(A.scan_with_stem(spark, root, schema="pos bigint, text string, content string, lang string"))
 
 
 @register("scan_partitioned", """
@@ -1128,19 +1125,23 @@ def q_config_sources(spark, sf):
     return A.check_sources(cfg.select("dataset"), avail)
 
 
+_ALL_COUNTS = f"""SELECT dataset, CAST(count(*) AS BIGINT) AS docs, CAST(sum(est) AS BIGINT) AS tokens
+FROM ({_NONEMPTY}) GROUP BY dataset"""
+
+
 @register("join_config", f"""
-WITH k AS ({SQL['collect_counts']})
+WITH k AS ({_ALL_COUNTS})
 SELECT k.dataset, k.docs, k.tokens, CAST(cfg.target_tokens AS BIGINT) AS target_tokens
 FROM k JOIN {_CONFIG_SQL} USING (dataset)""")
 def q_join_config(spark, sf):
     from quillspark.operators.joins import join_config
     cfg = A.config_sources(spark, _CONFIG).select("dataset", "target_tokens")
-    counts = C.collect_counts(C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE))
+    counts = C.collect_counts(_corpus(spark, sf))
     return join_config(counts, cfg)
 
 
 @register("mixture_report", f"""
-WITH k AS ({SQL['collect_counts']}),
+WITH k AS ({_ALL_COUNTS}),
 c AS (SELECT * FROM {_CONFIG_SQL})
 SELECT c.dataset, CAST(c.target_tokens AS BIGINT) AS target_tokens,
        round(100.0 * c.target_tokens / sum(c.target_tokens) OVER (), 6) AS target_share_pct,
@@ -1149,36 +1150,51 @@ SELECT c.dataset, CAST(c.target_tokens AS BIGINT) AS target_tokens,
 FROM c LEFT JOIN k USING (dataset)""")
 def q_mixture_report(spark, sf):
     cfg = A.config_sources(spark, _CONFIG).select("dataset", "target_tokens")
-    counts = C.collect_counts(C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE))
+    counts = C.collect_counts(_corpus(spark, sf))
     return C.mixture_report(counts, cfg)
 
 
 @register("sink_skip_existing", f"""
 SELECT dataset FROM {_CONFIG_SQL}
-WHERE dataset NOT IN (SELECT DISTINCT source FROM documents WHERE length(text) > 0
-                      AND source IN ('src0', 'src2', 'src4'))""")
+WHERE dataset NOT IN (SELECT source FROM documents WHERE length(text) > 0 GROUP BY source HAVING count(*) % 2 = 0
+                      AND max(doc_id) % 4 < 2)""")
 def q_sink_skip_existing(spark, sf):
-    # A manifest of finished datasets is written; the next run only
-    # gets the configured datasets that are not in it.
+    # A first run has finished some datasets (by their counts) and left its
+    # manifest; the next one only gets the configured datasets not in it.
     man = scratch_path(spark, "manifest")
-    done = C.collect_counts(C.token_budget(_corpus(spark, sf), BUDGET_PER_SOURCE)) \
-        .filter(F.col("dataset").isin("src0", "src2", "src4"))
-    done.write.parquet(man)
+    _corpus(spark, sf).groupBy("dataset").agg(F.count(F.lit(1)).alias("docs"), F.max("pos").alias("last")) \
+        .filter("docs % 2 = 0 and last % 4 < 2").write.parquet(man)
     req = A.config_sources(spark, _CONFIG).select("dataset")
     return Z.pending_work(req, man, spark)
 
 
-@register("anti_done", SQL["sink_skip_existing"])
+@register("anti_done", f"""
+SELECT source AS dataset, doc_id AS pos FROM documents
+WHERE length(text) > 0 AND source NOT IN (SELECT dataset FROM {_CONFIG_SQL})""")
 def q_anti_done(spark, sf):
-    return q_sink_skip_existing(spark, sf)
+    # Rows of the datasets that the configuration has not listed as done
+    from quillspark.operators.joins import anti_done
+    done = A.config_sources(spark, _CONFIG).select("dataset")
+    return anti_done(_corpus(spark, sf).select("dataset", "pos"), done)
 
 
 @register("select_datasets", """
-SELECT source AS dataset, CAST(count(*) AS BIGINT) AS docs FROM documents
-WHERE source IN ('src1', 'src3') GROUP BY source""")
+WITH d AS (SELECT source AS dataset, CAST(count(*) AS BIGINT) AS docs FROM documents GROUP BY source),
+r AS (SELECT 'all' AS choice, dataset FROM d
+      UNION ALL SELECT 'src1,src3', unnest(['src1', 'src3'])
+      UNION ALL SELECT 'src2 nowhere', unnest(['src2', 'nowhere']))
+SELECT choice, r.dataset, CASE WHEN d.dataset IS NULL THEN 'unknown' ELSE 'ok' END AS status, docs
+FROM r LEFT JOIN d USING (dataset)""")
 def q_select_datasets(spark, sf):
-    d = C.corpus_from_documents(_docs(spark, sf)).filter(F.col("dataset").isin("src1", "src3"))
-    return d.groupBy("dataset").agg(F.count(F.lit(1)).cast("bigint").alias("docs"))
+    # All, a comma list and a list with an unknown name
+    have = C.corpus_from_documents(_docs(spark, sf)).groupBy("dataset").agg(F.count(F.lit(1)).cast("bigint").alias("docs"))
+    out = None
+    for choice in ("all", "src1,src3", "src2 nowhere"):
+        names = have.select("dataset") if choice == "all" else \
+            spark.createDataFrame([(n,) for n in choice.replace(",", " ").split()], "dataset string")
+        part = A.check_sources(names, have).select(F.lit(choice).alias("choice"), "dataset", "status")
+        out = part if out is None else out.unionByName(part)
+    return out.join(have, "dataset", "left").select("choice", "dataset", "status", "docs")
 
 
 @register("stringify_nested_ts", """
@@ -1209,7 +1225,7 @@ def q_sink_manifest(spark, sf):
                          "examples": r["examples"]} for r in st.collect()}  # 2 rows
     man = {"tokenizer": "built-in pieces", "chat_format": "inst_tags",
            "max_tokens_per_conversation": H.MAX_TOKENS_PER_CONVERSATION, "seed": H.SFT_SEED,
-           "datasets": H.dataset_counts(None, SFT_LIMIT), **rows}
+           "datasets": H.dataset_counts(None), **rows}
     p = Z.sink_manifest(spark, man, scratch_path(spark, "manifest-json"))
     return spark.read.text(p)
 
@@ -1252,10 +1268,6 @@ def q_example_details(spark, sf):
 
 
 # ================================================================ remaining scalar / array ops
-def _sft_examples(spark, sf):
-    return _flagged(spark, sf).filter("taken").select("dataset", "pos", "ids", "mask")
-
-
 @register("truncate_right", f"""{_TOK}
 SELECT dataset, pos, {fingerprint('ids[1:128]')} AS ids_md5, {fingerprint('mask[1:128]')} AS mask_md5 FROM taken""")
 def q_truncate_right(spark, sf):
@@ -1286,7 +1298,6 @@ SELECT item_id, {fingerprint("list_concat(ids[2:], [-1])")} AS y_md5 FROM pt""")
 def q_shift_targets(spark, sf):
     b = table(spark, sf, "benchmark")
     e = _encoder(spark, sf).encode(b, "text", "ids", add_bos=True)
-    e = e.withColumn("ids", F.slice("ids", 1, V.MAX_LENGTH))
     y = F.concat(F.slice("ids", 2, F.size("ids") - 1), F.array(F.lit(-1)))
     return e.select("item_id", ids_fingerprint(y).alias("y_md5"))
 

@@ -33,12 +33,25 @@ def sft_flagged(conversations: DataFrame, encoder, names=None, limit: int | None
     return H.first_n_valid(cand, H.dataset_counts(names, limit), max_tokens)
 
 
-def sft_split(conversations: DataFrame, encoder, names=None, limit: int | None = None,
-              val_fraction: float = 0.02, seed: int = H.SFT_SEED) -> DataFrame:
-    """G1 + F3 + F4: collected examples of all datasets, shuffled, split."""
-    ex = sft_flagged(conversations, encoder, names, limit).filter("taken")
-    ex = ex.select("dataset", "pos", "ids", "mask")
-    ex = seeded_shuffle(ex, seed, "dataset", "pos")
+def sft_examples(conversations: DataFrame, encoder, names=None, limit: int | None = None,
+                 quota: bool = False, max_tokens: int | None = None) -> DataFrame:
+    """G1: ``dataset, pos, ids, mask`` of all datasets' valid conversations, of
+    at most ``max_tokens`` tokens if given. With ``quota`` the first ones of
+    each dataset, as E4 takes them (``limit``: rows per dataset instead of the
+    registry's counts)."""
+    if quota:
+        ex = sft_flagged(conversations, encoder, names, limit, max_tokens or H.MAX_TOKENS_PER_CONVERSATION).filter("taken")
+    else:
+        ex = sft_candidates(conversations, encoder, names).filter(F.col("is_valid") & F.col("ids").isNotNull())
+        if max_tokens:
+            ex = H.filter_max_tokens(ex, max_tokens)
+    return ex.select("dataset", "pos", "ids", "mask")
+
+
+def sft_split(conversations: DataFrame, encoder, names=None, limit: int | None = None, quota: bool = False,
+              max_tokens: int | None = None, val_fraction: float = 0.02, seed: int = H.SFT_SEED) -> DataFrame:
+    """F3 + F4: the examples, shuffled and split."""
+    ex = seeded_shuffle(sft_examples(conversations, encoder, names, limit, quota, max_tokens), seed, "dataset", "pos")
     return materialize(fraction_split(ex, val_fraction), "sft-split")
 
 

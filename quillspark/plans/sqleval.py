@@ -38,8 +38,7 @@ enc0 AS (SELECT task, item_id, choice_idx, gold, full_text,
                 list_concat([1], {encode('full_text')}) AS ids0,
                 len({encode('context')}) + 1 AS nctx FROM cfull, vmap),
 enc AS (SELECT task, item_id, choice_idx, gold, full_text,
-               CASE WHEN len(ids0) > 2048 THEN ids0[-2048:] ELSE ids0 END AS ids,
-               CAST(CASE WHEN len(ids0) > 2048 THEN greatest(0, 2048 - (len(ids0) - nctx)) ELSE nctx END AS INTEGER) AS ctx_len
+               ids0 AS ids, CAST(nctx AS INTEGER) AS ctx_len
         FROM enc0),
 corpus AS (SELECT list_concat([1], {encode('text')}, [2]) AS ids FROM documents, vmap WHERE length(text) > 0),
 bigrams AS (SELECT prev, token, count(*) AS cnt FROM (
@@ -62,7 +61,7 @@ sc AS (SELECT *, CAST(n_tokens - ctx_len AS BIGINT) AS n_choice_tokens,
        FROM sc0),
 wcands AS (SELECT item_id, choice_idx, gold, replace(context || ' _', '_', choice) AS full_text FROM c2),
 wenc AS (SELECT item_id, choice_idx, gold, list_concat([1], {encode('full_text')}) AS ids0 FROM wcands, vmap),
-wenc2 AS (SELECT item_id, choice_idx, gold, CASE WHEN len(ids0) > 2048 THEN ids0[-2048:] ELSE ids0 END AS ids FROM wenc),
+wenc2 AS (SELECT item_id, choice_idx, gold, ids0 AS ids FROM wenc),
 wpairs AS (SELECT item_id, choice_idx, ids[i] AS prev, ids[i + 1] AS token
            FROM (SELECT item_id, choice_idx, ids, unnest(range(1, len(ids))) AS i FROM wenc2)),
 wlp AS (SELECT w.*, ln((coalesce(b.cnt, 0) + 1.0) / (coalesce(x.ctx_count, 0) + 32000.0)) AS logprob

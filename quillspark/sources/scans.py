@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillspark.functions.text import py_strip
+from quillspark.session import path_exists
 
 CORPUS_SCHEMA = "dataset string, pos bigint, text string, content string, lang string"
 
@@ -20,10 +21,8 @@ def scan_jsonl(spark: SparkSession, path: str, schema: str | StructType = CORPUS
 def scan_table(spark: SparkSession, root: str, name: str, subset: str | None = None) -> DataFrame:
     """A2: a Parquet dataset by name and optional subset directory."""
     path = f"{root.rstrip('/')}/{name}" + (f"/{subset}" if subset else "")
-    if not subset and not name.endswith(".parquet"):
-        import os
-        if os.path.exists(path + ".parquet"):
-            path += ".parquet"
+    if not subset and not name.endswith(".parquet") and path_exists(spark, path + ".parquet"):
+        path += ".parquet"
     return spark.read.parquet(path)
 
 
@@ -37,10 +36,11 @@ def scan_compressed_glob(spark: SparkSession, glob: str,
 
 def scan_with_stem(spark: SparkSession, root: str, names=None,
                    schema: str | StructType = CORPUS_SCHEMA, ext: str = "jsonl") -> DataFrame:
-    """A4: every ``*.{ext}`` under ``root`` (a file or a Spark output
-    directory); ``dataset`` = the file stem; optional name list."""
+    """A4: every ``*.{ext}`` under ``root`` (a file, a Spark output directory
+    or one of a partitioned output, ``key=stem.{ext}``); ``dataset`` = the file
+    stem; optional name list."""
     d = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root.rstrip('/')}/*.{ext}")
-    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)\.{ext}(/[^/]*)?$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"/(?:[^/=]+=)?([^/=]+)\.{ext}(/[^/]*)?$", 1)
     d = d.withColumn("dataset", stem)
     if names:
         d = d.filter(F.col("dataset").isin(*names))

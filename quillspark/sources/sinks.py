@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.joins import anti_done
+from quillspark.session import path_exists
 
 
 def sink_jsonl(df: DataFrame, path: str, mode: str = "errorifexists",
@@ -26,14 +27,6 @@ def sink_jsonl(df: DataFrame, path: str, mode: str = "errorifexists",
     return path
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check on the cluster file system (HDFS, object store, local)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(conf).exists(p))
-
-
 def is_complete(spark: SparkSession, path: str) -> bool:
     """An output counts as complete only if the commit marker exists."""
     return path_exists(spark, path.rstrip("/") + "/_SUCCESS")

@@ -1,54 +1,105 @@
-"""Incremental collection with state kept by Structured Streaming.
-
-"Streaming" in the reference means reading a dataset incrementally; the
-state lives per dataset (or per run) in ``applyInPandasWithState``. Within a
-micro-batch the rows of a group are sorted by their order key, so results
-equal the batch operators when files arrive in order (files are taken in
-modification-time order, so they must be written in ``pos`` order). One
-group's rows of one micro-batch meet in one Python task: bound batches with
-``maxFilesPerTrigger`` / ``maxBytesPerTrigger``.
+"""Incremental collection with state kept between micro-batches.
+
+"Streaming" in the reference means reading a dataset incrementally. A micro-
+batch is an ordinary DataFrame here (``foreachBatch``): its running values come
+from the two-phase operators of ``ordered``, so a hot dataset or run is never
+one task, and a state table with one row per dataset (or run) carries them on.
+
+Output and state of a batch are written under its number: a batch that is run
+again after a failure overwrites its own output and reads the same state as
+before. Files are taken in order of their modification time; a batch whose
+order values go back behind the state's fails the query instead of giving
+wrong sums.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from quillspark.operators.ordered import range_buckets, running_min, running_sums
+from quillspark.session import path_exists
 
 BUDGET_OUT = "dataset string, pos long, est long, cum_tokens long, doc_index long, is_val boolean"
-BUDGET_STATE = "tokens long, docs long, closed boolean"
-
-
-def _budget_fn(max_tokens: int | None, val_every: int):
-    def fn(key, pdfs, state):
-        import pandas as pd
-        tokens, docs, closed = state.get if state.exists else (0, 0, False)
-        out = []
-        batch = pd.concat(list(pdfs), ignore_index=True) if pdfs else None
-        if batch is not None and len(batch) and not closed:
-            batch = batch.sort_values("pos", kind="mergesort")
-            for pos, est in zip(batch["pos"].tolist(), batch["est"].tolist()):
-                if max_tokens and tokens + est > max_tokens:
-                    closed = True  # the budget closes for good (break)
-                    break
-                tokens += est
-                out.append((key[0], pos, est, tokens, docs, docs % val_every == 0))
-                docs += 1
-        state.update((tokens, docs, closed))
-        yield pd.DataFrame(out, columns=["dataset", "pos", "est", "cum_tokens", "doc_index",
-                                         "is_val"])
-    return fn
-
-
-def stream_budget(stream: DataFrame, max_tokens: int | None, val_every: int = 100) -> DataFrame:
-    """S1 + S2: admit documents until the per-dataset budget closes (it stays
-    closed), and assign the every-Nth val split, from a stream of
-    ``dataset, pos, est`` rows."""
-    from quillspark.session import ship_package
-    ship_package(stream.sparkSession)
-    return stream.groupBy("dataset").applyInPandasWithState(
-        _budget_fn(max_tokens, val_every), BUDGET_OUT, BUDGET_STATE, "append",
-        GroupStateTimeout.NoTimeout)
+BUDGET_STATE = "dataset string, tokens long, docs long, closed boolean, last long"
+RUN_OUT = "run string, event_id long, step long, loss double, prev_best double, improved boolean"
+RUN_STATE = "run string, steps long, best double, last long"
+
+Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def _with_state(df: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """``df`` with the state's row of its key (null keys meet null keys)."""
+    own = state.withColumnRenamed(key, "_state_key")
+    return df.join(own, df[key].eqNullSafe(own["_state_key"]), "left").drop("_state_key")
+
+
+def _carry(seen: DataFrame, state: DataFrame, key: str, update: dict) -> DataFrame:
+    """The new state: ``update`` (columns over ``seen`` and the old state,
+    either of which may lack a key) for every key of both."""
+    keys = seen.select(key).unionByName(state.select(key)).distinct()
+    s = seen.select(F.struct("*").alias("_s"), F.col(key).alias("_k"))
+    t = state.select(F.struct("*").alias("_t"), F.col(key).alias("_k"))
+    both = keys.join(s, keys[key].eqNullSafe(s["_k"]), "left").drop("_k")
+    both = both.join(t, both[key].eqNullSafe(t["_k"]), "left").drop("_k")
+    return both.select(key, *[v.alias(k) for k, v in update.items()])
+
+
+def budget_step(max_tokens: int | None, val_every: int = 100) -> Step:
+    """S1 + S2 for one batch of ``dataset, pos, est``: admit documents until
+    the per-dataset budget closes (it stays closed), every-Nth val split."""
+    def step(batch: DataFrame, state: DataFrame):
+        d = running_sums(batch.select("dataset", "pos", "est"), ["dataset"], "pos",
+                         {"_cum": F.col("est"), "_n": F.lit(1)})
+        d = _with_state(d, state, "dataset")
+        cum = F.coalesce("tokens", F.lit(0)) + F.col("_cum")
+        fits = (cum <= max_tokens) if max_tokens else F.lit(True)
+        d = d.withColumn("_back", F.coalesce(F.col("pos") <= F.col("last"), F.lit(False))) \
+            .withColumn("_in", ~F.coalesce("closed", F.lit(False)) & fits).withColumn("cum_tokens", cum) \
+            .withColumn("doc_index", F.coalesce("docs", F.lit(0)) + F.col("_n") - 1)
+        # admission is a prefix, so the running values of admitted rows are those of all rows
+        out = d.filter("_in").select("dataset", "pos", "est", "cum_tokens", "doc_index",
+                                     (F.col("doc_index") % val_every == 0).alias("is_val"))
+        seen = d.groupBy("dataset").agg(
+            F.sum(F.when(F.col("_in"), F.col("est")).otherwise(0)).alias("tokens"),
+            F.sum(F.col("_in").cast("long")).alias("docs"), F.max(~F.col("_in")).alias("closed"),
+            F.max("pos").alias("last"), F.max("_back").alias("back"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        no = lambda c: F.coalesce(c, F.lit(False))
+        new = _carry(seen, state, "dataset", {
+            "tokens": zero(F.col("_t.tokens")) + zero(F.col("_s.tokens")), "docs": zero(F.col("_t.docs")) + zero(F.col("_s.docs")),
+            "closed": no(F.col("_t.closed")) | no(F.col("_s.closed")), "last": F.greatest("_t.last", "_s.last"),
+            "back": no(F.col("_s.back"))})
+        return out, new
+    return step
+
+
+def run_step() -> Step:
+    """S4 for one batch of ``run, event_id, ts, loss``: step number and
+    best-so-far flags (E8), in ``(ts, event_id)`` order."""
+    def step(batch: DataFrame, state: DataFrame):
+        d = batch.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+        d = range_buckets(d, ["run", "_us", "event_id"])
+        d = running_sums(d, ["run"], ["_us", "event_id"], {"_n": F.lit(1)}, bucket="_part")
+        d = running_min(d, ["run"], ["_us", "event_id"], F.col("loss"), "_min", bucket="_part")
+        d = _with_state(d, state, "run").withColumn("prev_best", F.least("best", "_min"))
+        out = d.select("run", "event_id", (F.coalesce("steps", F.lit(0)) + F.col("_n")).alias("step"), "loss", "prev_best",
+                       (F.col("prev_best").isNull() | (F.col("loss") < F.col("prev_best"))).alias("improved"))
+        seen = d.groupBy("run").agg(F.count(F.lit(1)).alias("steps"), F.min("loss").alias("best"), F.max("_us").alias("last"),
+                                    F.max(F.coalesce(F.col("_us") < F.col("last"), F.lit(False))).alias("back"))
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        new = _carry(seen, state, "run", {
+            "steps": zero(F.col("_t.steps")) + zero(F.col("_s.steps")), "best": F.least("_t.best", "_s.best"),
+            "last": F.greatest("_t.last", "_s.last"), "back": F.coalesce("_s.back", F.lit(False))})
+        return out, new
+    return step
+
+
+def run_events(stream: DataFrame) -> DataFrame:
+    """Metric events as run rows: run = ``event_type``, loss = ``value``."""
+    return stream.select(F.col("event_type").alias("run"), "event_id", "ts", F.col("value").alias("loss"))
 
 
 def stream_token_stats(stream: DataFrame) -> DataFrame:
@@ -59,39 +110,29 @@ def stream_token_stats(stream: DataFrame) -> DataFrame:
         F.sum("n_chars").cast("bigint").alias("total_chars"))
 
 
-RUN_OUT = "run string, event_id long, step long, loss double, prev_best double, improved boolean"
-RUN_STATE = "steps long, best double, has_best boolean"
-
-
-def _run_fn():
-    def fn(key, pdfs, state):
-        import pandas as pd
-        steps, best, has_best = state.get if state.exists else (0, 0.0, False)
-        out = []
-        batch = pd.concat(list(pdfs), ignore_index=True) if pdfs else None
-        if batch is not None and len(batch):
-            batch = batch.sort_values(["ts", "event_id"], kind="mergesort")
-            for eid, loss in zip(batch["event_id"].tolist(), batch["loss"].tolist()):
-                steps += 1
-                prev = best if has_best else None
-                improved = (not has_best) or loss < best
-                out.append((key[0], eid, steps, loss, prev, improved))
-                if improved:
-                    best, has_best = loss, True
-        state.update((steps, best, has_best))
-        yield pd.DataFrame(out, columns=["run", "event_id", "step", "loss", "prev_best", "improved"])
-    return fn
-
-
-def stream_run_metrics(stream: DataFrame) -> DataFrame:
-    """Per run (``event_type``) the step number and best-so-far flags
-    (E8) over a stream of metric events."""
-    from quillspark.session import ship_package
-    ship_package(stream.sparkSession)
-    s = stream.select(F.col("event_type").alias("run"), "event_id", "ts",
-                      F.col("value").alias("loss"))
-    return s.groupBy("run").applyInPandasWithState(
-        _run_fn(), RUN_OUT, RUN_STATE, "append", GroupStateTimeout.NoTimeout)
+def run_steps(spark: SparkSession, stream: DataFrame, step: Step, out_schema: str, state_schema: str, path: str) -> DataFrame:
+    """Drive a stream to its end (``availableNow``), batch by batch, and read
+    the output back. ``path`` (in shared storage) keeps the query checkpoint,
+    the batches' output and their states; a later call goes on from there."""
+    def at(kind: str, epoch: int) -> str:
+        return f"{path}/{kind}/batch={epoch:08d}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        known = path_exists(spark, at("state", epoch - 1) + "/_SUCCESS") if epoch else False
+        session = batch.sparkSession
+        state = session.read.schema(state_schema).parquet(at("state", epoch - 1)) if known else session.createDataFrame([], state_schema)
+        out, new = step(batch, state)
+        new.write.mode("overwrite").parquet(at("state", epoch))
+        if session.read.parquet(at("state", epoch)).filter("back").head(1):
+            raise ValueError("input went back behind rows already taken; files must come in order")
+        out.write.mode("overwrite").parquet(at("out", epoch))
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint") \
+        .trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not path_exists(spark, f"{path}/out"):
+        return spark.createDataFrame([], out_schema)
+    return spark.read.schema(out_schema).parquet(f"{path}/out").select(*[c.strip().split(" ")[0] for c in out_schema.split(",")])
 
 
 def run_to_table(spark: SparkSession, sdf: DataFrame, out_path: str, ckpt: str,
@@ -113,27 +154,23 @@ def run_to_table(spark: SparkSession, sdf: DataFrame, out_path: str, ckpt: str,
     return spark.read.parquet(out_path)
 
 
-def write_ordered_files(df: DataFrame, root: str, order: str, n_files: int = 4,
-                        max_rows_per_file: int = 1_000_000) -> list[str]:
-    """Replay helper: cut a table into parts by ranges of ``order`` and write
-    them one after the other, one file each, so that a file stream
-    (modification-time order) sees them in ``order``. The number of parts
-    grows with the table (at most ``max_rows_per_file`` rows per part, so no
-    part puts more than that into one task)."""
-    stats = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()  # three scalars
-    lo, hi, rows = int(stats[0]), int(stats[1]), int(stats[2])
-    n_files = max(n_files, -(-rows // max_rows_per_file))
-    step = max(1, -(-(hi - lo + 1) // n_files))
-    paths = []
-    for i in range(n_files):
-        part = df.filter((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step))
-        p = f"{root.rstrip('/')}/part_{i:04d}"
-        part.coalesce(1).write.mode("overwrite").parquet(p)
-        paths.append(p)
-    return paths
+def write_ordered_files(df: DataFrame, root: str, order: str, n_files: int = 4) -> str:
+    """Replay helper: one range-partitioned write of a table, whose files get
+    ascending modification times, so that a file stream takes them in
+    ``order``. (Only the files' names and times pass through the driver.)"""
+    spark = df.sparkSession
+    path = f"{root.rstrip('/')}/parts"
+    df.repartitionByRange(n_files, order).sortWithinPartitions(order).write.mode("overwrite").parquet(path)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted(f.getPath().toString() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+    for i, f in enumerate(files):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), 1_000_000_000_000 + 60_000 * i, -1)
+    return path
 
 
 def read_ordered_files(spark: SparkSession, root: str, schema, files_per_trigger: int = 1):
-    """A file stream over the parts written by :func:`write_ordered_files`."""
+    """A file stream over the files written by :func:`write_ordered_files`."""
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(f"{root.rstrip('/')}/part_*"))
+            .parquet(f"{root.rstrip('/')}/parts"))

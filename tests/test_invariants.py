@@ -54,7 +54,7 @@ def test_chunks_rebuild_stream(spark):
 def test_sft_mask_aligned_and_split_disjoint(spark):
     conv = table(spark, SF_SMALL, "conversations")
     enc = R._encoder(spark, SF_SMALL)
-    sp = SP.sft_split(conv, enc, limit=5)
+    sp = SP.sft_split(conv, enc, limit=5, quota=True)
     assert sp.filter(F.size("ids") != F.size("mask")).count() == 0
     val = sp.filter("split = 'val'").select("dataset", "pos")
     train = sp.filter("split = 'train'").select("dataset", "pos")
