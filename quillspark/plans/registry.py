@@ -1095,13 +1095,14 @@ def q_scan_lines(spark, sf):
     return A.scan_lines(spark, root)
 
 
-@register("sink_jsonl")
+@register("sink_jsonl", "SELECT source AS dataset, doc_id AS pos FROM documents")
 def q_sink_jsonl(spark, sf):
     p = Z.sink_jsonl(_as_jsonl_rows(spark, sf), scratch_path(spark, "out-jsonl"))
     return spark.read.schema(A.CORPUS_SCHEMA).json(p).select("dataset", "pos")
 
 
-@register("sink_atomic")
+@register("sink_atomic", """
+SELECT source AS dataset, CAST(count(*) AS BIGINT) AS docs, true AS complete FROM documents GROUP BY source""")
 def q_sink_atomic(spark, sf):
     p = Z.sink_jsonl(_as_jsonl_rows(spark, sf), scratch_path(spark, "atomic"))
     ok = Z.is_complete(spark, p)
@@ -1218,7 +1219,11 @@ def q_sink_packed_masked(spark, sf):
         "split", F.col("total_tokens").alias("tokens"), "trainable_tokens")
 
 
-@register("sink_manifest")
+@register("sink_manifest", f"""{_TOK},
+st AS (SELECT split, CAST(sum(len(ids)) AS BIGINT) AS tokens, CAST(sum(list_sum(mask)) AS BIGINT) AS trainable_tokens,
+              CAST(count(*) AS BIGINT) AS examples FROM spl GROUP BY split)
+SELECT split, tokens, trainable_tokens, examples, CAST({H.SFT_SEED} AS BIGINT) AS seed,
+       CAST({H.MAX_TOKENS_PER_CONVERSATION} AS BIGINT) AS max_tokens, CAST({len(H.DATASETS)} AS BIGINT) AS datasets FROM st""")
 def q_sink_manifest(spark, sf):
     st = H.split_stats(_split(spark, sf))
     rows = {r["split"]: {"tokens": r["tokens"], "trainable_tokens": r["trainable_tokens"],
@@ -1227,46 +1232,81 @@ def q_sink_manifest(spark, sf):
            "max_tokens_per_conversation": H.MAX_TOKENS_PER_CONVERSATION, "seed": H.SFT_SEED,
            "datasets": H.dataset_counts(None), **rows}
     p = Z.sink_manifest(spark, man, scratch_path(spark, "manifest-json"))
-    return spark.read.text(p)
+    part = "struct<tokens:bigint,trainable_tokens:bigint,examples:bigint>"
+    m = spark.read.text(p).select(F.from_json("value", f"train {part}, val {part}, seed bigint, "
+                                              "max_tokens_per_conversation bigint, datasets map<string,bigint>").alias("m"))
+    splits = F.explode(F.array(*[F.struct(F.lit(x).alias("split"), F.col(f"m.{x}").alias("s")) for x in ("train", "val")]))
+    return m.select("m", splits.alias("x")).filter("x.s is not null").select(
+        "x.split", "x.s.tokens", "x.s.trainable_tokens", "x.s.examples", "m.seed",
+        F.col("m.max_tokens_per_conversation").alias("max_tokens"), F.size("m.datasets").cast("bigint").alias("datasets"))
 
 
-@register("sink_samples")
+@register("sink_samples", f"""{_SEG}, {_INV},
+dec AS (SELECT dataset, split, sample, start, tokens,
+               array_to_string(list_transform(tokens, lambda i: CASE i WHEN 0 THEN '<unk>' WHEN 1 THEN '<s>'
+                   WHEN 2 THEN '</s>' ELSE coalesce(imap.im[i], '') END), '') AS text
+        FROM segt, imap)
+SELECT dataset, split, sample, start, md5(text) AS text_md5, CAST(len(list_filter(tokens, lambda t: t = 2)) AS BIGINT) AS eos,
+       CAST(len(list_filter(tokens, lambda t: t = 0)) AS BIGINT) AS unk, round(length(text) / len(tokens), 6) AS chars_per_token FROM dec""")
 def q_sink_samples(spark, sf):
     enc = _encoder(spark, sf)
     seg = enc.decode(_segments(spark, sf), "tokens", "text", skip_special=False)
     m = T.segment_metrics(seg, enc.vocab_size).drop("tokens", "wid")
     p = Z.sink_samples(m, scratch_path(spark, "samples"))
-    return spark.read.schema("sample int, start long, text string, eos long, unk long, oov long, "
-                             "replacement_chars long, chars_per_token double, dataset string, "
-                             "split string").json(p)
+    d = spark.read.schema("sample int, start long, text string, eos long, unk long, oov long, "
+                          "replacement_chars long, chars_per_token double, dataset string, "
+                          "split string").json(p)
+    return d.select("dataset", "split", "sample", "start", F.md5("text").alias("text_md5"), "eos", "unk", _r6("chars_per_token"))
 
 
-@register("sink_eval")
+@register("sink_eval", f"""{EVAL_CTE}
+SELECT task, correct, total, round(accuracy, 6) AS accuracy, CASE WHEN task <> 'winogrande' THEN total ELSE 0 END AS examples
+FROM acc WHERE task IN ({", ".join(f"'{t}'" for t in V.TASK_SUITES["default"])})""")
 def q_sink_eval(spark, sf):
     a = EP.suite_accuracy(table(spark, sf, "benchmark"), "default", _encoder(spark, sf),
                           _scorer(spark, sf))
-    p = Z.sink_eval(a, scratch_path(spark, "eval"))
-    return spark.read.schema("task string, correct long, total long, accuracy double, "
-                             "timestamp string").json(p + "/summary")
+    p = Z.sink_eval(a, scratch_path(spark, "eval"), _details(spark, sf))
+    done = spark.read.schema("task string, item_id bigint").json(p + "/examples").groupBy("task").agg(F.count(F.lit(1)).alias("examples"))
+    d = spark.read.schema("task string, correct long, total long, accuracy double, timestamp string").json(p + "/summary")
+    return d.join(done, "task", "left").select("task", "correct", "total", _r6("accuracy"),
+                                               F.coalesce("examples", F.lit(0)).cast("bigint").alias("examples"))
 
 
-@register("sink_metrics")
+@register("sink_metrics", f"""WITH {_RUNS}
+SELECT run, event_id, step, loss FROM runs WHERE step % 100 = 0
+UNION ALL SELECT run, event_id, step, loss FROM runs WHERE step % 250 = 0""")
 def q_sink_metrics(spark, sf):
     m = T.run_metrics(table(spark, sf, "events"))
     p = scratch_path(spark, "metrics")
     Z.sink_metrics(T.every_n_steps(m, 100), p)
     Z.sink_metrics(T.every_n_steps(m, 250), p)  # a second append
-    return spark.read.parquet(p)
+    return spark.read.parquet(p).select("run", "event_id", "step", "loss")
 
 
-@register("example_details")
-def q_example_details(spark, sf):
+def _details(spark, sf):
     c = _mc_cands(spark, sf)
     s = V.choice_scores(c, _encoder(spark, sf), _scorer(spark, sf))
     r = V.predict_and_score(s, c.select("task", "item_id", "gold").distinct())
     return V.example_details(s, c, r)
 
 
+@register("example_details", f"""{EVAL_CTE},
+g AS (SELECT task, item_id, list(choice ORDER BY choice_idx) AS choices, list(full_text ORDER BY choice_idx) AS inputs,
+             list(round(score, 6) ORDER BY choice_idx) AS scores
+      FROM cfull JOIN sc USING (task, item_id, choice_idx, gold) GROUP BY task, item_id),
+n AS (SELECT task, item_id, CAST(row_number() OVER (PARTITION BY task ORDER BY item_id) AS BIGINT) AS example_id FROM g)
+SELECT task, example_id, item_id, pred AS model_prediction, choices[pred + 1] AS model_choice, gold AS correct_label,
+       choices[gold + 1] AS correct_choice, pred = gold AS is_correct, md5(array_to_string(choices, chr(10))) AS choices_md5,
+       md5(array_to_string(inputs, chr(10))) AS inputs_md5, CAST(len(scores) AS BIGINT) AS n_scores
+FROM g JOIN n USING (task, item_id) JOIN preds USING (task, item_id)""")
+def q_example_details(spark, sf):
+    d = _details(spark, sf)
+    joined = lambda c: F.md5(F.array_join(c, "\n"))
+    return d.select("task", "example_id", "item_id", "model_prediction", "model_choice", "correct_label", "correct_choice", "is_correct",
+                    joined("choices").alias("choices_md5"), joined("model_input_strings").alias("inputs_md5"),
+                    F.size("model_scores").cast("bigint").alias("n_scores"))
+
+
 # ================================================================ remaining scalar / array ops
 @register("truncate_right", f"""{_TOK}
 SELECT dataset, pos, {fingerprint('ids[1:128]')} AS ids_md5, {fingerprint('mask[1:128]')} AS mask_md5 FROM taken""")
