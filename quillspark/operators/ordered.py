@@ -138,7 +138,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: str, value, out: str = "
     for the first row): a lag inside each bucket, and for the first row of a
     bucket the last value of the bucket before."""
     d = df.withColumn("_bk", _bucket(order, bucket_width)).withColumn("_pv", _as_col(value)).withColumn("_key", _key(keys))
-    last = d.groupBy("_key", "_bk").agg(F.max_by("_pv", F.col(order)).alias("_last"))
+    last = d.groupBy("_key", "_bk").agg(F.max_by("_pv", F.struct(order)).alias("_last"))
     w = Window.partitionBy("_key").orderBy("_bk")
     offs = last.select("_key", "_bk", F.lag("_last").over(w).alias("_before"))
     d = d.join(offs, ["_key", "_bk"], "inner")
