@@ -153,32 +153,40 @@ QA_COLUMNS = {
 }
 
 
-def registry_messages(turns: DataFrame, names=None) -> DataFrame:
-    """H5 + G1: every selected registry dataset reads its raw shape (here all
-    rendered from the same conversation rows) through its converter; the
-    results form one bag. Output ``dataset, pos, messages`` (null messages =
-    rejected by the converter).
-
-    One projection, not a union of per-dataset branches: the conversation
-    rows are fanned out to the (bounded, <= 12) selected dataset names and
-    each row takes its dataset's converter by a CASE over the shape."""
+def shape_messages(turns: DataFrame, names=None) -> DataFrame:
+    """H5 once per raw shape: ``datasets array<string>, pos, messages`` (null
+    messages = rejected by the converter). Datasets of one shape read the same
+    conversation rows here, so each shape is converted (and later encoded)
+    once and its datasets are fanned out afterwards.
+
+    One projection, not a union of branches: the conversation rows are fanned
+    out to the (at most four) shapes and each row takes its converter by a
+    CASE, which builds that shape only."""
     names = list(DATASETS) if names in (None, "all") else list(names)
     unknown = [n for n in names if n not in DATASETS]
     if unknown:
         raise ValueError(f"unknown dataset(s) {unknown}; available: {', '.join(DATASETS)}")
-    d = turns.select(F.col("conv_id").alias("pos"), "turns",
-                     F.explode(F.array(*[F.lit(n) for n in names])).alias("dataset"))
-    shape = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(DATASETS[n][0]))])
-    d = d.withColumn("_shape", shape[F.col("dataset")])
-    d = d.withColumn("conversations", sharegpt_shape()).withColumn("_msgs", messages_shape()) \
-        .withColumn("conversation", pairs_shape())
+    of_shape: dict[str, list[str]] = {}
+    for n in names:
+        shape = DATASETS[n][0]
+        of_shape.setdefault("qa" if shape in QA_COLUMNS else shape, []).append(n)
+    d = turns.select(F.col("conv_id").alias("pos"), "turns", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("shape"), F.array(*map(F.lit, v)).alias("datasets")) for k, v in of_shape.items()])).alias("_s"))
     qc, ac = qa_shape()
-    d = d.withColumn("_q", qc).withColumn("_a", ac)
-    conv = F.when(F.col("_shape") == "sharegpt", convert_sharegpt("conversations")) \
-        .when(F.col("_shape") == "messages", convert_messages("_msgs")) \
-        .when(F.col("_shape") == "pairs", convert_pairs("conversation")) \
+    d = d.withColumn("conversations", sharegpt_shape()).withColumn("_msgs", messages_shape()) \
+        .withColumn("conversation", pairs_shape()).withColumn("_q", qc).withColumn("_a", ac)
+    shape = F.col("_s.shape")
+    conv = F.when(shape == "sharegpt", convert_sharegpt("conversations")) \
+        .when(shape == "messages", convert_messages("_msgs")) \
+        .when(shape == "pairs", convert_pairs("conversation")) \
         .otherwise(convert_qa("_q", "_a"))
-    return d.select("dataset", "pos", conv.alias("messages"))
+    return d.select(F.col("_s.datasets").alias("datasets"), "pos", conv.alias("messages"))
+
+
+def registry_messages(turns: DataFrame, names=None) -> DataFrame:
+    """H5 + G1: every selected registry dataset's conversations in one bag:
+    ``dataset, pos, messages``."""
+    return shape_messages(turns, names).select(F.explode("datasets").alias("dataset"), "pos", "messages")
 
 
 def dataset_counts(names=None, limit: int | None = None) -> dict:

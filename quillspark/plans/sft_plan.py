@@ -18,12 +18,14 @@ def sft_candidates(conversations: DataFrame, encoder, names=None) -> DataFrame:
     and mask are null where the converter or B9 rejected the conversation
     (only valid conversations are encoded)."""
     turns = H.collect_turns(conversations)
-    msgs = H.registry_messages(turns, names)
+    # converted and encoded once per raw shape, fanned out to its datasets from the stage
+    msgs = H.shape_messages(turns, names)
     d = msgs.withColumn("is_valid", H.valid_conversation("messages"))
     d = d.withColumn("_enc", F.when(F.col("is_valid"), F.col("messages")))
     out = H.tokenize_conversation(d, encoder, "_enc", drop=["_enc", "messages"])
     # Stage output: E4's two-phase pass reads it twice; never tokenize twice.
-    return materialize(out, "sft-candidates")
+    out = materialize(out, "sft-candidates")
+    return out.select(F.explode("datasets").alias("dataset"), *[c for c in out.columns if c != "datasets"])
 
 
 def sft_flagged(conversations: DataFrame, encoder, names=None, limit: int | None = None,
