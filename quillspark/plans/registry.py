@@ -13,8 +13,10 @@ from quillspark.functions.text import ids_fingerprint
 from quillspark.operators import corpus as C
 from quillspark.plans import corpus_plan as CP
 from quillspark.plans.sqlparts import P, encode, fingerprint, vocab_cte
-from quillspark.session import scratch_path, table
+from quillspark.session import StageStore, scratch_path, table
 
+#: Stages that several queries read: the encoded corpus, its streams, the instruction split and its chunks.
+STAGES = StageStore()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -398,8 +400,13 @@ def q_collect_skips(spark, sf):
 
 
 def _split(spark, sf):
-    return SP.sft_split(table(spark, sf, "conversations"), _encoder(spark, sf),
-                        val_fraction=SFT_VAL_FRACTION)
+    return STAGES.get(spark, (sf, SFT_VAL_FRACTION, "sft-split"), lambda: SP.sft_split(
+        table(spark, sf, "conversations"), _encoder(spark, sf), val_fraction=SFT_VAL_FRACTION))
+
+
+def _sft_chunks(spark, sf):
+    return STAGES.get(spark, (sf, SFT_VAL_FRACTION, SFT_CHUNK, "sft-chunks"),
+                      lambda: SP.sft_stream(_split(spark, sf), SFT_CHUNK), cluster_by=["split", "chunk_id"])
 
 
 def _sft_examples(spark, sf):
@@ -462,7 +469,7 @@ chunks AS (SELECT split, CAST((start + i) // {SFT_CHUNK} AS BIGINT) AS chunk_id,
 SELECT split, chunk_id, CAST(len(tokens) AS BIGINT) AS n_tokens, {fingerprint('tokens')} AS tokens_md5,
        {fingerprint('mask')} AS mask_md5 FROM chunks""")
 def q_pack_stream(spark, sf):
-    ch = SP.sft_stream(_split(spark, sf), SFT_CHUNK)
+    ch = _sft_chunks(spark, sf)
     return ch.select("split", "chunk_id", F.size("tokens").cast("bigint").alias("n_tokens"),
                      _ids_md5("tokens").alias("tokens_md5"), _ids_md5("mask").alias("mask_md5"))
 
@@ -481,12 +488,14 @@ _PLAN_ROWS = PLAN["world"] * PLAN["steps"] * PLAN["micro"] * PLAN["batch"]
 
 
 def _encoded(spark, sf):
-    return CP.encoded_corpus(_docs(spark, sf), None, STREAM_VAL_EVERY, _encoder(spark, sf),
-                             materialize=True)
+    return STAGES.get(spark, (sf, STREAM_VAL_EVERY, "encoded-corpus"), lambda: CP.encoded_corpus(
+        _docs(spark, sf), None, STREAM_VAL_EVERY, _encoder(spark, sf), BUCKET))
 
 
 def _streams(spark, sf):
-    return CP.corpus_streams(_encoded(spark, sf), STREAM_CHUNK, materialize=True)
+    return STAGES.get(spark, (sf, STREAM_VAL_EVERY, STREAM_CHUNK, "corpus-streams"),
+                      lambda: CP.corpus_streams(_encoded(spark, sf), STREAM_CHUNK, BUCKET),
+                      cluster_by=["dataset", "split", "chunk_id"])
 
 
 def _train_lengths(spark, sf):
@@ -1212,7 +1221,7 @@ def q_stringify_nested_ts(spark, sf):
 SELECT split, CAST(sum(len(tokens)) AS BIGINT) AS tokens, CAST(sum(list_sum(mask)) AS BIGINT) AS trainable_tokens
 FROM chunks GROUP BY split""")
 def q_sink_packed_masked(spark, sf):
-    p = Z.sink_packed_masked(SP.sft_stream(_split(spark, sf), SFT_CHUNK),
+    p = Z.sink_packed_masked(_sft_chunks(spark, sf),
                              scratch_path(spark, "sft-stream"))
     ch = spark.read.parquet(p)
     return K.stream_lengths(ch, ["split"], "tokens", "mask").select(
@@ -1346,7 +1355,7 @@ def q_shift_targets(spark, sf):
 SELECT split, chunk_id, CAST(list_sum(mask) AS BIGINT) AS trainable, CAST(len(tokens) AS BIGINT) AS n
 FROM chunks""")
 def q_zip_tokens_mask(spark, sf):
-    ch = SP.sft_stream(_split(spark, sf), SFT_CHUNK)
+    ch = _sft_chunks(spark, sf)
     z = F.arrays_zip("tokens", "mask")
     return ch.select("split", "chunk_id", F.size(F.filter(z, lambda p: p["mask"] == 1))
                      .cast("bigint").alias("trainable"), F.size(z).cast("bigint").alias("n"))
@@ -1470,9 +1479,7 @@ SELECT rank || ':' || step || ':' || micro || ':' || slot AS wid, CAST(i AS BIGI
        {fingerprint(f"CASE WHEN fully_masked THEN list_transform(range({BLOCK}), lambda j: -1) ELSE list_transform(range(1, {BLOCK} + 1), lambda j: CASE WHEN st.m[i + 1 + j] = 0 THEN -1 ELSE st.s[i + 1 + j] END) END")} AS y_md5
 FROM pick, st""")
 def q_sample_windows_masked(spark, sf):
-    from quillspark.session import materialize
-    ch = materialize(SP.sft_stream(_split(spark, sf), SFT_CHUNK), "sft-chunks",
-                     cluster_by=["split", "chunk_id"])
+    ch = _sft_chunks(spark, sf)
     w = S.sample_windows_masked(S.step_plan(spark, **PLAN), ch, {"split": "train"}, BLOCK,
                                 chunk_size=SFT_CHUNK, plan_rows=_PLAN_ROWS)
     return w.select("wid", "start", "fully_masked", F.col("trainable").cast("bigint").alias("trainable"),

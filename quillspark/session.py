@@ -103,6 +103,34 @@ def materialize(df: DataFrame, name: str, cluster_by=None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+class StageStore:
+    """Stage tables kept by name and parameters and shared by the queries of
+    an application, until :meth:`clear` removes them from shared storage."""
+
+    def __init__(self):
+        self._paths: dict[tuple, str] = {}
+
+    def get(self, spark: SparkSession, key: tuple, build, cluster_by=None) -> DataFrame:
+        """The stage ``key``, made by ``build()`` when it is first asked for."""
+        key = (spark.sparkContext.applicationId, *key)
+        if key not in self._paths:
+            df = build()
+            if cluster_by:
+                df = df.repartitionByRange(*cluster_by).sortWithinPartitions(*cluster_by)
+            path = scratch_path(spark, str(key[-1]))
+            df.write.mode("overwrite").parquet(path)
+            self._paths[key] = path
+        return spark.read.parquet(self._paths[key])
+
+    def clear(self, spark: SparkSession) -> None:
+        """Delete this application's stages."""
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for key in [k for k in self._paths if k[0] == spark.sparkContext.applicationId]:
+            p = jvm.org.apache.hadoop.fs.Path(self._paths.pop(key))
+            p.getFileSystem(conf).delete(p, True)
+
+
 _SHIPPED: set = set()
 
 
