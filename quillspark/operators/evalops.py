@@ -38,53 +38,9 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
         F.array_join(F.slice(w, half + 1, F.size(w) - half), " ").alias("gold_text"))
 
 
-def choice_table(items: DataFrame, n_choices: int) -> DataFrame:
-    """``item_id, choice_idx, choice, gold``: the gold text of items
-    ``(item_id + k) % n`` for ``k = 0..n_choices-1``, gold (k = 0) rotated to
-    index ``item_id % n_choices``. ``n`` is a scalar subquery."""
-    n = items.agg(F.count(F.lit(1))).scalar()
-    ex = items.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(n_choices - 1)))
-                      .alias("choice_idx"))
-    g = (F.col("item_id") % n_choices).cast("int")
-    k = ((F.col("choice_idx") - g + n_choices) % n_choices).cast("bigint")
-    ex = ex.withColumn("_src", (F.col("item_id") + k) % n).withColumn("gold", g)
-    src = items.select(F.col("item_id").alias("_src"), F.col("gold_text").alias("choice"))
-    return ex.join(src, "_src").drop("_src")
-
-
-def _letters(n: int):
-    return [chr(65 + i) for i in range(n)]
-
-
-def build_candidates(items: DataFrame, task: str) -> DataFrame:
-    """K1: ``task, item_id, choice_idx, context, choice, full_text, gold``.
-
-    hellaswag/arc: raw context; piqa: ``Question: {goal}\\nAnswer:`` with 2
-    choices; mmlu: question + lettered choices + ``Answer:``. The full text is
-    ``context + " " + choice``. ARC keys are letters for even items and
-    1-based digits for odd items (K8 normalizes both)."""
-    nch = 2 if task == "piqa" else 4
-    ch = choice_table(items, nch).join(items.select("item_id", "context"), "item_id")
-    if task == "piqa":
-        ctx = F.concat(F.lit("Question: "), F.col("context"), F.lit("\nAnswer:"))
-    elif task == "mmlu":
-        lettered = [F.lit("Question: "), F.col("context"), F.lit("\nChoices:")]
-        listing = ch.groupBy("item_id").agg(F.array_sort(F.collect_list(
-            F.struct("choice_idx", "choice"))).alias("_all"))
-        ch = ch.join(listing, "item_id")
-        for i, L in enumerate(_letters(4)):
-            lettered += [F.lit(f"\n{L}. "), F.col("_all")[i]["choice"]]
-        ctx = F.concat(*lettered, F.lit("\nAnswer:"))
-    else:
-        ctx = F.col("context")
-    out = ch.withColumn("context", ctx).withColumn(
-        "full_text", F.concat(F.col("context"), F.lit(" "), F.col("choice")))
-    if task.startswith("arc"):
-        key = F.when(F.col("item_id") % 2 == 0, F.expr("char(65 + gold)")) \
-            .otherwise((F.col("gold") + 1).cast("string"))
-        out = out.withColumn("answer_key", key).withColumn("gold", normalize_label("answer_key"))
-    return out.select(F.lit(task).alias("task"), "item_id", "choice_idx", "context", "choice",
-                      "full_text", "gold")
+def _item(task: str, context: Column, choices: Column, gold: Column, item_id: str) -> list[Column]:
+    return [F.lit(task).alias("task"), F.col(item_id).alias("item_id"), context.alias("context"), choices.alias("choices"),
+            gold.cast("int").alias("gold")]
 
 
 def normalize_label(key: str) -> Column:
@@ -94,26 +50,99 @@ def normalize_label(key: str) -> Column:
         .otherwise(F.ascii(F.upper(k)) - 65).cast("int")
 
 
-def winogrande_candidates(items: DataFrame) -> DataFrame:
-    """K7 inputs: sentence = context + ``" _"``; option1/option2 = the two
-    choices; answer (1-based) = gold + 1."""
-    ch = choice_table(items, 2)
-    s = items.select("item_id", F.concat(F.col("context"), F.lit(" _")).alias("sentence"))
-    c = ch.join(s, "item_id")
-    return c.select(F.lit("winogrande").alias("task"), "item_id", "choice_idx", "sentence",
-                    F.col("choice").alias("option"),
-                    F.replace("sentence", F.lit("_"), F.col("choice")).alias("full_text"),
-                    "gold")
+# Native item schemas -> ``task, item_id, context, choices, gold`` (K1).
+# The prompts' texts.
+def hellaswag_items(df: DataFrame, task: str = "hellaswag", item_id: str = "item_id") -> DataFrame:
+    """``ctx, endings array, label``: the raw context."""
+    return df.select(*_item(task, F.col("ctx"), F.col("endings"), F.col("label"), item_id))
+
+
+def arc_items(df: DataFrame, task: str, item_id: str = "item_id") -> DataFrame:
+    """``question, choices struct<text: array>, answerKey``: a letter or a 1-based digit."""
+    return df.select(*_item(task, F.col("question"), F.col("choices.text"), normalize_label("answerKey"), item_id))
+
+
+def winogrande_items(df: DataFrame, task: str = "winogrande", item_id: str = "item_id") -> DataFrame:
+    """``sentence, option1, option2, answer`` (1 or 2): the sentence with its blank."""
+    return df.select(*_item(task, F.col("sentence"), F.array("option1", "option2"), F.col("answer").cast("int") - 1, item_id))
+
+
+def piqa_items(df: DataFrame, task: str = "piqa", item_id: str = "item_id") -> DataFrame:
+    """``goal, sol1, sol2, label``."""
+    ctx = F.concat(F.lit("Question: "), F.col("goal"), F.lit("\nAnswer:"))
+    return df.select(*_item(task, ctx, F.array("sol1", "sol2"), F.col("label"), item_id))
+
+
+def mmlu_items(df: DataFrame, task: str = "mmlu", item_id: str = "item_id") -> DataFrame:
+    """``question, choices array, answer``: the choices are listed with letters."""
+    listed = F.transform("choices", lambda c, i: F.concat(F.lit("\n"), F.char(i + 65), F.lit(". "), c))
+    ctx = F.concat(F.lit("Question: "), F.col("question"), F.lit("\nChoices:"), F.array_join(listed, ""), F.lit("\nAnswer:"))
+    return df.select(*_item(task, ctx, F.col("choices"), F.col("answer"), item_id))
+
+
+def suite_items(items: DataFrame, tasks) -> DataFrame:
+    """Items of the given tasks in one table, drawn from ``benchmark`` items
+    (a fixture: choices are the gold texts of the items that follow). The
+    choice texts are gathered once; each task is a projection of them in its
+    native schema through its adapter."""
+    n = items.agg(F.count(F.lit(1))).scalar()
+    k = items.select("item_id", "context", F.posexplode(F.sequence(F.lit(0), F.lit(3))).alias("k", "_"))
+    src = items.select(F.col("item_id").alias("_src"), F.col("gold_text").alias("text"))
+    near = k.withColumn("_src", (F.col("item_id") + F.col("k")) % n).join(src, "_src") \
+        .groupBy("item_id").agg(F.first("context").alias("context"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("_t"))
+    near = materialize(near.select("item_id", "context", F.transform("_t", lambda x: x["text"]).alias("texts")), "suite-items")
+
+    def turned(size: int) -> tuple[Column, Column]:
+        """The texts with the gold one at ``item_id % size``, and that index."""
+        g = (F.col("item_id") % size).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.get("texts", (j - g + size) % size)), g
+
+    c4, g4 = turned(4)
+    c2, g2 = turned(2)
+    key = F.when(F.col("item_id") % 2 == 0, F.char(g4 + 65)).otherwise((g4 + 1).cast("string"))
+    arc = near.select("item_id", F.col("context").alias("question"), F.struct(c4.alias("text")).alias("choices"), key.alias("answerKey"))
+    two = near.select("item_id", "context", F.get(c2, F.lit(0)).alias("a"), F.get(c2, F.lit(1)).alias("b"), g2.alias("g"))
+    made = {
+        "hellaswag": lambda: hellaswag_items(near.select("item_id", F.col("context").alias("ctx"), c4.alias("endings"), g4.cast("string").alias("label"))),
+        "arc_easy": lambda: arc_items(arc, "arc_easy"), "arc_challenge": lambda: arc_items(arc, "arc_challenge"),
+        "piqa": lambda: piqa_items(two.select("item_id", F.col("context").alias("goal"), F.col("a").alias("sol1"), F.col("b").alias("sol2"), F.col("g").alias("label"))),
+        "mmlu": lambda: mmlu_items(near.select("item_id", F.col("context").alias("question"), c4.alias("choices"), g4.alias("answer"))),
+        "winogrande": lambda: winogrande_items(two.select("item_id", F.concat("context", F.lit(" _")).alias("sentence"), F.col("a").alias("option1"),
+                                                          F.col("b").alias("option2"), (F.col("g") + 1).cast("string").alias("answer"))),
+    }
+    out = None
+    for t in tasks:
+        part = made[t]()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def full_texts(items: DataFrame) -> Column:
+    """``context + " " + choice`` for each choice."""
+    return F.transform("choices", lambda c: F.concat(F.col("context"), F.lit(" "), c))
+
+
+def filled_blanks(items: DataFrame) -> Column:
+    """K7: the sentence with every ``_`` replaced by each option."""
+    return F.transform("choices", lambda c: F.replace(F.col("context"), F.lit("_"), c))
+
+
+def build_candidates(items: DataFrame, texts=full_texts) -> DataFrame:
+    """K1: ``task, item_id, choice_idx, context, choice, full_text, gold`` of items."""
+    return items.select("task", "item_id", "context", "choices", "gold", texts(items).alias("_full")) \
+        .select("task", "item_id", "context", "choices", "gold", F.posexplode("_full").alias("choice_idx", "full_text")) \
+        .select("task", "item_id", "choice_idx", "context", F.get("choices", F.col("choice_idx")).alias("choice"), "full_text", "gold")
 
 
 # ---------------------------------------------------------------- scoring
-def encode_candidates(cands: DataFrame, encoder, with_context: bool = True) -> DataFrame:
-    """BOS + pieces of the full text (and of the context): one Arrow pass."""
-    if with_context:
-        d = encoder.encode_column(cands, F.array("context", "full_text"), "_e")
-        return d.withColumn("ctx_ids", F.concat(F.array(F.lit(1)), F.col("_e")[0])) \
-            .withColumn("ids", F.concat(F.array(F.lit(1)), F.col("_e")[1])).drop("_e")
-    return encoder.encode_column(cands, F.col("full_text"), "ids", add_bos=True)
+def encode_candidates(items: DataFrame, encoder) -> DataFrame:
+    """``task, item_id, choice_idx, gold, ctx_ids, ids`` (both with BOS): an
+    item's context and full texts are encoded in one row, the context once."""
+    d = items.withColumn("_t", F.concat(F.array("context"), full_texts(items)))
+    d = encoder.encode_column(d.select("task", "item_id", "gold", "_t"), F.col("_t"), "_e", drop=["_t"])
+    bos = F.array(F.lit(1))
+    d = d.select("task", "item_id", "gold", F.get("_e", F.lit(0)).alias("_c"), F.posexplode(F.slice("_e", F.lit(2), F.size("_e"))).alias("choice_idx", "_f"))
+    return d.select("task", "item_id", "choice_idx", "gold", F.concat(bos, "_c").alias("ctx_ids"), F.concat(bos, "_f").alias("ids"))
 
 
 def truncate_for_scoring(d: DataFrame, max_length: int | None = None) -> DataFrame:
@@ -131,14 +160,14 @@ def truncate_for_scoring(d: DataFrame, max_length: int | None = None) -> DataFra
                     .otherwise(F.col("ids")))
 
 
-def choice_scores(cands: DataFrame, encoder, scorer, keys=("task", "item_id", "choice_idx"),
+def choice_scores(items: DataFrame, encoder, scorer, keys=("task", "item_id", "choice_idx"),
                   max_length: int | None = None) -> DataFrame:
-    """K3 + K4 + K6 per candidate: ``score`` (normalized by the number of
+    """K3 + K4 + K6 per candidate (with ``gold``): ``score`` (normalized by the number of
     choice tokens; raw sum when there are none), ``score_sum``, ``is_greedy``."""
     keys = list(keys)
-    e = truncate_for_scoring(encode_candidates(cands, encoder), max_length)
-    e = materialize(e.select(*keys, "ids", "ctx_len"), "scored-candidates")
-    meta = e.select(*keys, F.size("ids").alias("n_tokens"), "ctx_len")
+    e = truncate_for_scoring(encode_candidates(items, encoder), max_length)
+    e = materialize(e.select(*keys, "gold", "ids", "ctx_len"), "scored-candidates")
+    meta = e.select(*keys, "gold", F.size("ids").alias("n_tokens"), "ctx_len")
     pairs = token_pairs(e, "ids", keys)
     lp = scorer.token_logprobs(pairs).join(meta.select(*keys, "ctx_len"), keys)
     lp = lp.filter(F.col("pos") >= F.col("ctx_len"))
@@ -171,7 +200,7 @@ def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int | No
 
 def fill_blank_scores(wino: DataFrame, encoder, scorer, max_length: int | None = None) -> DataFrame:
     """K7: whole-sequence sum / number of tokens including BOS."""
-    keys = ["task", "item_id", "choice_idx"]
+    keys = ["task", "item_id", "choice_idx", "gold"]
     r = rolling_scores(wino, encoder, scorer, keys, max_length)
     return r.withColumn("score", F.col("logprob_sum") / F.col("n_tokens"))
 
@@ -182,13 +211,13 @@ def argmax_first(scores: DataFrame, keys=("task", "item_id"), out: str = "pred")
         F.col("choice_idx"), F.struct(F.col("score"), -F.col("choice_idx"))).alias(out))
 
 
-def predict_and_score(scores: DataFrame, gold: DataFrame, one_based: bool = False) -> DataFrame:
-    """F2 -> C5: ``task, item_id, pred, gold, is_correct`` (``pred`` 1-based for
-    Winogrande-style answers)."""
-    p = argmax_first(scores)
-    if one_based:
-        p = p.withColumn("pred", F.col("pred") + 1)
-    return p.join(gold, ["task", "item_id"]).withColumn("is_correct", F.col("pred") == F.col("gold"))
+def predict_and_score(scores: DataFrame, one_based: bool = False) -> DataFrame:
+    """F2 + C5: ``task, item_id, pred, gold, is_correct`` of scores that carry
+    their item's ``gold`` (both 1-based for Winogrande-style answers)."""
+    best = F.max_by(F.col("choice_idx"), F.struct(F.col("score"), -F.col("choice_idx")))
+    base = 1 if one_based else 0
+    p = scores.groupBy("task", "item_id").agg((best + base).alias("pred"), (F.first("gold") + base).alias("gold"))
+    return p.withColumn("is_correct", F.col("pred") == F.col("gold"))
 
 
 def accuracy(results: DataFrame) -> DataFrame:

@@ -37,18 +37,10 @@ def mc_results(items: DataFrame, tasks, encoder, scorer) -> DataFrame:
     out = []
     mc = [t for t in tasks if t in V.MC_TASKS]
     if mc:
-        c = None
-        for t in mc:
-            b = V.build_candidates(items, t)
-            c = b if c is None else c.unionByName(b)
-        s = V.choice_scores(c, encoder, scorer)
-        gold = c.select("task", "item_id", "gold").distinct()
-        out.append(V.predict_and_score(s, gold))
+        out.append(V.predict_and_score(V.choice_scores(V.suite_items(items, mc), encoder, scorer)))
     if "winogrande" in tasks:
-        c = V.winogrande_candidates(items)
-        s = V.fill_blank_scores(c, encoder, scorer)
-        gold = c.select("task", "item_id", (F.col("gold") + 1).alias("gold")).distinct()
-        out.append(V.predict_and_score(s, gold, one_based=True))
+        c = V.build_candidates(V.suite_items(items, ["winogrande"]), V.filled_blanks)
+        out.append(V.predict_and_score(V.fill_blank_scores(c, encoder, scorer), one_based=True))
     if not out:
         return None
     r = out[0]

@@ -713,19 +713,12 @@ def _items(spark, sf):
     return V.benchmark_items(table(spark, sf, "benchmark"))
 
 
-def _mc_cands(spark, sf):
-    items = _items(spark, sf)
-    out = None
-    for t in ("hellaswag", "arc_easy", "arc_challenge", "piqa", "mmlu"):
-        c = V.build_candidates(items, t)
-        out = c if out is None else out.unionByName(c)
-    return out
+def _mc_items(spark, sf):
+    return V.suite_items(_items(spark, sf), V.MC_TASKS)
 
 
 def _mc_scores(spark, sf):
-    c = _mc_cands(spark, sf)
-    s = V.choice_scores(c, _encoder(spark, sf), _scorer(spark, sf))
-    return s.join(c.select("task", "item_id", "choice_idx", "gold"), ["task", "item_id", "choice_idx"])
+    return V.choice_scores(_mc_items(spark, sf), _encoder(spark, sf), _scorer(spark, sf))
 
 
 def _r6(c):
@@ -740,14 +733,13 @@ def q_fit_ngram(spark, sf):
 @register("build_candidates", f"""{EVAL_CTE}
 SELECT task, item_id, choice_idx, full_text, gold FROM cfull""")
 def q_build_candidates(spark, sf):
-    return _mc_cands(spark, sf).select("task", "item_id", "choice_idx", "full_text", "gold")
+    return V.build_candidates(_mc_items(spark, sf)).select("task", "item_id", "choice_idx", "full_text", "gold")
 
 
 @register("token_logprobs", f"""{EVAL_CTE}
 SELECT task, item_id, choice_idx, pos, prev, token, round(logprob, 6) AS logprob, is_top FROM lp""")
 def q_token_logprobs(spark, sf):
-    c = _mc_cands(spark, sf)
-    e = V.truncate_for_scoring(V.encode_candidates(c, _encoder(spark, sf)))
+    e = V.truncate_for_scoring(V.encode_candidates(_mc_items(spark, sf), _encoder(spark, sf)))
     lp = _scorer(spark, sf).token_logprobs(token_pairs(e, "ids", ["task", "item_id", "choice_idx"]))
     return lp.select("task", "item_id", "choice_idx", "pos", "prev", "token", _r6("logprob"), "is_top")
 
@@ -757,8 +749,7 @@ SELECT prev, token, CAST(coalesce(b.cnt, 0) AS BIGINT) AS count
 FROM (SELECT DISTINCT prev, token FROM cpairs) LEFT JOIN bigrams b USING (prev, token)""")
 def q_join_token_logprob(spark, sf):
     # The (prev, token) lookup of the model table for every needed pair.
-    c = _mc_cands(spark, sf)
-    e = V.truncate_for_scoring(V.encode_candidates(c, _encoder(spark, sf)))
+    e = V.truncate_for_scoring(V.encode_candidates(_mc_items(spark, sf), _encoder(spark, sf)))
     need = token_pairs(e, "ids").select("prev", "token").distinct()
     b = _scorer(spark, sf).bigrams
     return need.join(b, ["prev", "token"], "left").select(
@@ -806,7 +797,7 @@ def q_join_pred_gold(spark, sf):
 @register("fill_blank", f"""{EVAL_CTE}
 SELECT item_id, choice_idx, n_tokens, round(logprob_sum, 6) AS logprob_sum, round(score, 6) AS score FROM wsc""")
 def q_fill_blank(spark, sf):
-    c = V.winogrande_candidates(_items(spark, sf))
+    c = V.build_candidates(V.suite_items(_items(spark, sf), ["winogrande"]), V.filled_blanks)
     s = V.fill_blank_scores(c, _encoder(spark, sf), _scorer(spark, sf))
     return s.select("item_id", "choice_idx", "n_tokens", _r6("logprob_sum"), _r6("score"))
 
@@ -855,8 +846,7 @@ def q_perplexity(spark, sf):
 SELECT item_id, CASE WHEN item_id % 2 = 0 THEN chr(CAST(65 + gold AS INTEGER)) ELSE CAST(gold + 1 AS VARCHAR) END AS answer_key,
        gold FROM (SELECT DISTINCT item_id, gold FROM c4)""")
 def q_normalize_label(spark, sf):
-    items = _items(spark, sf)
-    ch = V.choice_table(items, 4).select("item_id", "gold").distinct()
+    ch = _items(spark, sf).select("item_id", (F.col("item_id") % 4).cast("int").alias("gold"))
     key = F.when(F.col("item_id") % 2 == 0, F.expr("char(65 + gold)")) \
         .otherwise((F.col("gold") + 1).cast("string"))
     d = ch.withColumn("answer_key", key)
@@ -1293,10 +1283,9 @@ def q_sink_metrics(spark, sf):
 
 
 def _details(spark, sf):
-    c = _mc_cands(spark, sf)
-    s = V.choice_scores(c, _encoder(spark, sf), _scorer(spark, sf))
-    r = V.predict_and_score(s, c.select("task", "item_id", "gold").distinct())
-    return V.example_details(s, c, r)
+    items = _mc_items(spark, sf)
+    s = V.choice_scores(items, _encoder(spark, sf), _scorer(spark, sf))
+    return V.example_details(s, V.build_candidates(items), V.predict_and_score(s))
 
 
 @register("example_details", f"""{EVAL_CTE},
