@@ -30,6 +30,8 @@ from quillspark.llm.pretok import encode_in_slices, library_encoder
 #: Items a task packs at once; more come in further portions, with the
 #: underfull bins of the portion before among them.
 PORTION = 50_000
+#: With ids a portion also ends at so many of them, to bound a task's memory.
+PORTION_TOKENS = 1 << 22
 #: Bins with at most this many free tokens are final.
 SLACK = 8
 
@@ -85,15 +87,17 @@ def _batches(bins: list[list[int]], used: np.ndarray, offsets: np.ndarray, membe
 
 
 def _write_bins(bins, used, offsets, members, full) -> Iterator[pa.RecordBatch]:
-    for k in range(0, len(bins), 2000):
-        yield _batches(bins[k:k + 2000], used, offsets, members, full)
+    for k in range(0, len(bins), 500):
+        yield _batches(bins[k:k + 500], used, offsets, members, full)
 
 
 class _Packer:
     """Packs portions of items; keeps underfull bins as items of the next portion."""
 
-    def __init__(self, limit: int, slack: int):
+    def __init__(self, limit: int, slack: int, with_ids: bool):
         self.limit, self.slack = limit, slack
+        self.most = PORTION_TOKENS if with_ids else float("inf")
+        self.tokens = 0
         self.used: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.members: list[pa.StructArray] = []
@@ -104,6 +108,11 @@ class _Packer:
         self.counts.append(counts)
         self.members.append(members)
         self.n += len(used)
+        self.tokens += int(used.sum())
+
+    @property
+    def full(self) -> bool:
+        return self.n >= PORTION or self.tokens >= self.most
 
     def run(self, last: bool) -> Iterator[pa.RecordBatch]:
         if not self.n:
@@ -115,7 +124,7 @@ class _Packer:
         total = [int(used[b].sum()) for b in bins]
         done = [b for b, t in zip(bins, total, strict=True) if t >= self.limit - self.slack]
         rest = [b for b, t in zip(bins, total, strict=True) if t < self.limit - self.slack]
-        self.used, self.counts, self.members, self.n = [], [], [], 0
+        self.used, self.counts, self.members, self.n, self.tokens = [], [], [], 0, 0
         yield from _write_bins(done, used, offsets, members, True)
         if last:
             yield from _write_bins(rest, used, offsets, members, False)
@@ -130,42 +139,45 @@ class _Packer:
 
 def _pieces(doc_id: pa.Array, ids: np.ndarray, counts: np.ndarray, end_id: int, limit: int, with_ids: bool) -> pa.StructArray:
     """The members that a slice of documents gives, each alone in its bin."""
-    out = {f.name: [] for f in _MEMBER_TYPE}
-    stop = np.cumsum(counts)
-    for d, a, b in zip(doc_id.to_pylist(), (stop - counts).tolist(), stop.tolist(), strict=True):
-        own = np.append(ids[a:b], end_id).astype("<u4")
-        n, k, at = len(own), 0, 0
-        while at < n:
-            size = ((n - at - 1) % limit) + 1
-            piece = own[at:at + size]
-            for name, v in zip(out, (d, k, at, size, zlib.crc32(piece.tobytes()), 0, piece.tolist() if with_ids else None), strict=True):
-                out[name].append(v)
-            at += size
-            k += 1
-    return pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in _MEMBER_TYPE], fields=list(_MEMBER_TYPE))
+    flat = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+    n = counts + 1
+    n_pieces = (n + limit - 1) // limit
+    doc = np.repeat(np.arange(len(n)), n_pieces)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+    head = ((n - 1) % limit + 1)[doc]  # the first piece takes the remainder
+    start = np.where(piece == 0, 0, head + (piece - 1) * limit)
+    length = np.where(piece == 0, head, limit)
+    begin = (np.cumsum(n) - n)[doc] + start
+    crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+    # pieces follow each other in the ids
+    lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(flat)), pa.int32()), pa.array(flat.astype(np.int32))) \
+        if with_ids else pa.nulls(len(doc), pa.list_(pa.int32()))
+    fields = [doc_id.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()),
+              pa.array(crc, pa.int64()), pa.array(np.zeros(len(doc), np.int32)), lists]
+    return pa.StructArray.from_arrays(fields, fields=list(_MEMBER_TYPE))
 
 
 def _pack_documents(path: str, end_id: int, limit: int, slack: int, with_ids: bool):
     def run(batches):
-        encoder, packer = library_encoder(path), _Packer(limit, slack)
+        encoder, packer = library_encoder(path), _Packer(limit, slack, with_ids)
         for batch in batches:
             doc_id = batch.column("doc_id")
             for a, b, ids, counts in encode_in_slices(encoder, batch.column("text").to_pylist()):
                 items = _pieces(doc_id.slice(a, b - a), ids, counts, end_id, limit, with_ids)
                 length = items.field("length").to_numpy()
                 packer.add(length, np.ones(len(items), np.int64), items)
-                if packer.n >= PORTION:
+                if packer.full:
                     yield from packer.run(last=False)
         yield from packer.run(last=True)
     return run
 
 
-def _pack_bins(limit: int, slack: int):
+def _pack_bins(limit: int, slack: int, with_ids: bool):
     def run(batches):
-        packer = _Packer(limit, slack)
+        packer = _Packer(limit, slack, with_ids)
         for batch in batches:
             packer.add_rows(batch)
-            if packer.n >= PORTION:
+            if packer.full:
                 yield from packer.run(last=False)
         yield from packer.run(last=True)
     return run
@@ -191,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int
         tasks = max(1, tasks // fan_in, n // PORTION)
         again = rest.repartition(tasks, F.col("members")[0]["doc_id"], F.col("members")[0]["piece"]) \
             if tasks > 1 else rest.repartition(1)
-        rounds.append(materialize(map_arrow(again, _pack_bins(max_tokens, slack), BINS), "packing"))
+        rounds.append(materialize(map_arrow(again, _pack_bins(max_tokens, slack, with_ids), BINS), "packing"))
     done = rounds[-1]
     for r in rounds[:-1]:
         done = done.unionByName(r.filter("full"))

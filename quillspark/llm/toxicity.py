@@ -214,22 +214,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     return train(by(True), by(False), (n_toxic or 0) / n if n else 0.0)
 
 
-def _score(model: ToxicityModel):
+#: Rows scored at once.
+_ROWS = 1000
+
+
+def _score(model: ToxicityModel, text):
+    """``text`` takes the texts out of a batch; its first column stays."""
     def run(batches):
         a, b = _compressor(model.ordinary), _compressor(model.toxic)
         for batch in batches:
-            x = np.array([features(gains(t or "", a, b)) for t in batch.column("text").to_pylist()]).reshape(-1, _N_FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64()), pa.array(x[:, 0])],
-                                             names=[batch.schema.names[0], "score", "largest_gain"])
+            for i in range(0, len(batch), _ROWS):
+                part = batch.slice(i, _ROWS)
+                x = np.array([features(gains(t or "", a, b)) for t in text(part).to_pylist()]).reshape(-1, _N_FEATURES)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x), pa.float64()), pa.array(x[:, 0])],
+                                                 names=[batch.schema.names[0], "score", "largest_gain"])
     return run
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc_id, score, largest_gain`` for every row of ``docs``."""
-    return map_arrow(documents(docs), _score(model), "doc_id bigint, score double, largest_gain double")
+    return map_arrow(documents(docs), _score(model, lambda batch: batch.column("text")), "doc_id bigint, score double, largest_gain double")
 
 
 def score_rows(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """``doc`` (the whole row as a struct), ``score, largest_gain``."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_or_empty().alias("text"))
-    return map_arrow(rows, _score(model), f"doc {rows.schema['doc'].dataType.simpleString()}, score double, largest_gain double")
+    rows = docs.select(F.struct(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    place = docs.columns.index("text")
+    return map_arrow(rows, _score(model, lambda batch: batch.column("doc").field(place)),
+                     f"doc {rows.schema['doc'].dataType.simpleString()}, score double, largest_gain double")
