@@ -68,36 +68,42 @@ class Counted:
     def _leaf_tokens(self) -> np.ndarray:
         return self.tree[len(self.tree) // 2:][:len(self.leaf_chars)]
 
-    def edit(self, start: int, length: int, replacement: str) -> None:
+    def begin(self, start: int, length: int, replacement: str) -> None:
+        """Change the text; what to encode again is then :meth:`view`."""
         start = min(max(start, 0), len(self.text))
         length = min(max(length, 0), len(self.text) - start)
-        text = self.text[:start] + replacement + self.text[start + length:]
-        shift = len(replacement) - length
-        ends = np.cumsum(self.leaf_chars)
+        self.text = self.text[:start] + replacement + self.text[start + length:]
+        self.shift = len(replacement) - length
+        self.ends = np.cumsum(self.leaf_chars)
         # the last leaf that starts early enough before the edit; its beginning is a sure boundary
-        first = max(0, int(np.searchsorted(ends - self.leaf_chars, start - CONTEXT, side="right")) - 1)
-        begin = int(ends[first] - self.leaf_chars[first])
-        last = int(np.searchsorted(ends, start + length, side="left"))
-        step = 1
-        while True:
-            last = min(last, len(ends) - 1)
-            stop = int(ends[last]) + shift
-            whole = last == len(ends) - 1
-            view = text[begin:] if whole else text[begin:min(len(text), stop + AHEAD * step)]
-            chars, tokens, _ = self.encoder.pieces_tokens([view])
-            at = np.cumsum(chars)
-            # where the text goes on beyond the view its last pieces are not sure
-            cut = len(at) if whole else int(np.searchsorted(at, stop - begin)) + 1
-            if whole or (cut < len(at) and at[cut - 1] == stop - begin and at[cut] < len(view)):
-                break
-            last, step = last + step, step * 2
-        self.reencoded += len(view)
+        self.first = max(0, int(np.searchsorted(self.ends - self.leaf_chars, start - CONTEXT, side="right")) - 1)
+        self.origin = int(self.ends[self.first] - self.leaf_chars[self.first])
+        self.last = min(int(np.searchsorted(self.ends, start + length, side="left")), len(self.ends) - 1)
+        self.step = 1
+
+    def view(self) -> str:
+        """The touched leaves' text, and some more behind them."""
+        if self.last == len(self.ends) - 1:
+            return self.text[self.origin:]
+        return self.text[self.origin:int(self.ends[self.last]) + self.shift + AHEAD * self.step]
+
+    def finish(self, chars: np.ndarray, tokens: np.ndarray) -> bool:
+        """Take the view's pre-tokens; false if they do not meet the old ones
+        at the last touched leaf's end, and a longer view is needed."""
+        whole, at = self.last == len(self.ends) - 1, np.cumsum(chars)
+        size = int(at[-1]) if len(at) else 0
+        self.reencoded += size
+        stop = int(self.ends[self.last]) + self.shift - self.origin
+        cut = len(at) if whole else int(np.searchsorted(at, stop)) + 1
+        # where the text goes on beyond the view its last pieces are not sure
+        if not (whole or (cut < len(at) and at[cut - 1] == stop and at[cut] < size)):
+            self.last, self.step = min(self.last + self.step, len(self.ends) - 1), self.step * 2
+            return False
+        first, last = self.first, self.last
         new_chars, new_tokens = _group(chars[:cut]), _group(tokens[:cut])
         if not cut and len(self.leaf_chars) > last + 1 - first:
             new_chars = new_tokens = np.zeros(0, np.int64)
-        same = len(new_chars) == last + 1 - first
-        leaf_tokens = self._leaf_tokens()
-        if same:
+        if len(new_chars) == last + 1 - first:
             base = len(self.tree) // 2
             for i, t in enumerate(new_tokens.tolist(), base + first):
                 change = t - int(self.tree[i])
@@ -106,9 +112,28 @@ class Counted:
                     i >>= 1
             self.leaf_chars[first:last + 1] = new_chars
         else:
+            leaf_tokens = self._leaf_tokens()
             self.tree = build_tree(np.concatenate([leaf_tokens[:first], new_tokens, leaf_tokens[last + 1:]]))
             self.leaf_chars = np.concatenate([self.leaf_chars[:first], new_chars, self.leaf_chars[last + 1:]])
-        self.text = text
+        return True
+
+    def edit(self, start: int, length: int, replacement: str) -> None:
+        self.begin(start, length, replacement)
+        encode_views(self.encoder, [self])
+
+
+def encode_views(encoder: CachedEncoder, docs: list[Counted]) -> None:
+    """Encode the views of all edited documents at once, until each is finished."""
+    while docs:
+        again = []
+        views = [d.view() for d in docs]
+        for a, b in slices(list(map(len, views))):
+            chars, tokens, count = encoder.pieces_tokens(views[a:b])
+            cuts = np.cumsum(count)[:-1]
+            for d, c, t in zip(docs[a:b], np.split(chars, cuts), np.split(tokens, cuts), strict=True):
+                if not d.finish(c, t):
+                    again.append(d)
+        docs = again
 
 
 def _state_batch(doc_id: pa.Array, docs: list[Counted], more: dict | None = None) -> pa.RecordBatch:
@@ -141,22 +166,29 @@ def build(docs: DataFrame, tokenizer: str) -> DataFrame:
     return map_arrow(rows, _build(tokenizer), STATE)
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column, as arrays of their own."""
+    offsets = column.offsets.to_numpy()
+    return [x.copy() for x in np.split(column.flatten().to_numpy(), (offsets - offsets[0])[1:-1])]
+
+
 def _apply(path: str, keep: list[str]):
     def run(batches):
         encoder = library_encoder(path)
         for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.slice(a, 500)
-                docs, n_edits = [], []
-                for row in part.select(["text", "leaf_chars", "tree", "todo"]).to_pylist():
-                    doc = Counted(encoder, row["text"] or "", np.array(row["leaf_chars"], np.int64), np.array(row["tree"], np.int64))
-                    todo = [e for e in row["todo"] or [] if e is not None]
-                    for e in todo:
-                        doc.edit(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
-                    docs.append(doc)
-                    n_edits.append(len(todo))
-                yield _state_batch(part.column("doc_id"), docs, {c: part.column(c) for c in keep} | {"edits": pa.array(n_edits, pa.int64()),
-                                                                 "reencoded_chars": pa.array([d.reencoded for d in docs], pa.int64())})
+            for a in range(0, len(batch), 2000):
+                part = batch.slice(a, 2000)
+                docs = [Counted(encoder, t or "", c, tree) for t, c, tree in zip(
+                    part.column("text").to_pylist(), _arrays(part.column("leaf_chars")), _arrays(part.column("tree")), strict=True)]
+                todo = [[e for e in x or [] if e is not None] for x in part.column("todo").to_pylist()]
+                # the first edits of all documents, then the second ones
+                for k in range(max(map(len, todo), default=0)):
+                    now = [(d, x[k]) for d, x in zip(docs, todo, strict=True) if k < len(x)]
+                    for d, e in now:
+                        d.begin(e["start"] or 0, e["length"] or 0, e["replacement"] or "")
+                    encode_views(encoder, [d for d, _ in now])
+                yield _state_batch(part.column("doc_id"), docs, {c: part.column(c) for c in keep} | {
+                    "edits": pa.array(list(map(len, todo)), pa.int64()), "reencoded_chars": pa.array([d.reencoded for d in docs], pa.int64())})
     return run
 
 
