@@ -225,6 +225,7 @@ def merge_system(col: str = "messages") -> Column:
         F.when(F.coalesce(can_merge, F.lit(False)), merged).otherwise(rest)).otherwise(m)
 
 
+# The template's tags, here and in tokenize_conversation.
 def format_prompt(col: str = "messages", merge: bool = True) -> Column:
     """H7: ``[INST] {user} [/INST]`` and `` {assistant}</s>``, joined, no BOS.
     ``merge=False`` renders turn-wise without folding the system text in
