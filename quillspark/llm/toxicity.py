@@ -1,16 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text,
-and every window of a document is compressed with both. The bytes a window
-saves under the toxic dictionary are its *gain*; a document's gains (largest,
-mean, sum and share of the large ones) go through thresholds calibrated on
-labelled rows that trained no dictionary (a logistic function of them).
+Zstandard dictionaries are trained on ordinary and on toxic text, and every
+window of a document is compressed with each. The bytes a window saves under a
+toxic dictionary are its *gain*; a document's gains (largest, mean, sum and
+share of the large ones, for each toxic dictionary) go through thresholds
+calibrated on labelled rows that trained no dictionary (a logistic function of
+them).
 
 The dictionaries share the trained ordinary content, at the same distances, so
-windows without toxic passages compress alike. What the toxic one adds is
-trained on toxic text by contrast: beginnings of words in toxic documents
-that ordinary documents lack. One document of each group of copies takes part
-in training, lest a copied document's own words look like a class.
+windows without toxic passages compress alike. One toxic dictionary adds what
+zstandard trains on the toxic windows, without the word pairs that ordinary
+documents have as often; the other, a supplement, adds beginnings of words
+that many toxic documents have and ordinary ones lack. One document of each
+group of copies takes part in training, lest a copied document's own words
+look like a class.
 
 Bounds, all of the fit alone: at most ``rows`` toxic and twice as many
 ordinary labelled rows, chosen by a hash of their id, each with its first
@@ -42,6 +45,9 @@ FIT_ROWS = 1500
 FIT_CHARS = 40_000
 WINDOW_WORDS = 18
 DICTIONARY_BYTES = 8192
+#: Trained on toxic text, in segments of so many bytes: about a few words.
+TOXIC_BYTES = 2048
+TOXIC_SEGMENT = 16
 #: Beginnings of words looked at for the toxic content, in characters with the space before.
 GRAMS = range(5, 13)
 LARGE_GAIN = 4
@@ -49,13 +55,15 @@ MIN_MATCH = 4
 ODDS = 25
 #: Added to a byte for each place that it is behind the beginning of its word.
 PLACE_STEP = 59
-_N_FEATURES = 5
+_PER_DICTIONARY = 5
+_N_FEATURES = 2 * _PER_DICTIONARY
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes
-    toxic: bytes
+    #: With the beginnings of words, and with what is trained on toxic windows.
+    toxic: tuple[bytes, bytes]
     weights: tuple[float, ...]
     center: tuple[float, ...]
     scale: tuple[float, ...]
@@ -86,7 +94,10 @@ def windows(text: str, size: int = WINDOW_WORDS) -> list[bytes]:
     return [data[a:b + 1] for a, b in zip(cuts, [*cuts[1:], len(data) - 1], strict=True)]
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+def _compressor(content):
+    """A compressor, or one for each of several contents."""
+    if isinstance(content, tuple):
+        return tuple(_compressor(c) for c in content)
     params = zstandard.ZstdCompressionParameters(
         window_log=17, chain_log=14, hash_log=14, search_log=4, min_match=MIN_MATCH, target_length=8,
         strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -95,16 +106,18 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 def gains(text: str, ordinary, toxic) -> np.ndarray:
-    """Bytes each window saves under the toxic dictionary."""
-    a, b = ordinary.compress, toxic.compress
-    return np.array([len(a(w)) - len(b(w)) for w in windows(text)], np.float64)
+    """Bytes each window saves, a column for each toxic dictionary."""
+    ws = windows(text)
+    plain = np.array([len(ordinary.compress(w)) for w in ws], np.float64)
+    return np.stack([plain - [len(t.compress(w)) for w in ws] for t in toxic], 1)
 
 
 def features(gain: np.ndarray) -> list[float]:
     if not len(gain):
-        gain = np.zeros(1)
-    return [float(gain.max()), float(gain.mean()), math.log1p(float(gain[gain >= LARGE_GAIN - 1].sum())),
-            float((gain >= LARGE_GAIN).mean()), math.log(0.02 + max(0.0, float(gain.mean())))]
+        gain = np.zeros((1, gain.shape[1]))
+    return [x for g in gain.T for x in (
+        float(g.max()), float(g.mean()), math.log1p(float(g[g >= LARGE_GAIN - 1].sum())),
+        float((g >= LARGE_GAIN).mean()), math.log(0.02 + max(0.0, float(g.mean()))))]
 
 
 def _copies_key(text: str) -> int:
@@ -142,11 +155,36 @@ def contrast(toxic: list[str], ordinary: list[str], limit: int = DICTIONARY_BYTE
     return chosen
 
 
-def _train(samples: list[bytes], size: int) -> bytes:
+def toxic_passages(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The toxic windows without the word pairs that are no more frequent in
+    toxic documents than in ordinary ones, coded."""
+    a, b = Counter(), Counter()
+    for t in toxic:
+        w = t.lower().split()
+        a.update(set(zip(w, w[1:])))
+    for t in ordinary:
+        w = t.lower().split()
+        b.update(a.keys() & set(zip(w, w[1:])))
+    shared = {p for p, n in b.items() if a[p] * len(ordinary) <= n * len(toxic)}
+    out = []
+    for t in toxic:
+        w = t.lower().split()
+        for i in range(0, len(w), WINDOW_WORDS):
+            runs, at = [[]], w[max(0, i - 1):i + WINDOW_WORDS]
+            for x, y in zip(at, at[1:]):
+                if (x, y) in shared:
+                    runs.append([])
+                else:
+                    runs[-1] += [y] if runs[-1] else [x, y]
+            out += [coded(f" {' '.join(x)} ".encode())[0] for x in runs if x]
+    return out or [w for t in toxic for w in windows(t)]
+
+
+def _train(samples: list[bytes], size: int, segment: int = 64) -> bytes:
     """Content of a trained dictionary; the samples themselves where there are too few to train one."""
     if sum(map(len, samples)) > 20 * size:
         try:
-            return zstandard.train_dictionary(size, samples, k=64, d=8).as_bytes()[-size:]
+            return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()[-size:]
         except zstandard.ZstdError:
             pass
     return b"".join(samples)[:size]
@@ -171,18 +209,17 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> ToxicityModel:
     nothing = (0.0,) * _N_FEATURES
     if not toxic or not ordinary:
         w0 = math.log(share / (1 - share)) if 0 < share < 1 else (-50.0 if share == 0 else 50.0)
-        return ToxicityModel(b"", b"", (w0, *nothing), nothing, (1.0,) * _N_FEATURES)
+        return ToxicityModel(b"", (b"", b""), (w0, *nothing), nothing, (1.0,) * _N_FEATURES)
     toxic, ordinary = _one_per_copies(toxic), _one_per_copies(ordinary)
     # two of three rows train the dictionaries, the others calibrate
     dict_toxic, dict_ordinary = toxic[::3] + toxic[1::3], ordinary[::3] + ordinary[1::3]
     held = [(t, 1) for t in toxic[2::3] or toxic] + [(t, 0) for t in ordinary[2::3] or ordinary]
     grams = contrast(dict_toxic, dict_ordinary)
     base = _train([w for t in dict_ordinary for w in windows(t)], DICTIONARY_BYTES)
-    if grams:
-        own = b"".join(coded(g.encode())[0] for g in reversed(grams))
-    else:
-        own = _train([w for t in dict_toxic for w in windows(t)], DICTIONARY_BYTES // 4)
-    a, b = _compressor(base), _compressor(own + base)
+    starts = b"".join(coded(g.encode())[0] for g in reversed(grams))
+    trained = _train(toxic_passages(dict_toxic, dict_ordinary), TOXIC_BYTES, TOXIC_SEGMENT)
+    both = (starts + base, trained + base)
+    a, b = _compressor(base), _compressor(both)
     x = np.array([features(gains(t, a, b)) for t, _ in held])
     y = np.array([label for _, label in held], np.float64)
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
@@ -191,7 +228,7 @@ def train(toxic: list[str], ordinary: list[str], share: float) -> ToxicityModel:
     share = odds / (1 + odds)
     weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
     w = _logistic((x - center) / scale, y, weight)
-    return ToxicityModel(base, own + base, tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()), tuple(grams))
+    return ToxicityModel(base, both, tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()), tuple(grams))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
@@ -226,7 +263,7 @@ def _score(model: ToxicityModel, text):
             for i in range(0, len(batch), _ROWS):
                 part = batch.slice(i, _ROWS)
                 x = np.array([features(gains(t or "", a, b)) for t in text(part).to_pylist()]).reshape(-1, _N_FEATURES)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x), pa.float64()), pa.array(x[:, 0])],
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(x), pa.float64()), pa.array(x[:, ::_PER_DICTIONARY].max(1))],
                                                  names=[batch.schema.names[0], "score", "largest_gain"])
     return run
 

@@ -29,6 +29,32 @@ def test_held_out_accuracy():
     assert np.mean([(clean < s).mean() for s in toxic]) > 0.98
 
 
+def scores(model, ts):
+    a, b = tx._compressor(model.ordinary), tx._compressor(model.toxic)
+    return model.score(np.array([tx.features(tx.gains(t, a, b)) for t in ts]))
+
+
+def test_word_combinations_are_learned_beside_stems():
+    """Ordinary words in toxic combinations, while one frequent stem is there to be found."""
+    rng = random.Random(5)
+    common = sorted(set(words(rng, 600).split()))
+    phrases = [" ".join(rng.sample(common, 3)) for _ in range(20)]
+
+    def made(n, what):
+        out = []
+        for _ in range(n):
+            w = [rng.choice(common) for _ in range(rng.randint(60, 200))]
+            for _ in range(rng.randint(3, 6) if what else 0):
+                w.insert(rng.randrange(len(w)), rng.choice(what))
+            out.append(" ".join(w))
+        return out
+
+    model = tx.train(made(60, ["grumphead"]) + made(240, phrases), made(600, None), 1 / 3)
+    assert any(g.startswith(" grump") for g in model.grams)
+    toxic, clean = scores(model, made(150, phrases)), scores(model, made(300, None))
+    assert np.mean([(clean < s).mean() + (clean == s).mean() / 2 for s in toxic]) > 0.75
+
+
 def test_windows_cover_the_whole_text():
     w = words(random.Random(2), 101).split()
     got = tx.windows("\n".join(w))
