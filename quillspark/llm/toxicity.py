@@ -16,8 +16,9 @@ group of copies takes part in training, lest a copied document's own words
 look like a class.
 
 Bounds, all of the fit alone: at most ``rows`` toxic and twice as many
-ordinary labelled rows, chosen by a hash of their id, each with its first
-``FIT_CHARS`` characters. Every document is scored whole.
+ordinary labelled rows, chosen by a hash of their id; of a text longer than
+``FIT_CHARS`` characters, so many in windows chosen by their hash from the
+whole text train the dictionaries. Calibration and scoring read whole texts.
 
 Defined results: null or empty text has no window and gets the score of zero
 gains; repeated rows are scored each; a row labelled more than once counts as
@@ -30,19 +31,20 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import documents, map_arrow, text_or_empty
 
 FIT_ROWS = 1500
 FIT_CHARS = 40_000
+PIECE_CHARS = 2000
 WINDOW_WORDS = 18
 DICTIONARY_BYTES = 8192
 #: Trained on toxic text, in segments of so many bytes: about a few words.
@@ -120,6 +122,23 @@ def features(gain: np.ndarray) -> list[float]:
         float((g >= LARGE_GAIN).mean()), math.log(0.02 + max(0.0, float(g.mean()))))]
 
 
+def training_text(text: str, limit: int = FIT_CHARS) -> str:
+    """The text, or windows of it in order, chosen by their hash, of about ``limit`` characters."""
+    if len(text) <= limit:
+        return text
+    words = text.split()
+    parts = [" ".join(words[i:i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
+    # windows of very long words in pieces, lest one of them is all that fits
+    parts = [w[i:i + PIECE_CHARS] for w in parts for i in range(0, len(w), PIECE_CHARS)]
+    chosen, size = [], 0
+    for _, i in sorted((xxhash.xxh64_intdigest(w, i), i) for i, w in enumerate(parts)):
+        if size + len(parts[i]) > limit:
+            break
+        chosen.append(i)
+        size += len(parts[i]) + 1
+    return "\n".join(parts[i] for i in sorted(chosen))
+
+
 def _copies_key(text: str) -> int:
     """The smallest hash of three words: near copies mostly share it."""
     w = text.lower().split()
@@ -204,36 +223,69 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], share: float) -> ToxicityModel:
-    """``share``: how many of all labelled rows are toxic (the samples need not show it)."""
+def _split(rows: list) -> tuple[list, list]:
+    """Two of three rows train the dictionaries, the others calibrate."""
+    return rows[::3] + rows[1::3], rows[2::3] or rows
+
+
+def _constant(share: float) -> ToxicityModel:
     nothing = (0.0,) * _N_FEATURES
-    if not toxic or not ordinary:
-        w0 = math.log(share / (1 - share)) if 0 < share < 1 else (-50.0 if share == 0 else 50.0)
-        return ToxicityModel(b"", (b"", b""), (w0, *nothing), nothing, (1.0,) * _N_FEATURES)
-    toxic, ordinary = _one_per_copies(toxic), _one_per_copies(ordinary)
-    # two of three rows train the dictionaries, the others calibrate
-    dict_toxic, dict_ordinary = toxic[::3] + toxic[1::3], ordinary[::3] + ordinary[1::3]
-    held = [(t, 1) for t in toxic[2::3] or toxic] + [(t, 0) for t in ordinary[2::3] or ordinary]
-    grams = contrast(dict_toxic, dict_ordinary)
-    base = _train([w for t in dict_ordinary for w in windows(t)], DICTIONARY_BYTES)
+    w0 = math.log(share / (1 - share)) if 0 < share < 1 else (-50.0 if share == 0 else 50.0)
+    return ToxicityModel(b"", (b"", b""), (w0, *nothing), nothing, (1.0,) * _N_FEATURES)
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
+    """A model that is not calibrated."""
+    grams = contrast(toxic, ordinary)
+    base = _train([w for t in ordinary for w in windows(t)], DICTIONARY_BYTES)
     starts = b"".join(coded(g.encode())[0] for g in reversed(grams))
-    trained = _train(toxic_passages(dict_toxic, dict_ordinary), TOXIC_BYTES, TOXIC_SEGMENT)
-    both = (starts + base, trained + base)
-    a, b = _compressor(base), _compressor(both)
-    x = np.array([features(gains(t, a, b)) for t, _ in held])
-    y = np.array([label for _, label in held], np.float64)
+    trained = _train(toxic_passages(toxic, ordinary), TOXIC_BYTES, TOXIC_SEGMENT)
+    return replace(_constant(0.5), ordinary=base, toxic=(starts + base, trained + base), grams=tuple(grams))
+
+
+def calibrated(model: ToxicityModel, x: np.ndarray, y: np.ndarray, share: float) -> ToxicityModel:
+    """``x``: features of rows that trained no dictionary, ``y``: whether they are toxic."""
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     # a missed toxic row weighs more than a rejected clean one: by the root of their odds
     odds = math.sqrt(share / (1 - share)) if share < 1 else 1.0
     share = odds / (1 + odds)
     weight = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max((1 - y).sum(), 1)) * len(y)
     w = _logistic((x - center) / scale, y, weight)
-    return ToxicityModel(base, both, tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()), tuple(grams))
+    return replace(model, weights=tuple(w.tolist()), center=tuple(center.tolist()), scale=tuple(scale.tolist()))
+
+
+def train(toxic: list[str], ordinary: list[str], share: float) -> ToxicityModel:
+    """``share``: how many of all labelled rows are toxic (the samples need not show it)."""
+    if not toxic or not ordinary:
+        return _constant(share)
+    (dict_toxic, held_toxic), (dict_ordinary, held_ordinary) = _split(_one_per_copies(toxic)), _split(_one_per_copies(ordinary))
+    model = dictionaries(dict_toxic, dict_ordinary)
+    a, b = _compressor(model.ordinary), _compressor(model.toxic)
+    x = np.array([features(gains(t, a, b)) for t in held_toxic + held_ordinary])
+    return calibrated(model, x, np.repeat([1.0, 0.0], [len(held_toxic), len(held_ordinary)]), share)
+
+
+def _samples(batches):
+    """What a labelled row gives to the fit: a key of its copies and the text to train on."""
+    for batch in batches:
+        texts = [t.as_py() for t in batch.column("text")]
+        key = [_copies_key(t) - (1 << 63) for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key, pa.int64()), pa.array(map(training_text, texts), pa.string())],
+                                         names=["doc_id", "hash", "toxic", "copies", "text"])
+
+
+def _features(model: ToxicityModel):
+    def run(batches):
+        a, b = _compressor(model.ordinary), _compressor(model.toxic)
+        for batch in batches:
+            x = [features(gains(t.as_py(), a, b)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "hash", "toxic", "x"])
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
     """``labels``: ``doc_id, toxic`` of the rows to learn from. All their
-    labels are counted; a bounded sample of their texts trains the model."""
+    labels are counted; a bounded sample of their rows trains the model."""
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
         .filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.sum(F.expr("cast(toxic = 1 as int)"))).first()
@@ -241,14 +293,26 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     for label, limit in ((1, rows), (0, 2 * rows)):
         part = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.substring(text_or_empty(), 1, FIT_CHARS).alias("text"))
-    # at most 3 * rows ids are broadcast and as many texts collected
-    sample = sorted(texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id"), "doc_id", "toxic", "text").collect())
-    seen: dict[int, tuple[int, str]] = {}
-    for _, doc_id, toxic, text in sample:
-        seen.setdefault(doc_id, (toxic, text))
-    by = lambda label: [t for y, t in seen.values() if (y == 1) == label]
-    return train(by(True), by(False), (n_toxic or 0) / n if n else 0.0)
+    texts = documents(docs).select("doc_id", F.xxhash64("text").alias("hash"), "text")
+    # at most 3 * rows ids are broadcast and as many samples collected
+    drawn = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "hash", "toxic", "text")
+    sample = map_arrow(drawn, _samples, "doc_id bigint, hash bigint, toxic int, copies bigint, text string") \
+        .select(F.xxhash64("doc_id"), "doc_id", "hash", "toxic", "copies", "text").collect()
+    seen: dict[int, Row] = {}
+    for row in sorted(sample):
+        seen.setdefault(row["doc_id"], row)
+    # one row of each group of copies
+    toxic, ordinary = (list({r["copies"]: r for r in seen.values() if (r["toxic"] == 1) == label}.values()) for label in (True, False))
+    share = (n_toxic or 0) / n if n else 0.0
+    if not toxic or not ordinary:
+        return _constant(share)
+    (dict_toxic, held_toxic), (dict_ordinary, held_ordinary) = _split(toxic), _split(ordinary)
+    model = dictionaries([r["text"] for r in dict_toxic], [r["text"] for r in dict_ordinary])
+    # the whole texts of the other rows are read in tasks; their features come to the driver
+    held = docs.sparkSession.createDataFrame([(r["doc_id"], r["hash"], r["toxic"]) for r in held_toxic + held_ordinary], "doc_id bigint, hash bigint, toxic int")
+    drawn = texts.join(F.broadcast(held), ["doc_id", "hash"]).select("doc_id", "hash", "toxic", "text")
+    found = map_arrow(drawn, _features(model), "doc_id bigint, hash bigint, toxic int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    return calibrated(model, np.array([r["x"] for r in found]), np.array([float(r["toxic"] == 1) for r in found]), share)
 
 
 #: Rows scored at once.

@@ -64,6 +64,35 @@ def test_windows_cover_the_whole_text():
     assert tx.windows("") == tx.windows(" \n") == []
 
 
+def test_training_text_is_drawn_from_the_whole_text():
+    w = words(random.Random(8), 30_000).split()
+    got = tx.training_text(" ".join(w), 10_000)
+    assert 9_000 < len(got) <= 10_000 and got == tx.training_text(" ".join(w), 10_000)
+    lines = [" ".join(w[i:i + tx.WINDOW_WORDS]) for i in range(0, len(w), tx.WINDOW_WORDS)]
+    at = [lines.index(x) for x in got.split("\n")]
+    assert at == sorted(at) and min(at) < len(lines) / 10 and max(at) > 0.9 * len(lines)
+    assert tx.training_text(" ".join(w[:100]), 10_000) == " ".join(w[:100])
+    assert 0 < len(tx.training_text("x" * 500_000)) <= tx.FIT_CHARS
+
+
+def test_long_texts_are_calibrated_whole(spark):
+    """Toxic words stand only behind the first FIT_CHARS characters."""
+    rng = random.Random(9)
+
+    def made(toxic):
+        w = words(rng, 12_000).split()
+        for _ in range(60 if toxic else 0):
+            w.insert(rng.randrange(9_500, len(w)), rng.choice(["grumphead", "snarkwit", "blorgface"]))
+        return " ".join(w)
+
+    rows = [(i, made(i % 3 == 0)) for i in range(150)]
+    assert all(len(" ".join(t.split()[:9_500])) > tx.FIT_CHARS for _, t in rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = tx.fit(docs.filter("doc_id < 90"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in tx.score(docs.filter("doc_id >= 90"), model).collect()}
+    assert np.mean([got[i] == (i % 3 == 0) for i in got]) >= 0.95
+
+
 def test_odd_rows_and_labels(spark):
     docs = odd_documents(spark)
     labels = spark.createDataFrame([(0, 1), (1, None), (None, 1), (3, 0), (3, 1), (7, 0), (99, 0)], "doc_id bigint, toxic int")
