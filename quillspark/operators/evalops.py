@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.ngram import token_pairs
-from quillspark.operators.ordered import running_sums
+from quillspark.operators.ordered import range_buckets, running_sums
 from quillspark.session import materialize
 
 # Task suites.
@@ -80,26 +80,43 @@ def mmlu_items(df: DataFrame, task: str = "mmlu", item_id: str = "item_id") -> D
     return df.select(*_item(task, ctx, F.col("choices"), F.col("answer"), item_id))
 
 
+def numbered_items(items: DataFrame) -> DataFrame:
+    """``item_no``: from 0 without gaps in the order of ``item_id``, whatever
+    the ids are; rows with one id are items of their own (two-phase)."""
+    order = ["item_id", "context", "gold_text"]
+    d = running_sums(range_buckets(items.select(*order), order), [], order, {"item_no": F.lit(1)}, bucket="_part")
+    # read twice, and equal rows may be numbered either way
+    return materialize(d.select(*order, (F.col("item_no") - 1).alias("item_no")), "numbered-items")
+
+
+def _item_keys(df: DataFrame) -> list[str]:
+    """What tells items apart: ``item_no`` too where there is one, as ids may be repeated."""
+    return ["task", "item_id", *[c for c in df.columns if c == "item_no"]]
+
+
 def suite_items(items: DataFrame, tasks) -> DataFrame:
-    """Items of the given tasks in one table, drawn from ``benchmark`` items
-    (a fixture: choices are the gold texts of the items that follow). The
-    choice texts are gathered once; each task is a projection of them in its
-    native schema through its adapter."""
+    """Items of the given tasks in one table, with ``item_no``, drawn from
+    ``benchmark`` items (a fixture: choices are the gold texts of the items
+    that follow by number). The choice texts are gathered once; each task is a
+    projection of them in its native schema through its adapter."""
+    items = numbered_items(items)
     n = items.agg(F.count(F.lit(1))).scalar()
-    k = items.select("item_id", "context", F.posexplode(F.sequence(F.lit(0), F.lit(3))).alias("k", "_"))
-    src = items.select(F.col("item_id").alias("_src"), F.col("gold_text").alias("text"))
-    near = k.withColumn("_src", (F.col("item_id") + F.col("k")) % n).join(src, "_src") \
-        .groupBy("item_id").agg(F.first("context").alias("context"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("_t"))
-    near = materialize(near.select("item_id", "context", F.transform("_t", lambda x: x["text"]).alias("texts")), "suite-items")
+    k = items.select("item_no", "item_id", "context", F.posexplode(F.sequence(F.lit(0), F.lit(3))).alias("k", "_"))
+    src = items.select(F.col("item_no").alias("_src"), F.col("gold_text").alias("text"))
+    near = k.withColumn("_src", (F.col("item_no") + F.col("k")) % n).join(src, "_src") \
+        .groupBy("item_no").agg(F.first("item_id").alias("item_id"), F.first("context").alias("context"), F.array_sort(F.collect_list(F.struct("k", "text"))).alias("_t"))
+    near = materialize(near.select("item_no", "item_id", "context", F.transform("_t", lambda x: x["text"]).alias("texts")), "suite-items")
+    # the adapters carry both through
+    near = near.withColumn("item_id", F.struct("item_id", "item_no"))
 
     def turned(size: int) -> tuple[Column, Column]:
-        """The texts with the gold one at ``item_id % size``, and that index."""
-        g = (F.col("item_id") % size).cast("int")
+        """The texts with the gold one at ``item_no % size``, and that index."""
+        g = (F.col("item_no") % size).cast("int")
         return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.get("texts", (j - g + size) % size)), g
 
     c4, g4 = turned(4)
     c2, g2 = turned(2)
-    key = F.when(F.col("item_id") % 2 == 0, F.char(g4 + 65)).otherwise((g4 + 1).cast("string"))
+    key = F.when(F.col("item_no") % 2 == 0, F.char(g4 + 65)).otherwise((g4 + 1).cast("string"))
     arc = near.select("item_id", F.col("context").alias("question"), F.struct(c4.alias("text")).alias("choices"), key.alias("answerKey"))
     two = near.select("item_id", "context", F.get(c2, F.lit(0)).alias("a"), F.get(c2, F.lit(1)).alias("b"), g2.alias("g"))
     made = {
@@ -114,7 +131,7 @@ def suite_items(items: DataFrame, tasks) -> DataFrame:
     for t in tasks:
         part = made[t]()
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select("task", "item_id.item_id", "item_id.item_no", "context", "choices", "gold")
 
 
 def full_texts(items: DataFrame) -> Column:
@@ -129,9 +146,10 @@ def filled_blanks(items: DataFrame) -> Column:
 
 def build_candidates(items: DataFrame, texts=full_texts) -> DataFrame:
     """K1: ``task, item_id, choice_idx, context, choice, full_text, gold`` of items."""
-    return items.select("task", "item_id", "context", "choices", "gold", texts(items).alias("_full")) \
-        .select("task", "item_id", "context", "choices", "gold", F.posexplode("_full").alias("choice_idx", "full_text")) \
-        .select("task", "item_id", "choice_idx", "context", F.get("choices", F.col("choice_idx")).alias("choice"), "full_text", "gold")
+    keys = _item_keys(items)
+    return items.select(*keys, "context", "choices", "gold", texts(items).alias("_full")) \
+        .select(*keys, "context", "choices", "gold", F.posexplode("_full").alias("choice_idx", "full_text")) \
+        .select(*keys, "choice_idx", "context", F.get("choices", F.col("choice_idx")).alias("choice"), "full_text", "gold")
 
 
 # ---------------------------------------------------------------- scoring
@@ -139,10 +157,11 @@ def encode_candidates(items: DataFrame, encoder) -> DataFrame:
     """``task, item_id, choice_idx, gold, ctx_ids, ids`` (both with BOS): an
     item's context and full texts are encoded in one row, the context once."""
     d = items.withColumn("_t", F.concat(F.array("context"), full_texts(items)))
-    d = encoder.encode_column(d.select("task", "item_id", "gold", "_t"), F.col("_t"), "_e", drop=["_t"])
+    keys = _item_keys(items)
+    d = encoder.encode_column(d.select(*keys, "gold", "_t"), F.col("_t"), "_e", drop=["_t"])
     bos = F.array(F.lit(1))
-    d = d.select("task", "item_id", "gold", F.get("_e", F.lit(0)).alias("_c"), F.posexplode(F.slice("_e", F.lit(2), F.size("_e"))).alias("choice_idx", "_f"))
-    return d.select("task", "item_id", "choice_idx", "gold", F.concat(bos, "_c").alias("ctx_ids"), F.concat(bos, "_f").alias("ids"))
+    d = d.select(*keys, "gold", F.get("_e", F.lit(0)).alias("_c"), F.posexplode(F.slice("_e", F.lit(2), F.size("_e"))).alias("choice_idx", "_f"))
+    return d.select(*keys, "choice_idx", "gold", F.concat(bos, "_c").alias("ctx_ids"), F.concat(bos, "_f").alias("ids"))
 
 
 def truncate_for_scoring(d: DataFrame, max_length: int | None = None) -> DataFrame:
@@ -160,11 +179,11 @@ def truncate_for_scoring(d: DataFrame, max_length: int | None = None) -> DataFra
                     .otherwise(F.col("ids")))
 
 
-def choice_scores(items: DataFrame, encoder, scorer, keys=("task", "item_id", "choice_idx"),
+def choice_scores(items: DataFrame, encoder, scorer, keys=None,
                   max_length: int | None = None) -> DataFrame:
     """K3 + K4 + K6 per candidate (with ``gold``): ``score`` (normalized by the number of
     choice tokens; raw sum when there are none), ``score_sum``, ``is_greedy``."""
-    keys = list(keys)
+    keys = list(keys or [*_item_keys(items), "choice_idx"])
     e = truncate_for_scoring(encode_candidates(items, encoder), max_length)
     e = materialize(e.select(*keys, "gold", "ids", "ctx_len"), "scored-candidates")
     meta = e.select(*keys, "gold", F.size("ids").alias("n_tokens"), "ctx_len")
@@ -200,7 +219,7 @@ def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int | No
 
 def fill_blank_scores(wino: DataFrame, encoder, scorer, max_length: int | None = None) -> DataFrame:
     """K7: whole-sequence sum / number of tokens including BOS."""
-    keys = ["task", "item_id", "choice_idx", "gold"]
+    keys = [*_item_keys(wino), "choice_idx", "gold"]
     r = rolling_scores(wino, encoder, scorer, keys, max_length)
     return r.withColumn("score", F.col("logprob_sum") / F.col("n_tokens"))
 
@@ -216,7 +235,7 @@ def predict_and_score(scores: DataFrame, one_based: bool = False) -> DataFrame:
     their item's ``gold`` (both 1-based for Winogrande-style answers)."""
     best = F.max_by(F.col("choice_idx"), F.struct(F.col("score"), -F.col("choice_idx")))
     base = 1 if one_based else 0
-    p = scores.groupBy("task", "item_id").agg((best + base).alias("pred"), (F.first("gold") + base).alias("gold"))
+    p = scores.groupBy(*_item_keys(scores)).agg((best + base).alias("pred"), (F.first("gold") + base).alias("gold"))
     return p.withColumn("is_correct", F.col("pred") == F.col("gold"))
 
 
@@ -234,7 +253,7 @@ def macro_average(acc: DataFrame) -> DataFrame:
                    F.count("accuracy").cast("bigint").alias("tasks"))
 
 
-def example_number(df: DataFrame, keys=("task",), order: str = "item_id") -> DataFrame:
+def example_number(df: DataFrame, keys=("task",), order="item_id") -> DataFrame:
     """1-based running item number per task (two-phase)."""
     return running_sums(df, list(keys), order, {"example_id": F.lit(1)})
 
@@ -242,12 +261,12 @@ def example_number(df: DataFrame, keys=("task",), order: str = "item_id") -> Dat
 def example_details(scores: DataFrame, cands: DataFrame, results: DataFrame) -> DataFrame:
     """One nested record per item: choices, prediction, gold, scores and
     the exact model input strings (ordered by choice)."""
-    per = cands.join(scores.select("task", "item_id", "choice_idx", "score"),
-                     ["task", "item_id", "choice_idx"])
-    g = per.groupBy("task", "item_id").agg(F.array_sort(F.collect_list(F.struct(
+    keys = _item_keys(scores)
+    per = cands.join(scores.select(*keys, "choice_idx", "score"), [*keys, "choice_idx"])
+    g = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "choice_idx", "choice", "full_text", "score"))).alias("_c"), F.first("context").alias("context"))
-    d = g.join(results, ["task", "item_id"])
-    d = example_number(d)
+    d = g.join(results, keys)
+    d = example_number(d, order=keys[1:])
     return d.select(
         "task", "example_id", "item_id", "context",
         F.transform("_c", lambda c: c["choice"]).alias("choices"),

@@ -30,3 +30,36 @@ def test_adapters(spark):
 def test_items_without_choices_have_no_candidates(spark):
     h = spark.createDataFrame([(7, "A man", [], "1"), (8, None, ["a"], "0")], "item_id bigint, ctx string, endings array<string>, label string")
     assert [(r.item_id, r.full_text) for r in V.build_candidates(V.hellaswag_items(h)).collect()] == [(8, None)]
+
+
+def test_items_with_gaps_and_repeated_ids(spark):
+    """Choices come from the items that follow in the order of ids, whatever the ids are."""
+    ids = [-3, 1, 2, 7, 7, 500, 10**7, 4 * 10**9]
+    texts = [f"c{i} c{i} g{i} g{i}" for i in range(len(ids))]
+    b = spark.createDataFrame(list(zip(ids, texts))[::-1], "item_id bigint, text string")
+    items = V.suite_items(V.benchmark_items(b), ["hellaswag", "piqa"])
+    rows = {(r.task, r.item_no): r for r in items.collect()}
+    assert len(rows) == 2 * len(ids) == items.count()
+    for i, item_id in enumerate(ids):
+        for task, size in (("hellaswag", 4), ("piqa", 2)):
+            r = rows[task, i]
+            want = [f"g{(i + (j - i % size) % size) % len(ids)}" for j in range(size)]
+            assert (r.item_id, list(r.choices), r.gold) == (item_id, [f"{w} {w}" for w in want], i % size)
+            assert r.choices[r.gold] == f"g{i} g{i}" and f"c{i} c{i}" in r.context
+
+
+def test_scores_do_not_depend_on_the_ids(spark):
+    from pyspark.sql import functions as F
+
+    from conftest import SF_SMALL
+    from quillspark.plans import registry as R
+    from quillspark.plans.eval_plan import mc_results
+
+    b = R.table(spark, SF_SMALL, "benchmark")
+    result = lambda d: [tuple(r) for r in mc_results(V.benchmark_items(d), ["piqa", "winogrande"], R._encoder(spark, SF_SMALL), R._scorer(spark, SF_SMALL))
+                        .select("task", "item_id", "pred", "gold").orderBy("task", "item_id").collect()]
+    plain = result(b)
+    gaps = result(b.withColumn("item_id", F.col("item_id") * 7 + 3))
+    assert len(plain) == 2 * b.count() and gaps == [(t, 7 * i + 3, p, g) for t, i, p, g in plain]
+    # two items with each id stay two
+    assert len(result(b.withColumn("item_id", F.floor(F.col("item_id") / 2)))) == len(plain)
