@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe_trie, chat_format, dac, fingerprints, packing, quality, simhash, token_counts, toxicity, url_filter
+from quillspark.llm import (bpe_trie, chat_format, dac, filter_audit, fingerprints, packing, quality, simhash, token_counts, toxicity,
+                            url_filter)
 from quillspark.functions.text import hash64
 from quillspark.llm.common import documents, table
 
@@ -232,3 +233,37 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_AUDIT_SQL = f"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+f as (select doc_id, part, if(len(w) < {filter_audit.MIN_WORDS}, 'A', '')
+             || if(100 * list_unique(w) < {filter_audit.DISTINCT_PERCENT} * len(w), 'B', '')
+             || if(100 * len(regexp_extract_all(text, '[A-Z]')) > {filter_audit.UPPER_PERCENT} * length(text), 'C', '')
+             || if(regexp_matches(text, '[#$%&*|]'), 'D', '')
+             || if(doc_id > min(doc_id) over (partition by text), 'E', '') as fails from t),
+lab as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (select part, fails, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+      from f left join lab on f.doc_id = lab.doc_id group by all),
+l as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select a.x || b.x || c.x || d.x || e.x as filter_order from l a, l b, l c, l d, l e
+           where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select filter_order, step::int as step, filter_order[step] as x, filter_order[:step] as upto, filter_order[:step - 1] as before
+          from orders, range(1, 6) r(step)),
+s as (select part, filter_order, step, x,
+             coalesce(sum(n) filter (where translate(upto, fails, '') = upto), 0) as kept,
+             coalesce(sum(n) filter (where contains(fails, x) and translate(before, fails, '') = before), 0) as removed,
+             coalesce(sum(n) filter (where contains(fails, x) and translate(before, fails, '') <> before), 0) as redundant,
+             coalesce(sum(n) filter (where fails = x), 0) as unique_fails,
+             coalesce(sum(good) filter (where contains(fails, x) and translate(before, fails, '') = before), 0) as good_lost,
+             coalesce(sum(toxic) filter (where contains(fails, x) and translate(before, fails, '') = before), 0) as toxic_lost
+      from m, steps group by all)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+       unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+       (sum(removed) over (partition by part, x))::bigint as shapley from s"""
+
+
+@query("op13_filter_audit", _AUDIT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
