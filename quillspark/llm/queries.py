@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import (bpe_trie, chat_format, dac, filter_audit, fingerprints, packing, quality, simhash, token_counts, toxicity,
-                            url_filter)
+from quillspark.llm import (bpe_trie, chat_format, dac, filter_audit, fingerprints, language_id, packing, quality, simhash, token_counts,
+                            toxicity, url_filter)
 from quillspark.functions.text import hash64
 from quillspark.llm.common import documents, table
 
@@ -267,3 +267,15 @@ select part, filter_order, step, kept::bigint as kept, removed::bigint as remove
 @query("op13_filter_audit", _AUDIT_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _third(doc_id: str = "doc_id"):
+    """Every third document by a checksum of its id is held out of learning its language."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs, language_id.fit(docs, ~_third()))
+    return out.select("doc_id", F.coalesce(_third(), F.lit(False)).alias("held_out"), "lang_pred", "score")
