@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import (bpe_trie, chat_format, dac, filter_audit, fingerprints, language_id, packing, quality, simhash, token_counts,
+from quillspark.llm import (alignment, bpe_trie, chat_format, dac, filter_audit, fingerprints, language_id, packing, quality, simhash, token_counts,
                             toxicity, url_filter)
 from quillspark.functions.text import hash64
 from quillspark.llm.common import documents, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -279,3 +280,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.predict(docs, language_id.fit(docs, ~_third()))
     return out.select("doc_id", F.coalesce(_third(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
