@@ -14,7 +14,7 @@ empty tables pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import packing, quality, simhash, toxicity
@@ -40,13 +40,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = simhash.near_duplicates(docs, shingle=3, max_distance=3)
     # an id before none; the text's hash tells rows with one or no id apart
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("m"))
-    chosen = first.select(F.xxhash64("m.doc_id", "m.text_hash").alias("key"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
-                       F.xxhash64(F.col("doc_id").cast("bigint"), F.xxhash64(text_or_empty())).alias("key"))
-    kept = rows.join(chosen, "key", "left_semi")
-    # repeated rows share the key and so the join's partition
-    again = Window.partitionBy("key").orderBy(*[F.col(f"doc.`{c}`") for c in docs.columns if c != "text"])
-    return kept.withColumn("copy", F.row_number().over(again)).filter("copy = 1").select("doc.*")
+    chosen = first.select(F.struct("m.doc_id", "m.text_hash").alias("key"))
+    # repeated rows become one in the tasks that read them; a struct with a null id equals another
+    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_hash")).alias("key")
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(key, F.struct(*[F.col(f"`{c}`") for c in [*rest, "text"]]).alias("doc")).groupBy("key").agg(F.min("doc").alias("doc"))
+    return rows.join(chosen, "key", "left_semi").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

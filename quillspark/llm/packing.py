@@ -31,7 +31,7 @@ from quillspark.llm.pretok import encode_in_slices, library_encoder
 #: underfull bins of the portion before among them.
 PORTION = 50_000
 #: With ids a portion also ends at so many of them, to bound a task's memory.
-PORTION_TOKENS = 1 << 22
+PORTION_TOKENS = 1 << 20
 #: Bins with at most this many free tokens are final.
 SLACK = 8
 

@@ -6,13 +6,15 @@ tested from the mildest on, against labelled good documents: a cutoff passes
 if the exact binomial probability of as few false rejections as seen, at the
 rule's share of the allowed rate, is at most the error level divided by the
 number of rules and strata (Bonferroni); the first failure ends the list (a
-fixed sequence needs no further correction). So, with the stated confidence
-for all rules and strata together, no stratum rejects more than ``max_rate``
-of its good documents. Among the cutoffs that passed, a rule takes the one
-that rejects most bad documents net of the good ones (each weighs
-``good_cost``); ties go to the mildest, and a rule without gain stays off.
-Rules are set one after the other, each on the labelled documents that the
-ones before let through, so a rule adds no rejections another one spares.
+fixed sequence needs no further correction). Every rule is tested on all good
+documents of the stratum that pass the base check, whatever the other rules
+do, so no choice made on the holdout enters a test. So, with the stated
+confidence for all rules and strata together, each rule rejects at most its
+share of a stratum's good documents, and all rules together at most
+``max_rate`` of them. Among the cutoffs that passed, a rule takes the one that
+rejects most bad documents net of the good ones (each weighs ``good_cost``),
+counted on the documents that the rules before let through; ties go to the
+mildest, and a rule without gain stays off.
 
 Everything is DataFrame expressions; only tables of strata x rules x cutoffs
 rows are windowed or broadcast.
@@ -119,7 +121,8 @@ def cutoffs(stats: DataFrame, labels: DataFrame, max_rate: float = MAX_RATE, err
     """One row per stratum with a column ``_rule`` for each rule: its cutoff, null where it is off."""
     good = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("good")) \
         .filter("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
-    left = materialize(stats.filter("not base_failed").withColumn("stratum", stratum()).join(good, "doc_id"), "quality_holdout")
+    left = materialize(stats.filter("not base_failed").withColumn("stratum", stratum()).join(good, "doc_id"), "quality_holdout") \
+        .withColumn("left", F.lit(True))
     rate, level = max_rate / len(RULES), error / (len(RULES) * (len(STRATA) + 1))
     n_good = Window.partitionBy("stratum")
     in_order = Window.partitionBy("stratum").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,20 +131,23 @@ def cutoffs(stats: DataFrame, labels: DataFrame, max_rate: float = MAX_RATE, err
         # how many cutoffs a document's value reaches, from the strictest (last) on
         reached = sum((F.expr(f"cast({value} >= {c}D as int)") for c in cuts), F.lit(0))
         seen = left.groupBy("stratum", reached.alias("reached")).agg(
-            F.sum(F.expr("cast(good = 1 as bigint)")).alias("good"), F.sum(F.expr("cast(good <> 1 as bigint)")).alias("bad"))
-        # one row per stratum and cutoff, with what it rejects
+            F.sum(F.expr("cast(good = 1 as bigint)")).alias("good"), F.sum(F.expr("cast(good = 1 and left as bigint)")).alias("good_left"),
+            F.sum(F.expr("cast(good <> 1 and left as bigint)")).alias("bad_left"))
+        # one row per stratum and cutoff: what it rejects of all, for the test, and of what is left, for the choice
         table = seen.withColumn("n", F.sum("good").over(n_good)) \
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("reached")))).filter("j > 0") \
-            .groupBy("stratum", (len(cuts) + 1 - F.col("j")).alias("place"), "n").agg(F.sum("good").alias("k"), F.sum("bad").alias("bad"))
+            .groupBy("stratum", (len(cuts) + 1 - F.col("j")).alias("place"), "n") \
+            .agg(F.sum("good").alias("k"), F.sum("good_left").alias("k_left"), F.sum("bad_left").alias("bad_left"))
         passed = F.when(F.col("k") < F.col("n") * rate,
                         log_binomial_cdf(F.col("k"), F.col("n"), rate) <= F.log(F.lit(level))).otherwise(F.lit(False))
         best = table.withColumn("ok", F.min(passed.cast("int")).over(in_order)) \
-            .withColumn("gain", F.col("bad") - good_cost * F.col("k")).filter("ok = 1 and gain > 0") \
+            .withColumn("gain", F.col("bad_left") - good_cost * F.col("k_left")).filter("ok = 1 and gain > 0") \
             .groupBy("stratum").agg(F.max_by("place", F.struct(F.col("gain"), -F.col("place"))).alias("place"))
         chosen = materialize(best.select("stratum", F.element_at(F.array(*map(F.lit, cuts)), F.col("place").cast("int")).alias(f"_{rule}")),
                              "quality_cutoffs")
         limits = limits.join(F.broadcast(chosen), "stratum", "left")
-        left = left.join(F.broadcast(chosen), "stratum", "left").filter(F.coalesce(F.expr(f"{value} < _{rule}"), F.lit(True)))
+        left = left.join(F.broadcast(chosen), "stratum", "left") \
+            .withColumn("left", F.col("left") & F.coalesce(F.expr(f"{value} < _{rule}"), F.lit(True))).drop(f"_{rule}")
     return limits
 
 
@@ -163,7 +169,8 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def judge_rows(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``doc`` (the whole row as a struct) with the counts and ``kept``. The
-    counts are made again beside the row, so that no text is shuffled."""
-    limits = cutoffs(materialize(counts(docs), "quality_counts"), labels, **options)
-    return _apply(counts(docs, rows=True), limits)
+    """``doc`` (the whole row as a struct) with the counts and ``kept``. Rows
+    are counted once and written with their counts, of which the cutoffs read
+    the narrow columns alone, so that no text is shuffled."""
+    stats = materialize(counts(docs, rows=True), "quality_counts")
+    return _apply(stats, cutoffs(stats.drop("doc"), labels, **options))

@@ -200,15 +200,16 @@ def _quality_sql() -> str:
         places = ", ".join(f"({j + 1}, {c}::double)" for j, c in enumerate(cuts))
         steps.append(f"""
 tests{i} as (select stratum, place, cutoff, count(*) filter (where good = 1) as n, count(*) filter (where {v} >= cutoff and good = 1) as k,
-                count(*) filter (where {v} >= cutoff and good <> 1) as bad
+                count(*) filter (where {v} >= cutoff and good = 1 and remains) as k_left,
+                count(*) filter (where {v} >= cutoff and good <> 1 and remains) as bad_left
             from left{i} cross join (values {places}) c(place, cutoff) group by all),
 passed{i} as (select *, case when k < n * {rate} then list_sum(list_transform(range(0, k + 1), lambda i: exp(
                  lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate}) + (n - i) * ln(1 - {rate})))) <= {quality.ERROR} / {n_tests}
                  else false end as ok from tests{i}),
 chosen{i} as (select stratum, arg_max(cutoff, (gain, -place)) as _{r} from (
-                select *, min(ok::int) over (partition by stratum order by place) as all_ok, bad - {quality.GOOD_COST} * k as gain from passed{i})
+                select *, min(ok::int) over (partition by stratum order by place) as all_ok, bad_left - {quality.GOOD_COST} * k_left as gain from passed{i})
               where all_ok = 1 and gain > 0 group by stratum),
-left{i + 1} as (select l.* from left{i} l left join chosen{i} using (stratum) where coalesce({v} < _{r}, true)),""")
+left{i + 1} as (select l.* replace (remains and coalesce({v} < _{r}, true) as remains) from left{i} l left join chosen{i} using (stratum)),""")
     joins = " ".join(f"left join chosen{i} using (stratum)" for i in range(len(quality.RULES)))
     broken = " or ".join(f"coalesce(({v.replace('/', '::double /')}) >= _{r}, false)" for r, (v, _) in quality.RULES.items())
     return f"""
@@ -224,7 +225,7 @@ counts as (select w.doc_id, len(w)::bigint as n_words, length(array_to_string(w,
            from w left join rep on w.doc_id = rep.doc_id),
 stats as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, {case} as stratum from counts),
 lab as (select doc_id, max(quality) as good from labels where quality is not null group by doc_id),
-left0 as (select s.*, lab.good from stats s join lab on s.doc_id = lab.doc_id where not base_failed),
+left0 as (select s.*, lab.good, true as remains from stats s join lab on s.doc_id = lab.doc_id where not base_failed),
 {"".join(steps).rstrip(",")}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        case when base_failed then false else not ({broken}) end as kept from stats {joins}"""

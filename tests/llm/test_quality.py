@@ -85,3 +85,58 @@ def test_odd_rows_and_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     assert quality.judge(docs, none).count() == docs.count()
     assert quality.judge(empty_documents(spark), labels).count() == 0
+
+
+def counted(rng, n, good_share=0.6):
+    """Rows of counts in which bad ones tend to be worse in every rule, with labels."""
+    rows = []
+    for i in range(n):
+        good = rng.random() < good_share
+        odd = (lambda p: rng.random() < p * (0.02 if good else 1))  # noqa: B023
+        w = rng.choice([120, 300, 600, 1500])
+        rows.append((i, w, w * (8 if odd(0.3) else 5), int(w * (rng.uniform(0.3, 2) if odd(0.4) else rng.uniform(0, 0.09))), int(w * (rng.uniform(0.2, 0.49) if odd(0.3) else 0.01)),
+                     20, int(20 * (rng.uniform(0.3, 1) if odd(0.4) else 0.04)), False, int(good)))
+    return rows
+
+
+COUNTED = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_repeat_words bigint, n_lines bigint, n_dup_lines bigint, base_failed boolean, quality int"
+
+
+def plain_cutoffs(rows):
+    names = [c.split()[0] for c in COUNTED.split(", ")]
+    docs = [dict(zip(names, r, strict=True)) for r in rows]
+    rate, level = quality.MAX_RATE / len(quality.RULES), quality.ERROR / (len(quality.RULES) * (len(quality.STRATA) + 1))
+    out = {}
+    for s in range(len(quality.STRATA) + 1):
+        mine = [d for d in docs if sum(d["n_words"] >= x for x in quality.STRATA) == s]
+        n = sum(d["quality"] for d in mine)
+        left = mine
+        for rule, (value, cuts) in quality.RULES.items():
+            worth = lambda d: eval(value, {}, d)  # noqa: E731, S307, B023
+            best = (0, None)
+            for c in cuts:
+                k = sum(d["quality"] for d in mine if worth(d) >= c)
+                if n and sum(math.comb(n, i) * rate ** i * (1 - rate) ** (n - i) for i in range(k + 1)) > level or not n or k >= n * rate:
+                    break
+                gain = sum(1 - d["quality"] - quality.GOOD_COST * d["quality"] for d in left if worth(d) >= c)
+                if gain > best[0]:
+                    best = (gain, c)
+            out[s, rule] = best[1]
+            if best[1] is not None:
+                left = [d for d in left if worth(d) < best[1]]
+    return out
+
+
+def test_cutoffs_with_several_rules_against_brute_force(spark):
+    rows = counted(random.Random(4), 7000)
+    df = spark.createDataFrame(rows, COUNTED)
+    got = quality.cutoffs(df.drop("quality"), df.select("doc_id", "quality")).collect()
+    want = plain_cutoffs(rows)
+    assert {(r["stratum"], rule): r[f"_{rule}"] for r in got for rule in quality.RULES} == want
+    on = {rule for (_, rule), c in want.items() if c is not None}
+    assert len(on) >= 3
+    # fresh good rows: no stratum loses more than the bound
+    fresh = spark.createDataFrame([r for r in counted(random.Random(9), 20_000) if r[-1] == 1], COUNTED)
+    limits = spark.createDataFrame([r.asDict() for r in got], "stratum int, " + ", ".join(f"_{r} double" for r in quality.RULES))
+    lost = quality._apply(fresh, limits).groupBy(quality.stratum().alias("s")).agg(F.avg(F.expr("cast(not kept as int)")).alias("rate")).collect()
+    assert all(r["rate"] <= quality.MAX_RATE for r in lost)
