@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import estimate_tokens, text_field
+from quillspark.operators.joins import join_null_safe
 from quillspark.operators.ordered import DEFAULT_BUCKET_WIDTH, running_sum
 
 
@@ -85,7 +86,8 @@ def token_budget_lang(df: DataFrame, max_tokens: int, langs: Mapping[str, list]
         pairs = [(k, lang) for k, v in langs.items() for lang in v]
         allowed = spark.createDataFrame(pairs, "dataset string, lang string")
         df = df.join(F.broadcast(allowed), ["dataset", "lang"], "left_semi")
-    d = df.join(n, "dataset")
+    # a row per dataset, whose size Spark measures; a null dataset is one like any other
+    d = join_null_safe(df, n, ["dataset"])
     quota = F.floor(F.lit(max_tokens) / F.col("_n_langs")).cast("bigint")
     d = d.withColumn("_quota", quota)
     out = token_budget(d, None, keys=("dataset", "lang"), quota=F.col("_quota"),

@@ -320,32 +320,82 @@ def roundtrip_check(encoder: Encoder, df: DataFrame, col: str = "text") -> DataF
 
 
 class PandasEncoder:
-    """Any Python encoder (``str -> list[int]``) run with ``mapInPandas``.
+    """Any Python encoder (``str -> list[int]``), run over Arrow batches
+    and exchangeable with :class:`Encoder` in chat and scoring.
 
     ``factory`` is called once per Python worker (the loaded encoder is cached
-    in the worker), never per row. Filter and prune before calling ``encode``:
-    Catalyst cannot push predicates through ``mapInPandas``.
+    in the worker), never per row; it returns the encoding function, or an
+    object with ``encode`` and ``decode`` (``list[int] -> str``). Its ids are
+    used as they are; ``bos_id`` and ``eos_id`` are put around them on request
+    and left out by ``decode`` with ``skip_special``. Null texts give no ids,
+    null ids a null text.
     """
 
-    def __init__(self, factory: Callable[[], Callable[[str], list]], name: str | None = None):
-        self.factory = factory
+    def __init__(self, factory: Callable[[], Callable[[str], list]], name: str | None = None, vocab_size: int = DEFAULT_VOCAB_SIZE,
+                 bos_id: int = BOS_ID, eos_id: int = EOS_ID):
+        self.factory, self.vocab_size, self.bos_id, self.eos_id = factory, vocab_size, bos_id, eos_id
         # the factory is another object in every task, its name is not
         self.name = name or f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', '')}-{uuid.uuid4().hex}"
 
-    def encode(self, df: DataFrame, col: str = "text", out: str = "ids") -> DataFrame:
+    def encode(self, df: DataFrame, col: str = "text", out: str = "ids",
+               add_bos: bool = False, add_eos: bool = False, drop_text: bool = False) -> DataFrame:
+        return self.encode_column(df, F.col(col), out, add_bos, add_eos, drop=[col] if drop_text else None)
+
+    def encode_column(self, df: DataFrame, text_col: Column, out: str,
+                      add_bos: bool = False, add_eos: bool = False, drop=None) -> DataFrame:
+        """As :meth:`Encoder.encode_column`: a string expression or an
+        ``array<string>`` expression."""
         from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
         from quillspark.session import ship_package
         ship_package(df.sparkSession)
+        d = df.withColumn("__text", text_col)
+        if drop:
+            d = d.drop(*drop)
+        nested = isinstance(d.schema["__text"].dataType, ArrayType)
+        ids_type = ArrayType(ArrayType(IntegerType())) if nested else ArrayType(IntegerType())
+        schema = StructType([f for f in d.schema.fields if f.name != "__text"] + [StructField(out, ids_type)])
         factory, name = self.factory, self.name
-        schema = StructType(list(df.schema.fields) + [StructField(out, ArrayType(IntegerType()))])
 
         def run(batches):
+            import pyarrow as pa
+
             import quillspark.operators.encode as m
-            enc = m._WORKER_CACHE.get(name)
-            if enc is None:
-                enc = m._WORKER_CACHE[name] = factory()
-            for pdf in batches:
-                pdf[out] = [list(enc(t or "")) for t in pdf[col]]
-                yield pdf
-        return df.mapInPandas(run, schema)
+            enc = m.worker_encoder(name, factory)
+            one = getattr(enc, "encode", enc)
+            target = pa_schema(schema)
+            for b in batches:
+                at = b.schema.names.index("__text")
+                texts = b.column(at).to_pylist()
+                ids = [t if t is None else [list(one(x or "")) for x in t] for t in texts] if nested else [list(one(t or "")) for t in texts]
+                yield pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if i != at] + [pa.array(ids, target.field(out).type)], schema=target)
+        d = d.mapInArrow(run, schema)
+        if add_bos:
+            d = d.withColumn(out, F.concat(F.array(F.lit(self.bos_id)), F.col(out)))
+        return d.withColumn(out, F.concat(F.col(out), F.array(F.lit(self.eos_id)))) if add_eos else d
+
+    def decode(self, df: DataFrame, col: str = "ids", out: str = "decoded", skip_special: bool = True) -> DataFrame:
+        """J3 by the encoder's own ``decode``."""
+        from pyspark.sql.types import StringType, StructField, StructType
+
+        from quillspark.session import ship_package
+        ship_package(df.sparkSession)
+        schema = StructType(list(df.schema.fields) + [StructField(out, StringType())])
+        factory, name, special = self.factory, self.name, {self.bos_id, self.eos_id} if skip_special else set()
+
+        def run(batches):
+            import pyarrow as pa
+
+            import quillspark.operators.encode as m
+            enc = m.worker_encoder(name, factory)
+            for b in batches:
+                text = [None if x is None else enc.decode([i for i in x if i not in special]) for x in b.column(col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(text, pa.string())], schema=pa_schema(schema))
+        return df.mapInArrow(run, schema)
+
 
+def worker_encoder(name: str, factory):
+    """The loaded encoder of this Python worker."""
+    if name not in _WORKER_CACHE:
+        _WORKER_CACHE[name] = factory()
+    return _WORKER_CACHE[name]

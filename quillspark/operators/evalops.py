@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.ngram import token_pairs
+from quillspark.operators.joins import join_null_safe
 from quillspark.operators.ordered import range_buckets, running_sums
 from quillspark.session import materialize
 
@@ -179,24 +179,25 @@ def truncate_for_scoring(d: DataFrame, max_length: int | None = None) -> DataFra
                     .otherwise(F.col("ids")))
 
 
+def _numbered(d: DataFrame, name: str) -> DataFrame:
+    """``d`` as a stage with ``_row``, a number of each row, so that scores go
+    back to their row whatever its keys are (null or repeated ones too)."""
+    return materialize(d.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def choice_scores(items: DataFrame, encoder, scorer, keys=None,
                   max_length: int | None = None) -> DataFrame:
     """K3 + K4 + K6 per candidate (with ``gold``): ``score`` (normalized by the number of
-    choice tokens; raw sum when there are none), ``score_sum``, ``is_greedy``."""
+    choice tokens; raw sum when there are none), ``score_sum``, ``is_greedy``.
+    ``scorer``: a ``BigramScorer``, ``BatchScorer`` or any object with their
+    ``sequence_scores``."""
     keys = list(keys or [*_item_keys(items), "choice_idx"])
     e = truncate_for_scoring(encode_candidates(items, encoder), max_length)
-    e = materialize(e.select(*keys, "gold", "ids", "ctx_len"), "scored-candidates")
-    meta = e.select(*keys, "gold", F.size("ids").alias("n_tokens"), "ctx_len")
-    pairs = token_pairs(e, "ids", keys)
-    lp = scorer.token_logprobs(pairs).join(meta.select(*keys, "ctx_len"), keys)
-    lp = lp.filter(F.col("pos") >= F.col("ctx_len"))
-    agg = lp.groupBy(*keys).agg(F.sum("logprob").alias("score_sum"),
-                                F.bool_and("is_top").alias("is_greedy"))
-    d = meta.join(agg, keys, "left").withColumn("score_sum", F.coalesce("score_sum", F.lit(0.0)))
+    e = _numbered(e.select(*keys, "gold", "ids", "ctx_len", F.size("ids").alias("n_tokens")), "scored-candidates")
+    d = scorer.sequence_scores(e, "ids", "ctx_len").withColumnRenamed("logprob_sum", "score_sum")
     n_choice = F.col("n_tokens") - F.col("ctx_len")
-    return d.withColumn("n_choice_tokens", n_choice.cast("bigint")).withColumn(
-        "score", F.when(n_choice > 0, F.col("score_sum") / n_choice).otherwise(F.col("score_sum"))) \
-        .withColumn("is_greedy", F.coalesce("is_greedy", F.lit(True)))
+    return d.drop("ids", "_row").withColumn("n_choice_tokens", n_choice.cast("bigint")).withColumn(
+        "score", F.when(n_choice > 0, F.col("score_sum") / n_choice).otherwise(F.col("score_sum")))
 
 
 def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int | None = None,
@@ -209,12 +210,9 @@ def rolling_scores(texts: DataFrame, encoder, scorer, keys, max_length: int | No
     if max_length is not None:
         e = e.withColumn("ids", F.when(F.size("ids") > max_length, F.slice("ids", -max_length, max_length))
                          .otherwise(F.col("ids")))
-    e = materialize(e.select(*keys, "ids"), "rolling-texts")
-    meta = e.select(*keys, F.size("ids").cast("bigint").alias("n_tokens"))
-    lp = scorer.token_logprobs(token_pairs(e, "ids", keys))
-    agg = lp.groupBy(*keys).agg(F.sum("logprob").alias("logprob_sum"))
-    return meta.join(agg, keys, "left").withColumn(
-        "logprob_sum", F.coalesce("logprob_sum", F.lit(0.0)))
+    e = _numbered(e.select(*keys, "ids", F.lit(1).alias("_start")), "rolling-texts")
+    return scorer.sequence_scores(e, "ids", "_start") \
+        .select(*keys, F.size("ids").cast("bigint").alias("n_tokens"), "logprob_sum")
 
 
 def fill_blank_scores(wino: DataFrame, encoder, scorer, max_length: int | None = None) -> DataFrame:
@@ -262,10 +260,10 @@ def example_details(scores: DataFrame, cands: DataFrame, results: DataFrame) ->
     """One nested record per item: choices, prediction, gold, scores and
     the exact model input strings (ordered by choice)."""
     keys = _item_keys(scores)
-    per = cands.join(scores.select(*keys, "choice_idx", "score"), [*keys, "choice_idx"])
+    per = join_null_safe(cands, scores.select(*keys, "choice_idx", "score"), [*keys, "choice_idx"])
     g = per.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "choice_idx", "choice", "full_text", "score"))).alias("_c"), F.first("context").alias("context"))
-    d = g.join(results, keys)
+    d = join_null_safe(g, results, keys)
     d = example_number(d, order=keys[1:])
     return d.select(
         "task", "example_id", "item_id", "context",
@@ -279,6 +277,27 @@ def example_details(scores: DataFrame, cands: DataFrame, results: DataFrame) ->
         F.transform("_c", lambda c: c["score"]).alias("model_scores"))
 
 
+def winogrande_details(items: DataFrame, scores: DataFrame, results: DataFrame) -> DataFrame:
+    """K12 for the sentences with a blank: the filled sentences are choices and
+    inputs, predictions and labels count from 1."""
+    keys = _item_keys(scores)
+    s = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("choice_idx", "score"))).alias("_s"))
+    d = join_null_safe(items.select(*keys, "context", "choices", filled_blanks(items).alias("_full")), s, keys)
+    d = example_number(join_null_safe(d, results, keys), order=keys[1:])
+    return d.select("task", "example_id", "item_id", F.col("context").alias("sentence"), F.get("choices", F.lit(0)).alias("option1"),
+                    F.get("choices", F.lit(1)).alias("option2"), F.col("_full").alias("choices"), F.col("pred").alias("model_prediction"),
+                    F.get("_full", F.col("pred") - 1).alias("model_choice"), F.col("gold").alias("correct_label"),
+                    F.get("_full", F.col("gold") - 1).alias("correct_choice"), "is_correct", F.col("_full").alias("model_input_strings"),
+                    F.transform("_s", lambda x: x["score"]).alias("model_scores"))
+
+
+def number_details(answers: DataFrame, question: str = "question") -> DataFrame:
+    """K12 for number answers (rows of :func:`extract_pred_number`)."""
+    d = example_number(answers, order=_item_keys(answers)[1:])
+    return d.select("task", "example_id", "item_id", F.col(question).alias("question"), F.col("gold_number").alias("correct_answer"),
+                    F.col("completion").alias("model_generation"), F.col("pred_number").alias("model_answer"), "is_correct")
+
+
 # ---------------------------------------------------------------- text answers
 # Answer patterns (digits as [0-9] so Java regex and RE2 agree).
 GOLD_NUMBER = r"####\s*(-?[0-9]+(?:,?[0-9]+)*)"

@@ -20,6 +20,17 @@ def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if small_enough(df, max_rows) else df
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """``left.join(right, keys, how)`` in which null keys equal each other, as
+    they do in a ``groupBy`` (still an equi-join for Spark)."""
+    keys = list(keys)
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def join_config(df: DataFrame, cfg: DataFrame, key: str = "dataset",
                 how: str = "inner") -> DataFrame:
     """Dataset -> config row (n:1)."""

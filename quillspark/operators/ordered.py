@@ -38,13 +38,13 @@ def _order_cols(order) -> list[str]:
     return [order] if isinstance(order, str) else list(order)
 
 
-def _bucket(order, bucket_width: int) -> Column:
+def bucket_of(order, bucket_width: int) -> Column:
     """Bucket of the first order column (timestamps bucket by microseconds)."""
     first = _order_cols(order)[0]
     return F.coalesce(F.expr(f"`{first}` div {int(bucket_width)}").cast("bigint"), F.lit(-(1 << 62)))
 
 
-def _key(keys: Sequence[str]) -> Column:
+def key_of(keys: Sequence[str]) -> Column:
     """All keys as one value that is never null (and so joins null keys too)."""
     return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
 
@@ -65,8 +65,8 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: dict,
     keys = list(keys)
     vals = {k: _as_col(v).cast("bigint") for k, v in values.items()}
     tmp = {k: f"_v_{i}" for i, k in enumerate(vals)}
-    own = F.col(bucket).cast("bigint") if bucket else _bucket(order, bucket_width)
-    d = df.withColumn("_bk", own).withColumn("_key", _key(keys))
+    own = F.col(bucket).cast("bigint") if bucket else bucket_of(order, bucket_width)
+    d = df.withColumn("_bk", own).withColumn("_key", key_of(keys))
     for k, v in vals.items():
         d = d.withColumn(tmp[k], v)
     sums = d.groupBy("_key", "_bk").agg(*[F.sum(tmp[k]).alias(f"_s_{tmp[k]}") for k in vals])
@@ -117,9 +117,9 @@ def running_min(df: DataFrame, keys: Sequence[str], order, value, out: str = "pr
     :func:`running_sums` (bucket minima, exclusive running min over the
     bucket table, then a window inside each bucket)."""
     keys = list(keys)
-    own = F.col(bucket).cast("bigint") if bucket else _bucket(order, bucket_width)
+    own = F.col(bucket).cast("bigint") if bucket else bucket_of(order, bucket_width)
     d = df.withColumn("_bk", own).withColumn("_mv", _as_col(value)) \
-        .withColumn("_key", _key(keys))
+        .withColumn("_key", key_of(keys))
     mins = d.groupBy("_key", "_bk").agg(F.min("_mv").alias("_bmin"))
     w = Window.partitionBy("_key").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     offs = mins.select("_key", "_bk", F.min("_bmin").over(w).alias("_omin"))
@@ -133,16 +133,17 @@ def running_min(df: DataFrame, keys: Sequence[str], order, value, out: str = "pr
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: str, value, out: str = "prev",
-             bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+             bucket_width: int = DEFAULT_BUCKET_WIDTH, bucket: str | None = None) -> DataFrame:
     """``out`` = ``value`` of the row before, per ``keys`` in ``order`` (null
     for the first row): a lag inside each bucket, and for the first row of a
     bucket the last value of the bucket before."""
-    d = df.withColumn("_bk", _bucket(order, bucket_width)).withColumn("_pv", _as_col(value)).withColumn("_key", _key(keys))
-    last = d.groupBy("_key", "_bk").agg(F.max_by("_pv", F.struct(order)).alias("_last"))
+    own = F.col(bucket).cast("bigint") if bucket else bucket_of(order, bucket_width)
+    d = df.withColumn("_bk", own).withColumn("_pv", _as_col(value)).withColumn("_key", key_of(keys))
+    last = d.groupBy("_key", "_bk").agg(F.max_by("_pv", F.struct(*_order_cols(order))).alias("_last"))
     w = Window.partitionBy("_key").orderBy("_bk")
     offs = last.select("_key", "_bk", F.lag("_last").over(w).alias("_before"))
     d = d.join(offs, ["_key", "_bk"], "inner")
-    wl = Window.partitionBy("_key", "_bk").orderBy(order)
-    d = d.withColumn("_rn", F.row_number().over(wl)).withColumn("_lag", F.lag("_pv").over(wl))
-    return d.withColumn(out, F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_lag"))) \
-        .drop("_bk", "_key", "_pv", "_before", "_rn", "_lag")
+    wl = Window.partitionBy("_key", "_bk").orderBy(*_order_cols(order))
+    d = d.withColumn("_rn", F.row_number().over(wl)).withColumn("_own", F.lag("_pv").over(wl))
+    return d.withColumn(out, F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_own"))) \
+        .drop("_bk", "_key", "_pv", "_before", "_rn", "_own")

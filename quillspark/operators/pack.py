@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.operators.joins import BROADCAST_MAX_ROWS
+from quillspark.operators.joins import BROADCAST_MAX_ROWS, join_null_safe
 from quillspark.operators.ordered import DEFAULT_BUCKET_WIDTH, running_sums
 
 DEFAULT_CHUNK = 1 << 16
@@ -117,13 +117,19 @@ def fetch_windows(windows: DataFrame, chunks: DataFrame, keys, start: str, lengt
     ch = chunks.select(*keys, "chunk_id", *cols)
     if windows_bound is not None and windows_bound * per_window <= max_rows:
         # The chunk ids a bounded plan touches (at most bound x per_window
-        # values) become a literal filter that reaches the Parquet scan:
+        # values), with their streams, become a literal filter that reaches the Parquet scan:
         # row groups of a chunk table clustered by chunk id are skipped, so
         # fetching windows does not read the whole stream.
-        need = w.select("chunk_id").distinct().collect()
-        ch = ch.filter(F.col("chunk_id").isin([r[0] for r in need]))
+        need = w.groupBy(*keys).agg(F.collect_set("chunk_id").alias("_ids")).collect()
+        some = F.lit(False)
+        for r in need:
+            own = F.col("chunk_id").isin(r["_ids"])
+            for k in keys:
+                own = own & F.col(k).eqNullSafe(F.lit(r[k]))
+            some = some | own
+        ch = ch.filter(some)
         w = F.broadcast(w)
-    j = w.join(ch, keys + ["chunk_id"])
+    j = join_null_safe(w, ch, keys + ["chunk_id"])
     g = j.groupBy(*keys, wid, "_ws").agg(F.array_sort(F.collect_list(
         F.struct("chunk_id", *cols))).alias("_cs"))
     first = F.col("_cs")[0]["chunk_id"]

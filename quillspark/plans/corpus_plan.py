@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillspark.operators import corpus as C
 from quillspark.operators.encode import DEFAULT_VOCAB_SIZE, Encoder
 from quillspark.operators.ordered import DEFAULT_BUCKET_WIDTH
+from quillspark.operators.pack import stream_offsets
+from quillspark.operators.streams import DEFAULT_CHUNK, cut_streams
 
 
 def corpus_encoder(documents: DataFrame, vocab_size: int = DEFAULT_VOCAB_SIZE) -> Encoder:
@@ -43,21 +45,32 @@ def token_lengths(documents: DataFrame, encoder: Encoder | None = None, max_toke
     return e.select("dataset", "pos", F.size("ids").cast("bigint").alias("n_tokens"), "n_chars")
 
 
+def encoded_stage(documents: DataFrame, max_tokens: int | None = None, encoder: Encoder | None = None,
+                  bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """``dataset, pos, ids (EOS appended), n_tokens, n_chars``: the text is
+    encoded in one narrow pass that is written as a stage (like the
+    reference's token files)."""
+    from quillspark.session import materialize as mat
+    e = _encoded(documents, max_tokens, encoder or corpus_encoder(documents), bucket_width)
+    return mat(e.select("dataset", "pos", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "n_chars"), "encoded-ids")
+
+
 def encoded_corpus(documents: DataFrame, max_tokens: int | None = None, val_every: int = 100,
                    encoder: Encoder | None = None,
-                   bucket_width: int = DEFAULT_BUCKET_WIDTH,
-                   materialize: bool = False) -> DataFrame:
-    """``dataset, pos, doc_index, is_val, ids (EOS appended), n_tokens, n_chars``.
+                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """:func:`encoded_stage` with ``doc_index`` and ``is_val`` of each document
+    (the ids are shuffled for it; streams need it not, see :func:`corpus_streams`)."""
+    stage = encoded_stage(documents, max_tokens, encoder, bucket_width)
+    return C.val_every_n(stage, val_every, bucket_width=bucket_width).select(
+        "dataset", "pos", "doc_index", "is_val", "ids", "n_tokens", "n_chars")
 
-    The text is encoded in one narrow pass that is written as a stage (like
-    the reference's token files); the split works on the stage and only ids
-    are shuffled. With ``materialize`` the split result is a stage too."""
-    from quillspark.session import materialize as mat
-    stage = mat(_encoded(documents, max_tokens, encoder or corpus_encoder(documents), bucket_width), "encoded-ids")
-    split = C.val_every_n(stage, val_every, bucket_width=bucket_width)
-    out = split.select("dataset", "pos", "doc_index", "is_val", "ids",
-                       F.size("ids").cast("bigint").alias("n_tokens"), "n_chars")
-    return mat(out, "encoded-corpus") if materialize else out
+
+def document_offsets(stage: DataFrame, val_every: int = 100, bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """E3 + E5: ``dataset, split, pos, start`` of every document in its packed
+    stream, from the lengths alone."""
+    d = C.val_every_n(stage.select("dataset", "pos", "n_tokens"), val_every, bucket_width=bucket_width)
+    d = d.withColumn("split", F.when(F.col("is_val"), F.lit("val")).otherwise(F.lit("train")))
+    return stream_offsets(d, ["dataset", "split"], "pos", "n_tokens", bucket_width=bucket_width).select("dataset", "split", "pos", "start")
 
 
 def corpus_token_stats(documents: DataFrame, max_tokens: int | None = None,
@@ -70,16 +83,9 @@ def corpus_token_stats(documents: DataFrame, max_tokens: int | None = None,
     return C.token_stats(C.val_every_n(lengths, val_every, bucket_width=bucket_width))
 
 
-def corpus_streams(encoded: DataFrame, chunk_size: int = 1 << 16,
-                   bucket_width: int = DEFAULT_BUCKET_WIDTH, materialize: bool = False) -> DataFrame:
+def corpus_streams(stage: DataFrame, chunk_size: int = DEFAULT_CHUNK, val_every: int = 100,
+                   bucket_width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """A10/H9 for the corpus: per ``(dataset, split)`` the packed token stream
-    (documents in ``pos`` order, EOS after each) as a chunk table."""
-    from quillspark.operators.pack import chunk_table, stream_offsets
-    e = encoded.withColumn("split", F.when(F.col("is_val"), F.lit("val")).otherwise(F.lit("train")))
-    offs = stream_offsets(e, ["dataset", "split"], "pos", F.size("ids"),
-                          bucket_width=bucket_width)
-    ch = chunk_table(offs, ["dataset", "split"], "start", ("ids",), chunk_size)
-    if materialize:
-        from quillspark.session import materialize as mat
-        ch = mat(ch, "corpus-streams", cluster_by=["dataset", "split", "chunk_id"])
-    return ch
+    (documents in ``pos`` order, EOS after each) as a chunk table, with one
+    exchange of ids. ``stage``: see :func:`encoded_stage`."""
+    return cut_streams(stage, ["dataset"], "pos", ("ids",), chunk_size, n_tokens="n_tokens", bucket_width=bucket_width, val_every=val_every)

@@ -23,7 +23,7 @@ def gsm8k_rows(items: DataFrame) -> DataFrame:
     right for even items."""
     n = F.col("item_id") * 1234
     return items.select(
-        F.lit("gsm8k").alias("task"), "item_id",
+        F.lit("gsm8k").alias("task"), "item_id", F.col("context").alias("question"),
         F.concat(F.col("context"), F.lit(" #### "), F.format_number(n, 0)).alias("answer"),
         F.concat(F.lit("The answer is "), F.format_number(
             F.when(F.col("item_id") % 2 == 0, n).otherwise(n + 1), 0), F.lit(".")).alias("completion"))

@@ -111,7 +111,7 @@ SELECT dataset, lang, pos, est, cum_tokens FROM (
          CAST(floor(20000 / n.n_langs) AS BIGINT) AS quota
   FROM (""" + _NONEMPTY + """) c
   JOIN (SELECT source AS dataset, count(DISTINCT lang) AS n_langs FROM documents
-        WHERE length(text) > 0 GROUP BY source) n ON c.dataset = n.dataset)
+        WHERE length(text) > 0 GROUP BY source) n ON c.dataset IS NOT DISTINCT FROM n.dataset)
 WHERE cum_tokens <= quota""")
 def q_token_budget_lang(spark, sf):
     return C.token_budget_lang(_corpus(spark, sf).drop("text"), 20_000, bucket_width=BUCKET).select(
@@ -406,7 +406,13 @@ def _split(spark, sf):
 
 def _sft_chunks(spark, sf):
     return STAGES.get(spark, (sf, SFT_VAL_FRACTION, SFT_CHUNK, "sft-chunks"),
-                      lambda: SP.sft_stream(_split(spark, sf), SFT_CHUNK), cluster_by=["split", "chunk_id"])
+                      lambda: SP.sft_stream(_split(spark, sf), SFT_CHUNK))
+
+
+def _mask_ranks(spark, sf):
+    from quillspark.operators.sample import mask_directory
+    return STAGES.get(spark, (sf, SFT_VAL_FRACTION, SFT_CHUNK, "mask-ranks"), lambda: mask_directory(_sft_chunks(spark, sf), ["split"]),
+                      cluster_by=["split", "chunk_id"])
 
 
 def _sft_examples(spark, sf):
@@ -478,6 +484,7 @@ def q_pack_stream(spark, sf):
 from quillspark.operators import pack as K  # noqa: E402
 from quillspark.operators import sample as S  # noqa: E402
 from quillspark.operators import stats as T  # noqa: E402
+from quillspark.operators.joins import join_null_safe  # noqa: E402
 
 STREAM_CHUNK = 4096
 STREAM_VAL_EVERY = 10
@@ -488,14 +495,12 @@ _PLAN_ROWS = PLAN["world"] * PLAN["steps"] * PLAN["micro"] * PLAN["batch"]
 
 
 def _encoded(spark, sf):
-    return STAGES.get(spark, (sf, STREAM_VAL_EVERY, "encoded-corpus"), lambda: CP.encoded_corpus(
-        _docs(spark, sf), None, STREAM_VAL_EVERY, _encoder(spark, sf), BUCKET))
+    return STAGES.get(spark, (sf, "encoded-corpus"), lambda: CP.encoded_stage(_docs(spark, sf), None, _encoder(spark, sf), BUCKET))
 
 
 def _streams(spark, sf):
     return STAGES.get(spark, (sf, STREAM_VAL_EVERY, STREAM_CHUNK, "corpus-streams"),
-                      lambda: CP.corpus_streams(_encoded(spark, sf), STREAM_CHUNK, BUCKET),
-                      cluster_by=["dataset", "split", "chunk_id"])
+                      lambda: CP.corpus_streams(_encoded(spark, sf), STREAM_CHUNK, STREAM_VAL_EVERY, BUCKET))
 
 
 def _train_lengths(spark, sf):
@@ -531,10 +536,7 @@ wx AS (SELECT w.*, st.s[w.start + 1 : w.start + {BLOCK}] AS x, st.s[w.start + 2
 SELECT dataset, split, pos, CAST(sum(len(ids)) OVER (PARTITION BY dataset, split ORDER BY pos
        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - len(ids) AS BIGINT) AS start FROM enc""")
 def q_stream_offsets(spark, sf):
-    e = _encoded(spark, sf).withColumn(
-        "split", F.when(F.col("is_val"), F.lit("val")).otherwise(F.lit("train")))
-    return K.stream_offsets(e, ["dataset", "split"], "pos", F.size("ids")).select(
-        "dataset", "split", "pos", "start")
+    return CP.document_offsets(_encoded(spark, sf), STREAM_VAL_EVERY, BUCKET)
 
 
 @register("sink_token_stream", f"""{_CSTREAM},
@@ -557,9 +559,12 @@ def q_sink_token_stream(spark, sf):
 SELECT dataset, split, CAST(len(s) AS BIGINT) AS total_tokens,
        CAST((len(s) + {STREAM_CHUNK} - 1) // {STREAM_CHUNK} AS BIGINT) AS n_chunks FROM streams""")
 def q_scan_token_stream(spark, sf):
-    from quillspark.sources.sinks import sink_token_stream
-    p = sink_token_stream(_streams(spark, sf), scratch_path(spark, "token-stream"))
-    return K.stream_lengths(spark.read.parquet(p), ["dataset", "split"])
+    """Written as flat files of two-byte ids and read back by byte ranges."""
+    from quillspark.sources import token_files as TF
+    p = TF.write_token_files(_streams(spark, sf), scratch_path(spark, "token-files"), chunk_size=STREAM_CHUNK)
+    d = TF.read_token_files(spark, p, STREAM_CHUNK).select(TF.stream_key("dataset").alias("dataset"), TF.stream_key("split").alias("split"), "chunk_id", "tokens")
+    return d.groupBy("dataset", "split").agg(F.sum(F.size("tokens")).cast("bigint").alias("total_tokens"),
+                                             F.countDistinct("chunk_id").cast("bigint").alias("n_chunks"))
 
 
 @register("valid_starts", f"""{_CSTREAM}
@@ -602,7 +607,8 @@ def _windows(spark, sf):
 
 @register("join_offset_file", f"{_CSTREAM}\nSELECT wid, dataset, split, start FROM wins")
 def q_join_offset_file(spark, sf):
-    return _windows(spark, sf).select("wid", "dataset", "split", "start")
+    _, lengths = _train_lengths(spark, sf)
+    return S.locate_windows(S.step_plan(spark, **PLAN), lengths, ["dataset", "split"], BLOCK).select("wid", "dataset", "split", "start")
 
 
 @register("sample_windows", f"""{_CSTREAM}
@@ -627,15 +633,18 @@ def q_shift_by_one(spark, sf):
     return w.select("wid", (F.slice("x", 2, BLOCK - 1) == F.slice("y", 1, BLOCK - 1)).alias("shift_ok"))
 
 
+def _segment_places(spark, sf):
+    lengths = K.stream_lengths(_streams(spark, sf), ["dataset", "split"])
+    return S.sample_segments(lengths, ["dataset", "split"], N_SEGMENTS, SEG_LEN)
+
+
 def _segments(spark, sf):
-    ch = _streams(spark, sf)
-    lengths = K.stream_lengths(ch, ["dataset", "split"])
-    seg = S.sample_segments(lengths, ["dataset", "split"], N_SEGMENTS, SEG_LEN)
+    ch, seg = _streams(spark, sf), _segment_places(spark, sf)
     seg = seg.withColumn("wid", F.concat_ws(":", "dataset", "split", "sample"))
     n_seg = seg.count()  # samples x streams: one small aggregate pass
     got = K.fetch_windows(seg, ch, ["dataset", "split"], "start", SEG_LEN, STREAM_CHUNK,
                           windows_bound=n_seg)
-    return seg.join(got.drop("start"), ["dataset", "split", "wid"])
+    return join_null_safe(seg, got.drop("start"), ["dataset", "split", "wid"])
 
 
 _SEG = f"""{_CSTREAM},
@@ -655,7 +664,7 @@ def q_sample_segments(spark, sf):
 @register("samples_per_dataset", f"""{_SEG}
 SELECT dataset, split, CAST(count(*) AS BIGINT) AS samples FROM segt GROUP BY dataset, split""")
 def q_samples_per_dataset(spark, sf):
-    return T.samples_per_dataset(_segments(spark, sf))
+    return T.samples_per_dataset(_segment_places(spark, sf))
 
 
 _INV = """imap AS (SELECT map_from_entries(list(struct_pack(k := id, v := piece))) AS im FROM vocab)"""
@@ -969,21 +978,28 @@ _RUNS = """runs AS (SELECT event_type AS run, event_id, value AS loss,
        ts FROM events)"""
 
 
-@register("stream_run_metrics", f"""WITH {_RUNS}
+TOKENS_PER_STEP = 8 * 16 * 2048 * 4
+_BEST = f"""WITH {_RUNS}
 SELECT run, event_id, step, loss,
        min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best,
-       coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved
+       coalesce(loss < min(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved"""
+
+
+@register("stream_run_metrics", f"""{_BEST},
+       round({TOKENS_PER_STEP} / ((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY run ORDER BY step))) / 1e6), 6) AS tokens_per_sec,
+       CAST(step * {TOKENS_PER_STEP} AS BIGINT) AS tokens_seen
 FROM runs""")
 def q_stream_run_metrics(spark, sf):
     ev = table(spark, sf, "events")
     root = scratch_path(spark, "stream-events")
     SS.write_ordered_files(ev, root, "event_id", STREAM_FILES)
-    return SS.run_steps(spark, SS.run_events(SS.read_ordered_files(spark, root, ev.schema)), SS.run_step(), SS.RUN_OUT, SS.RUN_STATE,
-                        scratch_path(spark, "stream-runs"))
+    d = SS.run_steps(spark, SS.run_events(SS.read_ordered_files(spark, root, ev.schema)), SS.run_step(TOKENS_PER_STEP), SS.RUN_OUT, SS.RUN_STATE,
+                     scratch_path(spark, "stream-runs"))
+    return d.withColumn("tokens_per_sec", F.round("tokens_per_sec", 6))
 
 
 # ================================================================ run metrics
-@register("best_so_far", SQL["stream_run_metrics"])
+@register("best_so_far", f"{_BEST} FROM runs")
 def q_best_so_far(spark, sf):
     m = T.run_metrics(table(spark, sf, "events"))
     return T.best_so_far(m).select("run", "event_id", "step", "loss", "prev_best", "improved")
@@ -1004,7 +1020,6 @@ def q_interval_means(spark, sf):
     return d.select("run", "interval", _r6("mean_loss"), "rows")
 
 
-TOKENS_PER_STEP = 8 * 16 * 2048 * 4
 
 
 @register("throughput", f"""WITH {_RUNS}
@@ -1060,9 +1075,12 @@ def q_scan_table(spark, sf):
 
 @register("scan_compressed_glob", _DOC_KEYS_SQL)
 def q_scan_compressed_glob(spark, sf):
-    root = scratch_path(spark, "gz")
-    Z.sink_jsonl(_as_jsonl_rows(spark, sf), root + "/train", compression="gzip")
-    return _doc_keys(A.scan_compressed_glob(spark, root + "/train/*.json.gz"))
+    # one half in each codec
+    root, rows = scratch_path(spark, "compressed"), _as_jsonl_rows(spark, sf)
+    even = F.coalesce(F.col("pos") % 2 == 0, F.lit(True))
+    Z.sink_jsonl(rows.filter(even), root + "/gz", compression="gzip")
+    Z.sink_jsonl(rows.filter(~even), root + "/zst", compression="zst")
+    return _doc_keys(A.scan_compressed_glob(spark, root + "/gz/*.json.gz").unionByName(A.scan_compressed_glob(spark, root + "/zst/*.jsonl.zst")))
 
 
 @register("scan_with_stem", _DOC_KEYS_SQL)
@@ -1259,13 +1277,13 @@ def q_sink_samples(spark, sf):
 
 
 @register("sink_eval", f"""{EVAL_CTE}
-SELECT task, correct, total, round(accuracy, 6) AS accuracy, CASE WHEN task <> 'winogrande' THEN total ELSE 0 END AS examples
-FROM acc WHERE task IN ({", ".join(f"'{t}'" for t in V.TASK_SUITES["default"])})""")
+SELECT task, correct, total, round(accuracy, 6) AS accuracy, total AS examples
+FROM acc WHERE task IN ({", ".join(f"'{t}'" for t in [*V.TASK_SUITES["default"], "gsm8k"])})""")
 def q_sink_eval(spark, sf):
-    a = EP.suite_accuracy(table(spark, sf, "benchmark"), "default", _encoder(spark, sf),
-                          _scorer(spark, sf))
-    p = Z.sink_eval(a, scratch_path(spark, "eval"), _details(spark, sf))
-    done = spark.read.schema("task string, item_id bigint").json(p + "/examples").groupBy("task").agg(F.count(F.lit(1)).alias("examples"))
+    tasks = [*V.TASK_SUITES["default"], "gsm8k"]
+    a = EP.suite_accuracy(table(spark, sf, "benchmark"), ",".join(tasks), _encoder(spark, sf), _scorer(spark, sf))
+    p = Z.sink_eval(a, scratch_path(spark, "eval"), _details(spark, sf, [t for t in tasks if t in V.MC_TASKS]))
+    done = spark.read.schema("task string, item_id bigint").json(p + "/examples/*").groupBy("task").agg(F.count(F.lit(1)).alias("examples"))
     d = spark.read.schema("task string, correct long, total long, accuracy double, timestamp string").json(p + "/summary")
     return d.join(done, "task", "left").select("task", "correct", "total", _r6("accuracy"),
                                                F.coalesce("examples", F.lit(0)).cast("bigint").alias("examples"))
@@ -1282,27 +1300,62 @@ def q_sink_metrics(spark, sf):
     return spark.read.parquet(p).select("run", "event_id", "step", "loss")
 
 
-def _details(spark, sf):
-    items = _mc_items(spark, sf)
-    s = V.choice_scores(items, _encoder(spark, sf), _scorer(spark, sf))
-    return V.example_details(s, V.build_candidates(items), V.predict_and_score(s))
+def _details(spark, sf, tasks=V.MC_TASKS):
+    """The records of each shape."""
+    enc, scorer, base = _encoder(spark, sf), _scorer(spark, sf), _items(spark, sf)
+    items = V.suite_items(base, tasks)
+    s = V.choice_scores(items, enc, scorer)
+    blanks = V.suite_items(base, ["winogrande"])
+    w = V.fill_blank_scores(V.build_candidates(blanks, V.filled_blanks), enc, scorer)
+    return {"choices": V.example_details(s, V.build_candidates(items), V.predict_and_score(s)),
+            "blanks": V.winogrande_details(blanks, w, V.predict_and_score(w, one_based=True)),
+            "numbers": V.number_details(V.extract_pred_number(V.extract_gold_number(EP.gsm8k_rows(base))))}
+
+
+_SCALED = "array_to_string(list_transform(scores, lambda x: CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR)), ',')"
 
 
 @register("example_details", f"""{EVAL_CTE},
 g AS (SELECT task, item_id, list(choice ORDER BY choice_idx) AS choices, list(full_text ORDER BY choice_idx) AS inputs,
-             list(round(score, 6) ORDER BY choice_idx) AS scores
-      FROM cfull JOIN sc USING (task, item_id, choice_idx, gold) GROUP BY task, item_id),
-n AS (SELECT task, item_id, CAST(row_number() OVER (PARTITION BY task ORDER BY item_id) AS BIGINT) AS example_id FROM g)
-SELECT task, example_id, item_id, pred AS model_prediction, choices[pred + 1] AS model_choice, gold AS correct_label,
-       choices[gold + 1] AS correct_choice, pred = gold AS is_correct, md5(array_to_string(choices, chr(10))) AS choices_md5,
-       md5(array_to_string(inputs, chr(10))) AS inputs_md5, CAST(len(scores) AS BIGINT) AS n_scores
-FROM g JOIN n USING (task, item_id) JOIN preds USING (task, item_id)""")
+             list(score ORDER BY choice_idx) AS scores
+      FROM cfull JOIN sc USING (task, item_id, choice_idx, gold) GROUP BY task, item_id
+      UNION ALL SELECT 'winogrande', item_id, list(full_text ORDER BY choice_idx), list(full_text ORDER BY choice_idx), list(score ORDER BY choice_idx)
+      FROM wcands JOIN wsc USING (item_id, choice_idx, gold) GROUP BY item_id),
+n AS (SELECT task, item_id, CAST(row_number() OVER (PARTITION BY task ORDER BY item_id) AS BIGINT) AS example_id FROM g),
+b AS (SELECT *, CASE WHEN task = 'winogrande' THEN 0 ELSE 1 END AS base FROM g JOIN n USING (task, item_id) JOIN preds USING (task, item_id))
+SELECT task, example_id, item_id, CAST(pred AS VARCHAR) AS model_prediction, choices[pred + base] AS model_choice, CAST(gold AS VARCHAR) AS correct_label,
+       choices[gold + base] AS correct_choice, pred = gold AS is_correct, md5(array_to_string(choices, chr(10))) AS choices_md5,
+       md5(array_to_string(inputs, chr(10))) AS inputs_md5, {_SCALED} AS scores FROM b
+UNION ALL
+SELECT 'gsm8k', row_number() OVER (ORDER BY item_id), item_id, pred_number, completion, gold_number, NULL, pred_number = gold_number AND pred_number <> '',
+       NULL, md5(i.context), NULL FROM gsm2 JOIN items i USING (item_id)""")
 def q_example_details(spark, sf):
-    d = _details(spark, sf)
+    """Records of all tasks, score values too; number answers have no choices."""
+    own = _details(spark, sf)
     joined = lambda c: F.md5(F.array_join(c, "\n"))
-    return d.select("task", "example_id", "item_id", "model_prediction", "model_choice", "correct_label", "correct_choice", "is_correct",
-                    joined("choices").alias("choices_md5"), joined("model_input_strings").alias("inputs_md5"),
-                    F.size("model_scores").cast("bigint").alias("n_scores"))
+    scaled = F.array_join(F.transform("model_scores", lambda x: F.round(x * 1000000).cast("bigint").cast("string")), ",")
+    shapes = [own[k].select("task", "example_id", "item_id", F.col("model_prediction").cast("string").alias("model_prediction"), "model_choice",
+                            F.col("correct_label").cast("string").alias("correct_label"), "correct_choice", "is_correct", joined("choices").alias("choices_md5"),
+                            joined("model_input_strings").alias("inputs_md5"), scaled.alias("scores")) for k in ("choices", "blanks")]
+    none = F.lit(None).cast("string")
+    numbers = own["numbers"].select("task", "example_id", "item_id", F.col("model_answer").alias("model_prediction"), F.col("model_generation").alias("model_choice"),
+                                    F.col("correct_answer").alias("correct_label"), none.alias("correct_choice"), "is_correct", none.alias("choices_md5"),
+                                    F.md5("question").alias("inputs_md5"), none.alias("scores"))
+    return shapes[0].unionByName(shapes[1]).unionByName(numbers)
+
+
+@register("sink_sample_rows", """
+SELECT step, prompt, substr(text, length(prompt) + 1) AS completion FROM (
+  SELECT (item_id // 5) * 100 AS step, array_to_string(w[1:len(w) // 2], ' ') AS prompt, text
+  FROM (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark))""")
+def q_sink_sample_rows(spark, sf):
+    """A17's table of (step, prompt, completion), appended in two parts."""
+    rows = table(spark, sf, "benchmark").select("text", F.expr("item_id div 5 * 100").alias("step"), F.expr(
+        "array_join(slice(split(text, ' '), 1, int(size(split(text, ' ')) div 2)), ' ')").alias("prompt"))
+    rows, p = Z.sample_rows(rows, "step"), scratch_path(spark, "samples")
+    for part in (rows.filter("step % 200 = 0"), rows.filter("step % 200 <> 0")):
+        Z.sink_metrics(part, p)
+    return spark.read.parquet(p).select("step", "prompt", "completion")
 
 
 # ================================================================ remaining scalar / array ops
@@ -1470,6 +1523,6 @@ FROM pick, st""")
 def q_sample_windows_masked(spark, sf):
     ch = _sft_chunks(spark, sf)
     w = S.sample_windows_masked(S.step_plan(spark, **PLAN), ch, {"split": "train"}, BLOCK,
-                                chunk_size=SFT_CHUNK, plan_rows=_PLAN_ROWS)
+                                chunk_size=SFT_CHUNK, plan_rows=_PLAN_ROWS, directory=_mask_ranks(spark, sf))
     return w.select("wid", "start", "fully_masked", F.col("trainable").cast("bigint").alias("trainable"),
                     ids_fingerprint("x").alias("x_md5"), ids_fingerprint("y").alias("y_md5"))

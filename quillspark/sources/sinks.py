@@ -19,7 +19,11 @@ from quillspark.session import path_exists
 
 def sink_jsonl(df: DataFrame, path: str, mode: str = "errorifexists",
                compression: str | None = None) -> str:
-    """JSON lines (UTF-8)."""
+    """JSON lines (UTF-8). ``compression``: a codec of Spark's writer, or
+    ``zst``, which needs no native one (it replaces what is there)."""
+    if compression == "zst":
+        from quillspark.sources.zst_lines import write_zst_lines
+        return write_zst_lines(df.select(F.to_json(F.struct(*df.columns))), path)
     w = df.write.mode(mode)
     if compression:
         w = w.option("compression", compression)
@@ -63,15 +67,27 @@ def sink_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def sink_eval(summary: DataFrame, path: str, details: DataFrame | None = None) -> str:
-    """Summary JSON (+ optional per-example details), timestamped."""
+def sink_eval(summary: DataFrame, path: str, details: DataFrame | dict[str, DataFrame] | None = None) -> str:
+    """Summary JSON (+ optional per-example details), timestamped.
+    ``details``: records of one shape, or a table for each shape by name."""
     summary.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")) \
         .coalesce(1).write.mode("overwrite").json(os.path.join(path, "summary"))
-    if details is not None:
+    if isinstance(details, DataFrame):
         details.write.mode("overwrite").json(os.path.join(path, "examples"))
+    for name, own in (details if isinstance(details, dict) else {}).items():
+        own.write.mode("overwrite").json(os.path.join(path, "examples", name))
     return path
 
 
+def sample_rows(generated: DataFrame, step: int | str, prompt: str = "prompt", text: str = "text") -> DataFrame:
+    """``step, prompt, completion`` of texts generated from prompts; the
+    text goes on from its prompt, which it may repeat. ``step``: a number or a
+    column's name."""
+    from quillspark.operators.evalops import strip_prompt
+    return generated.select((F.col(step) if isinstance(step, str) else F.lit(step)).cast("bigint").alias("step"), F.col(prompt).alias("prompt"),
+                            strip_prompt(F.col(text), F.col(prompt)).alias("completion"))
+
+
 def sink_metrics(metrics: DataFrame, path: str) -> str:
     """Append metric / sample rows to a Parquet table."""
     metrics.write.mode("append").parquet(path)

@@ -19,13 +19,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.ordered import range_buckets, running_min, running_sums
-from quillspark.session import path_exists
+from quillspark.operators.ordered import previous, range_buckets, running_min, running_sums
+from quillspark.session import materialize, path_exists
 
 BUDGET_OUT = "dataset string, pos long, est long, cum_tokens long, doc_index long, is_val boolean"
 BUDGET_STATE = "dataset string, tokens long, docs long, closed boolean, last long"
-RUN_OUT = "run string, event_id long, step long, loss double, prev_best double, improved boolean"
-RUN_STATE = "run string, steps long, best double, last long"
+RUN_OUT = "run string, event_id long, step long, loss double, prev_best double, improved boolean, tokens_per_sec double, tokens_seen long"
+RUN_STATE = "run string, steps long, best double, last long, last_id long"
 
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -59,6 +59,7 @@ def budget_step(max_tokens: int | None, val_every: int = 100) -> Step:
         d = d.withColumn("_back", F.coalesce(F.col("pos") <= F.col("last"), F.lit(False))) \
             .withColumn("_in", ~F.coalesce("closed", F.lit(False)) & fits).withColumn("cum_tokens", cum) \
             .withColumn("doc_index", F.coalesce("docs", F.lit(0)) + F.col("_n") - 1)
+        d = materialize(d, "stream-batch")  # read for the output and for the state
         # admission is a prefix, so the running values of admitted rows are those of all rows
         out = d.filter("_in").select("dataset", "pos", "est", "cum_tokens", "doc_index",
                                      (F.col("doc_index") % val_every == 0).alias("is_val"))
@@ -76,23 +77,33 @@ def budget_step(max_tokens: int | None, val_every: int = 100) -> Step:
     return step
 
 
-def run_step() -> Step:
-    """S4 for one batch of ``run, event_id, ts, loss``: step number and
-    best-so-far flags (E8), in ``(ts, event_id)`` order."""
+def run_step(tokens_per_step: int = 1) -> Step:
+    """S4 for one batch of ``run, event_id, ts, loss``: step number, best-so-far
+    flags (E8) and throughput (D17: a step's tokens over the seconds since the
+    run's step before, which an earlier batch may have brought; null for the
+    first step and where no time has passed), in ``(ts, event_id)`` order."""
     def step(batch: DataFrame, state: DataFrame):
         d = batch.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
         d = range_buckets(d, ["run", "_us", "event_id"])
         d = running_sums(d, ["run"], ["_us", "event_id"], {"_n": F.lit(1)}, bucket="_part")
         d = running_min(d, ["run"], ["_us", "event_id"], F.col("loss"), "_min", bucket="_part")
+        d = previous(d, ["run"], ["_us", "event_id"], F.col("_us"), "_lag", bucket="_part")
         d = _with_state(d, state, "run").withColumn("prev_best", F.least("best", "_min"))
-        out = d.select("run", "event_id", (F.coalesce("steps", F.lit(0)) + F.col("_n")).alias("step"), "loss", "prev_best",
-                       (F.col("prev_best").isNull() | (F.col("loss") < F.col("prev_best"))).alias("improved"))
-        seen = d.groupBy("run").agg(F.count(F.lit(1)).alias("steps"), F.min("loss").alias("best"), F.max("_us").alias("last"),
-                                    F.max(F.coalesce(F.col("_us") < F.col("last"), F.lit(False))).alias("back"))
+        secs = (F.col("_us") - F.coalesce("_lag", "last")) / 1e6
+        d = d.withColumn("step", F.coalesce("steps", F.lit(0)) + F.col("_n")) \
+            .withColumn("tokens_per_sec", F.try_divide(F.lit(float(tokens_per_step)), secs)) \
+            .withColumn("_back", F.coalesce((F.col("_us") < F.col("last")) | ((F.col("_us") == F.col("last")) & (F.col("event_id") <= F.col("last_id"))), F.lit(False)))
+        d = materialize(d, "stream-batch")  # read for the output and for the state
+        out = d.select("run", "event_id", "step", "loss", "prev_best", (F.col("prev_best").isNull() | (F.col("loss") < F.col("prev_best"))).alias("improved"),
+                       "tokens_per_sec", (F.col("step") * tokens_per_step).alias("tokens_seen"))
+        seen = d.groupBy("run").agg(F.count(F.lit(1)).alias("steps"), F.min("loss").alias("best"), F.max(F.struct("_us", "event_id")).alias("last"),
+                                    F.max("_back").alias("back"))
+        newest = F.greatest(F.struct(F.col("_t.last").alias("us"), F.col("_t.last_id").alias("id")),
+                            F.struct(F.col("_s.last._us").alias("us"), F.col("_s.last.event_id").alias("id")))
         zero = lambda c: F.coalesce(c, F.lit(0))
         new = _carry(seen, state, "run", {
             "steps": zero(F.col("_t.steps")) + zero(F.col("_s.steps")), "best": F.least("_t.best", "_s.best"),
-            "last": F.greatest("_t.last", "_s.last"), "back": F.coalesce("_s.back", F.lit(False))})
+            "last": newest["us"], "last_id": newest["id"], "back": F.coalesce("_s.back", F.lit(False))})
         return out, new
     return step
 

@@ -35,7 +35,7 @@ def test_train_plus_val_is_all(spark):
 def test_chunks_rebuild_stream(spark):
     docs = table(spark, SF_SMALL, "documents")
     e = CP.encoded_corpus(docs, None, 10, R._encoder(spark, SF_SMALL))
-    ch = CP.corpus_streams(e, chunk_size=97)
+    ch = CP.corpus_streams(CP.encoded_stage(docs, None, R._encoder(spark, SF_SMALL)), chunk_size=97, val_every=10, bucket_width=50)
     total = e.agg(F.sum("n_tokens")).first()[0]
     assert ch.agg(F.sum(F.size("tokens"))).first()[0] == total
     # every chunk but the last of a stream is full
@@ -79,8 +79,12 @@ def test_stream_equals_batch(spark):
 
 def test_run_stream_equals_batch(spark):
     s = R.q_stream_run_metrics(spark, SF_SMALL)
+    best = s.drop("tokens_per_sec", "tokens_seen")
     b = R.q_best_so_far(spark, SF_SMALL)
-    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
+    assert best.exceptAll(b).count() == 0 and b.exceptAll(best).count() == 0
+    rate = s.select("run", "step", "tokens_per_sec", "tokens_seen")
+    t = R.q_throughput(spark, SF_SMALL)
+    assert rate.exceptAll(t).count() == 0 and t.exceptAll(rate).count() == 0
 
 
 def test_budget_is_tight(spark):

@@ -107,3 +107,22 @@ def test_streams_go_on_and_refuse_to_go_back(spark):
     df.filter("pos = 2").coalesce(1).write.mode("append").parquet(src)
     with pytest.raises(Exception, match="went back"):
         run()
+
+
+def test_throughput_goes_on_between_batches(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    rows = [("a", i, at(t), float(-i)) for i, t in enumerate((0, 2, 2, 6, 7, 17))] + [(None, 10 + i, at(t), 1.0) for i, t in enumerate((1, 3))]
+    df = spark.createDataFrame(rows, "run string, event_id bigint, ts string, loss double").withColumn("ts", F.to_timestamp("ts"))
+    root, path = scratch_path(spark, "t-runs"), scratch_path(spark, "t-runs-out")
+    run = lambda: SS.run_steps(spark, SS.read_ordered_files(spark, root, df.schema), SS.run_step(100), SS.RUN_OUT, SS.RUN_STATE, path)
+    df.filter("event_id in (0, 1, 10)").coalesce(1).write.parquet(root + "/parts")
+    run()
+    df.filter("event_id not in (0, 1, 10)").coalesce(1).write.mode("append").parquet(root + "/parts")
+    got = {r.event_id: (r.step, r.tokens_per_sec, r.tokens_seen) for r in run().collect()}
+    assert got == {0: (1, None, 100), 1: (2, 50.0, 200), 2: (3, None, 300), 3: (4, 25.0, 400), 4: (5, 100.0, 500), 5: (6, 10.0, 600),
+                   10: (1, None, 100), 11: (2, 50.0, 200)}
+    # the same time again, but an earlier event
+    late = spark.createDataFrame([("a", 4, at(17), 0.0)], "run string, event_id bigint, ts string, loss double").withColumn("ts", F.to_timestamp("ts"))
+    late.coalesce(1).write.mode("append").parquet(root + "/parts")
+    with pytest.raises(Exception, match="went back"):
+        run()
