@@ -13,8 +13,9 @@ before it), ``doc_ids``, ``doc_tokens`` and the levels' ``chunks``, ``more``
 and ``ranks``.
 
 Defined results: null or empty text is the end id alone; rows are ordered by
-``doc_id`` (null first), then text; repeated rows are written each; an empty
-table gives no segment; other columns are ignored.
+``doc_id`` (null first), those of one id by their text's hash, then text, so
+that rows of one or of no id are spread over the files; repeated rows are
+written each; an empty table gives no segment; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -127,7 +128,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str |
     (by default a new one under the shared checkpoint folder)."""
     path = path or scratch_path(docs.sparkSession, "token_files")
     n = partitions or shuffle_partitions(docs)
-    rows = documents(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text")]
+    rows = documents(docs).repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     map_arrow(rows, _segments(tokenizer, end_id, segment_tokens), SEGMENTS).write.mode("overwrite").parquet(path)
     return path
 
@@ -150,30 +152,39 @@ def _read_documents(batches):
             stop = np.cumsum(count)
             begin = stop - count
             crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+            middle = [dac_access(row["chunks"], row["more"], row["ranks"], i) for i in (begin + count // 2).tolist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(begin + row["start"]), pa.array(count), pa.array(crc, pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                [pa.array(row["doc_ids"], pa.int64()), pa.array(begin + row["start"]), pa.array(count), pa.array(crc, pa.int64()),
+                 pa.array(middle, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32", "middle_id"])
 
 
 def read_documents(spark, path: str) -> DataFrame:
-    """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32``."""
-    segments = read_segments(spark, path).select("start", "doc_ids", "doc_tokens", "chunks", "more")
-    return map_arrow(segments, _read_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """Per document, from the files: ``doc_id, start, n_tokens, ids_crc32``,
+    and ``middle_id``, the id at place ``n_tokens // 2`` by random access."""
+    segments = read_segments(spark, path).select("start", "doc_ids", "doc_tokens", "chunks", "more", "ranks")
+    return map_arrow(segments, _read_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, middle_id bigint")
 
 
 def _probe(batches):
     for batch in batches:
-        rows = batch.to_pylist()
-        ids = [dac_access(r["chunks"], r["more"], r["ranks"], r["position"] - r["start"]) for r in rows]
-        yield pa.RecordBatch.from_arrays([batch.column("position"), pa.array(ids, pa.int64())], names=["position", "id"])
+        for r in batch.to_pylist():
+            ids = [dac_access(r["chunks"], r["more"], r["ranks"], p - r["start"]) for p in r["positions"]]
+            yield pa.RecordBatch.from_arrays([pa.array(r["positions"], pa.int64()), pa.array(ids, pa.int64())], names=["position", "id"])
 
 
 def read_tokens(positions: DataFrame, path: str, width: int = SEGMENT_TOKENS) -> DataFrame:
-    """The ids at global ``position``s, each by random access into its segment:
-    an equi-join on ``position div width`` with the blocks a segment touches."""
+    """The ids at global ``position``s, each by random access into its segment;
+    a repeated position comes once, one that is not there not at all.
+
+    Positions find their segment by an equi-join of places alone, on
+    ``position div width`` and the blocks a segment touches. Those of a segment
+    (at most as many as it has tokens) are gathered and meet it once."""
     segments = read_segments(positions.sparkSession, path)
-    segments = segments.select("start", "n_tokens", "chunks", "more", "ranks", F.explode(F.sequence(
+    places = segments.select("start", "n_tokens", F.explode(F.sequence(
         F.expr(f"start div {width}"), F.expr(f"(start + n_tokens - 1) div {width}"))).alias("_block"))
-    at = positions.select(F.col("position").cast("bigint").alias("position")).withColumn("_block", F.expr(f"position div {width}"))
-    hit = at.join(segments, "_block").filter("position >= start and position < start + n_tokens")
-    return map_arrow(hit.select("position", "start", "chunks", "more", "ranks"), _probe, "position bigint, id bigint")
+    at = positions.select(F.col("position").cast("bigint").alias("position")).filter("position is not null").distinct() \
+        .withColumn("_block", F.expr(f"position div {width}"))
+    hit = at.join(places, "_block").filter("position >= start and position < start + n_tokens") \
+        .groupBy("start").agg(F.collect_list("position").alias("positions"))
+    found = segments.select("start", "chunks", "more", "ranks").join(hit, "start")
+    return map_arrow(found.select("start", "chunks", "more", "ranks", "positions"), _probe, "position bigint, id bigint")

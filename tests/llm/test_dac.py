@@ -37,7 +37,8 @@ def test_files_hold_all_documents_in_order(spark):
     want = expected(docs)
     path = dac.write_token_files(docs, WORD_BPE, 1, partitions=3, segment_tokens=100)
     rows = sorted(map(tuple, dac.read_documents(spark, path).collect()), key=lambda r: r[1])
-    assert rows == [w[:4] for w in want]
+    assert [r[:4] for r in rows] == [w[:4] for w in want]
+    assert [r[4] for r in rows] == [w[4][len(w[4]) // 2] for w in want]
     assert spark.read.parquet(path).count() > 3
     flat = [x for w in want for x in w[4]]
     positions = spark.createDataFrame([(i,) for i in range(0, len(flat), 7)] + [(len(flat) + 5,), (None,)], "position bigint")
@@ -48,3 +49,13 @@ def test_files_hold_all_documents_in_order(spark):
 def test_empty_table(spark):
     path = dac.write_token_files(empty_documents(spark), WORD_BPE, 1, partitions=2)
     assert dac.read_documents(spark, path).count() == 0
+
+
+def test_rows_of_one_id_are_spread(spark):
+    for doc_id in (None, 7):
+        docs = spark.createDataFrame([(doc_id, f"text {i}") for i in range(800)], "doc_id bigint, text string").repartition(4)
+        path = dac.write_token_files(docs, WORD_BPE, 1, partitions=8)
+        parts = {r["part"]: len(r["doc_ids"]) for r in spark.read.parquet(path).collect()}
+        assert len(parts) == 8 and max(parts.values()) < 250 and sum(parts.values()) == 800
+        starts = sorted((r["start"], r["n_tokens"]) for r in dac.read_documents(spark, path).collect())
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
