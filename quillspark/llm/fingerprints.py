@@ -7,8 +7,9 @@ deleted by adding or subtracting its vector. A paragraph's vector has
 
 * ``WIDE`` lanes of 60 hash bits, which tell texts apart;
 * the numbers of paragraphs and of sentences;
-* ``PACKED`` integers with three 20-bit counters each: counter ``i`` counts the
-  sentences whose hash has bit ``i`` set. Less half the number of sentences,
+* ``PACKED`` integers with two 30-bit counters each (no text that fits a row
+  has more sentences): counter ``i`` counts the sentences whose hash has bit
+  ``i`` set. Less half the number of sentences,
   the counters are a random-sign sketch of the multiset of sentences, whose
   scalar products estimate how much two documents share.
 
@@ -29,9 +30,9 @@ from quillspark.llm.common import documents, shuffle_partitions
 MODULUS = 1 << 60
 _MASK = MODULUS - 1
 WIDE = 4
-PACKED = 40
-_FIELD = 20
-_COUNTERS = 1 | 1 << _FIELD | 1 << 2 * _FIELD
+PACKED = 60
+_FIELD = 30
+_COUNTERS = 1 | 1 << _FIELD
 SIZE = WIDE + 2 + PACKED
 
 
@@ -85,7 +86,7 @@ def _signs(vector: Column) -> Column:
     sentences = F.element_at(vector, WIDE + 2)
     fields = F.slice(vector, WIDE + 3, PACKED)
     one = lambda shift: F.transform(fields, lambda x: (sentences - 2 * F.shiftright(x, shift).bitwiseAND(_long((1 << _FIELD) - 1))).cast("double"))
-    return F.concat(one(0), one(_FIELD), one(2 * _FIELD))
+    return F.concat(one(0), one(_FIELD))
 
 
 def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
@@ -100,32 +101,60 @@ def likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.select(*keep, F.when(F.col(a) == F.col(b), F.lit(1.0)).otherwise(cosine).alias(out))
 
 
-def with_next(df: DataFrame, order: str, columns: list[str], buckets: int | None = None) -> DataFrame:
+def _buckets(order: str, quantiles: list, share_of_null: float, n: int) -> Column:
+    """The bucket of a row by ``order`` and the hash ``_h``, ascending in both.
+    A value that several quantiles fall on (or null) has as many buckets, by
+    ranges of the hash."""
+    def split(count: Column) -> Column:
+        # the hash's range in so many equal parts
+        return F.least(F.floor((F.col("_h") / float(1 << 64) + 0.5) * count).cast("int"), count - 1)
+
+    nulls = max(1, round(share_of_null * n))
+    values, times, equal, after = sorted(set(quantiles)), [], [], [nulls]
+    for q in values:
+        times.append(quantiles.count(q))
+        equal.append(after[-1] + 1)
+        after.append(equal[-1] + times[-1])
+    ints = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<int>")
+    bounds = F.array(*map(_long, values)) if values else F.array().cast("array<bigint>")
+    place = F.size(F.filter(bounds, lambda q: q <= F.col(order)))  # how many bounds are not above the value
+    return F.when(F.col(order).isNull(), split(F.lit(nulls))) \
+        .when(F.get(bounds, place - 1) == F.col(order), F.get(ints(equal), place - 1) + split(F.get(ints(times), place - 1))) \
+        .otherwise(F.get(ints(after), place))
+
+
+def with_next(df: DataFrame, order: str, columns: list[str], buckets: int | None = None, ties: str | None = None) -> DataFrame:
     """``df`` with ``next_<column>`` of the row that follows in ``order``
     (after the last: the first), without a window over the whole table.
 
-    Rows are dealt to buckets by quantiles of ``order``; the first row of a
-    bucket is also sent, as a guest, to the bucket before. Only the bounds and
-    first values of the buckets (as many as shuffle partitions) come to the
-    driver. Ties are ordered by the columns' hash; null comes first."""
+    Rows are dealt to buckets by quantiles of ``order`` and, where one value
+    (or null) fills several, by the hash of ``ties`` (by default of the
+    columns), which also orders ties; null comes first. One row of the least
+    place of a bucket is also sent, as a guest, to the bucket before. Only the
+    bounds and least places of the buckets (about as many as shuffle
+    partitions) come to the driver. Rows that are alike in all this share a
+    bucket."""
     n = buckets or shuffle_partitions(df)
-    quantiles = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)),
-                                           F.lit(10_000)).alias("q")).first()["q"] or []
-    bounds = F.array(*[_long(q) for q in sorted(set(quantiles))]) if quantiles else F.array().cast("array<bigint>")
-    bucket = F.when(F.col(order).isNull(), F.lit(0)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col(order))))
-    firsts = df.groupBy(bucket.alias("b")).agg(F.min(order).alias("least"), F.max(F.col(order).isNull()).alias("has_null")).orderBy("b").collect()
-    before = {r["b"]: firsts[i - 1]["b"] for i, r in enumerate(firsts)}
-    first = {r["b"]: None if r["has_null"] else r["least"] for r in firsts}
-    size = max(before, default=0) + 1
-    prev = F.array(*[F.lit(before.get(i, 0)) for i in range(size)])
-    least = F.array(*[_long(first[i]) if first.get(i) is not None else F.lit(None).cast("bigint") for i in range(size)])
-    places = F.when(F.col(order).eqNullSafe(F.get(least, F.col("_b"))),
-                    F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest")), F.struct(F.get(prev, F.col("_b")).alias("b"), F.lit(1).alias("guest")))) \
-        .otherwise(F.array(F.struct(F.col("_b").alias("b"), F.lit(0).alias("guest"))))
     keep = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.select(*keep, bucket.alias("_b")).select(*keep, F.explode(places).alias("_at"), F.xxhash64(*columns).alias("_h"))
-    w = Window.partitionBy("_at.b").orderBy("_at.guest", F.col(order).asc_nulls_first(), "_h")
-    out = rows.select(*keep, F.col("_at.guest").alias("_guest"), *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    df = df.select(*keep, F.xxhash64(*([ties] if ties else columns)).alias("_h"))
+    bounds = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else F.array(F.lit(0.5)),
+                                        F.lit(10_000)).alias("q"), F.avg(F.col(order).isNull().cast("int")).alias("null")).first()
+    df = df.withColumn("_b", _buckets(order, bounds["q"] or [], bounds["null"] or 0.0, n))
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("value"), F.col("_h").alias("h"))
+    least = df.groupBy("_b").agg(F.min(place).alias("least")).orderBy("_b").collect()
+    # the least place of each bucket, and the bucket before (for the first: the last)
+    size = max((r["_b"] for r in least), default=0) + 1
+    value, h, prev = [None] * size, [0] * size, [None] * size
+    for i, r in enumerate(least):
+        value[r["_b"]], h[r["_b"]], prev[r["_b"]] = r["least"]["value"], r["least"]["h"], least[i - 1]["_b"]
+    at = lambda x, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in x]), F.col("_b"))
+    guest = F.when(F.col(order).eqNullSafe(at(value, "bigint")) & (F.col("_h") == at(h, "bigint")), at(prev, "int"))
+    guests = df.withColumn("_to", guest).filter("_to is not null") \
+        .groupBy(F.col("_to").alias("_b"), F.col(order), "_h").agg(*[F.first(c).alias(c) for c in columns if c != order]) \
+        .withColumn("_guest", F.lit(1))
+    rows = df.withColumn("_guest", F.lit(0)).unionByName(guests, allowMissingColumns=True)
+    w = Window.partitionBy("_b").orderBy("_guest", F.col(order).asc_nulls_first(), "_h")
+    out = rows.select(*keep, "_guest", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return out.filter("_guest = 0").drop("_guest")
 
 
@@ -136,7 +165,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text's fingerprint comes from the document's: the paragraphs
     from the cut on are deleted, those that stand there now are inserted."""
     df = with_vector(documents(docs), "text", "vector")
-    df = with_next(df, "doc_id", ["text", "vector"])
+    df = with_next(df, "doc_id", ["text", "vector"], ties="text")
     half = F.floor(F.length("text") / 2).cast("int")
     df = df.withColumn("n_chars", F.length("text").cast("bigint")) \
         .withColumn("kept", F.left("text", F.length("text") - half)) \

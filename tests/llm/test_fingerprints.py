@@ -77,3 +77,39 @@ def test_next_row_with_any_number_of_buckets(spark):
     for n in (1, 2, 13, 200):
         out = {r["k"]: r["next_t"] for r in fp.with_next(df, "k", ["t"], buckets=n).collect()}
         assert out == {i * i: f"t{(i + 1) % 50}" for i in range(50)}
+
+
+def test_rows_of_one_id_or_none_are_spread(spark):
+    for share in ("null", "7"):
+        df = spark.sql(f"select if(id < 600, cast({share} as bigint), id) as k, concat('t', id) as t from range(900)").repartition(5)
+        out = fp.with_next(df, "k", ["t"], buckets=16)
+        nxt = {r["t"]: r["next_t"] for r in out.collect()}
+        seen, at = [], "t0"
+        while at not in seen:
+            seen.append(at)
+            at = nxt[at]
+        assert len(nxt) == len(seen) == 900 and at == "t0"
+        # in one direction: the order's values go down once
+        key = {f"t{i}": -1 if share == "null" and i < 600 else 7 if i < 600 else i for i in range(900)}
+        assert sum(key[a] > key[b] for a, b in nxt.items()) == 1
+        q = df.agg(F.percentile_approx("k", F.array(*[F.lit(i / 16) for i in range(1, 16)]), 10_000), F.avg(F.expr("int(k is null)"))).first()
+        sizes = df.withColumn("_h", F.xxhash64("t")).groupBy(fp._buckets("k", q[0], q[1], 16)).count().collect()
+        assert max(r["count"] for r in sizes) < 150
+
+
+def test_repeated_rows_meet_their_next(spark):
+    df = spark.createDataFrame([(1, "a")] * 40 + [(2, "b"), (3, "c")], "k bigint, t string").repartition(3)
+    for n in (1, 4, 30):
+        out = sorted((r["k"], r["next_t"]) for r in fp.with_next(df, "k", ["t"], buckets=n).collect())
+        assert out == [(1, "a")] * 39 + [(1, "b"), (2, "c"), (3, "a")]
+
+
+def test_many_short_lines_count_right(spark):
+    n = 1_060_000
+    long = F.array_join(F.array_repeat(F.lit("x"), n), "\n")
+    df = spark.range(1).select(F.lit(1).alias("i"), long.alias("t"), F.concat(long, F.lit("\ny")).alias("u"))
+    df = fp.likeness(fp.with_vector(fp.with_vector(df, "t", "v"), "u", "w"), "v", "w", "near")
+    r = df.select("v", "near").first()
+    assert r["v"][fp.WIDE + 1] == n and r["near"] > 0.99
+    fields = [x >> s & (1 << fp._FIELD) - 1 for x in r["v"][fp.WIDE + 2:] for s in (0, fp._FIELD)]
+    assert set(fields) == {0, n}
