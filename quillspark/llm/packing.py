@@ -4,7 +4,8 @@ residual packing.
 Each partition encodes its documents and packs their pieces best-fit
 (decreasing) on its own. Bins that are nearly full are final; underfull bins
 become the items of the next round, which runs on fewer partitions, until
-what is left fits one task or a round no longer helps. A bin holds at most
+what is left fits one task or the same number of tasks no longer helps; bins
+that no other one fits into stay behind as they are. A bin holds at most
 ``max_tokens`` tokens and so at most as many members, which travel with it:
 no join puts the result together, and only underfull bins are shuffled.
 
@@ -191,22 +192,26 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int
     spark = docs.sparkSession
     bins = map_arrow(documents(docs), _pack_documents(tokenizer, end_id, max_tokens, slack, with_ids), BINS)
     tasks = bins.rdd.getNumPartitions()
-    rounds = [materialize(bins, "packing")]
-    open_before = None
+    made = materialize(bins, "packing")
+    done, before = [], None
     while True:
-        rest = rounds[-1].filter(~F.col("full"))
-        n = rest.count()
-        # stop when one task has seen all that is left, or a round has not helped
-        if n < 2 or tasks <= 1 or (open_before is not None and n > 0.99 * open_before):
+        least, = made.filter(~F.col("full")).agg(F.min("used")).first()
+        # a bin that not even the smallest one fits into is final
+        fits = ~F.col("full") & (F.col("used") <= max_tokens - (least or 0))
+        rest = made.filter(fits)
+        n = rest.count() if tasks > 1 else 0
+        following = max(1, tasks // fan_in, n // PORTION)
+        # stop when one task has seen all that is left, or the same number of tasks helps no more
+        if n < 2 or (before is not None and following == tasks and n > 0.99 * before):
             break
-        open_before = n
-        tasks = max(1, tasks // fan_in, n // PORTION)
+        done.append(made.filter(~fits))
+        before, tasks = n, following
         again = rest.repartition(tasks, F.col("members")[0]["doc_id"], F.col("members")[0]["piece"]) \
             if tasks > 1 else rest.repartition(1)
-        rounds.append(materialize(map_arrow(again, _pack_bins(max_tokens, slack, with_ids), BINS), "packing"))
-    done = rounds[-1]
-    for r in rounds[:-1]:
-        done = done.unionByName(r.filter("full"))
+        made = materialize(map_arrow(again, _pack_bins(max_tokens, slack, with_ids), BINS), "packing")
+    for r in done:
+        made = made.unionByName(r)
+    done = made
     # number the bins first: in one select the id would be made after the explode
     one = done.select(F.monotonically_increasing_id().alias("sequence_id"), "members") \
         .select("sequence_id", F.explode("members").alias("m"))

@@ -63,3 +63,37 @@ def test_best_fit_takes_the_tightest_bin():
     bins = packing.best_fit(sizes, 1024)
     assert sorted(i for b in bins for i in b) == list(range(5000))
     assert all(sizes[b].sum() <= 1024 for b in bins) and len(bins) <= 1.02 * math.ceil(sizes.sum() / 1024)
+
+
+def test_small_bins_among_many_that_never_merge_meet(spark, monkeypatch):
+    # documents of over half a sequence, and in each of 16 parts one small one
+    rows = [(i, "a b c d e f g h i j " * 6) for i in range(480)] + [(1000 + i, "x") for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(16, F.col("doc_id") % 16)
+    out = packing.pack_documents(docs, BYTE_BPE, end_id=2, max_tokens=64, slack=0).collect()
+    small = {r["sequence_id"] for r in out if r["doc_id"] >= 1000}
+    total = sum(r["length"] for r in out)
+    assert len(out) == 496 and (len(small) == 1 or len({r["sequence_id"] for r in out}) <= 480) and total == sum(r["length"] for r in out)
+
+
+def test_query_against_the_library(spark):
+    from quillspark.llm import queries
+    sf = "/root/testdata/sf0.001"
+    tok, texts = load_tokenizer(BYTE_BPE), {r["doc_id"]: r["text"] or "" for r in queries.table(spark, sf, "documents").collect()}
+    rows = queries.QUERIES["op3_best_fit_packing"](spark, sf).collect()
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(by_doc) == set(texts)
+    for i, pieces in by_doc.items():
+        ids = np.array(tok.encode(texts[i], add_special_tokens=False).ids + [2], "<u4")
+        pieces.sort(key=lambda r: r["piece"])
+        assert [p["piece"] for p in pieces] == list(range(-(-len(ids) // 1024))) and sum(p["length"] for p in pieces) == len(ids)
+        for p in pieces:
+            assert p["ids_crc32"] == zlib.crc32(ids[p["start"]:p["start"] + p["length"]].tobytes())
+    for members in by_sequence.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= 1024
