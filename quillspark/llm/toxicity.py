@@ -11,7 +11,8 @@ The dictionaries share the trained ordinary content, at the same distances, so
 windows without toxic passages compress alike. One toxic dictionary adds what
 zstandard trains on the toxic windows, without the word pairs that ordinary
 documents have as often; the other, a supplement, adds beginnings of words
-that many toxic documents have and ordinary ones lack. One document of each
+that many toxic documents have and ordinary ones lack. On the given tables
+the supplement decides most verdicts (the README has the figures of each form). One document of each
 group of copies takes part in training, lest a copied document's own words
 look like a class.
 
