@@ -50,8 +50,8 @@ GATHER_KEYS = 1 << 22
 #: Vectors added up by one group of a round of the tree.
 FAN_IN = 8
 #: Text characters, and ids, aligned at once.
-SLICE_CHARS = 1 << 20
-SLICE_IDS = 1 << 20
+SLICE_CHARS = 1 << 18
+SLICE_IDS = 1 << 18
 _BUCKET_BITS = 20
 _BUCKET_SEED = 99
 
@@ -74,6 +74,7 @@ class TokenizerPair:
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.n_b = len(pieces)
         self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), np.uint8) for x in (self.bytes_a, self.bytes_b))
         self._rendered: np.ndarray | None = None
 
     @property
@@ -91,15 +92,30 @@ class TokenizerPair:
         lists = self.b.encode(texts, num_threads=1)
         n_b = np.fromiter(map(len, lists), np.int64, len(lists))
         b = np.fromiter(chain.from_iterable(lists), np.int32, int(n_b.sum()))
-        whole = np.zeros(len(texts), bool)
-        at_a = np.append(0, np.cumsum(n_a)).tolist()
-        for i, t in enumerate(spaced):
-            data = t.encode()
-            whole[i] = bool(t) and b"".join(map(self.bytes_b.__getitem__, lists[i])) == data \
-                and b"".join(map(self.bytes_a.__getitem__, a[at_a[i]:at_a[i + 1]].tolist())) == data
+        data = [t.encode() for t in spaced]
+        whole = np.array([bool(t) for t in texts], bool)
+        for ids, n, size, flat in ((a, n_a, self.len_a, self.flat_a), (b, n_b, self.len_b, self.flat_b)):
+            whole &= _gives_back(ids, n, size, flat, data)
         return a[np.repeat(whole, n_a)], np.where(whole, n_a, 0), b[np.repeat(whole, n_b)], np.where(whole, n_b, 0)
 
 
+def _gives_back(ids: np.ndarray, n: np.ndarray, size: np.ndarray, flat: np.ndarray, data: list[bytes]) -> np.ndarray:
+    """Whether the joined bytes of each text's tokens are its ``data``."""
+    length = np.fromiter(map(len, data), np.int64, len(data))
+    stop = np.append(0, np.cumsum(size[ids]))[np.cumsum(n)]
+    same = np.diff(stop, prepend=0) == length
+    ids = ids[np.repeat(same, n)]
+    took = size[ids]
+    end = np.cumsum(took)
+    joined = flat[np.repeat((np.cumsum(size) - size)[ids] - (end - took), took) + np.arange(int(took.sum()))]
+    wanted = np.frombuffer(b"".join(x for x, ok in zip(data, same.tolist(), strict=True) if ok), np.uint8)
+    wrong = np.flatnonzero(joined != wanted)
+    if len(wrong):
+        of = np.flatnonzero(same)
+        same[of[np.unique(np.searchsorted(np.cumsum(length[of]), wrong, side="right"))]] = False
+    return same
+
+
 SEPARATORS = ",", "|", ";", ""
 _PAIRS: dict = {}
 
