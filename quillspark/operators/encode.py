@@ -28,6 +28,8 @@ SPECIALS = {UNK_ID: "<unk>", BOS_ID: "<s>", EOS_ID: "</s>"}
 N_SPECIALS = 3
 DEFAULT_VOCAB_SIZE = 32_000
 MAX_BROADCAST_VOCAB = 1_000_000  # ~tens of MB as one broadcast map row
+#: Distinct pieces that a task counts before it sends them on.
+COUNT_ROWS = 1 << 20
 
 
 def _c(c) -> Column:
@@ -65,11 +67,25 @@ def piece_counts(df: DataFrame, col: str) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
         from quillspark.functions.arrow_pieces import split_strings
+        held, size = [], 0
+
+        def summed():
+            t = pa.concat_tables(held).group_by("piece").aggregate([("n", "sum")])
+            return pa.table([t.column("piece"), t.column("n_sum")], names=["piece", "n"])
+
+        # one count for the task, sent on early when it grows beyond its bound
         for b in batches:
-            flat = pc.list_flatten(split_strings(b.column(0)))
-            vc = pc.value_counts(flat)
-            yield pa.RecordBatch.from_arrays(
-                [vc.field("values"), vc.field("counts").cast(pa.int64())], names=["piece", "n"])
+            vc = pc.value_counts(pc.list_flatten(split_strings(b.column(0))))
+            held.append(pa.table([vc.field("values"), vc.field("counts").cast(pa.int64())], names=["piece", "n"]))
+            size += len(held[-1])
+            if size > COUNT_ROWS:
+                held = [summed()]
+                size = len(held[0])
+                if size > COUNT_ROWS // 2:
+                    yield from held[0].combine_chunks().to_batches(max_chunksize=1 << 16)
+                    held, size = [], 0
+        if held:
+            yield from summed().combine_chunks().to_batches(max_chunksize=1 << 16)
     return df.select(col).mapInArrow(run, "piece string, n long")
 
 

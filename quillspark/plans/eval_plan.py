@@ -36,10 +36,13 @@ def mc_results(items: DataFrame, tasks, encoder, scorer) -> DataFrame:
     the second pass."""
     out = []
     mc = [t for t in tasks if t in V.MC_TASKS]
+    blanks = ["winogrande"] if "winogrande" in tasks else []
+    # numbered and gathered once for all tasks
+    made = V.suite_items(items, [*mc, *blanks]) if mc or blanks else None
     if mc:
-        out.append(V.predict_and_score(V.choice_scores(V.suite_items(items, mc), encoder, scorer)))
-    if "winogrande" in tasks:
-        c = V.build_candidates(V.suite_items(items, ["winogrande"]), V.filled_blanks)
+        out.append(V.predict_and_score(V.choice_scores(made.filter(F.col("task").isin(mc)), encoder, scorer)))
+    if blanks:
+        c = V.build_candidates(made.filter(F.col("task").isin(blanks)), V.filled_blanks)
         out.append(V.predict_and_score(V.fill_blank_scores(c, encoder, scorer), one_based=True))
     if not out:
         return None

@@ -1138,7 +1138,8 @@ _CONFIG_SQL = "(VALUES " + ", ".join(f"('{k}', {v['target_tokens']})" for k, v i
 SELECT cfg.dataset, CASE WHEN d.dataset IS NULL THEN 'unknown' ELSE 'ok' END AS status
 FROM {_CONFIG_SQL} LEFT JOIN (SELECT DISTINCT source AS dataset FROM documents) d USING (dataset)""")
 def q_config_sources(spark, sf):
-    cfg = A.config_sources(spark, _CONFIG)
+    path = Z.sink_manifest(spark, {"datasets": _CONFIG}, scratch_path(spark, "config"))
+    cfg = A.config_sources(spark, A.config_from_file(spark, path))
     avail = C.corpus_from_documents(_docs(spark, sf))
     return A.check_sources(cfg.select("dataset"), avail)
 
@@ -1303,9 +1304,9 @@ def q_sink_metrics(spark, sf):
 def _details(spark, sf, tasks=V.MC_TASKS):
     """The records of each shape."""
     enc, scorer, base = _encoder(spark, sf), _scorer(spark, sf), _items(spark, sf)
-    items = V.suite_items(base, tasks)
+    made = V.suite_items(base, [*tasks, "winogrande"])
+    items, blanks = made.filter("task <> 'winogrande'"), made.filter("task = 'winogrande'")
     s = V.choice_scores(items, enc, scorer)
-    blanks = V.suite_items(base, ["winogrande"])
     w = V.fill_blank_scores(V.build_candidates(blanks, V.filled_blanks), enc, scorer)
     return {"choices": V.example_details(s, V.build_candidates(items), V.predict_and_score(s)),
             "blanks": V.winogrande_details(blanks, w, V.predict_and_score(w, one_based=True)),

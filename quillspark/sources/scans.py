@@ -68,6 +68,19 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
     return t.select(py_strip("value").alias("line")).filter(F.length("line") > 0)
 
 
+def config_from_file(spark: SparkSession, path: str, section: str = "datasets") -> dict:
+    """A mapping of a config file (``.yaml`` / ``.yml`` where PyYAML is
+    installed, else JSON), read through Spark from wherever it is."""
+    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())  # one small file
+    if path.rstrip("/").endswith((".yaml", ".yml")):
+        import yaml
+        config = yaml.safe_load(text)
+    else:
+        import json
+        config = json.loads(text)
+    return (config or {}).get(section) or {}
+
+
 def config_sources(spark: SparkSession, config: dict) -> DataFrame:
     """The ``datasets`` mapping of a config as rows (one per source)."""
     rows = [(k, v.get("name"), v.get("subset"), int(v.get("target_tokens") or 0),

@@ -89,3 +89,13 @@ def test_zst_and_gz_alike(spark, tmp_path):
     (tmp_path / "c.jsonl.zst").write_bytes(c.compress(b'{"dataset": '))
     with pytest.raises(Exception):  # noqa: B017
         scan_compressed_glob(spark, f"{tmp_path}/c.jsonl.zst", schema).collect()
+
+
+def test_config_files(spark, tmp_path):
+    from quillspark.sources.scans import config_from_file, config_sources
+    (tmp_path / "c.yaml").write_text("datasets:\n  web:\n    name: org/web\n    subset: en\n    target_tokens: 5000\n  code: {name: org/code}\nother: 1\n")
+    (tmp_path / "c.json").write_text('{"datasets": {"web": {"name": "org/web", "subset": "en", "target_tokens": 5000}, "code": {"name": "org/code"}}}')
+    (tmp_path / "none.json").write_text("{}")
+    a, b = (sorted(map(str, config_sources(spark, config_from_file(spark, str(tmp_path / f))).collect())) for f in ("c.yaml", "c.json"))
+    assert a == b and len(a) == 2 and "target_tokens=5000" in "".join(a)
+    assert config_from_file(spark, str(tmp_path / "none.json")) == {}
