@@ -1178,13 +1178,17 @@ SELECT dataset FROM {_CONFIG_SQL}
 WHERE dataset NOT IN (SELECT source FROM documents WHERE length(text) > 0 GROUP BY source HAVING count(*) % 2 = 0
                       AND max(doc_id) % 4 < 2)""")
 def q_sink_skip_existing(spark, sf):
-    # A first run has finished some datasets (by their counts) and left its
-    # manifest; the next one only gets the configured datasets not in it.
-    man = scratch_path(spark, "manifest")
-    _corpus(spark, sf).groupBy("dataset").agg(F.count(F.lit(1)).alias("docs"), F.max("pos").alias("last")) \
-        .filter("docs % 2 = 0 and last % 4 < 2").write.parquet(man)
+    # A first run has finished some datasets (by their counts) and left that as a durable stage; the next
+    # one finds it by its inputs and parameters and only gets the configured datasets not in it.
+    from quillspark.sources.stages import DurableStages
+    root, made_of, rule = scratch_path(spark, "durable"), [f"{sf.rstrip('/')}/documents.parquet"], {"finished": "docs % 2 = 0 and last % 4 < 2"}
+
+    def build():
+        return _corpus(spark, sf).groupBy("dataset").agg(F.count(F.lit(1)).alias("docs"), F.max("pos").alias("last")).filter(rule["finished"])
+    DurableStages(root).get(spark, "finished", build, made_of, rule)
+    found = DurableStages(root).path(spark, "finished", made_of, rule)
     req = A.config_sources(spark, _CONFIG).select("dataset")
-    return Z.pending_work(req, man, spark)
+    return Z.pending_work(req, found, spark)
 
 
 @register("anti_done", f"""
