@@ -64,6 +64,8 @@ def _decode(b: np.ndarray):
 def split_strings(arr):
     """``string`` array -> ``list<string>`` array of pieces (nulls kept)."""
     import pyarrow as pa
+    if not len(arr):  # no buffers to read
+        return pa.array([], pa.list_(pa.string()))
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
     if arr.type != pa.string():

@@ -209,15 +209,14 @@ class JoinEncoder:
                .agg(F.array_sort(F.collect_list(F.struct("_i", F.coalesce("id", F.lit(UNK_ID)).alias("id")))).alias("_p"))
                .select("__x", F.transform("_p", lambda s: s["id"]).alias("_ids")))
         if nested:
-            # every row carries its place list through the join and is put together again under its own values
-            keys = [c for c in d.columns]
-            one = d.withColumn("_n", F.row_number().over(Window.partitionBy(*[F.col(c) for c in keys]).orderBy(F.lit(1)))) \
-                .select("*", F.posexplode_outer("__t").alias("_at", "__x"))
-            back = one.join(ids, "__x", "left").groupBy(*[F.col(c) for c in keys], "_n").agg(
+            # rows are numbered as they are written; only numbers and places travel through the join
+            from quillspark.session import materialize
+            one = materialize(d.withColumn("_n", F.monotonically_increasing_id()), "join-encoder")
+            lists = one.select("_n", F.posexplode("__t").alias("_at", "__x")).join(ids, "__x", "left").groupBy("_n").agg(
                 F.array_sort(F.collect_list(F.struct("_at", F.coalesce("_ids", none).alias("_ids")))).alias("_q"))
-            d = back.withColumn(out, F.when(F.size("__t") == 0, F.array().cast("array<array<int>>")).otherwise(
-                F.transform("_q", lambda s: s["_ids"]))).drop("_n", "_q", "__t", *(drop or []))
-            return d
+            d = one.join(lists, "_n", "left").withColumn(out, F.when(F.size("__t") == 0, F.array().cast("array<array<int>>")).otherwise(
+                F.transform("_q", lambda s: s["_ids"])))
+            return d.drop("_n", "_q", "__t", *(drop or []))
         d = d.join(ids, d["__t"] == ids["__x"], "left").withColumn(out, F.coalesce("_ids", none)) \
             .drop("_ids", "__x", "__t", *(drop or []))
         return _specials(d, out, add_bos, add_eos)

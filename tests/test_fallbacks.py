@@ -18,6 +18,16 @@ def test_join_encoder_equals_broadcast_encoder(spark):
     assert b.count() == docs.count()
 
 
+def test_join_encoder_on_rows_with_maps_and_repeats(spark):
+    vt = build_vocab(spark.createDataFrame([("a b c a",)], "text string"), "text", vocab_size=10)
+    rows = [(1, {"k": 1}, ["a b", None, "c"]), (1, {"k": 1}, ["a b", None, "c"]), (2, None, []), (3, {}, None)]
+    df = spark.createDataFrame(rows, "i int, m map<string,int>, t array<string>")
+    a = JoinEncoder(vt, 10).encode_column(df, F.col("t"), "e", drop=["t"]).orderBy("i").collect()
+    b = Encoder([r[0] for r in vt.orderBy("id").select("piece").collect()], 10).encode_column(df, F.col("t"), "e", drop=["t"]).orderBy("i").collect()
+    assert a[0] == a[1] and [(r["i"], r["m"]) for r in a] == [(r["i"], r["m"]) for r in b]
+    assert [len(x) for x in a[0]["e"]] == [2, 0, 1] and a[0]["e"][0] == b[0]["e"][0] and a[2]["e"] == [] and a[3]["e"] is None
+
+
 def test_pandas_encoder_runs_any_callable(spark):
     docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
     e = PandasEncoder(lambda: (lambda t: [len(w) for w in t.split()])).encode(docs)
