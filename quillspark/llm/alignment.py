@@ -133,19 +133,18 @@ class Alignment:
     def __init__(self, len_a: np.ndarray, len_b: np.ndarray, a, n_a, b, n_b):
         self.a, self.n_a, self.b, self.n_b = a, n_a, b, n_b
         end_a, end_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
-        # the other side's token that holds a token's last byte
-        self.at_b = np.searchsorted(end_b, end_a)
-        self.at_a = np.searchsorted(end_a, end_b)
-        self.shared_a = end_b[self.at_b] == end_a if len(b) else np.zeros(0, bool)
-        self.shared_b = end_a[self.at_a] == end_b if len(a) else np.zeros(0, bool)
+        # the ends of both sides' tokens cut the bytes into cells, a link each: of the two tokens that hold the cell
+        ends = np.zeros(int(end_a[-1]) + 1 if len(a) else 1, np.uint8)
+        ends[end_a] = 1
+        ends[end_b] += 2
+        ends = ends[np.flatnonzero(ends)]
+        closes_a, closes_b = (ends & 1).view(bool), ends > 1
+        self.cell_a, self.cell_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        self.shared_a, self.shared_b = closes_b[closes_a], closes_a[closes_b]
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A id, B id and text of every link. Each byte offset where a token
-        ends closes one link, of the two tokens that hold the byte before it."""
-        only_b = ~self.shared_b
-        doc = np.arange(len(self.n_a))
-        return (np.concatenate([self.a, self.a[self.at_a[only_b]]]), np.concatenate([self.b[self.at_b], self.b[only_b]]),
-                np.concatenate([np.repeat(doc, self.n_a), np.repeat(doc, self.n_b)[only_b]]))
+        """A id, B id and text of every link."""
+        return self.a[self.cell_a], self.b[self.cell_b], np.repeat(np.arange(len(self.n_a)), self.n_a)[self.cell_a]
 
     def n_groups(self) -> np.ndarray:
         return np.bincount(np.repeat(np.arange(len(self.n_a)), self.n_a)[self.shared_a], minlength=len(self.n_a))
@@ -224,7 +223,7 @@ def _distinct(paths: tuple[str, str]):
 
         for batch in batches:
             for _, _, keys, _ in _aligned(pair, batch):
-                parts.append(np.unique(keys))
+                parts.append(pd.unique(keys))
                 size += len(parts[-1])
                 if size > GATHER_KEYS:
                     parts = [np.unique(np.concatenate(parts))]
@@ -277,8 +276,8 @@ def _count(paths: tuple[str, str], n_shards: int, rows):
         total = np.zeros(block.size, np.int64)
         for batch in batches:
             for _, _, keys, _ in _aligned(pair, batch):
-                found, n = np.unique(keys, return_counts=True)
-                at = block.index(found)
+                code, found = pd.factorize(keys)
+                n, at = np.bincount(code, minlength=len(found)), block.index(found)
                 total[at[at >= 0]] += n[at >= 0]
         node = TaskContext.get().partitionId()
         for shard, (_, keys, first) in block.shards.items():
@@ -314,7 +313,7 @@ def _look_up(paths: tuple[str, str], n_shards: int, rows, best, last: bool):
         for batch in batches:
             sums = [batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("n_best", "count_sum")]
             for i, _, keys, row in _aligned(pair, batch):
-                found, inverse = np.unique(keys, return_inverse=True)
+                inverse, found = pd.factorize(keys)
                 at = block.index(found)
                 count = np.where(at >= 0, counts[at], 0) if len(counts) else np.zeros(len(found), np.int64)
                 is_best = (at >= 0) & (count == highest[found % pair.n_b])
