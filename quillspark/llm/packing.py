@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import documents, map_arrow, materialize
-from quillspark.llm.pretok import encode_in_slices, library_encoder
+from quillspark.llm.pretok import SLICE_CHARS, encode_in_slices, library_encoder
 
 #: Items a task packs at once; more come in further portions, with the
 #: underfull bins of the portion before among them.
 PORTION = 50_000
 #: With ids a portion also ends at so many of them, to bound a task's memory.
 PORTION_TOKENS = 1 << 20
+#: And texts are cut in slices of so many characters.
+PORTION_CHARS = 1 << 20
 #: Bins with at most this many free tokens are final.
 SLACK = 8
 
@@ -163,7 +165,7 @@ def _pack_documents(path: str, end_id: int, limit: int, slack: int, with_ids: bo
         encoder, packer = library_encoder(path), _Packer(limit, slack, with_ids)
         for batch in batches:
             doc_id = batch.column("doc_id")
-            for a, b, ids, counts in encode_in_slices(encoder, batch.column("text").to_pylist()):
+            for a, b, ids, counts in encode_in_slices(encoder, batch.column("text").to_pylist(), PORTION_CHARS if with_ids else SLICE_CHARS):
                 items = _pieces(doc_id.slice(a, b - a), ids, counts, end_id, limit, with_ids)
                 length = items.field("length").to_numpy()
                 packer.add(length, np.ones(len(items), np.int64), items)

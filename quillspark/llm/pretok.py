@@ -31,7 +31,7 @@ LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = ("re", "ve", "ll")
 #: Characters of text cut at once, and words kept in a worker's cache.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 21
 CACHE_WORDS = 400_000
 
 
@@ -284,8 +284,8 @@ def byte_chars(word: str) -> str:
     return word.encode("utf-8").decode("latin-1").translate(BYTE_TABLE)
 
 
-def encode_in_slices(encoder: CachedEncoder, texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_in_slices(encoder: CachedEncoder, texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(start, end, ids, counts)`` for consecutive slices of ``texts``; null is empty."""
     texts = [t or "" for t in texts]
-    for a, b in slices(list(map(len, texts))):
+    for a, b in slices(list(map(len, texts)), limit):
         yield a, b, *encoder.encode(texts[a:b])
