@@ -4,11 +4,13 @@ import collections
 import tracemalloc
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillspark.functions import arrow_pieces as A
 from quillspark.operators import encode as J
+from quillspark.operators import streams as S
 
 MB = 1 << 20
 WORDS = "the cat, sat. on  a ümlaut\nmat 42".split(" ")
@@ -103,3 +105,24 @@ def test_a_session_hands_over_small_batches(spark):
     new.conf.unset(setting)
     J.piece_counts(new.createDataFrame([("a b",)], "text string"), "text").collect()
     assert new.conf.get(setting) == str(8 * MB)
+
+
+def test_the_cutter_keeps_no_batch_for_a_row_of_it():
+    """The val stream takes few rows of a batch; they do not hold its arrays."""
+    schema = pa.schema([("dataset", pa.string()), ("_val", pa.bool_()), ("chunk_id", pa.int64()), ("_at", pa.int32()), ("_whole", pa.bool_()), ("ids", pa.list_(pa.int32()))])
+    none = [None] * 4
+    head = ["a", 0, 400, 0, 0, 0, []]
+    docs = [["a", 0, *none, [1] * 1000] for _ in range(400)]
+    names = ["dataset", "_bk", "_docs", "_d0", "_t0", "_v0", "ids"]
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.list_(pa.int32())]
+
+    def batches():
+        rows = [head, *docs]
+        for a in range(0, len(rows), 20):
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[a:a + 20], strict=True), kinds, strict=True)], names)
+            held.append(pa.total_allocated_bytes())
+    held: list = []
+    before = pa.total_allocated_bytes()
+    tokens = sum(pc.sum(pc.list_value_length(b["ids"])).as_py() for b in S._cutter(1, 1, 4096, 20, schema)(batches()))
+    assert tokens == 400_000
+    assert max(held) - before < MB // 2
