@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ADD_K = 1.0
+#: Distinct pairs that a task counts before it sends them on.
+PAIR_ROWS = 1 << 20
 
 
 def token_pairs(df: DataFrame, ids: str = "ids", keys=()) -> DataFrame:
@@ -27,33 +29,54 @@ def token_pairs(df: DataFrame, ids: str = "ids", keys=()) -> DataFrame:
 def fit_ngram(encoded: DataFrame, ids: str = "ids") -> DataFrame:
     """K0: bigram counts ``prev, token, count``.
 
-    Each Arrow batch counts its own adjacent pairs with numpy (no per-token
+    Each task counts the adjacent pairs of its rows with numpy, slice by
+    slice, and holds at most some ``PAIR_ROWS`` distinct ones (no per-token
     rows leave the task, hot bigrams are combined at the source); the
-    ``groupBy`` then sums the per-batch counts."""
-    from quillspark.session import ship_package
-    ship_package(encoded.sparkSession)
+    ``groupBy`` then sums the tasks' counts."""
+    from quillspark.session import map_arrow
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        for b in batches:
-            arr = b.column(0)
-            offs = np.asarray(arr.offsets, dtype=np.int64)
-            v = np.asarray(arr.values, dtype=np.int64)[offs[0]:offs[-1]]
+        from quillspark.functions.arrow_pieces import own_values, row_slices
+        held, size = [], 0
+
+        def summed():
+            u, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+            c = np.zeros(len(u), np.int64)
+            np.add.at(c, at, np.concatenate([n for _, n in held]))
+            return u, c
+
+        def rows(u, c):
+            for a in range(0, len(u), 1 << 16):
+                x = u[a:a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((x >> 32).astype(np.int32)), pa.array((x & 0xFFFFFFFF).astype(np.int32)),
+                     pa.array(c[a:a + (1 << 16)])], names=["prev", "token", "n"])
+
+        for part in (s for b in batches for s in row_slices(b, 0)):
+            offs, values = own_values(part.column(0))
+            offs, v = np.asarray(offs, dtype=np.int64), np.asarray(values, dtype=np.int64)
             if len(v) < 2:
                 continue
             keep = np.ones(len(v) - 1, dtype=bool)
-            starts = offs[1:-1] - offs[0]  # where a new row begins
+            starts = offs[1:-1]  # where a new row begins
             starts = starts[(starts > 0) & (starts < len(v))]
             keep[starts - 1] = False
             code = (v[:-1][keep] << 32) | v[1:][keep]
             if len(code) == 0:
                 continue
-            u, c = np.unique(code, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((u >> 32).astype(np.int32)), pa.array((u & 0xFFFFFFFF).astype(np.int32)),
-                 pa.array(c.astype(np.int64))], names=["prev", "token", "n"])
-    pairs = encoded.select(ids).mapInArrow(run, "prev int, token int, n long")
+            held.append(np.unique(code, return_counts=True))
+            size += len(held[-1][0])
+            if size > PAIR_ROWS:
+                held = [summed()]
+                size = len(held[0][0])
+                if size > PAIR_ROWS // 2:
+                    yield from rows(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from rows(*summed())
+    pairs = map_arrow(encoded.select(ids), run, "prev int, token int, n long")
     return pairs.groupBy("prev", "token").agg(F.sum("n").cast("bigint").alias("count"))
 
 

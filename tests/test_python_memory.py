@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from quillspark.functions import arrow_pieces as A
 from quillspark.operators import encode as J
+from quillspark.operators import ngram as N
 from quillspark.operators import streams as S
 
 MB = 1 << 20
@@ -86,6 +87,18 @@ def test_encoding_a_large_batch_is_bounded(spark, nested):
     assert peak < 64
 
 
+def test_counting_pairs_of_a_large_batch_is_bounded(spark, monkeypatch):
+    rows = [None if i % 50 == 9 else [] if i % 50 == 3 else [(i * 7 + k * k) % 900 for k in range(i % 2000)] for i in range(4000)]
+    want = collections.Counter(p for r in rows if r for p in zip(r, r[1:], strict=False))
+    batch = pa.record_batch([pa.array(rows, pa.list_(pa.int32()))], ["ids"])
+    for bound in (1 << 20, 1000):  # the second sends counts on early
+        monkeypatch.setattr(N, "PAIR_ROWS", bound)
+        got, peak = run(N.fit_ngram(Frame(spark), "ids"), batch)
+        sums = got.group_by(["prev", "token"]).aggregate([("n", "sum")])
+        assert {(r["prev"], r["token"]): r["n_sum"] for r in sums.to_pylist()} == want
+        assert peak < 96
+
+
 def test_slices_are_whole_rows_within_the_bound():
     rows = ["a" * n for n in (3, 0, 9, 1, 1, 40, 2)] + [None, "", "b"]
     batch = pa.record_batch([pa.array(rows), pa.array([[r, None, "x"] if r else None for r in rows]), pa.array([[1] * len(r or "") for r in rows])], ["t", "n", "i"])
